@@ -43,7 +43,7 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def rank_within(df: DataFrame, keys: list[str], order: list[str], into: str = "rank", rows: int | None = None, per_bucket: int = 20_000) -> DataFrame:
+def rank_within(df: DataFrame, keys: list[str], order: list[str], into: str = "rank", rows: int | None = None, per_bucket: int = 4096) -> DataFrame:
     """Gapless 0-based ranks within each key, in no particular order, without sending a key's rows to one task.
 
     Rows are dealt by a hash of `order` into buckets of about `per_bucket` rows; a window numbers each (key, bucket), and
