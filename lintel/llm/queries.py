@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lintel.llm.html_text import op10_html_text
+from lintel.llm.language_id import op1_language_id
 from lintel.llm.packing import op9_packing
 from lintel.llm.sharding import op4_sharding
+from lintel.llm.toxicity import op5_toxicity
 from lintel.llm.warc import op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op4_sharding": op4_sharding,
+    "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
     "op9_packing": op9_packing,
     "op10_html_text": op10_html_text,
