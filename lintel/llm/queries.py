@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lintel.llm.html_text import op10_html_text
 from lintel.llm.language_id import op1_language_id
+from lintel.llm.neighbours import op2_neighbours
 from lintel.llm.packing import op9_packing
 from lintel.llm.sharding import op4_sharding
 from lintel.llm.toxicity import op5_toxicity
@@ -15,6 +16,7 @@ from lintel.llm.warc import op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_neighbours": op2_neighbours,
     "op4_sharding": op4_sharding,
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
