@@ -107,15 +107,17 @@ def _record(raw: bytes, at: int) -> tuple[dict, int]:
 
 
 def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member at `at`, inflated, and where it ends."""
-    z = zlib.decompressobj(31)
-    try:
-        raw = z.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise Damaged(str(e)) from None
-    if not z.eof:
-        raise Damaged("member cut off")
-    return raw, len(data) - len(z.unused_data)
+    """The gzip member at `at`, inflated, and where it ends; fed in steps, as what follows a member is handed back as a copy."""
+    z, raw, view, step = zlib.decompressobj(31), [], memoryview(data), 1 << 14
+    while not z.eof:
+        if at >= len(data):
+            raise Damaged("member cut off")
+        try:
+            raw.append(z.decompress(view[at : at + step]))
+        except zlib.error as e:
+            raise Damaged(str(e)) from None
+        at += step
+    return b"".join(raw), min(at, len(data)) - len(z.unused_data)
 
 
 def _starts_record(data: bytes, at: int) -> bool:
