@@ -13,6 +13,7 @@ from lintel.llm.packing import op9_packing
 from lintel.llm.sharding import op4_sharding
 from lintel.llm.toxicity import op5_toxicity
 from lintel.llm.warc import op6_warc
+from lintel.llm.winnowing import OP7_SQL, op7_winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
@@ -21,7 +22,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
     "op9_packing": op9_packing,
+    "op7_winnowing": op7_winnowing,
     "op10_html_text": op10_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_winnowing": OP7_SQL,
+}
