@@ -13,10 +13,12 @@ are packed each; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from bisect import insort
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,12 @@ from lintel.llm.common import rank_within, staged
 
 #: Text is tokenised in slices of about so many characters, and a worker remembers so many chunks.
 SLICE_CHARS, MEMO = 1 << 20, 1_000_000
+# Fixed values of the vocabulary: how it cuts normalised text into words, and byte-level letters. Below U+0300 normalisation is
+# lower-casing letter by letter; text beyond, with a letter whose lower case is two, or with special tokens is left to the library.
+WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\d\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\s\w]|_)+")
+UNUSUAL = re.compile("[\x1c-\x1f\u0130\u0300-\U0010ffff]|<\\|")
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = [chr(b) if b in _PRINTED else chr(256 + sum(x not in _PRINTED for x in range(b))) for b in range(256)]
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
@@ -44,22 +52,35 @@ class ChunkTokenizer:
 
     def clear(self) -> None:
         self.at: dict[bytes, int] = {}
+        self.words: dict[str, list[int]] = {}
         self.flat, self.begin, self.size = np.empty(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def _ids(self, chunk: bytes) -> list[int]:
+        """Of plain chunks the words are looked up, or merged by the model itself; others take the library's whole way."""
+        s = chunk.decode("utf-8", "replace")
+        if UNUSUAL.search(s):
+            return self.tokenizer.encode(s, add_special_tokens=False).ids
+        out = []
+        for w in WORDS.findall(s.lower()):
+            ids = self.words.get(w)
+            if ids is None:
+                spelled = w if w.isascii() else "".join([BYTE_LETTERS[b] for b in w.encode()])
+                ids = self.words[w] = [t.id for t in self.tokenizer.model.tokenize(spelled)]
+            out += ids
+        return out
+
     def _learn(self, chunks: list[bytes]) -> None:
-        for k in range(0, len(chunks), 4096):
-            part = chunks[k : k + 4096]
-            for chunk, enc in zip(part, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False), strict=True):
-                ids, n = enc.ids, len(self.at)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-                if n == len(self.begin):
-                    self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.begin[n], self.size[n] = self.used, len(ids)
-                self.used += len(ids)
-                self.at[chunk] = n
+        for chunk in chunks:
+            ids, n = self._ids(chunk), len(self.at)
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+            if n == len(self.begin):
+                self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.begin[n], self.size[n] = self.used, len(ids)
+            self.used += len(ids)
+            self.at[chunk] = n
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """For each text its ids."""
@@ -67,9 +88,12 @@ class ChunkTokenizer:
             self.clear()
         split = [t.split() for t in texts]
         chunks = [c for s in split for c in s]
-        if new := list({c for c in chunks if c not in self.at}):
-            self._learn(new)
-        index = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
+        index = np.fromiter(map(self.at.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(index < 0)
+        if len(missing):
+            new = [chunks[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(new)))
+            index[missing] = np.fromiter(map(self.at.__getitem__, new), np.int64, len(new))
         sizes = self.size[index]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.begin[index] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
@@ -149,8 +173,6 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
             put(n, m, 1, next_bin, 0)
             leave(capacity - n, next_bin, m)
             next_bin += m
-    from bisect import bisect_left
-
     for n in sorted((n for n in left if 3 * n <= capacity), reverse=True):
         while left[n]:
             k = bisect_left(open_gaps, n)
