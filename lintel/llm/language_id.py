@@ -219,11 +219,12 @@ def fit(sample: pd.DataFrame, hold: int = 5) -> LanguageModel | None:
 _memo: list = [None, None]
 
 
-def identify(docs: DataFrame, train: DataFrame | None = None, per_language: int = 800, text_col: str = "text") -> DataFrame:
-    """`docs` with lang_pred, score, rejected and entropy; learnt from `train` (doc_id, text, lang; `docs` itself if not given)."""
+def identify(docs: DataFrame, train: DataFrame | None = None, per_language: int = 800, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """`docs` with lang_pred, score, rejected and entropy, names led by `prefix`; learnt from `train` (doc_id, text, lang; `docs` itself if not given)."""
     model = fit(sample_labelled(docs if train is None else train, "lang", per_language))
     if model is None:
-        return docs.select("*", F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"), F.lit(None).cast("double").alias("entropy"))
+        none = {"lang_pred": F.lit(UND), "score": F.lit(0.0), "rejected": F.lit(True), "entropy": F.lit(None).cast("double")}
+        return docs.select("*", *(v.alias(f"{prefix}{k}") for k, v in none.items()))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(PREDICTED)
@@ -235,7 +236,8 @@ def identify(docs: DataFrame, train: DataFrame | None = None, per_language: int
             parts = [shared.value.predict(texts[a:b], _memo[1]) for a, b in slices(texts)]
             yield pd.concat(parts, ignore_index=True) if parts else shared.value.predict([], _memo[1])
 
-    return docs.withColumn("_p", predict(F.col(text_col))).select(*docs.columns, "_p.*")
+    fields = [c.split()[0] for c in PREDICTED.split(", ")]
+    return docs.withColumn("_p", predict(F.col(text_col))).select(*docs.columns, *(F.col(f"_p.{c}").alias(f"{prefix}{c}") for c in fields))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
