@@ -1 +1 @@
-
+"""Part of lintel."""

@@ -7,5 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query and its SQL twin."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLE_SQL[name] = oracle
+        return f
+
+    return add
+
+
+def sql_query(name: str, spark_sql: str, oracle: str | None = None) -> None:
+    """Registers a query given as SQL. Only the tables that it names are opened; Catalyst prunes and pushes down as for any plan."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for t in TABLES:
+            if t in spark_sql:
+                table(spark, sf_dir, t).createOrReplaceTempView(t)
+        return spark.sql(spark_sql)
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = oracle or spark_sql
