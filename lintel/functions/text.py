@@ -8,6 +8,7 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lintel.functions import terms as T
 
@@ -64,7 +65,7 @@ def normalize_key(c: Column, expand: bool = True) -> Column:
     return F.regexp_replace(F.lower(clean_space(normalize_references(expand_terms(c) if expand else text(c)))), "[^0-9a-z가-힣]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_entities(s: pd.Series) -> pd.Series:
     """All named and numeric references; there is no built-in function for them."""
     return s.map(unescape, na_action="ignore")

@@ -1,3 +1,4 @@
 """Query plans over the driver tables, and the registry of their names."""
 
 from lintel.plans import relational  # noqa: F401
+from lintel.plans import retrieval  # noqa: F401
