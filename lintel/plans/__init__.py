@@ -2,3 +2,5 @@
 
 from lintel.plans import relational  # noqa: F401
 from lintel.plans import retrieval  # noqa: F401
+from lintel.plans import texts  # noqa: F401
+from lintel.plans import governance  # noqa: F401
