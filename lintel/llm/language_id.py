@@ -46,7 +46,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], l
     since = np.arange(1, len(chars)) - space[number]
     hashes = [_mix(chars + np.uint64(1))]
     for n in range(2, ORDER + 1):
-        older = np.concatenate([np.zeros(n - 1, np.uint64), chars[: 1 - n]])
+        older = np.concatenate([np.zeros(n - 1, np.uint64), chars])[: len(chars)]
         hashes.append(_mix(hashes[-1] * np.uint64(0x9E3779B97F4A7C15) + older + np.uint64(n)))
     contexts = [np.zeros(len(chars) - 1, np.uint64), *(h[:-1] for h in hashes[:-1])]
     return number, since, [h[1:] for h in hashes], contexts
