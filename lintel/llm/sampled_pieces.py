@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from math import exp, log
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -38,6 +38,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _hash(shorter: np.ndarray | None, chars: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n characters that end at each place, from those of n - 1."""
+    if n == 1:
+        return _mix(chars + np.uint64(1))
+    older = np.concatenate([np.zeros(n - 1, np.uint64), chars])[: len(chars)]
+    return _mix(shorter * np.uint64(0x9E3779B97F4A7C15) + older + np.uint64(n))
+
+
 class PieceSampler:
     def __init__(self, path: str, alpha: float = 1.0, seed: int = 1):
         from sentencepiece import SentencePieceProcessor
@@ -61,6 +69,16 @@ class PieceSampler:
                 self.pieces[piece.replace("▁", " ")] = i, (rank + RANK_SHIFT) ** -alpha
                 table.append(piece.replace("▁", " ").encode())
         self.longest = max(map(len, self.pieces))
+        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))]
+        for n in range(1, self.longest + 1):
+            mine = [(x, v) for x, v in self.pieces.items() if len(x) == n]
+            codes = np.array([[ord(c) for c in x] for x, _ in mine], np.uint64).reshape(-1, n)
+            h = None
+            for k in range(1, n + 1):
+                h = _hash(h, codes.reshape(-1), k)
+            keys = h.reshape(-1, n)[:, n - 1] if len(mine) else np.zeros(0, np.uint64)
+            order = np.argsort(keys)
+            self.by_length.append((keys[order], np.array([v[0] for _, v in mine], np.int64)[order], np.log([v[1] for _, v in mine])[order] if mine else np.zeros(0)))
         self.byte_weight = (rank + RANK_SHIFT) ** -alpha / 8
         self.table = np.frombuffer(b"".join(table), np.uint8)
         self.table_size = np.array([len(t) for t in table], np.int64)
@@ -69,53 +87,58 @@ class PieceSampler:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.base: list[int] = []
-        #: For each segment the place before its first in `first`, and for each place its first edge; both also as arrays.
-        self.first: list[int] = []
+        #: For each segment the number of the place before its first, and for each place its first edge.
         self.edges, self.starts, self.firsts = 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.arrays: list[np.ndarray] | None = None
 
-    def _filter(self, segment: str) -> None:
-        """Forward filtering of one segment: for each place, the edges that end there with their cumulative probabilities."""
-        n, pieces, reach, logs = len(segment), self.pieces, self.longest, len(segment) > 40  # long products leave the range of floats
-        alpha, top = [1.0] + [0.0] * n, [0.0] * (n + 1)  # weight of all ways to a place: alpha * exp(top)
-        self.base.append(len(self.first) - 1)
-        cum, before, ids = self.new[:3]
-        for e in range(1, n + 1):
-            start, weights = len(before), []
-            for s in range(e - reach if e > reach else 0, e):
-                hit = pieces.get(segment[s:e])
-                if hit is not None:
-                    weights.append((alpha[s] * hit[1], s))
-                    before.append(e - s)
-                    ids.append(hit[0])
-            last = segment[e - 1]
-            if last == "▁" or last not in pieces:
-                raw = last.encode("utf-8", "replace")
-                weights.append((alpha[e - 1] * self.byte_weight ** len(raw), e - 1))
-                before.append(1)
-                ids.append(-1 - int.from_bytes(raw, "big"))
-            if logs:
-                top[e] = max(top[s] for _, s in weights)
-                weights = [(w * exp(top[s] - top[e]), s) for w, s in weights]
-            total = sum([w for w, _ in weights])
-            run, scale = 0.0, 1.0 / total
-            for w, _ in weights:
-                run += w
-                cum.append(run * scale)
-            cum[-1] = 1.0
-            self.first.append(self.edges + start)
-            alpha[e] = total
-            if logs:
-                alpha[e], top[e] = 1.0, top[e] + log(total)
-
     def _learn(self, segments: list[str]) -> None:
-        self.new: tuple[list, list, list] = ([], [], [])
-        for s in segments:
-            self.at[s] = len(self.base)
-            self._filter(s)
-        fresh = [np.array(x, kind) for x, kind in zip(self.new, (np.float64, np.int32, np.int64), strict=True)]
-        n, m = self.edges, self.edges + len(fresh[0])
+        """Forward filtering of new segments, all at once: for each place of each, the edges that end there with cumulative probabilities."""
+        chars = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        size = np.fromiter(map(len, segments), np.int64, len(segments))
+        start = np.cumsum(size) - size
+        level = np.arange(len(chars)) - np.repeat(start, size) + 1
+        found, h = [], None
+        for n in range(1, self.longest + 1):  # pieces of n characters that end at each place
+            at = np.flatnonzero(level >= n)
+            if not len(at):
+                break
+            h = _hash(h, chars, n)
+            keys, ids, logs = self.by_length[n]
+            k = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1) if len(keys) else None
+            if k is None:
+                continue
+            hit = keys[k] == h[at]
+            if n == 1:
+                single = np.zeros(len(chars), bool)
+                single[at[hit]] = True
+            found.append((at[hit], np.full(int(hit.sum()), n), ids[k[hit]], logs[k[hit]]))
+        spelled = np.flatnonzero(~single | (chars == 0x2581))
+        if len(spelled):
+            codes, back = np.unique(chars[spelled], return_inverse=True)
+            raw = [chr(int(c)).encode("utf-8", "replace") for c in codes]
+            packed = np.array([-1 - int.from_bytes(r, "big") for r in raw], np.int64)
+            found.append((spelled, np.ones(len(spelled), np.int64), packed[back], (log(self.byte_weight) * np.array([len(r) for r in raw]))[back]))
+        place, before, ids, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((before, place, level[place]))
+        place, before, ids, weight = place[order], before[order], ids[order], weight[order]
+        alpha = np.zeros(len(chars))  # log of the summed weights of all ways to a place
+        cum = np.empty(len(place))
+        cuts = np.searchsorted(level[place], np.arange(1, int(level.max()) + 2))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            node = np.flatnonzero(np.diff(place[a:b], prepend=-1))
+            value = weight[a:b] + np.where(before[a:b] < level[place[a:b]], alpha[place[a:b] - before[a:b]], 0.0)
+            top = np.maximum.reduceat(value, node)
+            width = np.diff(np.append(node, b - a))
+            share = np.exp(value - np.repeat(top, width))
+            total = np.add.reduceat(share, node)
+            alpha[place[a:b][node]] = top + np.log(total)
+            run = np.cumsum(share)
+            part = (run - np.repeat(run[node] - share[node], width)) / np.repeat(total, width)
+            part[np.append(node[1:], b - a) - 1] = 1.0
+            cum[a:b] = part
+        by_place = np.argsort(place, kind="stable")
+        fresh = [cum[by_place], before[by_place].astype(np.int32), ids[by_place]]
+        n, m = self.edges, self.edges + len(cum)
         if self.arrays is None or m > len(self.arrays[0]):
             grown = [np.zeros(max(1 << 16, 2 * m), x.dtype) for x in fresh]
             for old, to in zip(self.arrays or (), grown, strict=False):
@@ -123,9 +146,10 @@ class PieceSampler:
             self.arrays = grown
         for x, to in zip(fresh, self.arrays, strict=True):
             to[n:m] = x
+        self.at.update(zip(segments, range(len(self.starts), len(self.starts) + len(segments)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.firsts) + start - 1])
+        self.firsts = np.concatenate([self.firsts, n + np.searchsorted(place[by_place], np.arange(len(chars)))])
         self.edges = m
-        self.starts = np.concatenate([self.starts, np.array(self.base[len(self.starts) :], np.int64)])
-        self.firsts = np.concatenate([self.firsts, np.array(self.first[len(self.firsts) :], np.int64)])
 
     def encode(self, texts: list[str | None], keys: list) -> list[np.ndarray]:
         """A sampled segmentation of each text, as piece ids."""
