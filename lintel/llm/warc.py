@@ -129,7 +129,7 @@ def _starts_record(data: bytes, at: int) -> bool:
 
 def _next_start(data: bytes, at: int) -> int:
     """The next place from `at` on where a member with a version line, or a bare version line, may begin; else the end."""
-    for m in re.finditer(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/\d\.\d\r\n", memoryview(data)[at:]):
+    for m in re.finditer(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n", memoryview(data)[at:]):
         if m[0][:1] == b"W" or _starts_record(data, at + m.start()):
             return at + m.start()
     return len(data)
