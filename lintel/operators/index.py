@@ -47,8 +47,10 @@ def tfidf_scores(queries: DataFrame, posts: DataFrame, n_docs: DataFrame) -> Dat
 
 def bm25_scores(queries: DataFrame, posts: DataFrame, stats: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query, doc, score; a query term weighs 1 + ln of its count."""
-    df = document_frequencies(posts)
     lengths = posts.groupBy("doc").agg(F.sum("tf").alias("len"))
+    # only terms that are asked for are counted and met
+    posts = posts.join(queries.select("term").distinct(), "term", "left_semi")
+    df = document_frequencies(posts)
     met = queries.withColumnRenamed("tf", "qtf").join(posts, "term").join(df, "term").join(lengths, "doc").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.greatest("avg_len", F.lit(1e-9))))

@@ -32,10 +32,20 @@ def _top_sql(source: str, k: int) -> str:
     return f"SELECT query, doc, score, CAST(n AS INT) AS rank FROM (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS n FROM (SELECT query, doc, round(score, 6) AS score FROM {source})) WHERE n <= {k}"
 
 
+#: The index of one corpus at a time, kept as postings; another corpus or session drops it.
+_index: dict[tuple[str, str], DataFrame] = {}
+
+
 def _posts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Postings of sections and clauses, and the collection's row. One file is one task: sections are dealt out before they are cut."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
-    posts = I.postings(docs, "doc_id", I.latin_tokens(F.col("text")))
+    revision = (spark.sparkContext.applicationId, sf_dir)
+    if revision not in _index:
+        for old in _index.values():
+            old.unpersist()
+        _index.clear()
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+        _index[revision] = I.postings(docs, "doc_id", I.latin_tokens(F.col("text"))).persist()
+    posts = _index[revision]
     asked = I.postings(table(spark, sf_dir, "benchmark"), "item_id", I.latin_tokens(F.col("text")), "query")
     return posts, asked, I.collection(table(spark, sf_dir, "documents"), posts)
 

@@ -15,7 +15,7 @@ LOCAL = {
 }
 
 
-def local_session(cpus: int | None = None, app: str = "lintel", memory: str = "12g") -> SparkSession:
+def local_session(cpus: int | None = None, app: str = "lintel", memory: str = "16g") -> SparkSession:
     """A local session with as many shuffle partitions as cores."""
     cpus = cpus or os.cpu_count() or 2
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
