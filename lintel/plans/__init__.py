@@ -5,3 +5,4 @@ from lintel.plans import retrieval  # noqa: F401
 from lintel.plans import texts  # noqa: F401
 from lintel.plans import governance  # noqa: F401
 from lintel.plans import sources  # noqa: F401
+from lintel.plans import review  # noqa: F401
