@@ -25,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not toxic; learnt from the labelled ones among them."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    found = classify(docs, docs.select("doc_id", "text", "lang").join(labels, "doc_id"), prefix="_")
+    found = classify(docs, docs.select("doc_id", "text", "lang"), labels, prefix="_")
     return found.where(F.col("_toxic") == 0).select(*docs.columns)
 
 

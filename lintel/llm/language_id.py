@@ -180,19 +180,27 @@ def id_class(n: int, id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
-def sample_labelled(docs: DataFrame, label: str, per_label: int, extra: str | None = None) -> pd.DataFrame:
-    """text and label (and one more column) of at most `per_label` documents of each label, those with the smallest hashes of their ids."""
+def sample_labelled(docs: DataFrame, label: str, per_label: int, extra: str | None = None, labels: DataFrame | None = None) -> pd.DataFrame:
+    """text and label (and one more column) of at most `per_label` documents of each label, those with the smallest hashes of their ids.
+
+    The label is a column of `docs`, or of `labels` (doc_id and label). Ids are picked first, without texts; the texts of the picked
+    ids are then read from `docs`, so that no text is moved but theirs."""
     order = F.xxhash64(F.lit(11), "doc_id")
-    ids = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("_label"), order.alias("_h"))
+    ids = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    ids = ids.select("doc_id", F.col(label).alias("_label")) if labels is None else ids.select("doc_id").join(labels.select("doc_id", F.col(label).alias("_label")), "doc_id")
+    ids = ids.where(F.col("_label").isNotNull()).select("doc_id", "_label", order.alias("_h"))
     ranked = ids.withColumn("_k", F.row_number().over(Window.partitionBy("_label").orderBy("_h", "doc_id"))).where(F.col("_k") <= per_label)
     picked = [(r["doc_id"], r["_label"]) for r in ranked.collect()]  # at most per_label rows of each label
+    empty = pd.DataFrame({"text": [], "label": []} | ({extra: []} if extra else {}))
     if not picked:
-        return pd.DataFrame({"text": [], "label": []})
-    keep = docs.sparkSession.createDataFrame(sorted(set(picked)), f"doc_id long, _label {docs.schema[label].dataType.simpleString()}")
+        return empty
+    kind = (docs if labels is None else labels).schema[label].dataType.simpleString()
+    keep = docs.sparkSession.createDataFrame(sorted(set(picked)), f"doc_id long, _label {kind}")
     more = [F.col(extra).alias("_extra")] if extra else []
-    rows = docs.select("doc_id", "text", F.col(label).alias("_label"), *more).join(F.broadcast(keep), ["doc_id", "_label"])
+    own = [F.col(label).alias("_label")] if labels is None else []
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text", *own, *more).join(F.broadcast(keep), ["doc_id", "_label"] if own else ["doc_id"])
     got = rows.limit(len(picked)).collect()
-    got.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    got.sort(key=lambda r: (r["doc_id"], r["text"], r["_label"]))
     return pd.DataFrame({"text": [r["text"] for r in got], "label": [r["_label"] for r in got]} | ({extra: [r["_extra"] for r in got]} if extra else {}))
 
 

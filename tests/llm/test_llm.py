@@ -234,17 +234,17 @@ def toxic_corpus(n, seed):
 
 def test_toxicity_on_held_out_rows(spark):
     rows = spark.createDataFrame(toxic_corpus(600, 5), "doc_id long, text string, lang string, toxic int")
-    got = toxicity.classify(rows.select("doc_id", "text"), rows.where("doc_id < 400")).join(rows.select("doc_id", F.col("toxic").alias("truth")), "doc_id").where("doc_id >= 400").toPandas()
+    got = toxicity.classify(rows.select("doc_id", "text"), rows.where("doc_id < 400").drop("toxic"), rows.select("doc_id", "toxic")).join(rows.select("doc_id", F.col("toxic").alias("truth")), "doc_id").where("doc_id >= 400").toPandas()
     assert ((got["toxic"] == 1) == (got["truth"] == 1)).mean() >= 0.97 and got["toxicity"].between(0, 1).all()
     assert ((got["toxicity"] >= 0.7) == (got["toxic"] == 1)).all()
 
 
 def test_toxicity_edges(spark):
     rows = spark.createDataFrame(toxic_corpus(60, 6), "doc_id long, text string, lang string, toxic int")
-    got = toxicity.classify(edges(spark).drop("score"), rows).collect()
+    got = toxicity.classify(edges(spark).drop("score"), rows.drop("toxic"), rows).collect()
     assert len(got) == len(EDGES) and all(0 <= r["toxicity"] <= 1 for r in got)
-    assert toxicity.classify(empty(spark), rows).count() == 0
-    assert {r["toxicity"] for r in toxicity.classify(edges(spark), rows.where("toxic = 0")).collect()} == {0.0}
+    assert toxicity.classify(empty(spark), rows, rows).count() == 0
+    assert {r["toxicity"] for r in toxicity.classify(edges(spark), rows, rows.where("toxic = 0")).collect()} == {0.0}
 
 
 # 6 WARC
