@@ -4,14 +4,14 @@
    sets are one class. The pass also counts shingles in a hashed table of fixed size, which orders them from rare to common.
 2. Another pass gives each set's rarest shingles, as many as any linked set must meet in one of them at least (n - ceil(t n) + 1).
    These postings, grouped by shingle, are the matrix: which sets, and later which groups of sets, hold a shingle.
-3. Similar sets are partitioned into groups: each set is compared with the first holders of its shingles, and what is linked to
-   them is one group. A large group of copies so becomes one column of the matrix without any pairs within it.
-4. A set and another group that meet in a shingle are a candidate. The group's token union bounds the set's overlap with any member;
+3. Similar sets are partitioned into groups: a set joins the first holder of the shingles that it meets most often. Thousands of near
+   copies so become one column of the matrix instead of a pair each.
+4. A set and a group that meet in a shingle are a candidate. The group's token union bounds the set's overlap with any member;
    only if that bound reaches the threshold are members opened and compared. Large groups are opened in blocks with unions of their own.
 5. Components are those of the verified links.
 
-The order of shingles and the choice of first holders change the work, never the result: every linked pair of different groups
-meets in step 4, and pairs within a group are connected already. Shingles and sets are known by 64-bit hashes.
+The order of shingles and the choice of groups change the work, never the result: two linked sets share a rare shingle, so the one
+asks the other's group (or their own). Shingles and sets are known by 64-bit hashes.
 
 Defined results: documents without words (null and empty texts included) have an empty set and are linked with nothing; with fewer
 words than a shingle the whole sequence is one; ids may repeat (each row gets its result); the component of a null id is the
@@ -36,8 +36,8 @@ from lintel.llm.words import slices
 SHINGLE, PERCENT = 5, 80
 #: Counters of shingles, and in how many blocks tasks hand theirs in.
 COUNTERS, BLOCKS = 1 << 20, 64
-#: Members, and queries, that meet in one task at a time; first holders that a set is compared with.
-MEET, HOLDERS = 256, 3
+#: Members, and queries, that meet in one task at a time; bytes whose words are hashed at a time.
+MEET, BLOCK_BYTES = 1024, 1 << 21
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -55,9 +55,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts in order, and where each text's words begin and the last's end."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+def _block_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of a block that ends in white space."""
     if len(_powers[0]) < len(data):
         for i, base in enumerate((_BASE, _INVERSE)):
             p = np.full(len(data) + (1 << 16), base, np.uint64)
@@ -68,9 +67,23 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = edge[::2], edge[1::2]
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_LETTER[data] * _powers[0][: len(data)], out=total[1:])
-    hashes = _mixed((total[ends] - total[starts]) * _powers[1][starts] + (ends - starts).astype(np.uint64))
+    return _mixed((total[ends] - total[starts]) * _powers[1][starts] + (ends - starts).astype(np.uint64)), starts
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in order, and where each text's words begin and the last's end."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    hashes, starts, at = [], [], 0
+    while at < len(data):  # blocks bound memory whatever a text's length; only a single word may exceed one
+        end = min(at + BLOCK_BYTES, len(data))
+        while not _SPACE[data[end - 1]]:
+            end += 1
+        h, s = _block_hashes(data[at:end])
+        hashes.append(h)
+        starts.append(s + at)
+        at = end
     offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return hashes, np.searchsorted(starts, offsets)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
 
 
 def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
@@ -138,7 +151,7 @@ def common_order(summary: DataFrame) -> np.ndarray:
 
 
 def postings(docs: DataFrame, order: np.ndarray, k: int, percent: int) -> DataFrame:
-    """token, key, n: the rarest shingles of every set, once a set and task."""
+    """token, key: the rarest shingles of every set, once a set and task."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,24 +159,24 @@ def postings(docs: DataFrame, order: np.ndarray, k: int, percent: int) -> DataFr
         for pdf in batches:
             texts = pdf["text"].tolist()
             for a, b in slices(texts):
-                tokens, keys, sizes = [], [], []
+                tokens, keys = [], []
                 for s in shingle_sets(_encoded(texts[a:b]), k):
                     key = set_key(s) if len(s) else None
                     if key is None or key in done:
                         continue
                     done.add(key)
-                    rare = s[np.lexsort((s, shared.value[s & (COUNTERS - 1)]))[: len(s) - needed(len(s), percent) + 1]]
-                    tokens.append(rare)
-                    keys.append(np.full(len(rare), key))
-                    sizes.append(np.full(len(rare), len(s)))
+                    tokens.append(s[np.lexsort((s, shared.value[s & (COUNTERS - 1)]))[: len(s) - needed(len(s), percent) + 1]])
+                    keys.append(np.full(len(tokens[-1]), key))
                 if tokens:
-                    yield pd.DataFrame({"token": np.concatenate(tokens), "key": np.concatenate(keys), "n": np.concatenate(sizes)})
+                    yield pd.DataFrame({"token": np.concatenate(tokens), "key": np.concatenate(keys)})
+
+    return docs.select("text").where("text is not null").mapInPandas(one, "token long, key long")
 
-    return docs.select("text").where("text is not null").mapInPandas(one, "token long, key long, n int")
 
+def bodies_of(docs: DataFrame, keys: DataFrame, summary: DataFrame, k: int) -> DataFrame:
+    """key, body (a compressed text with that set) of the wanted keys; a text is less to move than its shingles.
 
-def token_sets(docs: DataFrame, keys: DataFrame, summary: DataFrame, k: int) -> DataFrame:
-    """key, tokens of the wanted keys. Texts that cannot be wanted are left out by a bitmap of fixed size before anything moves."""
+    Texts that cannot be wanted are left out by a bitmap of fixed size before anything moves."""
     wanted = summary.join(keys, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id"))  # ids by which a text is found again
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24))
     maps = wanted.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("m")).collect()  # 512 rows of 4 KiB; bits count from 1
@@ -176,34 +189,41 @@ def token_sets(docs: DataFrame, keys: DataFrame, summary: DataFrame, k: int) ->
         done: set[int] = set()
         for pdf in batches:
             bit = pdf["bit"].to_numpy()
-            pdf = pdf[(shared.value[bit >> 3] >> (bit & 7)) & 1 == 1]
-            texts = pdf["text"].tolist()
+            texts = pdf["text"][(shared.value[bit >> 3] >> (bit & 7)) & 1 == 1].tolist()
             for a, b in slices(texts):
-                found = [(set_key(s), s) for s in shingle_sets(_encoded(texts[a:b]), k) if len(s)]
-                found = [(key, s) for i, (key, s) in enumerate(found) if key not in done and not done.add(key)]
+                raw, found = _encoded(texts[a:b]), []
+                for t, s in zip(raw, shingle_sets(raw, k), strict=True):
+                    if len(s) and (key := set_key(s)) not in done:
+                        done.add(key)
+                        found.append((key, zlib.compress(t, 3)))
                 if found:
-                    yield pd.DataFrame({"key": [f[0] for f in found], "tokens": [f[1] for f in found]})
+                    yield pd.DataFrame(found, columns=["key", "body"])
 
-    read = docs.where("text is not null").select("text", bit.alias("bit")).mapInPandas(one, "key long, tokens array<long>")
+    read = docs.where("text is not null").select("text", bit.alias("bit")).mapInPandas(one, "key long, body binary")
     rows = read.join(keys, "key", "left_semi")
-    return staged(rows.withColumn("_k", F.row_number().over(Window.partitionBy("key").orderBy("key"))).where("_k = 1").drop("_k"), "tokens")
+    return staged(rows.withColumn("_k", F.row_number().over(Window.partitionBy("key").orderBy("key"))).where("_k = 1").drop("_k"), "bodies")
 
 
-def verified(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """queries: key, target; members: target, member. Links a, b: for a key and its target the first member that is similar enough."""
+def verified(queries: DataFrame, members: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
+    """queries: key, target; members: target, member. Links a, b that connect every key with all members of its target that are similar
+    enough; what such links of the same task connect already is not linked again."""
     sizes = queries.groupBy("target").agg(F.count(F.lit(1)).alias("qs")).join(members.groupBy("target").agg(F.count(F.lit(1)).alias("ms")), "target")
     sizes = sizes.select("target", F.ceil(F.col("qs") / MEET).cast("int").alias("q"), F.ceil(F.col("ms") / MEET).cast("int").alias("m"))
     sizes = staged(sizes, "sizes")
     pools = max(1, sizes.count() // 64)
     # small targets share tasks; a large one has a task for each block of queries and block of members
     pool = F.when((F.col("q") == 1) & (F.col("m") == 1), F.pmod(F.xxhash64("target"), F.lit(pools))).otherwise(F.col("target"))
-    asked = queries.join(sizes, "target").join(sets.select("key", "tokens"), "key").select(
-        pool.alias("pool"), F.when((F.col("q") == 1) & (F.col("m") == 1), -1).otherwise(F.pmod(F.xxhash64("key"), F.col("q"))).alias("qb"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("mb"), "target", "key", "tokens")
-    held = members.join(sizes, "target").join(sets.select(F.col("key").alias("member"), "tokens"), "member").select(
-        pool.alias("pool"), F.explode(F.when((F.col("q") == 1) & (F.col("m") == 1), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("q") - 1))).alias("qb"), F.pmod(F.xxhash64("member"), F.col("m")).alias("mb"), "target", "member", "tokens")
+    asked = queries.join(sizes, "target").join(bodies, "key").select(
+        pool.alias("pool"), F.when((F.col("q") == 1) & (F.col("m") == 1), -1).otherwise(F.pmod(F.xxhash64("key"), F.col("q"))).alias("qb"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("mb"), "target", "key", "body")
+    held = members.join(sizes, "target").join(bodies.select(F.col("key").alias("member"), "body"), "member").select(
+        pool.alias("pool"), F.explode(F.when((F.col("q") == 1) & (F.col("m") == 1), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("q") - 1))).alias("qb"), F.pmod(F.xxhash64("member"), F.col("m")).alias("mb"), "target", "member", "body")
     # both sides may stem from the same table: columns get identities of their own
     asked, held = (x.select(*(F.col(c).cast("long").alias(c) if c in ("qb", "mb") else F.col(c).alias(c) for c in x.columns)) for x in (asked, held))
 
+    def opened(column: pd.Series) -> list[np.ndarray]:
+        texts = [zlib.decompress(x) for x in column]
+        return [s for a, b in slices(texts) for s in shingle_sets(texts[a:b], k)]
+
     def meet(qs: pd.DataFrame, ms: pd.DataFrame) -> pd.DataFrame:
         links = []
         groups = {t: g for t, g in ms.groupby("target")}
@@ -211,25 +231,35 @@ def verified(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: i
             g = groups.get(target)
             if g is None:
                 continue
-            ids, sets_ = g["member"].to_numpy(), [np.asarray(t) for t in g["tokens"]]
+            ids, sets_ = g["member"].to_numpy(), opened(g["body"])
             size = np.array([len(s) for s in sets_])
             flat, owner = np.concatenate(sets_), np.repeat(np.arange(len(sets_)), size)
             by = np.argsort(flat, kind="stable")
             flat, owner = flat[by], owner[by]
-            union = flat[np.append(True, flat[1:] != flat[:-1])]
-            for key, q in zip(mine["key"].to_numpy(), mine["tokens"], strict=True):
-                q = np.asarray(q)
+            union, first, held = np.unique(flat, return_index=True, return_counts=True)
+            root = np.arange(len(ids))  # of each member, the first that it is connected with here
+            place = {m: i for i, m in enumerate(ids.tolist())}
+            for key, q in zip(mine["key"].to_numpy(), opened(mine["body"]), strict=True):
                 at = np.minimum(np.searchsorted(union, q), len(union) - 1)
-                met = q[union[at] == q]
-                if len(met) < needed(len(q), percent):  # the bound of the group: none of it can be near enough
+                at = at[union[at] == q]
+                if len(at) < needed(len(q), percent):  # the bound of the group: none of it can be near enough
                     continue
-                first, last = np.searchsorted(flat, met, "left"), np.searchsorted(flat, met, "right")
-                span = last - first
-                hit = np.repeat(first - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
+                span = held[at]
+                hit = np.repeat(first[at] - np.cumsum(span) + span, span) + np.arange(span.sum())
                 both = np.bincount(owner[hit], minlength=len(ids))
                 near = np.flatnonzero((100 * both >= percent * (size + len(q) - both)) & (ids != key))
-                if len(near):
-                    links.append((key, ids[near[0]]))
+                if not len(near):
+                    continue
+                own = place.get(key)
+                roots = np.unique(root[near])
+                if own is None:
+                    links.extend((key, ids[r]) for r in roots)
+                else:
+                    roots = roots[roots != root[own]]
+                    links.extend((key, ids[r]) for r in roots)
+                    roots = np.append(roots, root[own])
+                if len(roots) > 1:
+                    root[np.isin(root, roots)] = roots.min()
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
     keys = ["pool", "qb", "mb"]
@@ -248,33 +278,29 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     counts = common_order(summary)
     rows = summary.where("block is null")
     # matrix of shingles and sets: only shingles that several sets hold can link
-    matrix = staged(shared_tokens(postings(docs, counts, k, percent).distinct(), "key").withColumnRenamed("_lo", "holder"), "matrix")
+    matrix = staged(shared_tokens(postings(docs, counts, k, percent), "key").withColumnRenamed("_lo", "holder").distinct(), "matrix")
+    # groups of similar sets: a set joins the first holder that it meets in most of its rare shingles
     stars = matrix.where("key != holder").groupBy("key", "holder").agg(F.count(F.lit(1)).alias("met"))
-    stars = stars.withColumn("_k", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("met"), "holder"))).where(F.col("_k") <= HOLDERS).select("key", F.col("holder").alias("target"))
-    stars = staged(stars, "stars")
-    sets = token_sets(docs, matrix.select("key").distinct(), summary, k)
-    near = staged(verified(stars, stars.select("target", F.col("target").alias("member")).distinct(), sets, percent), "links")
-    groups = connected(near)
+    best = stars.groupBy("key").agg(F.max_by("holder", F.struct("met", -F.col("holder"))).alias("group"))
+    sizes = rows.where("key is not null").groupBy("key").agg(F.max("n").alias("n"))
+    grouped = staged(matrix.select("key").distinct().join(best, "key", "left").join(sizes, "key").select("key", "n", F.coalesce("group", "key").alias("group")), "groups")
     # matrix of shingles and groups
-    label = F.coalesce("component", "key")
-    labelled = matrix.drop("holder").join(groups.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "n", label.alias("label"))
-    mixed = staged(shared_tokens(labelled, "label").drop("_lo"), "mixed")
-    spans = mixed.groupBy("token", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    fits = (F.col("q.label") != F.col("g.label")) & (100 * F.col("q.n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("q.n"))
-    found = mixed.alias("q").join(spans.alias("g"), (F.col("q.token") == F.col("g.token")) & fits).select("q.key", F.col("g.label").alias("target"), F.col("q.label").alias("own")).distinct()
-    # a pair of groups is enough from one side: the smaller label asks
-    found = staged(found.where(F.col("own") < F.col("target")).select("key", "target"), "candidates")
-    everyone = matrix.select("key").distinct().join(groups.withColumnRenamed("node", "key"), "key", "left").select(label.alias("target"), F.col("key").alias("member"))
-    members = everyone.join(found.select("target").distinct(), "target", "left_semi")
-    more = staged(verified(found, members, sets, percent), "links")
-    final = connected(near.union(more))
+    labelled = staged(matrix.select("token", "key").join(grouped, "key"), "labelled")
+    spans = labelled.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("held"))
+    fits = (100 * F.col("q.n") >= percent * F.col("g.least")) & (100 * F.col("g.most") >= percent * F.col("q.n"))
+    # of two groups the smaller asks; alone in its own group a set has nobody to meet there
+    asks = (F.col("q.group") < F.col("g.group")) | (F.col("q.group") == F.col("g.group")) & (F.col("g.held") > 1)
+    found = labelled.alias("q").join(spans.alias("g"), (F.col("q.token") == F.col("g.token")) & asks & fits).select("q.key", F.col("g.group").alias("target")).distinct()
+    found = staged(found, "candidates")
+    members = grouped.select(F.col("group").alias("target"), F.col("key").alias("member")).join(found.select("target").distinct(), "target", "left_semi")
+    bodies = bodies_of(docs, found.select("key").union(members.select(F.col("member").alias("key"))).distinct(), summary, k)
+    links = staged(verified(found, members, bodies, k, percent), "links")
+    final = connected(links)
     # from sets to documents
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first")).join(final.withColumnRenamed("node", "key"), "key", "left").select("key", "first", label.alias("label"))
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first")).join(final.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("component", "key").alias("label"))
     smallest = classes.groupBy("label").agg(F.min("first").alias("component_id"))
     by_key = classes.join(smallest, "label").select("key", "component_id")
     out = rows.join(by_key, "key", "left")
-    for t in (stars, mixed, found):
-        dropped(t)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
