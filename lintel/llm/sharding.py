@@ -1,9 +1,10 @@
 """Sharding by balanced label propagation.
 
 Links join rows with equal texts. Every linked row starts in a shard by its id; in each round Spark joins the rows with
-their group's histogram over shards, and rows ask to move to the shard that holds most of their group. The driver sees only
-shards x shards x buckets counts and turns them into quotas: opposite wishes are swapped one for one, what is left may use
-the room below the cap. Rows without links have no preference; they fill the shards to exact counts at the end.
+their group's histogram over shards, and rows ask to move to the shard that holds most of their group, be it full or not; then
+those that are still elsewhere ask for the shard with room that holds most of it, so that a group goes on to its next shard. The
+driver sees only shards x shards x buckets counts and turns them into quotas: opposite wishes are swapped one for one, what is
+left may use the room below the cap. Rows without links have no preference; they fill the shards to exact counts at the end.
 
 Law: `rows` - counts of any two shards differ by one at most. Groups larger than a shard (a third of all rows may be copies)
 are split over as few shards as the cap lets them.
@@ -19,12 +20,12 @@ from pyspark.sql import functions as F
 
 from lintel.llm.common import dropped, rank_within, staged
 
-#: Wishes to move are ranked by group, then row, in so many steps; a quota is filled to within one step.
+#: Wishes to move are ranked by group, then row, in so many steps; the step in which a quota ends is cut into as many fine steps.
 STEPS = 1024
 
 
-def _quotas(wishes: dict[tuple[int, int, int], int], load: list[int], cap: int, n: int) -> dict[tuple[int, int], int]:
-    """Thresholds: rows of (source, target) whose step is below them may move."""
+def _allowed(wishes: dict[tuple[int, int, int], int], load: list[int], cap: int, n: int) -> dict[tuple[int, int], int]:
+    """Rows of (source, target) that may move: opposite wishes against each other, then what room below the cap lets in."""
     want = {(s, t): sum(wishes.get((s, t, b), 0) for b in range(STEPS)) for s in range(n) for t in range(n) if s != t}
     allowed = {(s, t): min(w, want[t, s]) for (s, t), w in want.items()}
     room = [cap - x for x in load]
@@ -32,41 +33,75 @@ def _quotas(wishes: dict[tuple[int, int, int], int], load: list[int], cap: int,
         extra = max(0, min(w - allowed[s, t], room[t]))
         allowed[s, t] += extra
         room[t] -= extra
-    out, moved = {}, {}
-    for (s, t), quota in allowed.items():
-        total = 0
-        for b in range(STEPS):
-            total += wishes.get((s, t, b), 0)
-            if total > quota:
-                break
-            out[s, t], moved[s, t] = b + 1, total
-    return {k: v for k, v in out.items() if moved.get(k)}
+    return {k: v for k, v in allowed.items() if v}
+
+
+def _filled(counts: dict[tuple[int, int, int], int], quotas: dict[tuple[int, int], int]) -> tuple[dict[tuple[int, int], int], dict[tuple[int, int], int]]:
+    """By (source, target): how many steps fit into the quota as a whole, and how many rows those hold."""
+    ends, moved = {}, {}
+    for (s, t), quota in quotas.items():
+        total = end = 0
+        while end < STEPS and total + counts.get((s, t, end), 0) <= quota:
+            total += counts.get((s, t, end), 0)
+            end += 1
+        ends[s, t], moved[s, t] = end, total
+    return ends, moved
+
+
+def _counted(rows: DataFrame, step: str) -> dict[tuple[int, int, int], int]:
+    found = rows.groupBy("shard", "target", step).agg(F.count(F.lit(1)).alias("n"))
+    return {(r["shard"], r["target"], r[step]): r["n"] for r in found.collect()}  # shards x shards x steps
+
+
+def _move(members: DataFrame, load: list[int], cap: int, n: int, to_full: bool) -> DataFrame | None:
+    """Moves rows toward the fullest shard of their group, of all shards or of those with room, and corrects `load`; None if no row moves."""
+    # a shard with less room than a fine step may hold counts as full
+    full = [] if to_full else [t for t in range(n) if load[t] + cap // STEPS >= cap]
+    counts = members.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n"))
+    likes = F.struct("n", F.pmod(F.xxhash64("group", "shard"), F.lit(1 << 20)).alias("p"), "shard")
+    best = counts.groupBy("group").agg(F.max(F.when(~F.col("shard").isin(full), likes) if full else likes).alias("best"))
+    own = counts.select("group", "shard", likes.alias("own"))
+    # a row moves to the fullest shard unless its own ranks above
+    asking = own.join(best, "group").where(F.col("best").isNotNull() & (F.col("best") > F.col("own"))).select("group", "shard", F.col("best.shard").alias("target"))
+    step = F.pmod(F.xxhash64("group"), F.lit(STEPS // 16)) * 16 + F.pmod(F.xxhash64("row_id"), F.lit(16))
+    fine = F.pmod(F.xxhash64("row_id", F.lit(1)), F.lit(STEPS))
+    wished = members.join(asking, ["group", "shard"], "left").withColumn("step", step).withColumn("fine", fine)
+    wishes = _counted(wished.where("target is not null"), "step")
+    quotas = _allowed(wishes, load, cap, n)
+    if not quotas:
+        return None
+    ends, moved = _filled(wishes, quotas)
+    pair = F.col("shard") * n + F.col("target")
+    at = lambda d: F.element_at(F.create_map(*[x for (s, t), v in sorted(d.items()) for x in (F.lit(s * n + t), F.lit(v))]), pair)
+    cut = {k: quota - moved[k] for k, quota in quotas.items() if quota > moved[k]}
+    goes = F.col("step") < at(ends)
+    if cut:
+        fine_ends, more = _filled(_counted(wished.where(F.col("step") == at({k: ends[k] for k in cut})), "fine"), cut)
+        goes = goes | ((F.col("step") == at(ends)) & (F.col("fine") < at(fine_ends)))
+        moved = {k: v + more.get(k, 0) for k, v in moved.items()}
+    if not any(moved.values()):
+        return None
+    for (s, t), v in moved.items():
+        load[s] -= v
+        load[t] += v
+    goes = F.coalesce(goes, F.lit(False))
+    return staged(wished.select("row_id", "group", F.when(goes, F.col("target")).otherwise(F.col("shard")).alias("shard")), "shards")
 
 
 def propagate(members: DataFrame, n_shards: int, cap: int, rounds: int) -> DataFrame:
     """members: row_id, group, shard. Returns them with the shards after at most `rounds` rounds."""
+    load = [0] * n_shards
+    for r in members.groupBy("shard").count().collect():  # n_shards rows
+        load[r["shard"]] = r["count"]
     for _ in range(rounds):
-        load = [0] * n_shards
-        for r in members.groupBy("shard").count().collect():  # n_shards rows
-            load[r["shard"]] = r["count"]
-        full = [t for t in range(n_shards) if load[t] >= cap]
-        counts = members.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n"))
-        likes = F.struct("n", F.pmod(F.xxhash64("group", "shard"), F.lit(1 << 20)).alias("p"), "shard")
-        groups = counts.groupBy("group").agg(F.max(likes).alias("any"), F.max(F.when(~F.col("shard").isin(full), likes) if full else likes).alias("open"))
-        own = counts.select("group", "shard", likes.alias("own"))
-        # a row moves to the fullest open shard of its group unless its own ranks above
-        asking = own.join(groups, "group").where(F.col("open").isNotNull() & (F.col("open") > F.col("own"))).select("group", "shard", F.col("open.shard").alias("target"))
-        step = F.pmod(F.xxhash64("group"), F.lit(STEPS // 16)) * 16 + F.pmod(F.xxhash64("row_id"), F.lit(16))
-        wished = members.join(asking, ["group", "shard"], "left").withColumn("step", step)
-        table = {(r["shard"], r["target"], r["step"]): r["n"] for r in wished.where("target is not null").groupBy("shard", "target", "step").agg(F.count(F.lit(1)).alias("n")).collect()}
-        quotas = _quotas(table, load, cap, n_shards) if table else {}
-        if not quotas:
+        still = True
+        for to_full in (True, False):
+            moved = _move(members, load, cap, n_shards, to_full)
+            if moved is not None:
+                dropped(members)
+                members, still = moved, False
+        if still:
             break
-        limit = F.create_map(*[x for (s, t), v in sorted(quotas.items()) for x in (F.lit(s * n_shards + t), F.lit(v))])
-        goes = F.col("step") < F.coalesce(F.element_at(limit, F.col("shard") * n_shards + F.col("target")), F.lit(0))
-        moved = staged(wished.select("row_id", "group", F.when(goes, F.col("target")).otherwise(F.col("shard")).alias("shard")), "shards")
-        dropped(members)
-        members = moved
     return members
 
 

@@ -217,6 +217,26 @@ def test_shards_are_even_and_keep_groups(spark):
     assert all(r.size == len(text[r.doc_id]) + 1 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in got[["doc_id", "size", "text_crc32"]].itertuples())
 
 
+def test_shards_take_a_text_of_a_third_of_all_rows(spark):
+    n = 24_000
+    text = lambda i: "hot" if i < n // 3 else f"pair {i // 2}" if i < n // 3 + n * 3 // 10 else f"single {i}"
+    got = sharding.assign_shards(spark.createDataFrame([(i, text(i)) for i in range(n)], "doc_id long, text string")).toPandas()
+    counts = got.groupby("shard").size()
+    assert len(counts) == 8 and counts.max() - counts.min() <= 1
+    t = got["doc_id"].map(text)
+    hot = got[t == "hot"].groupby("shard").size()
+    assert len(hot[hot >= 10]) <= 4 and hot.nlargest(4).sum() >= 0.99 * hot.sum()
+    pairs = got[t.str.startswith("pair")]
+    assert (pairs.groupby(t)["shard"].nunique() == 1).mean() >= 0.9
+
+
+def test_shards_of_pairs_only(spark):
+    rows = [(i, f"pair {i // 2}") for i in range(8_000)]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    counts = got.groupby("shard").size()
+    assert counts.max() - counts.min() <= 1 and (got.groupby(got["doc_id"] // 2)["shard"].nunique() == 1).mean() >= 0.9
+
+
 def test_shard_edges(spark):
     got = sharding.assign_shards(edges(spark)).toPandas()
     assert len(got) == len(EDGES) and got[got.doc_id == 1]["size"].tolist() == [1] and got[["shard", "slot"]].drop_duplicates().shape[0] == len(EDGES)
