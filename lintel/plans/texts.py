@@ -83,9 +83,20 @@ _KEY = "regexp_replace(lower(text), '[^0-9a-z]', '', 'g')"
 
 @query("T10_char_ngrams", f"SELECT n, count(*) AS grams, count(DISTINCT g) AS kinds FROM (SELECT n, unnest(list_transform(range(1, length(k) - n + 2), lambda i: substr(k, i, n))) AS g FROM (SELECT {_KEY} AS k FROM documents WHERE doc_id % 5 = 0), (SELECT unnest([2, 3, 4]) AS n)) GROUP BY n")
 def char_ngrams(spark, sf_dir):
+    """A sample that DuckDB can follow; T10_all_char_ngrams takes every text."""
+    return _gram_counts(_docs(spark, sf_dir).where("doc_id % 5 = 0"))
+
+
+@query("T10_all_char_ngrams")
+def all_char_ngrams(spark, sf_dir):
+    return _gram_counts(_docs(spark, sf_dir))
+
+
+def _gram_counts(docs):
     key = F.regexp_replace(F.lower(F.col("text")), "[^0-9a-z]", "")
-    rows = _docs(spark, sf_dir).where("doc_id % 5 = 0").repartition("doc_id").select(F.explode(X.char_ngrams(key)).alias("g"))
-    return rows.groupBy(F.length("g").alias("n")).agg(F.count(F.lit(1)).alias("grams"), F.count_distinct("g").alias("kinds"))
+    rows = docs.repartition("doc_id").select(F.explode(X.char_ngrams(key)).alias("g"))
+    kinds = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    return kinds.groupBy(F.length("g").alias("n")).agg(F.sum("n").alias("grams"), F.count(F.lit(1)).alias("kinds"))
 
 
 _TOKENS = r"regexp_extract_all(lower(text), '[A-Za-z가-힣]{2,}|\d+(?:\.\d+)?')"

@@ -57,3 +57,12 @@ def test_latest_by_stream(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     expected = {(r[0], r[1]) for r in events.groupBy("user_id").agg(F.max("event_id")).collect()}
     assert {(r["user_id"], r["event_id"]) for r in spark.read.parquet(f"{tmp_path}/out/0").collect()} == expected
+
+
+def test_all_char_ngrams(spark, tmp_path):
+    texts = [(1, "Ab-c"), (2, "abcab"), (3, ""), (4, None), (5, "zz"), (None, "x1 y")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["n"], r["grams"], r["kinds"]) for r in QUERIES["T10_all_char_ngrams"](spark, str(tmp_path)).collect()}
+    keys = ["".join(c for c in (t or "").lower() if c.isascii() and c.isalnum()) for _, t in texts]
+    grams = {n: [k[i : i + n] for k in keys for i in range(len(k) - n + 1)] for n in (2, 3, 4)}
+    assert got == {(n, len(g), len(set(g))) for n, g in grams.items()}
