@@ -107,11 +107,17 @@ def missing_references(refs: Column, candidates: Column) -> Column:
 
 
 def related_references(asking: DataFrame, pool: DataFrame, k: int) -> DataFrame:
-    """clause, rank, code: codes of the same topic elsewhere that the clause does not cite yet, at most k."""
-    other = pool.select(F.col("clause").alias("c2"), "topic", F.col("code").alias("code"))
-    found = asking.select("clause", "topic").join(other, "topic").where(F.col("clause") != F.col("c2")).select("clause", "code").distinct()
-    cited = asking.select(F.col("clause").alias("c"), F.col("code").alias("d")).distinct()
-    new = found.join(cited, (F.col("clause") == F.col("c")) & (F.col("code") == F.col("d")), "left_anti")
+    """clause, rank, code: codes of the same topic elsewhere that the clause does not cite yet, at most k.
+
+    `pool` holds all rows of the clauses that ask, so a code that a clause does not cite comes from another one. A clause with m codes
+    finds its k among the first k + m codes of each of its topics; no more rows of a topic meet it."""
+    cited = asking.where("code IS NOT NULL").select("clause", "code").distinct()
+    asks = asking.select("clause", "topic").distinct().join(cited.groupBy("clause").agg(F.count(F.lit(1)).alias("m")), "clause", "left").withColumn("need", F.coalesce("m", F.lit(0)) + k)
+    most = asks.agg(F.max("need").alias("most"))
+    codes = pool.where("topic IS NOT NULL AND code IS NOT NULL").select("topic", "code").distinct()
+    codes = codes.withColumn("at", F.row_number().over(Window.partitionBy("topic").orderBy("code"))).crossJoin(F.broadcast(most)).where(F.col("at") <= F.col("most"))
+    found = asks.join(codes.drop("most"), "topic").where(F.col("at") <= F.col("need")).select("clause", "code").distinct()
+    new = found.join(cited, ["clause", "code"], "left_anti")
     return new.withColumn("rank", F.row_number().over(Window.partitionBy("clause").orderBy("code"))).where(F.col("rank") <= k).select("clause", "rank", "code")
 
 

@@ -65,10 +65,20 @@ def standards_analysis(spark, sf_dir):
 
 @query("R22_related_references", "SELECT o AS clause, CAST(n AS INT) AS rank, code FROM (SELECT o, code, row_number() OVER (PARTITION BY o ORDER BY code) AS n FROM (SELECT DISTINCT a.l_orderkey AS o, b.l_suppkey AS code FROM lineitem a JOIN lineitem b ON b.l_partkey = a.l_partkey AND b.l_orderkey <> a.l_orderkey WHERE a.l_orderkey % 20 = 0 AND NOT EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey = a.l_orderkey AND x.l_suppkey = b.l_suppkey))) WHERE n <= 3")
 def related_references(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("clause"), F.col("l_partkey").alias("topic"), F.col("l_suppkey").alias("code"))
+    lines = _references(spark, sf_dir)
     return V.related_references(lines.where("clause % 20 = 0"), lines, 3)
 
 
+@query("R22_all_related_references")
+def all_related_references(spark, sf_dir):
+    lines = _references(spark, sf_dir)
+    return V.related_references(lines, lines, 3)
+
+
+def _references(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("clause"), F.col("l_partkey").alias("topic"), F.col("l_suppkey").alias("code"))
+
+
 @query("P01_source_positions", _values("clause, page", [(1, 1), (2, 1), (3, 2), (4, None)]))
 def source_positions(spark, sf_dir):
     pages = spark.createDataFrame([("d", 1, "1. 일반 (1) 벽돌을 쌓는다"), ("d", 2, "(2) 줄눈 10 mm 벽돌을 쌓는다")], "doc string, page int, text string")

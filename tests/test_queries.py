@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -66,3 +67,16 @@ def test_all_char_ngrams(spark, tmp_path):
     keys = ["".join(c for c in (t or "").lower() if c.isascii() and c.isalnum()) for _, t in texts]
     grams = {n: [k[i : i + n] for k in keys for i in range(len(k) - n + 1)] for n in (2, 3, 4)}
     assert got == {(n, len(g), len(set(g))) for n, g in grams.items()}
+
+
+def test_all_related_references(spark, tmp_path):
+    rng = random.Random(22)
+    rows = [(rng.randrange(60), 0 if i % 3 == 0 else rng.randrange(20), rng.randrange(25)) for i in range(250)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {tuple(r) for r in QUERIES["R22_all_related_references"](spark, str(tmp_path)).select("clause", "rank", "code").collect()}
+    expected = set()
+    for c in {r[0] for r in rows}:
+        topics, cited = {t for o, t, _ in rows if o == c}, {s for o, _, s in rows if o == c}
+        codes = sorted({s for o, t, s in rows if o != c and t in topics} - cited)[:3]
+        expected |= {(c, i + 1, s) for i, s in enumerate(codes)}
+    assert got == expected
