@@ -95,6 +95,13 @@ def count_cosine(queries: DataFrame, posts: DataFrame) -> DataFrame:
     return dots.join(norm(queries, "query", "qn"), "query").join(norm(posts, "doc", "dn"), "doc").select("query", "doc", (F.col("dot") / (F.col("qn") * F.col("dn"))).alias("cosine"))
 
 
+def token_coverage(queries: DataFrame, posts: DataFrame) -> DataFrame:
+    """query, doc, coverage: the share of a query's distinct tokens that a document holds; pairs without a common token are left out."""
+    sizes = queries.groupBy("query").agg(F.count(F.lit(1)).alias("kinds"))
+    common = queries.select("query", "term").join(posts.select("doc", "term"), "term").groupBy("query", "doc").agg(F.count(F.lit(1)).alias("n"))
+    return common.join(sizes, "query").select("query", "doc", (F.col("n") / F.col("kinds")).alias("coverage"))
+
+
 def latin_tokens(c: Column) -> Column:
     """Tokens of a text without the expansion of terms (the driver's corpora hold none of them)."""
     return X.word_tokens(c, expand=False)

@@ -189,6 +189,29 @@ def concept_probes(spark, sf_dir):
     return both.select(F.col("item_id").alias("query"), F.col("doc_id").alias("doc"), (concept("the", "tion") + concept("of", "with")).alias("hits"))
 
 
+#: What a query holds, and what a document must hold to answer it.
+CONCEPTS = [("the", "tion"), ("of", "with")]
+
+
+@query("R12_all_concept_probes")
+def all_concept_probes(spark, sf_dir):
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+    d = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("doc"), "text")
+    found = lambda rows, i, side: rows.select(i, F.explode(F.array_compact(F.array(*[F.when(F.col("text").contains(c[side]), n) for n, c in enumerate(CONCEPTS)]))).alias("concept"))
+    asked, held = found(q, "query", 0), found(d, "doc", 1)
+    # only queries and documents with a concept can gain, so only they are scored
+    q, d = q.join(asked, "query", "left_semi"), d.join(held, "doc", "left_semi")
+    key = F.regexp_replace(F.lower(F.col("text")), "[^0-9a-z가-힣]", "")
+    grams = lambda rows, i, name: I.postings(rows, i, X.char_ngrams(key), name)
+    tokens = lambda rows, i, name: I.postings(rows, i, F.array_distinct(I.latin_tokens(F.col("text"))), name)
+    cosine, coverage = I.count_cosine(grams(q, "query", "query"), grams(d, "doc", "doc")), I.token_coverage(tokens(q, "query", "query"), tokens(d, "doc", "doc"))
+    yes, no = F.lit(True), F.lit(False)
+    base = R.stable_score(F.coalesce("cosine", F.lit(0.0)), F.coalesce("coverage", F.lit(0.0)), yes, no, yes, no, no)
+    pairs = asked.join(held, "concept").select("query", "doc").distinct()
+    scores = pairs.join(cosine, ["query", "doc"], "left").join(coverage, ["query", "doc"], "left").select("query", "doc", base.alias("score"))
+    return R.concept_probes(asked, held, scores)
+
+
 @query("R13_final_score", "SELECT l_orderkey AS id, l_linenumber AS n, CASE WHEN l_partkey % 50 = 0 THEN 1.0 ELSE round(greatest(0.0, least(1.0, 0.82 * (l_quantity / 50) * (1 - l_discount) + 0.08 * l_tax * 10 + 0.03 * (l_suppkey % 2) + 0.07 * (l_suppkey % 3 // 2))), 6) END AS score FROM lineitem")
 def final_score(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")

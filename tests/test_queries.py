@@ -3,12 +3,15 @@
 import math
 import os
 import random
+import re
+from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lintel import plans  # noqa: F401
+from lintel.functions.terms import STOP_WORDS
 from lintel.plans.registry import ORACLE_SQL, QUERIES, TABLES
 from lintel.streaming import queues
 
@@ -80,3 +83,31 @@ def test_all_related_references(spark, tmp_path):
         codes = sorted({s for o, t, s in rows if o != c and t in topics} - cited)[:3]
         expected |= {(c, i + 1, s) for i, s in enumerate(codes)}
     assert got == expected
+
+
+def test_all_concept_probes(spark, tmp_path):
+    asks = {1: "the wall", 2: "of the brick wall", 3: "brick", 4: "of mortar"}
+    docs = {i: ["station wall", "with mortar", "a section with brick", "mortar"][i % 4] + f" n{chr(97 + i % 7)}" for i in range(45)}
+    spark.createDataFrame(list(asks.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, t, "de" if i == 2 else "en") for i, t in docs.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["query"], r["doc"], r["hits"], round(r["score"], 4), r["rank"]) for r in QUERIES["R12_all_concept_probes"](spark, str(tmp_path)).collect()}
+
+    def grams(t):
+        k = "".join(c for c in t.lower() if c.isalnum())
+        return Counter(k[i : i + n] for n in (2, 3, 4) for i in range(len(k) - n + 1))
+
+    stop = set(STOP_WORDS)
+    tokens = lambda t: set(re.findall(r"[a-z]{2,}", t)) - stop
+    expected = set()
+    for q, a in asks.items():
+        active, found = [d for s, d in (("the", "tion"), ("of", "with")) if s in a], []
+        for i, t in docs.items():
+            hits = sum(x in t for x in active)
+            if hits and i != 2:
+                x, y = grams(a), grams(t)
+                cosine = sum(v * y[g] for g, v in x.items()) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+                base = 0.82 * min(1, 0.9 * min(1, 1.8 * cosine) + 0.1 * len(tokens(a) & tokens(t)) / max(1, len(tokens(a)))) + 0.18
+                found.append((-round(min(0.85, base + 0.24 * hits / len(active)), 6), i, hits))
+        expected |= {(q, i, h, round(-s, 4), n + 1) for n, (s, i, h) in enumerate(sorted(found)[:6])}
+    assert got == expected and {r[0] for r in got} == {1, 2, 4}
