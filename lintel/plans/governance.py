@@ -75,6 +75,7 @@ sql_query("E02_unavailable_reason", "SELECT doc_id, CASE WHEN text IS NULL OR tr
 sql_query("E03_bound_revision", "SELECT n_nationkey, sha2(concat_ws(':', n_name, CASE WHEN n_regionkey = 0 THEN NULL ELSE CAST(n_regionkey AS STRING) END), 256) AS revision FROM nation", "SELECT n_nationkey, sha256(concat_ws(':', n_name, CASE WHEN n_regionkey = 0 THEN NULL ELSE CAST(n_regionkey AS VARCHAR) END)) AS revision FROM nation")
 sql_query("E04_valid_documents", "SELECT doc_id, (lang IN ('en', 'de') AND n_chars > 100) AS valid FROM documents")
 sql_query("E12_structure_snapshot", f"{W3} SELECT c.project_id, count(DISTINCT c.id) AS clauses, count(k.rank) AS candidates FROM clauses c LEFT JOIN candidates k ON k.clause_id = c.id WHERE c.project_id % 10 = 3 GROUP BY c.project_id")
+sql_query("E12_all_structure_snapshot", f"{W3} SELECT c.project_id, count(DISTINCT c.id) AS clauses, count(k.rank) AS candidates FROM clauses c LEFT JOIN candidates k ON k.clause_id = c.id GROUP BY c.project_id")
 sql_query("E13_decision_snapshot", f"WITH {LINES} SELECT o.o_orderkey AS id, concat_ws(',', CAST(min(CASE WHEN l.pos = 1 THEN l.section_id END) AS VARCHAR(20)), CAST(min(CASE WHEN l.relation = 'A' THEN l.section_id END) AS VARCHAR(20))) AS evidence FROM orders o JOIN lines l ON l.clause_id = o.o_orderkey GROUP BY o.o_orderkey", f"WITH {LINES} SELECT o.o_orderkey AS id, concat_ws(',', CAST(min(CASE WHEN l.pos = 1 THEN l.section_id END) AS VARCHAR), CAST(min(CASE WHEN l.relation = 'A' THEN l.section_id END) AS VARCHAR)) AS evidence FROM orders o JOIN lines l ON l.clause_id = o.o_orderkey GROUP BY o.o_orderkey")
 sql_query("E15_queue_reads", f"WITH {EVENTS} SELECT entity, count(CASE WHEN status IN ('click', 'view') THEN 1 END) AS active, max(seq) AS last_seq, min(CASE WHEN status = 'click' THEN seq END) AS next_pending FROM ev GROUP BY entity")
 sql_query("E16_transitions", f"WITH {EVENTS} SELECT seq, CASE WHEN status = 'click' AND value > 50 THEN 'running' WHEN status = 'click' THEN 'pending' WHEN status = 'error' AND entity % 2 = 0 THEN 'pending' ELSE status END AS next FROM ev")

@@ -42,6 +42,7 @@ sql_query("J14_case_key", f"{W3} SELECT c.id, k.rank, k.section_id FROM clauses
 sql_query("J15_chain_left", f"{W3} SELECT r.r_name, n.n_name, count(p.id) AS projects FROM region r LEFT JOIN nation n ON n.n_regionkey = r.r_regionkey LEFT JOIN projects p ON p.discipline = n.n_nationkey AND p.state = 'active' GROUP BY r.r_name, n.n_name")
 sql_query("J17_prefix_join", "SELECT n.n_name, count(*) AS parts FROM nation n JOIN part p ON substr(lower(p.p_name), 1, 1) = substr(lower(n.n_name), 1, 1) AND p.p_size < n.n_nationkey + 10 GROUP BY n.n_name")
 sql_query("J18_group_overlap", f"{W3} SELECT DISTINCT a.clause_id AS a, b.clause_id AS b FROM candidates a JOIN candidates b ON a.section_id = b.section_id AND a.clause_id < b.clause_id WHERE a.section_id % 50 = 0 AND b.section_id % 50 = 0 AND a.rank = 1 AND b.rank = 1")
+sql_query("J18_all_group_overlap", f"{W3} SELECT DISTINCT a.clause_id AS a, b.clause_id AS b FROM candidates a JOIN candidates b ON a.section_id = b.section_id AND a.clause_id < b.clause_id")
 sql_query("J19_two_overlaps", f"{W3} SELECT DISTINCT a.clause_id AS a, b.clause_id AS b FROM candidates a JOIN candidates b ON a.section_id = b.section_id AND a.code = b.code AND a.clause_id < b.clause_id")
 sql_query("J20_positional", f"{W3}, v AS (SELECT clause_id, rank, CASE WHEN relation = 'A' THEN 'related' WHEN relation = 'N' THEN 'partial' ELSE 'unrelated' END AS verdict FROM candidates) SELECT k.clause_id, k.rank, coalesce(v.verdict, 'uncertain') AS verdict FROM candidates k LEFT JOIN v ON v.clause_id = k.clause_id AND v.rank = k.rank + 1")
 sql_query("J21_multiset_diff", f"""{W3}, b AS (SELECT clause_id, relation AS fp, row_number() OVER (PARTITION BY clause_id, relation ORDER BY rank) AS n FROM candidates WHERE rank <= 3),

@@ -4,7 +4,7 @@ import math
 import os
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -111,3 +111,21 @@ def test_all_concept_probes(spark, tmp_path):
                 found.append((-round(min(0.85, base + 0.24 * hits / len(active)), 6), i, hits))
         expected |= {(q, i, h, round(-s, 4), n + 1) for n, (s, i, h) in enumerate(sorted(found)[:6])}
     assert got == expected and {r[0] for r in got} == {1, 2, 4}
+
+
+def test_all_group_overlap_and_structure_snapshot(spark):
+    lines = [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()]
+    clauses = defaultdict(set)
+    for clause, section in lines:
+        clauses[section].add(clause)
+    pairs = {(a, b) for held in clauses.values() for a in held for b in held if a < b}
+    got = [(r["a"], r["b"]) for r in QUERIES["J18_all_group_overlap"](spark, SF).collect()]
+    assert len(got) == len(pairs) and set(got) == pairs
+    of, orders, candidates = {}, Counter(), Counter()
+    for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_custkey").collect():
+        of[r[0]] = r[1]
+        orders[r[1]] += 1
+    for clause, _ in lines:
+        candidates[of[clause]] += 1
+    got = {(r["project_id"], r["clauses"], r["candidates"]) for r in QUERIES["E12_all_structure_snapshot"](spark, SF).collect()}
+    assert got == {(p, n, candidates[p]) for p, n in orders.items()}
