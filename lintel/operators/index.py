@@ -5,6 +5,8 @@ the small one; Spark broadcasts it when its measured size allows, and shuffles o
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,6 +104,36 @@ def token_coverage(queries: DataFrame, posts: DataFrame) -> DataFrame:
     return common.join(sizes, "query").select("query", "doc", (F.col("n") / F.col("kinds")).alias("coverage"))
 
 
+def nearest_vectors(vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """query, doc, score, rank: each vector's k nearest others by cosine, ties by id. vectors: id, embedding.
+
+    Every block of vectors meets every other as one matrix product; only k rows a query and block leave a task."""
+    blocks = max(1, -(-vectors.count() // block))
+    dealt = vectors.where("embedding IS NOT NULL").select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asks = dealt.select(F.col("id").alias("query"), F.col("embedding").alias("a"), F.col("b").alias("qb"), others.alias("db"))
+    held = dealt.select(F.col("id").alias("doc"), F.col("embedding").alias("vector"), others.alias("qb"), F.col("b").alias("db"))
+
+    def unit(rows: pd.Series) -> np.ndarray:
+        m = np.stack(rows.to_numpy()).astype(float)
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+    def best(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or d.empty:
+            return pd.DataFrame({"query": [], "doc": [], "score": []})
+        d = d.sort_values("doc")
+        ids, asking = d["doc"].to_numpy(), q["query"].to_numpy()
+        scores = np.round(np.clip(unit(q["a"]) @ unit(d["vector"]).T, -1, 1), 6)
+        scores[asking[:, None] == ids[None, :]] = -np.inf
+        at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        found = pd.DataFrame({"query": np.repeat(asking, at.shape[1]), "doc": ids[at].ravel(), "score": np.take_along_axis(scores, at, 1).ravel()})
+        return found[np.isfinite(found["score"])]
+
+    near = asks.groupBy("qb", "db").cogroup(held.groupBy("qb", "db")).applyInPandas(best, "query long, doc long, score double")
+    return top(near, k)
+
+
 def latin_tokens(c: Column) -> Column:
     """Tokens of a text without the expansion of terms (the driver's corpora hold none of them)."""
     return X.word_tokens(c, expand=False)

@@ -159,6 +159,16 @@ def stable_score(spark, sf_dir):
     return c.select("query", "doc", F.round(R.stable_score(F.col("cosine"), F.lit(0.0), yes, no, F.col("doc") % 2 == 0, no, no), 6).alias("score"))
 
 
+@query("R07_all_stable_score")
+def all_stable_score(spark, sf_dir):
+    _, posts, asked = _grams(spark, sf_dir)
+    tokens = lambda name, i, to, *c: I.postings(table(spark, sf_dir, name), i, F.array_distinct(I.latin_tokens(F.concat_ws(" ", *c))), to)
+    coverage = I.token_coverage(tokens("nation", "n_nationkey", "query", "n_name", F.lit("promo steel")), tokens("part", "p_partkey", "doc", "p_name", "p_type"))
+    c = I.count_cosine(asked, posts).join(coverage, ["query", "doc"], "left").na.fill(0.0, ["coverage"])
+    yes, no = F.lit(True), F.lit(False)
+    return c.select("query", "doc", F.round(R.stable_score(F.col("cosine"), F.col("coverage"), yes, no, F.col("doc") % 2 == 0, no, no), 6).alias("score"))
+
+
 SQL_FUSED = """
 l AS (SELECT query, doc, round(score, 6) AS score, 'scoped' AS source, 1.08 AS w, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS r FROM ti
  UNION ALL SELECT query, doc, round(score, 6), 'keyword', 1.35, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) FROM ov),
@@ -237,6 +247,11 @@ def cosine_topk(spark, sf_dir):
     return I.top(both.select("query", "doc", X.cosine(F.col("a"), F.col("b")).alias("score")), 5)
 
 
+@query("T46_all_cosine_topk")
+def all_cosine_topk(spark, sf_dir):
+    return I.nearest_vectors(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 5)
+
+
 @query("E01_rank_without_vectors", "SELECT o_orderkey AS id, round(coalesce(0.65 * (o_totalprice / 600000) + 0.35 * CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 0.5 END, o_totalprice / 600000), 11) AS score FROM orders WHERE o_totalprice >= 150000")
 def rank_without_vectors(spark, sf_dir):
     local = F.col("o_totalprice") / 600000

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lintel import plans  # noqa: F401
 from lintel.functions.terms import STOP_WORDS
+from lintel.operators import index
 from lintel.plans.registry import ORACLE_SQL, QUERIES, TABLES
 from lintel.streaming import queues
 
@@ -129,3 +130,34 @@ def test_all_group_overlap_and_structure_snapshot(spark):
         candidates[of[clause]] += 1
     got = {(r["project_id"], r["clauses"], r["candidates"]) for r in QUERIES["E12_all_structure_snapshot"](spark, SF).collect()}
     assert got == {(p, n, candidates[p]) for p, n in orders.items()}
+
+
+def test_all_stable_score(spark, tmp_path):
+    parts = [(i, f"steel bolt {i}" if i % 3 else "copper pipe", "promo large" if i % 2 else "small") for i in range(190, 230)]
+    nations = [(0, "copper land"), (1, "bolt")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string").selectExpr("*", "'b' AS p_brand").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(nations, "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    got = {(r["query"], r["doc"]): r["score"] for r in QUERIES["R07_all_stable_score"](spark, str(tmp_path)).collect()}
+    grams = lambda t: Counter(k[i : i + n] for k in [t.replace(" ", "")] for n in (2, 3, 4) for i in range(len(k) - n + 1))
+    tokens = lambda t: {w for w in re.findall(r"[a-z]{2,}|[0-9]+", t) if w not in STOP_WORDS}
+    expected = {}
+    for q, name in nations:
+        for p, a, b in parts:
+            s, t = f"{name} promo steel", f"{a} {b}"
+            x, y = grams(s), grams(t)
+            dot = sum(v * y[g] for g, v in x.items())
+            if dot:
+                cosine = dot / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+                score = min(1, 0.9 * min(1, 1.8 * cosine) + 0.1 * len(tokens(s) & tokens(t)) / len(tokens(s)))
+                expected[q, p] = (0.82 * score + 0.18) * (1 if p % 2 == 0 else 0.72)
+    assert got == pytest.approx(expected, abs=2e-6) and max(p for _, p in got) > 200
+
+
+def test_all_cosine_topk(spark):
+    rng = random.Random(46)
+    rows = [(i, [0.0] * 4 if i == 7 else [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)]) for i in range(60)]
+    got = index.nearest_vectors(spark.createDataFrame(rows, "id long, embedding array<float>"), 5, block=16).collect()
+    norm = lambda v: math.sqrt(sum(x * x for x in v))
+    cosine = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / (norm(a) * norm(b)), 6) if norm(a) * norm(b) else 0.0
+    expected = {(q, d, n + 1) for q, a in rows for n, (_, d) in enumerate(sorted((-cosine(a, b), d) for d, b in rows if d != q)[:5])}
+    assert {(r["query"], r["doc"], r["rank"]) for r in got} == expected
