@@ -1,14 +1,20 @@
 """N-gram Jaccard join on word shingles through a token-group matrix.
 
-1. One pass over the texts gives each document its number of distinct shingles and a key of its whole set; documents with equal
-   sets are one class. The pass also counts shingles in a hashed table of fixed size, which orders them from rare to common.
+1. One pass over the texts gives each document its number of distinct shingles, a key of its whole set and a bitmap of the set;
+   documents with equal sets are one class. The pass also counts shingles in a hashed table, which orders them from rare to common.
 2. Another pass gives each set's rarest shingles, as many as any linked set must meet in one of them at least (n - ceil(t n) + 1).
    These postings, grouped by shingle, are the matrix: which sets, and later which groups of sets, hold a shingle.
-3. Similar sets are partitioned into groups: a set joins the first holder of the shingles that it meets most often. Thousands of near
-   copies so become one column of the matrix instead of a pair each.
-4. A set and a group that meet in a shingle are a candidate. The group's token union bounds the set's overlap with any member;
-   only if that bound reaches the threshold are members opened and compared. Large groups are opened in blocks with unions of their own.
-5. Components are those of the verified links.
+3. Similar sets are partitioned into groups: a set joins the first holder of the shingles that it meets most often, with sets of
+   about its size. Thousands of near copies so become one column of the matrix instead of a pair each.
+4. Each group's token union is stored as the union of its members' bitmaps. A set and a group that meet in a shingle are a candidate;
+   a shingle of the set whose bit the union lacks is in no member, so the set's size less such bits bounds its overlap with any of
+   them. Groups whose bound is too low stay closed; only texts of the others move.
+5. Members of qualifying groups are opened and compared with the sets that ask. A group of more than a block is first compared with a
+   few of its members, and what these connect already is not compared again.
+6. Components are those of the verified links.
+
+The table of counts has a fixed size and exact sums: what strangers add to a counter varies by the square root of its mean, so a
+shingle is told from rare ones as soon as it is more frequent than that.
 
 The order of shingles and the choice of groups change the work, never the result: two linked sets share a rare shingle, so the one
 asks the other's group (or their own). Shingles and sets are known by 64-bit hashes.
@@ -26,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lintel.llm.common import dropped, staged
@@ -36,8 +42,10 @@ from lintel.llm.words import slices
 SHINGLE, PERCENT = 5, 80
 #: Counters of shingles, and in how many blocks tasks hand theirs in.
 COUNTERS, BLOCKS = 1 << 20, 64
-#: Members, and queries, that meet in one task at a time; bytes whose words are hashed at a time.
-MEET, BLOCK_BYTES = 1024, 1 << 21
+#: Holders of a shingle that one window sees; shingles of members, and of queries, that meet in one task; members that a group of more than a block is first compared with.
+HOLDERS, MEET, LEADERS = 1 << 16, 1 << 20, 16
+#: Bytes whose words are hashed at a time.
+BLOCK_BYTES = 1 << 21
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -118,44 +126,64 @@ def _encoded(texts: list[str | None]) -> list[bytes]:
     return [(t or "").encode("utf-8", "replace") for t in texts]
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """A bit for each token in a number of bits that depends on the set's size alone, as 64-bit words; the upper half folds onto the lower."""
+    width = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    bits = np.zeros(width, bool)
+    bits[tokens & (width - 1)] = True
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
 def summarise(docs: DataFrame, k: int) -> DataFrame:
-    """A row per document: doc_id, n, key; and rows of hashed counts: block, counts."""
+    """A row per document: doc_id, n, key, text_hash, bits; and rows of hashed counts: block, counts."""
+    rest = "text_hash long, bits array<long>, block long, counts binary"
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(COUNTERS, np.int64)
+        seen, done = np.zeros(COUNTERS, np.int32), set()
         for pdf in batches:
-            ids, texts = pdf["doc_id"].astype("Int64"), pdf["text"].tolist()
+            ids, hashes, texts = pdf["doc_id"].astype("Int64"), pdf["text_hash"], pdf["text"].tolist()
             for a, b in slices(texts):
                 sets = shingle_sets(_encoded(texts[a:b]), k)
-                seen += np.bincount(np.concatenate(sets) & (COUNTERS - 1), minlength=COUNTERS)
-                yield pd.DataFrame({"doc_id": ids[a:b].to_numpy(), "n": [len(s) for s in sets], "key": pd.array([set_key(s) if len(s) else None for s in sets], "Int64"), "block": pd.array([None] * len(sets), "Int64"), "counts": None}).astype({"doc_id": "Int64"})
+                seen += np.bincount(np.concatenate(sets) & (COUNTERS - 1), minlength=COUNTERS).astype(np.int32)
+                keys, bits = [set_key(s) if len(s) else None for s in sets], []
+                for key, s in zip(keys, sets, strict=True):  # once a set and task
+                    bits.append(None if key is None or key in done else bitmap(s))
+                    done.add(key)
+                yield pd.DataFrame({"doc_id": ids[a:b].array, "n": [len(s) for s in sets], "key": pd.array(keys, "Int64"), "text_hash": hashes[a:b].array, "bits": bits, "block": pd.array([None] * len(sets), "Int64"), "counts": None})
         if seen.any():
-            clipped = np.minimum(seen, 255).astype(np.uint8).reshape(BLOCKS, -1)
-            yield pd.DataFrame({"doc_id": pd.array([None] * BLOCKS, "Int64"), "n": 0, "key": pd.array([None] * BLOCKS, "Int64"), "block": pd.array(range(BLOCKS), "Int64"), "counts": [zlib.compress(c.tobytes(), 1) for c in clipped]})
+            none = pd.array([None] * BLOCKS, "Int64")
+            yield pd.DataFrame({"doc_id": none, "n": 0, "key": none, "text_hash": 0, "bits": None, "block": pd.array(range(BLOCKS), "Int64"), "counts": [zlib.compress(c.tobytes(), 1) for c in seen.reshape(BLOCKS, -1)]})
 
-    return staged(docs.select("doc_id", "text").mapInPandas(one, "doc_id long, n long, key long, block long, counts binary"), "sets")
+    return staged(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(one, f"doc_id long, n long, key long, {rest}"), "sets")
 
 
 def common_order(summary: DataFrame) -> np.ndarray:
     """The table of hashed counts over all documents: COUNTERS numbers, whatever the data."""
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(c), np.uint8).astype(np.int64) for c in pdf["counts"])
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [np.minimum(total, 2**31 - 1).astype("<i4").tobytes()]})
+    def add(keys: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(COUNTERS // BLOCKS, "<i8")
+        for pdf in batches:
+            for c in pdf["counts"]:
+                total += np.frombuffer(zlib.decompress(c), np.int32)
+        yield pd.DataFrame({"block": [keys[0]], "counts": [total.tobytes()]})
 
-    out = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.int32)
+    out = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.int64)
     parts = summary.where("block is not null").select("block", "counts").groupBy("block").applyInPandas(add, "block long, counts binary")
     for r in parts.collect():  # BLOCKS rows
-        out[r["block"]] = np.frombuffer(r["counts"], "<i4")
+        out[r["block"]] = np.frombuffer(r["counts"], "<i8")
     return out.reshape(-1)
 
 
 def postings(docs: DataFrame, order: np.ndarray, k: int, percent: int) -> DataFrame:
-    """token, key: the rarest shingles of every set, once a set and task."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+    """token, key, parts: the rarest shingles of every set, once a set and task; parts is into how many a shingle's holders are dealt."""
+    usual = float(order.mean())
+    parts = np.minimum(1 + np.maximum(order - 2 * usual, 0) // HOLDERS, 2**31 - 1).astype(np.int32)  # half of the bound, at most, is noise
+    by_count = np.argsort(np.argsort(order, kind="stable")).astype(np.int32)
+    shared = docs.sparkSession.sparkContext.broadcast((by_count, {i: int(parts[i]) for i in np.flatnonzero(parts > 1).tolist()}))
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set[int] = set()
+        place, many = shared.value
         for pdf in batches:
             texts = pdf["text"].tolist()
             for a, b in slices(texts):
@@ -165,20 +193,59 @@ def postings(docs: DataFrame, order: np.ndarray, k: int, percent: int) -> DataFr
                     if key is None or key in done:
                         continue
                     done.add(key)
-                    tokens.append(s[np.lexsort((s, shared.value[s & (COUNTERS - 1)]))[: len(s) - needed(len(s), percent) + 1]])
+                    tokens.append(s[np.lexsort((s, place[s & (COUNTERS - 1)]))[: len(s) - needed(len(s), percent) + 1]])
                     keys.append(np.full(len(tokens[-1]), key))
                 if tokens:
-                    yield pd.DataFrame({"token": np.concatenate(tokens), "key": np.concatenate(keys)})
+                    token = np.concatenate(tokens)
+                    spread = [many.get(x, 1) for x in (token & (COUNTERS - 1)).tolist()] if many else 1
+                    yield pd.DataFrame({"token": token, "key": np.concatenate(keys), "parts": spread})
+
+    return docs.select("text").where("text is not null").mapInPandas(one, "token long, key long, parts int")
+
+
+def matrix_of(rows: DataFrame) -> DataFrame:
+    """token, key, holder of the shingles that several sets hold, holder being the smallest of them. No task sees all holders of a frequent shingle."""
+    part = F.pmod(F.xxhash64("key"), F.col("parts"))
+    w = Window.partitionBy("token", "part")
+    seen = rows.withColumn("part", part).withColumn("holder", F.min("key").over(w)).withColumn("last", F.max("key").over(w))
+    seen = staged(seen.where("holder < last or parts > 1").distinct(), "seen")
+    wide = seen.where("parts > 1")
+    ends = wide.groupBy("token").agg(F.min("holder").alias("holder"), F.max("last").alias("last")).where("holder < last").select("token", "holder")
+    few = seen.where("parts = 1").select("token", "key", "holder")
+    out = staged(few.unionByName(wide.select("token", "key").join(ends, "token").select("token", "key", "holder")), "matrix")
+    dropped(seen)
+    return out
+
 
-    return docs.select("text").where("text is not null").mapInPandas(one, "token long, key long")
+def _folded(bits: Column) -> Column:
+    half = (F.size(bits) / 2).cast("int")
+    return F.zip_with(F.slice(bits, 1, half), F.slice(bits, half + 1, half), lambda a, b: a.bitwiseOR(b))
 
 
-def bodies_of(docs: DataFrame, keys: DataFrame, summary: DataFrame, k: int) -> DataFrame:
-    """key, body (a compressed text with that set) of the wanted keys; a text is less to move than its shingles.
+def overlap_bound(n: Column, bits: Column, union: Column) -> Column:
+    """No set within the union shares more tokens than this with a set of n tokens; null if their bitmaps are too unlike to tell."""
+    q, u = F.size(bits), F.size(union)
+    own = F.when(q == 2 * u, _folded(bits)).otherwise(bits)
+    theirs = F.when(u == 2 * q, _folded(union)).otherwise(union)
+    missing = F.aggregate(F.zip_with(own, theirs, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))), F.lit(0), lambda s, x: s + x)
+    return F.when((q == u) | (q == 2 * u) | (u == 2 * q), n - missing)
+
+
+def qualifying(found: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of found (key, target) the pairs whose bound reaches the threshold. members: target, member; sets: key, n, bits."""
+    words = members.join(sets, members["member"] == sets["key"]).select("target", F.posexplode("bits").alias("at", "word"))
+    unions = words.groupBy("target", "at").agg(F.bit_or("word").alias("word"))
+    unions = unions.groupBy("target").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("tokens"))
+    bound = overlap_bound(F.col("n"), F.col("bits"), F.col("tokens"))
+    asked = found.join(sets, "key").join(unions, "target")
+    return asked.where(F.coalesce(100 * bound >= percent * F.col("n"), F.lit(True))).select("key", "target")
+
+
+def bodies_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """key, body (a compressed text with that set) of the wanted keys (key, text_hash); a text is less to move than its shingles.
 
     Texts that cannot be wanted are left out by a bitmap of fixed size before anything moves."""
-    wanted = summary.join(keys, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id"))  # ids by which a text is found again
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24))
+    bit = F.pmod(F.col("text_hash"), F.lit(1 << 24))
     maps = wanted.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("m")).collect()  # 512 rows of 4 KiB; bits count from 1
     bits = np.zeros((1 << 24) // 8, np.uint8).reshape(-1, 4096)
     for r in maps:
@@ -189,60 +256,70 @@ def bodies_of(docs: DataFrame, keys: DataFrame, summary: DataFrame, k: int) -> D
         done: set[int] = set()
         for pdf in batches:
             bit = pdf["bit"].to_numpy()
-            texts = pdf["text"][(shared.value[bit >> 3] >> (bit & 7)) & 1 == 1].tolist()
+            there = (shared.value[bit >> 3] >> (bit & 7)) & 1 == 1
+            texts, hashes = pdf["text"][there].tolist(), pdf["text_hash"][there].tolist()
             for a, b in slices(texts):
                 raw, found = _encoded(texts[a:b]), []
-                for t, s in zip(raw, shingle_sets(raw, k), strict=True):
-                    if len(s) and (key := set_key(s)) not in done:
-                        done.add(key)
-                        found.append((key, zlib.compress(t, 3)))
+                for t, h, s in zip(raw, hashes[a:b], shingle_sets(raw, k), strict=True):
+                    if len(s) and h not in done:
+                        done.add(h)
+                        found.append((set_key(s), h, zlib.compress(t, 6)))
                 if found:
-                    yield pd.DataFrame(found, columns=["key", "body"])
+                    yield pd.DataFrame(found, columns=["key", "text_hash", "body"])
 
-    read = docs.where("text is not null").select("text", bit.alias("bit")).mapInPandas(one, "key long, body binary")
-    rows = read.join(keys, "key", "left_semi")
-    return staged(rows.withColumn("_k", F.row_number().over(Window.partitionBy("key").orderBy("key"))).where("_k = 1").drop("_k"), "bodies")
+    read = docs.where("text is not null").withColumn("text_hash", F.xxhash64("text")).select("text", "text_hash", bit.alias("bit")).mapInPandas(one, "key long, text_hash long, body binary")
+    return read.withColumn("_k", F.row_number().over(Window.partitionBy("key").orderBy("text_hash"))).where("_k = 1").select("key", "body")
 
 
-def verified(queries: DataFrame, members: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
-    """queries: key, target; members: target, member. Links a, b that connect every key with all members of its target that are similar
+def verified(docs: DataFrame, roles: DataFrame, summary: DataFrame, k: int, percent: int) -> DataFrame:
+    """roles: target, key, n, asks, held. Links a, b that connect every key that asks with all that the target holds which are similar
     enough; what such links of the same task connect already is not linked again."""
-    sizes = queries.groupBy("target").agg(F.count(F.lit(1)).alias("qs")).join(members.groupBy("target").agg(F.count(F.lit(1)).alias("ms")), "target")
-    sizes = sizes.select("target", F.ceil(F.col("qs") / MEET).cast("int").alias("q"), F.ceil(F.col("ms") / MEET).cast("int").alias("m"))
-    sizes = staged(sizes, "sizes")
-    pools = max(1, sizes.count() // 64)
+    block = lambda role: F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col(role), F.col("n")).otherwise(0)) / MEET)).cast("int")
+    sizes = staged(roles.groupBy("target").agg(block("asks").alias("q"), block("held").alias("m"), F.sum("n").alias("n")), "sizes")
+    single = (F.col("q") == 1) & (F.col("m") == 1)
+    pools = max(1, (sizes.where(single).agg(F.sum("n")).first()[0] or 0) // (2 * MEET))
     # small targets share tasks; a large one has a task for each block of queries and block of members
-    pool = F.when((F.col("q") == 1) & (F.col("m") == 1), F.pmod(F.xxhash64("target"), F.lit(pools))).otherwise(F.col("target"))
-    asked = queries.join(sizes, "target").join(bodies, "key").select(
-        pool.alias("pool"), F.when((F.col("q") == 1) & (F.col("m") == 1), -1).otherwise(F.pmod(F.xxhash64("key"), F.col("q"))).alias("qb"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("mb"), "target", "key", "body")
-    held = members.join(sizes, "target").join(bodies.select(F.col("key").alias("member"), "body"), "member").select(
-        pool.alias("pool"), F.explode(F.when((F.col("q") == 1) & (F.col("m") == 1), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("q") - 1))).alias("qb"), F.pmod(F.xxhash64("member"), F.col("m")).alias("mb"), "target", "member", "body")
-    # both sides may stem from the same table: columns get identities of their own
-    asked, held = (x.select(*(F.col(c).cast("long").alias(c) if c in ("qb", "mb") else F.col(c).alias(c) for c in x.columns)) for x in (asked, held))
+    pool = F.when(single, F.pmod(F.xxhash64("target"), F.lit(pools))).otherwise(F.col("target"))
+    dealt = roles.drop("n").join(sizes.drop("n"), "target").withColumn("pool", pool).withColumn("single", single)
+    dealt = dealt.withColumn("x", F.pmod(F.xxhash64("key"), F.col("q"))).withColumn("y", F.pmod(F.xxhash64(F.lit(1), "key"), F.col("m")))
+    rows_of = lambda n, make: F.transform(F.sequence(F.lit(0), n - 1), make)
+    none = F.array().cast("array<struct<x:bigint,y:bigint>>")
+    at = lambda x, y: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"))
+    places = F.concat(
+        F.when(F.col("asks"), rows_of(F.col("m"), lambda j: at(F.col("x"), j))).otherwise(none),
+        F.when(F.col("held"), rows_of(F.col("q"), lambda i: at(i, F.col("y")))).otherwise(none),
+    )
+    routes = dealt.select("key", "target", "pool", "asks", "held", F.col("x").alias("own_x"), F.col("y").alias("own_y"), F.explode(F.array_distinct(places)).alias("at"))
+    routes = routes.select("key", "target", "pool", F.col("at.x").alias("x"), F.col("at.y").alias("y"), (F.col("asks") & (F.col("at.x") == F.col("own_x"))).alias("asks"), (F.col("held") & (F.col("at.y") == F.col("own_y"))).alias("held"))
+    wanted = summary.where("key is not null").select("key", "text_hash").join(roles.select("key").distinct(), "key", "left_semi")
+    moved = bodies_of(docs, wanted, k).join(routes, "key")
 
     def opened(column: pd.Series) -> list[np.ndarray]:
         texts = [zlib.decompress(x) for x in column]
         return [s for a, b in slices(texts) for s in shingle_sets(texts[a:b], k)]
 
-    def meet(qs: pd.DataFrame, ms: pd.DataFrame) -> pd.DataFrame:
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         links = []
-        groups = {t: g for t, g in ms.groupby("target")}
-        for target, mine in qs.groupby("target"):
-            g = groups.get(target)
-            if g is None:
+        for _, rows in pdf.groupby("target"):
+            held_here = rows["held"].to_numpy()
+            asks = np.flatnonzero(rows["asks"].to_numpy())
+            if not held_here.any() or not len(asks):
                 continue
-            ids, sets_ = g["member"].to_numpy(), opened(g["body"])
-            size = np.array([len(s) for s in sets_])
-            flat, owner = np.concatenate(sets_), np.repeat(np.arange(len(sets_)), size)
+            sets_, keys = opened(rows["body"]), rows["key"].to_numpy()
+            of = np.flatnonzero(held_here)
+            ids = keys[of]
+            size = np.array([len(sets_[i]) for i in of])
+            flat, owner = np.concatenate([sets_[i] for i in of]), np.repeat(np.arange(len(of)), size)
             by = np.argsort(flat, kind="stable")
             flat, owner = flat[by], owner[by]
             union, first, held = np.unique(flat, return_index=True, return_counts=True)
             root = np.arange(len(ids))  # of each member, the first that it is connected with here
             place = {m: i for i, m in enumerate(ids.tolist())}
-            for key, q in zip(mine["key"].to_numpy(), opened(mine["body"]), strict=True):
+            for i in asks.tolist():
+                key, q = keys[i], sets_[i]
                 at = np.minimum(np.searchsorted(union, q), len(union) - 1)
                 at = at[union[at] == q]
-                if len(at) < needed(len(q), percent):  # the bound of the group: none of it can be near enough
+                if len(at) < needed(len(q), percent):  # the bound of this block's union
                     continue
                 span = held[at]
                 hit = np.repeat(first[at] - np.cumsum(span) + span, span) + np.arange(span.sum())
@@ -262,44 +339,70 @@ def verified(queries: DataFrame, members: DataFrame, bodies: DataFrame, k: int,
                     root[np.isin(root, roots)] = roots.min()
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
-    keys = ["pool", "qb", "mb"]
-    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(meet, "a long, b long")
+    out = staged(moved.groupBy("pool", "x", "y").applyInPandas(meet, "a long, b long"), "links")
+    dropped(sizes)
+    return out
 
 
-def shared_tokens(rows: DataFrame, column: str) -> DataFrame:
-    """Postings whose token has at least two values of a column."""
-    w = Window.partitionBy("token")
-    return rows.withColumn("_lo", F.min(column).over(w)).withColumn("_hi", F.max(column).over(w)).where("_lo < _hi").drop("_hi")
+def _without_connected(docs: DataFrame, roles: DataFrame, summary: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Groups of more than a block: their members are compared with LEADERS of them first; of what is then connected the largest part
+    needs not ask its own group, as its links there are known. Returns the roles that are left and the links so found."""
+    own = F.col("held") & F.col("asks")
+    large = staged(roles.where("held").groupBy("target").agg(F.sum("n").alias("n"), F.count(F.when(own, 1)).alias("both")).where((F.col("n") > MEET) & (F.col("both") > LEADERS)).select("target"), "large")
+    if large.isEmpty():
+        return roles, None
+    inside = roles.where(own).join(large, "target", "left_semi")
+    order = Window.partitionBy("target").orderBy(F.xxhash64(F.lit(3), "key"), "key")
+    first = inside.select("target", "key").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= LEADERS).select("target", F.col("key").alias("_leader"))
+    asked = inside.join(first, (inside["target"] == first["target"]) & (inside["key"] == first["_leader"]), "left")
+    links = verified(docs, asked.select(inside["target"], "key", "n", F.lit(True).alias("asks"), F.col("_leader").isNotNull().alias("held")), summary, k, percent)
+    parts = inside.select("target", "key").join(connected(links).withColumnRenamed("node", "key"), "key")
+    counts = parts.groupBy("target", "component").agg(F.count(F.lit(1)).alias("size"))
+    most = counts.groupBy("target").agg(F.max_by("component", F.struct("size", "component")).alias("component"))
+    known = parts.join(most, ["target", "component"]).select("target", "key", F.lit(True).alias("_known"))
+    left = roles.join(known, ["target", "key"], "left").select("target", "key", "n", (F.col("asks") & F.col("_known").isNull()).alias("asks"), "held")
+    return staged(left, "roles"), links
 
 
 def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of `docs` (doc_id, text)."""
     summary = summarise(docs, k)
-    counts = common_order(summary)
-    rows = summary.where("block is null")
-    # matrix of shingles and sets: only shingles that several sets hold can link
-    matrix = staged(shared_tokens(postings(docs, counts, k, percent), "key").withColumnRenamed("_lo", "holder").distinct(), "matrix")
-    # groups of similar sets: a set joins the first holder that it meets in most of its rare shingles
+    rows = summary.where("block is null").select("doc_id", "n", "key")
+    matrix = matrix_of(postings(docs, common_order(summary), k, percent))
+    # groups of similar sets: a set joins the first holder that it meets in most of its rare shingles, and sets of its bitmap's width
     stars = matrix.where("key != holder").groupBy("key", "holder").agg(F.count(F.lit(1)).alias("met"))
-    best = stars.groupBy("key").agg(F.max_by("holder", F.struct("met", -F.col("holder"))).alias("group"))
-    sizes = rows.where("key is not null").groupBy("key").agg(F.max("n").alias("n"))
-    grouped = staged(matrix.select("key").distinct().join(best, "key", "left").join(sizes, "key").select("key", "n", F.coalesce("group", "key").alias("group")), "groups")
+    best = stars.groupBy("key").agg(F.max_by("holder", F.struct("met", -F.col("holder"))).alias("star"))
+    classes = summary.where("key is not null").groupBy("key").agg(F.max("n").alias("n"), F.min("text_hash").alias("text_hash"))
+    width = F.ceil(F.log2(2 * F.col("n")))
+    grouped = matrix.select("key").distinct().join(best, "key", "left").join(classes, "key")
+    grouped = staged(grouped.select("key", "n", "text_hash", F.xxhash64(F.coalesce("star", "key"), F.greatest(F.lit(6), width)).alias("group")), "groups")
     # matrix of shingles and groups
-    labelled = staged(matrix.select("token", "key").join(grouped, "key"), "labelled")
+    labelled = staged(matrix.select("token", "key").join(grouped.drop("text_hash"), "key"), "labelled")
+    dropped(matrix)
     spans = labelled.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("held"))
     fits = (100 * F.col("q.n") >= percent * F.col("g.least")) & (100 * F.col("g.most") >= percent * F.col("q.n"))
     # of two groups the smaller asks; alone in its own group a set has nobody to meet there
     asks = (F.col("q.group") < F.col("g.group")) | (F.col("q.group") == F.col("g.group")) & (F.col("g.held") > 1)
     found = labelled.alias("q").join(spans.alias("g"), (F.col("q.token") == F.col("g.token")) & asks & fits).select("q.key", F.col("g.group").alias("target")).distinct()
     found = staged(found, "candidates")
+    dropped(labelled)
     members = grouped.select(F.col("group").alias("target"), F.col("key").alias("member")).join(found.select("target").distinct(), "target", "left_semi")
-    bodies = bodies_of(docs, found.select("key").union(members.select(F.col("member").alias("key"))).distinct(), summary, k)
-    links = staged(verified(found, members, bodies, k, percent), "links")
-    final = connected(links)
+    sets = grouped.select("key", "n").join(summary.where("bits is not null").select("key", "bits"), "key").dropDuplicates(["key"])
+    near = staged(qualifying(found, members, sets, percent), "qualifying")
+    held = members.join(near.select("target").distinct(), "target", "left_semi").select("target", F.col("member").alias("key"), F.lit(False).alias("asks"), F.lit(True).alias("held"))
+    roles = near.select("target", "key", F.lit(True).alias("asks"), F.lit(False).alias("held")).unionByName(held)
+    roles = roles.groupBy("target", "key").agg(F.max("asks").alias("asks"), F.max("held").alias("held")).join(grouped.select("key", "n"), "key")
+    roles = staged(roles.select("target", "key", "n", "asks", "held"), "roles")
+    texts = grouped.select("key", "text_hash")
+    roles, known = _without_connected(docs, roles, texts, k, percent)
+    links = verified(docs, roles, texts, k, percent)
+    final = connected(links if known is None else links.unionByName(known))
     # from sets to documents
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first")).join(final.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("component", "key").alias("label"))
-    smallest = classes.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_key = classes.join(smallest, "label").select("key", "component_id")
+    firsts = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first")).join(final.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("component", "key").alias("label"))
+    smallest = firsts.groupBy("label").agg(F.min("first").alias("component_id"))
+    by_key = firsts.join(smallest, "label").select("key", "component_id")
+    for table in (found, near, roles, grouped, links):
+        dropped(table)
     out = rows.join(by_key, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
