@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
+from math import isqrt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which driver and executors share.
 
-    Only where neither that setting nor a checkpoint folder exists (tests on one machine) is a temporary one made."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if not current:
+    Where neither that setting nor a checkpoint folder exists, a session on one machine (tests) gets a temporary one; on a cluster,
+    whose machines would each have their own, that is an error. A path without a scheme is one of the cluster's default file system."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lintel-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
+        named = spark.sparkContext.getCheckpointDir()
+    path = spark._jvm.org.apache.hadoop.fs.Path(named)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -35,6 +39,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """`name`, led by as many underscores as make it unlike every column; Spark does not tell upper from lower case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def columns_of(df: DataFrame, *without: str) -> list[Column]:
+    """All columns as they are, names with dots included, but those in `without`."""
+    away = {c.lower() for c in without}
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in away]
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a staged table that no later plan reads."""
     spark = df.sparkSession
@@ -46,10 +64,11 @@ def dropped(df: DataFrame) -> None:
 def rank_within(df: DataFrame, keys: list[str], order: list[str], into: str = "rank", rows: int | None = None, per_bucket: int = 4096) -> DataFrame:
     """Gapless 0-based ranks within each key, in no particular order, without sending a key's rows to one task.
 
-    Rows are dealt by a hash of `order` into buckets of about `per_bucket` rows; a window numbers each (key, bucket), and
-    offsets, one row per (key, bucket), come from a prefix sum over the pre-aggregated counts."""
+    Rows are dealt by a hash of `order` into buckets of about `per_bucket` rows (the root of all rows, if that is more, so that
+    buckets and their number grow alike); a window numbers each (key, bucket), and offsets, one row per (key, bucket), come from a
+    prefix sum over the pre-aggregated counts."""
     rows = df.count() if rows is None else rows
-    buckets = max(1, -(-rows // per_bucket))
+    buckets = max(1, -(-rows // max(per_bucket, isqrt(rows))))
     dealt = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     local = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)) - 1)
     counts = dealt.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))

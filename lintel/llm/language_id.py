@@ -11,7 +11,8 @@ The models are fitted on a bounded sample of labelled rows: `per_language` docum
 their ids. Every document is scored whole.
 
 Defined results: null texts and texts without a letter are `und`, score 0 and rejected; ids may repeat or be null (then not held
-out, and not learnt from); with no labelled rows all are `und`; an empty table gives no rows; other columns are ignored.
+out, and not learnt from); with no labelled rows all are `und`; an empty table gives no rows; other columns are kept or, if named like
+a result, replaced.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.llm.words import WordMemo, slices, sums, word_lists
+from lintel.llm.common import columns_of, unused
+from lintel.llm.words import WordMemo, letters, slices, sums, word_lists
 
 ORDER = 5
 UND = "und"
@@ -110,7 +112,8 @@ class LanguageModel:
         return out
 
     def word_costs(self, words: list[str]) -> np.ndarray:
-        """For each word: characters, then nats in each language; zeros for what is no word."""
+        """For each word: characters, then nats in each language; zeros for what has no letter."""
+        words = list(map(letters, words))
         number, since, hashes, contexts = grams(words)
         start = float(self._find(*self.backs[0], np.zeros(1, np.uint64))[0].max()) - np.log(self.alphabet)
         logp = self._find(*self.probs[0], hashes[0])
@@ -124,7 +127,7 @@ class LanguageModel:
         out = np.empty((len(words), 1 + len(self.names)), np.float32)
         out[:, 0] = np.diff(np.concatenate([ends, [len(number)]]))
         out[:, 1:] = -np.add.reduceat(logp, ends, axis=0)
-        out[[not w.isalpha() for w in words]] = 0
+        out[[not w for w in words]] = 0
         return out
 
     def entropies(self, texts: list[str | None], memo: WordMemo) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,25 +186,35 @@ def id_class(n: int, id_col: str = "doc_id") -> Column:
 def sample_labelled(docs: DataFrame, label: str, per_label: int, extra: str | None = None, labels: DataFrame | None = None) -> pd.DataFrame:
     """text and label (and one more column) of at most `per_label` documents of each label, those with the smallest hashes of their ids.
 
-    The label is a column of `docs`, or of `labels` (doc_id and label). Ids are picked first, without texts; the texts of the picked
-    ids are then read from `docs`, so that no text is moved but theirs."""
+    The label is a column of `docs`, or of `labels` (doc_id and label). Ids are picked first, without texts: a bound on the hash, set
+    for each label by its number of ids, leaves about twice as many as are wanted, whatever the number of rows. The texts of the picked
+    ids are then read from `docs`, so that no text is moved but theirs; of rows with the same id the one with the smallest hash counts."""
     order = F.xxhash64(F.lit(11), "doc_id")
     ids = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     ids = ids.select("doc_id", F.col(label).alias("_label")) if labels is None else ids.select("doc_id").join(labels.select("doc_id", F.col(label).alias("_label")), "doc_id")
     ids = ids.where(F.col("_label").isNotNull()).select("doc_id", "_label", order.alias("_h"))
-    ranked = ids.withColumn("_k", F.row_number().over(Window.partitionBy("_label").orderBy("_h", "doc_id"))).where(F.col("_k") <= per_label)
-    picked = [(r["doc_id"], r["_label"]) for r in ranked.collect()]  # at most per_label rows of each label
     empty = pd.DataFrame({"text": [], "label": []} | ({extra: []} if extra else {}))
-    if not picked:
+    counts = ids.groupBy("_label").agg(F.approx_count_distinct("doc_id").alias("n")).collect()  # one row a label
+    if not counts:
         return empty
     kind = (docs if labels is None else labels).schema[label].dataType.simpleString()
-    keep = docs.sparkSession.createDataFrame(sorted(set(picked)), f"doc_id long, _label {kind}")
+    spark = docs.sparkSession
+    bounds = [(r["_label"], min(2**63 - 1, int((2 * per_label + 100) / r["n"] * 2**64) - 2**63)) for r in counts]
+    bounds = F.broadcast(spark.createDataFrame(bounds, f"_label {kind}, _most long"))
+    near = ids.join(bounds, "_label").where(F.col("_h") <= F.col("_most")).select("_label", "_h", "doc_id").distinct()
+    picked: dict = {}
+    for r in sorted(near.collect(), key=lambda r: (r["_h"], r["doc_id"])):  # about 2 * per_label rows of each label
+        of = picked.setdefault(r["_label"], [])
+        if len(of) < per_label:
+            of.append(r["doc_id"])
+    keep = spark.createDataFrame([(i, x) for x, of in picked.items() for i in of], f"doc_id long, _label {kind}")
     more = [F.col(extra).alias("_extra")] if extra else []
     own = [F.col(label).alias("_label")] if labels is None else []
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text", *own, *more).join(F.broadcast(keep), ["doc_id", "_label"] if own else ["doc_id"])
-    got = rows.limit(len(picked)).collect()
-    got.sort(key=lambda r: (r["doc_id"], r["text"], r["_label"]))
-    return pd.DataFrame({"text": [r["text"] for r in got], "label": [r["_label"] for r in got]} | ({extra: [r["_extra"] for r in got]} if extra else {}))
+    first = F.struct(F.xxhash64("text"), "text")
+    got = rows.groupBy("doc_id", "_label").agg(F.min_by(F.struct("text", *(["_extra"] if extra else [])), first).alias("row")).collect()  # as many as were picked
+    got.sort(key=lambda r: (r["doc_id"], r["row"]["text"], r["_label"]))
+    return pd.DataFrame({"text": [r["row"]["text"] for r in got], "label": [r["_label"] for r in got]} | ({extra: [r["row"]["_extra"] for r in got]} if extra else {}))
 
 
 def fit(sample: pd.DataFrame, hold: int = 5) -> LanguageModel | None:
@@ -211,7 +224,7 @@ def fit(sample: pd.DataFrame, hold: int = 5) -> LanguageModel | None:
     for lang, group in sample.groupby("label"):
         texts = group["text"].tolist()
         apart = [t for i, t in enumerate(texts) if len(texts) >= 2 * hold and i % hold == 0]
-        counts[lang] = Counter(w for i, t in enumerate(texts) if len(texts) < 2 * hold or i % hold for w in word_lists([t])[0] if w.isalpha())
+        counts[lang] = Counter(x for i, t in enumerate(texts) if len(texts) < 2 * hold or i % hold for w in word_lists([t])[0] if (x := letters(w)))
         kept[0].extend(apart)
         kept[1].extend([lang] * len(apart))
     counts = {k: v for k, v in counts.items() if v}
@@ -228,11 +241,15 @@ _memo: list = [None, None]
 
 
 def identify(docs: DataFrame, train: DataFrame | None = None, per_language: int = 800, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """`docs` with lang_pred, score, rejected and entropy, names led by `prefix`; learnt from `train` (doc_id, text, lang; `docs` itself if not given)."""
+    """`docs` with lang_pred, score, rejected and entropy, names led by `prefix`; columns that bore these names are replaced.
+
+    Learnt from `train` (doc_id, text, lang; `docs` itself if not given)."""
     model = fit(sample_labelled(docs if train is None else train, "lang", per_language))
+    fields = [c.split()[0] for c in PREDICTED.split(", ")]
+    kept = columns_of(docs, *(f"{prefix}{c}" for c in fields))
     if model is None:
         none = {"lang_pred": F.lit(UND), "score": F.lit(0.0), "rejected": F.lit(True), "entropy": F.lit(None).cast("double")}
-        return docs.select("*", *(v.alias(f"{prefix}{k}") for k, v in none.items()))
+        return docs.select(*kept, *(v.alias(f"{prefix}{k}") for k, v in none.items()))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(PREDICTED)
@@ -244,8 +261,8 @@ def identify(docs: DataFrame, train: DataFrame | None = None, per_language: int
             parts = [shared.value.predict(texts[a:b], _memo[1]) for a, b in slices(texts)]
             yield pd.concat(parts, ignore_index=True) if parts else shared.value.predict([], _memo[1])
 
-    fields = [c.split()[0] for c in PREDICTED.split(", ")]
-    return docs.withColumn("_p", predict(F.col(text_col))).select(*docs.columns, *(F.col(f"_p.{c}").alias(f"{prefix}{c}") for c in fields))
+    found = unused(docs.columns, "_found")
+    return docs.withColumn(found, predict(F.col(f"`{text_col}`"))).select(*kept, *(F.col(f"{found}.{c}").alias(f"{prefix}{c}") for c in fields))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-#: Runs of letters (and of rare number signs, which learners skip).
+
+#: Runs of letters, and of signs of numbers that are not digits (superscripts, fractions, Roman numerals): see `letters`.
 LETTERS = re.compile(r"[^\W\d_]+")
 SLICE_CHARS, MEMO = 1 << 20, 400_000
 
@@ -57,7 +58,15 @@ def word_lists(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     return [w for s in split for w in s], np.cumsum([0, *map(len, split)])
 
 
+def letters(word: str) -> str:
+    """A word without the signs that are no letters."""
+    return word if word.isalpha() else "".join(filter(str.isalpha, word))
+
+
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sums of values between bounds; 0 where there are none."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
-    return total[bounds[1:]] - total[bounds[:-1]]
+    """Sums of values between bounds, 0 where there are none; what a text's neighbours hold does not change its sum's last bits."""
+    out = np.zeros((len(bounds) - 1, *values.shape[1:]))
+    some = np.flatnonzero(np.diff(bounds))
+    if len(some):
+        out[some] = np.add.reduceat(values.astype(np.float64), bounds[:-1][some], axis=0)
+    return out
