@@ -65,7 +65,7 @@ class ChunkTokenizer:
         for w in WORDS.findall(s.lower()):
             ids = self.words.get(w)
             if ids is None:
-                spelled = w if w.isascii() else "".join([BYTE_LETTERS[b] for b in w.encode()])
+                spelled = w if w.isascii() and w.isprintable() else "".join([BYTE_LETTERS[b] for b in w.encode()])
                 ids = self.words[w] = [t.id for t in self.tokenizer.model.tokenize(spelled)]
             out += ids
         return out
