@@ -7,7 +7,9 @@ only if the task that wrote them committed its rows of the manifest; a lost or r
 
 Reading: a member (or, uncompressed, a record) must inflate with a right checksum, begin with a version line, have the length
 its header gives and a block with the digest its header gives. If a check fails, the reader looks for the next gzip member that
-starts with a version line (or the next version line), goes on from there and logs the bytes between as a quarantined gap.
+starts with a version line (or the next version line), goes on from there and logs the bytes between as a quarantined gap. Whole
+records that a broken member holds before its damage are returned. Behind a plain record whose block is damaged but ends where its
+header says, reading goes on there, so that archives quoted in a payload are not taken for records.
 
 Defined results: a null html is an empty payload; a null page_id gives a response unless another page has the same payload;
 pages with the same id and payload are responses both; an empty table gives no archives and no rows; other columns are ignored.
@@ -68,7 +70,11 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to
 
 
 class Damaged(ValueError):
-    pass
+    """A check failed. `resume`: where the damaged record's own header says that it ends, if it does; `whole`: what was inflated before."""
+
+    def __init__(self, reason: str, resume: int | None = None, whole: bytes = b""):
+        super().__init__(reason)
+        self.resume, self.whole = resume, whole
 
 
 def _record(raw: bytes, at: int) -> tuple[dict, int]:
@@ -91,13 +97,15 @@ def _record(raw: bytes, at: int) -> tuple[dict, int]:
     if raw[stop : stop + 4] != b"\r\n\r\n":
         raise Damaged("length does not match")
     block = raw[start:stop]
+    # a block that is damaged but as long as its header says may quote archives: the next record is behind it
+    after = stop + 4 if raw[stop + 4 : stop + 9] in (b"", b"WARC/") else None
     if fields.get("warc-block-digest", "").removeprefix("sha1:") not in ("", digest32(block)):
-        raise Damaged("block digest does not match")
+        raise Damaged("block digest does not match", after)
     head, _, payload = block.partition(b"\r\n\r\n")
     kind, declared = fields.get("warc-type", ""), fields.get("warc-payload-digest", "").removeprefix("sha1:")
     length = re.search(rb"(?i)\r\ncontent-length: *(\d+)", head)
     if kind == "response" and declared not in ("", digest32(payload)):
-        raise Damaged("payload digest does not match")
+        raise Damaged("payload digest does not match", after)
     ident = lambda name: int(m[1]) if (m := re.search(r"urn:x-page:(-?\d+)", fields.get(name, ""))) else None
     return {
         "record_type": kind, "page_id": ident("warc-record-id"), "url": fields.get("warc-target-uri"),
@@ -106,16 +114,48 @@ def _record(raw: bytes, at: int) -> tuple[dict, int]:
     }, stop + 4
 
 
+def _up_to_damage(view: memoryview, at: int, step: int, before: memoryview) -> bytes:
+    """What the bytes of the failed step at `at` inflate to before the damage, found by feeding them in ever smaller steps."""
+    z = zlib.decompressobj(31)
+    z.decompress(before)
+    out, end = [], min(at + step, len(view))
+    while at < end:
+        size = max(1, step)
+        trial = z.copy()
+        try:
+            out.append(trial.decompress(view[at : min(at + size, end)]))
+            z, at = trial, at + size
+        except zlib.error:
+            if size == 1:
+                break
+            step = size // 2
+    return b"".join(out)
+
+
+def _whole_records(raw: bytes) -> Iterator[dict]:
+    """The records of what a broken member inflated to, as far as headers lead."""
+    at = 0
+    while at < len(raw):
+        try:
+            fields, at = _record(raw, at)
+        except Damaged as e:
+            if e.resume is None:
+                return
+            at = e.resume
+            continue
+        yield fields
+
+
 def _member(data: bytes, at: int) -> tuple[bytes, int]:
     """The gzip member at `at`, inflated, and where it ends; fed in steps, as what follows a member is handed back as a copy."""
-    z, raw, view, step = zlib.decompressobj(31), [], memoryview(data), 1 << 14
+    z, raw, view, step, begin = zlib.decompressobj(31), [], memoryview(data), 1 << 14, at
     while not z.eof:
         if at >= len(data):
-            raise Damaged("member cut off")
+            raise Damaged("member cut off", whole=b"".join(raw))
         try:
             raw.append(z.decompress(view[at : at + step]))
         except zlib.error as e:
-            raise Damaged(str(e)) from None
+            raise Damaged(str(e), whole=b"".join(raw) + _up_to_damage(view, at, step, view[begin:at])) from None
         at += step
     return b"".join(raw), min(at, len(data)) - len(z.unused_data)
 
@@ -153,9 +193,10 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
         except Damaged as e:
             if gap is None:
                 gap, reason = at, str(e)
-            for fields in found:  # whole records before the damage inside a member
+            for fields in found or _whole_records(e.whole):  # whole records before the damage inside a member
                 yield "record", at, 0, fields
-            at = _next_start(data, at + 1)
+            plain = data[at : at + 3] != MAGIC
+            at = e.resume if plain and e.resume is not None else _next_start(data, at + 1)
             continue
         if gap is not None:
             yield "gap", gap, at - gap, reason
@@ -171,20 +212,31 @@ def _store(uri: str):
     """A file system and a path in it, for any scheme that pyarrow knows; executors share what is behind it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if re.match(r"\w+:", uri) else (fs.LocalFileSystem(), uri)
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri)
 
 
 def with_roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, html, refers_to: null for responses."""
+    """page_id, url, html, refers_to: null for responses. Only digests of several pages are joined, so that pages move at most once, and
+    not at all if such digests are few enough for Spark to broadcast them."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
-    last = pages.select("page_id", F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("n")).where(F.col("n") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("last"))
+    sized = pages.select("page_id", F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("n")).where(F.col("n") >= min_bytes)
+    last = sized.groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("pages")).where("pages > 1").select("digest", "last")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("last")), F.col("last"))
     return rows.join(last, "digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """A folder with its scheme: one without is in the cluster's default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes: int = 32 << 20) -> DataFrame:
     """Write the archives; the manifest of those that count."""
+    folder = _qualified(pages.sparkSession, folder)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = _store(folder)
