@@ -6,6 +6,8 @@ replaced by their children, and leaves come out in the order of their promise. H
 `calibrate` of the queries the true neighbours are found by a blocked scan of all vectors, and visits are widened until the mean
 recall on them reaches `recall`.
 
+Leaves grow once there are more than most_leaves * leaf_size vectors; what a query visits grows with them from there on.
+
 Leaves are dealt out in runs of neighbouring leaves of about `block` vectors; larger ones, and more than `per_task` queries of a
 run, are split into several blocks, so a task's memory is bounded whatever the data. Equal vectors are one candidate that keeps its
 k + 1 smallest ids, which is all that any answer can hold of them; equal queries are searched once.
@@ -109,17 +111,22 @@ def _best(rows: DataFrame, key: str, k: int) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "cid"))).where(F.col("_k") <= k).drop("_k")
 
 
-def _top(scores: np.ndarray, k: int) -> np.ndarray:
-    return np.argpartition(-scores, k - 1, axis=1)[:, :k] if scores.shape[1] > k else np.tile(np.arange(scores.shape[1]), (len(scores), 1))
-
-
-def _found(q_ids: np.ndarray, q: np.ndarray, cids: np.ndarray, x: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best columns of each row of scores, with scores computed anew, each pair alike wherever it is met."""
-    top = _top(scores, k)
-    row, col = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel()
-    ok = np.isfinite(scores[row, col])
-    row, col = row[ok], col[ok]
-    return pd.DataFrame({"qid": q_ids[row], "cid": cids[col], "score": (q[row] * x[col]).sum(1)})
+def _found(q_ids: np.ndarray, q: np.ndarray, cids: np.ndarray, x: np.ndarray, scores: np.ndarray, k: int, pairs: int = 1 << 20) -> pd.DataFrame:
+    """The k best columns of each row of scores, ties to the smaller id; scores are computed anew, each pair alike wherever it is met."""
+    least = np.full(len(q), -np.inf)
+    if scores.shape[1] > k:
+        # all that may tie with the k-th place, whatever the product of blocks rounds
+        least = np.partition(scores, -k, axis=1)[:, -k] - 1e-9 * np.sqrt((q * q).sum(1) * (x * x).sum(1).max())
+    out, step = [], max(1, pairs // max(1, scores.shape[1]))
+    for a in range(0, len(q), step):
+        row, col = np.nonzero((scores[a : a + step] >= least[a : a + step, None]) & np.isfinite(scores[a : a + step]))
+        row += a
+        exact = np.concatenate([np.zeros(0), *((q[row[i : i + 65536]] * x[col[i : i + 65536]]).sum(1) for i in range(0, len(row), 65536))])
+        order = np.lexsort((cids[col], -exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append(pd.DataFrame({"qid": q_ids[row[first]], "cid": cids[col[first]], "score": exact[first]}))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"qid": [], "cid": [], "score": []}).astype({"qid": "int64", "cid": "int64"})
 
 
 def true_neighbours(classes: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
@@ -137,8 +144,8 @@ def true_neighbours(classes: DataFrame, queries: pd.DataFrame, k: int) -> DataFr
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.97, sample: int = 20_000, calibrate: int = 200,
-    leaf_size: int = 256, most_leaves: int = 4096, block: int = 8192, per_task: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding",
+    vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.97, sample: int = 100_000, calibrate: int = 200,
+    leaf_size: int = 256, most_leaves: int = 16384, block: int = 8192, per_task: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score for every usable row of `queries` (rows of the same kind as `vectors`)."""
     spark = vectors.sparkSession
@@ -162,16 +169,19 @@ def search(
     asked = usable(queries, id_col, vec_col).join(classes.select("vec", "cid"), "vec")
     asked = staged(asked.select(F.col("id").alias("query_id"), "cid").distinct(), "asked")
     starts = classes.join(asked.select("cid").distinct(), "cid", "left_semi").select("cid", "vec", "leaf")
-    tested = starts.orderBy(F.xxhash64(F.lit(9), "cid"), "cid").limit(calibrate).toPandas()
+    tested = starts.orderBy(F.xxhash64(F.lit(9), "cid"), "cid").limit(calibrate).join(classes.select("cid", (F.size("ids") > 1).alias("shared")), "cid").toPandas()
     if not len(tested):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # the query's own vector is no neighbour, unless it has another id
+    alone = tested.loc[~tested["shared"], "cid"].tolist()
     truth = true_neighbours(classes, tested, min(k + 1, total)).toPandas()  # calibrate * (k + 1) rows
+    truth = truth[(truth["qid"] != truth["cid"]) | ~truth["qid"].isin(alone)].sort_values(["qid", "score"], ascending=[True, False], kind="stable").groupby("qid").head(k)
     place = {c: {leaf: i for i, leaf in enumerate(tree.value.order(v, tree.value.n_leaves))} for c, v in zip(tested["cid"], matrix(tested["vec"]), strict=True)}
-    needed = np.sort([place[q][leaf] + 1 for q, leaf in zip(truth["qid"], truth["leaf"], strict=True)])
+    needed = np.sort([place[q][leaf] + 1 for q, leaf in zip(truth["qid"], truth["leaf"], strict=True)] or [1])
     visits = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])
 
     # runs of leaves: about `block` vectors each, or one larger leaf split into parts
-    size = {r["leaf"]: r["n"] for r in classes.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # most_leaves rows
+    size = {r["leaf"]: r["n"] for r in classes.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most most_leaves rows
     run_of, parts, run, held = np.zeros(tree.value.n_leaves, np.int64), {}, 0, 0
     for leaf in range(tree.value.n_leaves):
         n = size.get(leaf, 0)
@@ -192,16 +202,14 @@ def search(
 
     trips = staged(starts.select("cid", "vec").mapInPandas(visit, f"qid long, vec {classes.schema['vec'].dataType.simpleString()}, run long, leaves array<long>"), "trips")
     callers = {r["run"]: -(-r["n"] // per_task) for r in trips.groupBy("run").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_runs = run + 1
-    m_parts = F.array(*[F.lit(parts.get(r, 1)) for r in range(n_runs)])
-    q_parts = F.array(*[F.lit(callers.get(r, 0)) for r in range(n_runs)])
-    runs = F.array(*[F.lit(int(r)) for r in run_of])
-    at = F.col("run").cast("int") + 1
-    members = classes.select("cid", "vec", "leaf", F.element_at(runs, F.col("leaf").cast("int") + 1).alias("run"))
-    members = members.where(F.element_at(q_parts, at) > 0).withColumn("m", F.pmod(F.xxhash64("cid"), F.element_at(m_parts, at)))
-    members = members.withColumn("q", F.explode(F.sequence(F.lit(0), F.element_at(q_parts, at) - 1)))
-    calls = trips.withColumn("q", F.pmod(F.xxhash64("qid"), F.element_at(q_parts, at)).cast("int")).withColumn("m", F.explode(F.sequence(F.lit(0), F.element_at(m_parts, at) - 1)))
-    members, calls = (x.withColumn("m", F.col("m").cast("int")).withColumn("run", F.col("run").cast("long")) for x in (members, calls))
+    # where each leaf, and each run, lies: at most most_leaves rows
+    layout = [(leaf, int(run_of[leaf]), parts[int(run_of[leaf])], callers[int(run_of[leaf])]) for leaf in range(tree.value.n_leaves) if int(run_of[leaf]) in callers]
+    of_leaf = F.broadcast(spark.createDataFrame(layout, "leaf long, run long, ms int, qs int"))
+    of_run = F.broadcast(spark.createDataFrame(sorted({x[1:] for x in layout}), "run long, ms int, qs int"))
+    block_of = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    members = classes.select("cid", "vec", "leaf").join(of_leaf, "leaf").withColumn("m", block_of("cid", "ms")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
+    calls = trips.join(of_run, "run").withColumn("q", block_of("qid", "qs")).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("ms") - 1)))
+    members, calls = members.select("cid", "vec", "leaf", "run", "q", "m"), calls.select("qid", "vec", "leaves", "run", "q", "m")
 
     def meet(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(xs):
