@@ -9,31 +9,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.llm.common import staged
+from lintel.llm.common import columns_of, staged, unused
 from lintel.llm.jaccard import similar_components
 from lintel.llm.language_id import identify
 from lintel.llm.packing import pack_documents
 from lintel.llm.toxicity import classify
 
 
+def _prefix(docs: DataFrame, *names: str) -> str:
+    """Underscores that make all names unlike every column."""
+    return max((unused(docs.columns, f"_{n}").removesuffix(n) for n in names), key=len)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; learnt from those that name theirs."""
-    found = identify(docs.select(*docs.columns, F.col("text").alias("_text")), train=docs, text_col="_text", prefix="_")
-    return found.where(~F.col("_rejected")).select(*docs.columns)
+    prefix = _prefix(docs, "lang_pred", "score", "rejected", "entropy")
+    return identify(docs, train=docs, prefix=prefix).where(~F.col(f"{prefix}rejected")).select(*columns_of(docs))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not toxic; learnt from the labelled ones among them."""
+    prefix = _prefix(docs, "toxicity", "toxic")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    found = classify(docs, docs.select("doc_id", "text", "lang"), labels, prefix="_")
-    return found.where(F.col("_toxic") == 0).select(*docs.columns)
+    return classify(docs, docs.select("doc_id", "text", "lang"), labels, prefix=prefix).where(F.col(f"{prefix}toxic") == 0).select(*columns_of(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id."""
-    first = similar_components(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    first_id, text = unused(docs.columns, "_id"), unused(docs.columns, "_text")
+    groups = similar_components(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = docs.join(groups.select(F.col("doc_id").alias(first_id)).distinct(), F.col("doc_id").eqNullSafe(F.col(first_id)), "left_semi")
+    return kept.withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text]).select(*columns_of(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
