@@ -354,8 +354,9 @@ def _without_connected(docs: DataFrame, roles: DataFrame, summary: DataFrame, k:
     inside = roles.where(own).join(large, "target", "left_semi")
     order = Window.partitionBy("target").orderBy(F.xxhash64(F.lit(3), "key"), "key")
     first = inside.select("target", "key").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= LEADERS).select("target", F.col("key").alias("_leader"))
-    asked = inside.join(first, (inside["target"] == first["target"]) & (inside["key"] == first["_leader"]), "left")
-    links = verified(docs, asked.select(inside["target"], "key", "n", F.lit(True).alias("asks"), F.col("_leader").isNotNull().alias("held")), summary, k, percent)
+    first = first.select("target", F.col("_leader").alias("key"), F.lit(True).alias("_leads"))
+    asked = inside.select("target", "key", "n").join(first, ["target", "key"], "left")
+    links = verified(docs, asked.select("target", "key", "n", F.lit(True).alias("asks"), F.col("_leads").isNotNull().alias("held")), summary, k, percent)
     parts = inside.select("target", "key").join(connected(links).withColumnRenamed("node", "key"), "key")
     counts = parts.groupBy("target", "component").agg(F.count(F.lit(1)).alias("size"))
     most = counts.groupBy("target").agg(F.max_by("component", F.struct("size", "component")).alias("component"))
