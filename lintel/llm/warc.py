@@ -8,7 +8,7 @@ only if the task that wrote them committed its rows of the manifest; a lost or r
 Reading: a member (or, uncompressed, a record) must inflate with a right checksum, begin with a version line, have the length
 its header gives and a block with the digest its header gives. If a check fails, the reader looks for the next gzip member that
 starts with a version line (or the next version line), goes on from there and logs the bytes between as a quarantined gap. Whole
-records that a broken member holds before its damage are returned. Behind a plain record whose block is damaged but ends where its
+records at the beginning of a member that is cut off are returned; of one with wrong bits none are, as only its checksum guards headers. Behind a plain record whose block is damaged but ends where its
 header says, reading goes on there, so that archives quoted in a payload are not taken for records.
 
 Defined results: a null html is an empty payload; a null page_id gives a response unless another page has the same payload;
@@ -70,7 +70,7 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to
 
 
 class Damaged(ValueError):
-    """A check failed. `resume`: where the damaged record's own header says that it ends, if it does; `whole`: what was inflated before."""
+    """A check failed. `resume`: where the damaged record's own header says that it ends, if it does; `whole`: what a member that is cut off inflated to."""
 
     def __init__(self, reason: str, resume: int | None = None, whole: bytes = b""):
         super().__init__(reason)
@@ -114,48 +114,28 @@ def _record(raw: bytes, at: int) -> tuple[dict, int]:
     }, stop + 4
 
 
-def _up_to_damage(view: memoryview, at: int, step: int, before: memoryview) -> bytes:
-    """What the bytes of the failed step at `at` inflate to before the damage, found by feeding them in ever smaller steps."""
-    z = zlib.decompressobj(31)
-    z.decompress(before)
-    out, end = [], min(at + step, len(view))
-    while at < end:
-        size = max(1, step)
-        trial = z.copy()
-        try:
-            out.append(trial.decompress(view[at : min(at + size, end)]))
-            z, at = trial, at + size
-        except zlib.error:
-            if size == 1:
-                break
-            step = size // 2
-    return b"".join(out)
-
-
 def _whole_records(raw: bytes) -> Iterator[dict]:
-    """The records of what a broken member inflated to, as far as headers lead."""
+    """The records at the beginning of what a member that is cut off inflated to, each with more behind it."""
     at = 0
     while at < len(raw):
         try:
             fields, at = _record(raw, at)
-        except Damaged as e:
-            if e.resume is None:
-                return
-            at = e.resume
-            continue
-        yield fields
+        except Damaged:
+            return
+        if at < len(raw):
+            yield fields
 
 
 def _member(data: bytes, at: int) -> tuple[bytes, int]:
     """The gzip member at `at`, inflated, and where it ends; fed in steps, as what follows a member is handed back as a copy."""
-    z, raw, view, step, begin = zlib.decompressobj(31), [], memoryview(data), 1 << 14, at
+    z, raw, view, step = zlib.decompressobj(31), [], memoryview(data), 1 << 14
     while not z.eof:
         if at >= len(data):
             raise Damaged("member cut off", whole=b"".join(raw))
         try:
             raw.append(z.decompress(view[at : at + step]))
         except zlib.error as e:
-            raise Damaged(str(e), whole=b"".join(raw) + _up_to_damage(view, at, step, view[begin:at])) from None
+            raise Damaged(str(e)) from None
         at += step
     return b"".join(raw), min(at, len(data)) - len(z.unused_data)
 
