@@ -7,6 +7,8 @@ from uuid import UUID
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lintel.functions import text as X
+
 
 def canonical_json(fields: dict[str, Column]) -> Column:
     """JSON with sorted keys and explicit nulls. Only strings and whole numbers, whose spelling is the same everywhere."""
@@ -25,8 +27,6 @@ def uuid5(namespace: str, name: Column) -> Column:
     return F.concat_ws("-", *parts)
 
 
-def semantic_fingerprint(code: Column, title: Column, content: Column, warnings: Column) -> Column:
-    """What a candidate says, whatever its rank, score, version or spacing; the text is taken in compatibility form."""
-    flat = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", ""))
-    key = {"code": F.lower(F.regexp_replace(F.coalesce(code, F.lit("")), "(?U)[^\\p{L}\\p{N}]", "")), "title": flat(title), "content": flat(content), "warnings": F.array_join(F.array_sort(F.array_distinct(warnings)), "\u001f")}
-    return fingerprint(key)
+def semantic_fingerprint(code: Column, number: Column, title: Column, content: Column, warnings: Column) -> Column:
+    """What a candidate says, whatever its rank, score, version, spacing, width or case."""
+    return fingerprint({"kcs_code": X.folded_key(code), "kcs_clause": X.folded(number), "title": X.folded(title), "content": X.folded(content), "warnings": X.folded_each(warnings)})

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lintel.functions import terms as T
-from lintel.functions.text import UI, U, clean_space, text
+from lintel.functions.text import UI, U, clean_space, compatibility_form, text
 
 QUANTITY = f"(?i)({T.NUMBER})\\s*({T.LATIN_UNIT}(?![A-Za-z])|{T.SYMBOL_UNIT})"
 
@@ -105,11 +105,9 @@ def unsupported_numbers(claim: Column, quotes: Column) -> Column:
 
 
 def grades(c: Column) -> Column:
-    """Steel grades, with comma-separated suffixes expanded onto the base before them; a bare -TMC adds none.
-
-    The text is taken as upper case and in compatibility form already."""
+    """Steel grades, with comma-separated suffixes expanded onto the base before them; a bare -TMC adds none."""
     run = T.GRADE + r"((?:\s*,\s*(?:-TMC|[A-Z]{1,2})(?![A-Z0-9]))*)"
-    bases, firsts, tails = (F.transform(F.regexp_extract_all(F.upper(text(c)), F.lit(run), F.lit(i)), lambda x: F.regexp_replace(x, r"\s+", "")) for i in (1, 2, 3))
+    bases, firsts, tails = (F.transform(F.regexp_extract_all(F.upper(compatibility_form(text(c))), F.lit(run), F.lit(i)), lambda x: F.regexp_replace(x, r"\s+", "")) for i in (1, 2, 3))
     rows = F.arrays_zip(bases.alias("b"), firsts.alias("f"), tails.alias("t"))
     each = F.transform(rows, lambda r: F.concat(
         F.array(F.concat(r["b"], r["f"])),
@@ -120,7 +118,7 @@ def grades(c: Column) -> Column:
 
 def product_standards(c: Column) -> Column:
     p = F.lit(UI + T.TABLE_STANDARD)
-    letters, numbers = (F.regexp_extract_all(text(c), p, F.lit(i)) for i in (1, 2))
+    letters, numbers = (F.regexp_extract_all(compatibility_form(text(c)), p, F.lit(i)) for i in (1, 2))
     return F.array_distinct(F.zip_with(letters, numbers, lambda a, b: F.concat(F.lit("KS "), F.upper(a), F.lit(" "), b)))
 
 

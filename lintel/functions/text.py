@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from html import unescape
+from unicodedata import normalize
 
 import pandas as pd
 from pyspark.sql import Column
@@ -89,6 +90,28 @@ def strip_html_basic(c: Column) -> Column:
     return clean_space(c)
 
 
+@F.pandas_udf(StringType())
+def compatibility_form(s: pd.Series) -> pd.Series:
+    """Normal form KC; there is no built-in function for it. Pure ASCII is in that form already."""
+    return s.map(lambda t: t if t.isascii() else normalize("NFKC", t), na_action="ignore")
+
+
+def folded(c: Column) -> Column:
+    """Compatibility form, lower case, single spaces; null becomes ''."""
+    return clean_space(F.lower(compatibility_form(text(c))))
+
+
+def folded_each(c: Column) -> Column:
+    """The texts of an array folded, without empty ones, distinct and in order; as one text, as Python functions take no array elements."""
+    whole = folded(F.array_join(F.coalesce(c, F.array().cast("array<string>")), "\u001e"))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(whole, "\u001e"), lambda x: F.trim(x)), lambda x: x != "")))
+
+
+def folded_key(c: Column) -> Column:
+    """Letters and digits of the folded text, nothing else."""
+    return F.regexp_replace(folded(c), r"[^\p{L}\p{N}]", "")
+
+
 def digits(c: Column) -> Column:
     return F.regexp_replace(text(c), r"\D", "")
 
@@ -249,5 +272,8 @@ def split_label(c: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    """Sentences and lines of a text, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text(c), U + r"(?<=[.!?。])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
+    """Sentences of the lines of a text, white space collapsed, without empty ones. A sentence ends behind its mark where white space, a
+    letter or an opening bracket follows."""
+    lines = F.transform(F.split(text(c), r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"), clean_space)
+    cut = F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.!?。;；])(?:\s+|(?=[가-힣A-Za-z(\[]))")))
+    return F.filter(F.transform(cut, lambda s: F.trim(s)), lambda s: s != "")

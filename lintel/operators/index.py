@@ -1,10 +1,13 @@
 """Term statistics and the two lexical scores, as joins on terms.
 
-Postings are rows (doc, term, tf). A join on term is the index look-up: only terms that occur on both sides meet. The query side is
-the small one; Spark broadcasts it when its measured size allows, and shuffles on term otherwise."""
+Postings are rows (doc, term, tf), and the index adds weights to them, dealt by document. A join on term is the look-up: the query side
+is counted and sent to the documents, in blocks if it is large, so that scores are summed up where a document lies; only the best rows
+of a query leave a task."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -39,24 +42,61 @@ def tfidf_weights(posts: DataFrame, df: DataFrame, n_docs: DataFrame, doc: str =
     return raw.join(norms, doc).select(doc, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def tfidf_scores(queries: DataFrame, posts: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """query, doc, score. Query terms that the index lacks do not count, in its length either."""
-    df = document_frequencies(posts)
-    index = tfidf_weights(posts, df, n_docs)
-    asked = tfidf_weights(queries, df, n_docs, "query").withColumnRenamed("weight", "qw")
-    return asked.join(index, "term").groupBy("query", "doc").agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
+#: Query terms that are sent to every task at once; more are asked for in blocks of queries.
+ASKED_ROWS = 2_000_000
+K1, B = 1.5, 0.75
+
+
+def term_index(posts: DataFrame, stats: DataFrame) -> DataFrame:
+    """doc, term, tf, len, weight (normalised tf-idf), gain (BM25 of one query term), dealt by doc.
+
+    One shuffle on term brings document frequencies, one on doc lengths and norms; whatever is asked then meets a document where it lies."""
+    rows = posts.join(document_frequencies(posts), "term").crossJoin(F.broadcast(stats))
+    n, df = F.col("n_docs"), F.col("df")
+    raw = (1 + F.log("tf")) * (F.log((n + 1) / (df + 1)) + 1)
+    own = Window.partitionBy("doc")
+    rows = rows.withColumn("w", raw).withColumn("len", F.sum("tf").over(own)).withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(own)))
+    gain = F.log(1 + (n - df + 0.5) / (df + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.greatest("avg_len", F.lit(1e-9))))
+    return rows.select("doc", "term", "tf", "len", (F.col("w") / F.col("norm")).alias("weight"), gain.alias("gain"))
+
+
+def asked_terms(queries: DataFrame, posts: DataFrame, stats: DataFrame) -> DataFrame:
+    """query, term, qtf, qlen, qweight (normalised tf-idf; terms that the index lacks do not count)."""
+    of_query = Window.partitionBy("query")
+    asked = queries.select("query", "term", F.col("tf").alias("qtf"), F.sum("tf").over(of_query).alias("qlen"))
+    # only terms that are asked for are counted
+    df = document_frequencies(posts.join(F.broadcast(asked.select("term").distinct()) if asked.count() <= ASKED_ROWS else asked.select("term").distinct(), "term", "left_semi"))
+    rows = asked.join(df, "term").crossJoin(F.broadcast(stats.select("n_docs")))
+    rows = rows.withColumn("w", (1 + F.log("qtf")) * (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1))
+    return rows.select("query", "term", "qtf", "qlen", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(of_query))).alias("qweight"))
+
+
+def pair_scores(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """query, doc, tfidf, bm25, overlap of all pairs that share a term, in one pass.
 
+    Queries go to the documents: the sums of a pair are made where its document lies, and no pair is shuffled. Queries of more than
+    ASKED_ROWS terms go in blocks. Overlap is 0.62 recall + 0.38 precision of the multisets, + 0.08 if a number is shared, at most 1."""
+    blocks = max(1, -(-asked.count() // ASKED_ROWS))
+    parts = [asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i) for i in range(blocks)]
+    out = []
+    for part in parts:
+        met = index.join(F.broadcast(part), "term")
+        common = F.sum(F.least("qtf", "tf"))
+        number = F.max(F.col("term").rlike(r"^\d").cast("int"))
+        overlap = 0.62 * common / F.first("qlen") + 0.38 * common / F.first("len") + 0.08 * number
+        sums = [F.sum(F.col("qweight") * F.col("weight")).alias("tfidf"), F.sum((1 + F.log("qtf")) * F.col("gain")).alias("bm25"), F.least(F.lit(1.0), overlap).alias("overlap")]
+        out.append(met.groupBy("query", "doc").agg(*sums))
+    return reduce(DataFrame.unionByName, out)
 
-def bm25_scores(queries: DataFrame, posts: DataFrame, stats: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+
+def bm25_scores(queries: DataFrame, posts: DataFrame, stats: DataFrame) -> DataFrame:
     """query, doc, score; a query term weighs 1 + ln of its count."""
-    lengths = posts.groupBy("doc").agg(F.sum("tf").alias("len"))
-    # only terms that are asked for are counted and met
-    posts = posts.join(queries.select("term").distinct(), "term", "left_semi")
-    df = document_frequencies(posts)
-    met = queries.withColumnRenamed("tf", "qtf").join(posts, "term").join(df, "term").join(lengths, "doc").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.greatest("avg_len", F.lit(1e-9))))
-    return met.groupBy("query", "doc").agg(F.sum((1 + F.log("qtf")) * part).alias("score"))
+    return pair_scores(asked_terms(queries, posts, stats), term_index(posts, stats)).select("query", "doc", F.col("bm25").alias("score"))
+
+
+def tfidf_scores(queries: DataFrame, posts: DataFrame, stats: DataFrame) -> DataFrame:
+    """query, doc, score. Query terms that the index lacks do not count, in its length either."""
+    return pair_scores(asked_terms(queries, posts, stats), term_index(posts, stats)).select("query", "doc", F.col("tfidf").alias("score"))
 
 
 def top(scores: DataFrame, k: int, by: str = "score", query: str = "query", tie: str = "doc", decimals: int | None = 6) -> DataFrame:
@@ -66,28 +106,20 @@ def top(scores: DataFrame, k: int, by: str = "score", query: str = "query", tie:
     return rounded.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def hybrid_scores(tfidf: DataFrame, bm25: DataFrame) -> DataFrame:
-    """0.82 tf-idf + 0.18 BM25 relative to the query's best; a document that one of them lacks has 0 there."""
-    both = tfidf.withColumnRenamed("score", "t").join(bm25.withColumnRenamed("score", "b"), ["query", "doc"], "full").na.fill(0.0, ["t", "b"])
-    best = F.max("b").over(Window.partitionBy("query"))
-    return both.select("query", "doc", "t", "b", best.alias("m")).select("query", "doc", (0.82 * F.col("t") + 0.18 * F.when(F.col("m") > 0, F.col("b") / F.col("m")).otherwise(0.0)).alias("score"))
+def hybrid_scores(pairs: DataFrame) -> DataFrame:
+    """0.82 tf-idf + 0.18 BM25 relative to the query's best. pairs: query, doc, tfidf, bm25."""
+    best = pairs.groupBy("query").agg(F.max("bm25").alias("m"))
+    share = F.when(F.col("m") > 0, F.col("bm25") / F.col("m")).otherwise(0.0)
+    return pairs.join(F.broadcast(best), "query").select("query", "doc", (0.82 * F.col("tfidf") + 0.18 * share).alias("score"))
 
 
-def catalogue_routes(queries: DataFrame, posts: DataFrame, codes: DataFrame, n_docs: DataFrame, k: int = 5, prefixes: list[str] | None = None) -> DataFrame:
-    """The k catalogue entries nearest to a query with a positive score; codes: doc, code. Ties by code."""
-    scored = tfidf_scores(queries, posts, n_docs).join(codes, "doc").where(F.col("score") > 0)
+def catalogue_routes(queries: DataFrame, posts: DataFrame, codes: DataFrame, stats: DataFrame, k: int = 5, prefixes: list[str] | None = None) -> DataFrame:
+    """The k catalogue entries nearest to a query with a positive score; codes: doc, code. Ties by code, then by document."""
+    scored = tfidf_scores(queries, posts, stats).join(codes, "doc")
     if prefixes:
         scored = scored.where(F.greatest(*[F.startswith("code", F.lit(p)) for p in prefixes], F.lit(False)))
-    return top(scored, k, tie="code")
-
-
-def overlap_scores(queries: DataFrame, posts: DataFrame) -> DataFrame:
-    """Multiset overlap: 0.62 recall + 0.38 precision + 0.08 if a number is shared, at most 1."""
-    qn, dn = (p.groupBy(c).agg(F.sum("tf").alias(n)) for p, c, n in ((queries, "query", "qlen"), (posts, "doc", "dlen")))
-    met = queries.withColumnRenamed("tf", "qtf").join(posts, "term")
-    common = met.groupBy("query", "doc").agg(F.sum(F.least("qtf", "tf")).alias("common"), F.max(F.col("term").rlike(r"^\d").cast("int")).alias("num"))
-    score = 0.62 * F.col("common") / F.col("qlen") + 0.38 * F.col("common") / F.col("dlen") + 0.08 * F.col("num")
-    return common.join(qn, "query").join(dn, "doc").select("query", "doc", F.least(F.lit(1.0), score).alias("score"))
+    scored = scored.withColumn("score", F.round("score", 6)).where(F.col("score") > 0)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "code", "doc"))).where(F.col("rank") <= k)
 
 
 def count_cosine(queries: DataFrame, posts: DataFrame) -> DataFrame:
@@ -104,14 +136,15 @@ def token_coverage(queries: DataFrame, posts: DataFrame) -> DataFrame:
     return common.join(sizes, "query").select("query", "doc", (F.col("n") / F.col("kinds")).alias("coverage"))
 
 
-def nearest_vectors(vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """query, doc, score, rank: each vector's k nearest others by cosine, ties by id. vectors: id, embedding.
+def nearest_vectors(vectors: DataFrame, k: int, block: int = 2048, asking: Column | None = None) -> DataFrame:
+    """query, doc, score, rank: each vector's k nearest others by cosine, ties by id. vectors: id, embedding; all ask, or those for which
+    `asking` holds.
 
     Every block of vectors meets every other as one matrix product; only k rows a query and block leave a task."""
     blocks = max(1, -(-vectors.count() // block))
     dealt = vectors.where("embedding IS NOT NULL").select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asks = dealt.select(F.col("id").alias("query"), F.col("embedding").alias("a"), F.col("b").alias("qb"), others.alias("db"))
+    asks = (dealt if asking is None else dealt.where(asking)).select(F.col("id").alias("query"), F.col("embedding").alias("a"), F.col("b").alias("qb"), others.alias("db"))
     held = dealt.select(F.col("id").alias("doc"), F.col("embedding").alias("vector"), others.alias("qb"), F.col("b").alias("db"))
 
     def unit(rows: pd.Series) -> np.ndarray:
@@ -134,6 +167,12 @@ def nearest_vectors(vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:
     return top(near, k)
 
 
+def group_scores(members: DataFrame, vectors: DataFrame, asked: DataFrame) -> DataFrame:
+    """query, doc, score of members (query, doc, digest): the cosine of their text's vector (digest, embedding) and the one asked for."""
+    scored = vectors.crossJoin(F.broadcast(asked.select(F.col("embedding").alias("other")))).select("digest", X.cosine(F.col("embedding"), F.col("other")).alias("score"))
+    return members.join(scored, "digest").select("query", "doc", "score")
+
+
 def latin_tokens(c: Column) -> Column:
     """Tokens of a text without the expansion of terms (the driver's corpora hold none of them)."""
     return X.word_tokens(c, expand=False)

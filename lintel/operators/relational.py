@@ -5,19 +5,102 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def spread_sample(df: DataFrame, keys: list[str], order: list, count: int) -> DataFrame:
-    """Evenly spaced rows of each key: `count` of them (the middle one if it is 1), all if there are fewer. Half-way indices go to even."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    rows = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+def spread_sample(df: DataFrame, keys: list[str], order: list[str], count: int, buckets: int = 64) -> DataFrame:
+    """Evenly spaced rows of each key: `count` of them (the middle one if it is 1), all if there are fewer. Half-way indices go to even.
+
+    Rows are dealt by approximate quantiles of the first order column, a number or date; counts of buckets say which buckets hold a
+    wanted place, and only those are put in order, so no task sees all rows of a key. With no keys the table is one group."""
+    first = F.col(order[0]).cast("double")
+    by = keys or ["_all"]
+    rows = df if keys else df.withColumn("_all", F.lit(0))
+    steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    cuts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(first, steps, F.lit(1000)).alias("_cuts"))
+    dealt = rows.join(cuts, by).withColumn("_b", F.coalesce(F.size(F.filter("_cuts", lambda c: c < first)), F.lit(-1))).drop("_cuts")
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*by, "_b", "_n").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
     if count == 1:
-        return rows.where(F.col("_i") == F.floor(F.col("_n") / 2)).drop("_i", "_n")
-    spots = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(count - 1), 0).cast("int"))
-    return rows.where((F.col("_n") <= count) | F.array_contains(spots, F.col("_i").cast("int"))).drop("_i", "_n")
+        spots = F.array(F.floor(F.col("_n") / 2))
+    else:
+        spots = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(count - 1), 0).cast("long"))
+        spots = F.when(F.col("_n") <= count, F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).otherwise(spots)
+    wanted = counts.withColumn("_spots", F.filter(F.array_distinct(spots), lambda s: (s >= F.col("_before")) & (s < F.col("_before") + F.col("_c")))).where(F.size("_spots") > 0)
+    near = dealt.drop("_n").join(wanted.select(*by, "_b", "_before", "_spots"), [*by, "_b"])
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order)) - 1
+    return near.withColumn("_i", place).where(F.array_contains("_spots", F.col("_i"))).select(*df.columns)
+
+
+def stratified_sample(df: DataFrame, cohort: str, wanted: dict[str, int], order: list[str], total: int) -> DataFrame:
+    """Evenly spaced rows of each cohort, as many as are wanted of it, and, if that makes fewer than `total`, evenly spaced ones of the rest."""
+    parts = [spread_sample(df.where(F.col(cohort) == name), [cohort], order, n) for name, n in wanted.items()]
+    chosen = reduce(DataFrame.unionByName, parts)
+    missing = total - chosen.count()  # at most `total`
+    if missing <= 0:
+        return chosen
+    return chosen.unionByName(spread_sample(df.join(F.broadcast(chosen.select(*order)), order, "left_anti"), [], order, missing))
+
+
+def placed(df: DataFrame, first: str, then: list[str], into: str) -> DataFrame:
+    """Numbers all rows from 1 in the order of (first, then): by the counts of the values of `first` before, and the place within its own."""
+    before = Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = df.groupBy(first).agg(F.count(F.lit(1)).alias("_c")).select(first, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    own = df.withColumn("_r", F.row_number().over(Window.partitionBy(first).orderBy(*then)))
+    return own.join(offsets, first).withColumn(into, (F.col("_o") + F.col("_r")).cast("int")).drop("_o", "_r")
+
+
+def optional_filters(df: DataFrame, filters: dict[str, str | None]) -> DataFrame:
+    """Rows whose columns hold what is asked for, literally and in any case; what is empty or missing filters nothing."""
+    for column, asked in filters.items():
+        if asked:
+            df = df.where(F.contains(F.lower(F.col(column)), F.lit(asked.lower())))
+    return df
+
+
+def holds_any(c: Column, words: list[str]) -> Column:
+    """Whether a text holds one of some words, in any case."""
+    flat = F.lower(c)
+    return F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(flat, w))
+
+
+def named(rules: dict[str, Column], between: str) -> Column:
+    """The names of the rules that hold, in their order."""
+    return F.concat_ws(between, *[F.when(rule, F.lit(name)) for name, rule in rules.items()])
+
+
+def tagged(parts: dict[str, DataFrame], column: str) -> DataFrame:
+    """Tables of the same columns as one, with the name of each in a column."""
+    rows = [df.select(F.lit(name).alias(column), *df.columns) for name, df in parts.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def partners(df: DataFrame, group: str, member: str) -> DataFrame:
+    """group, member, partners: how many other members share the group."""
+    rows = df.select(group, member).distinct()
+    return rows.join(rows.groupBy(group).agg((F.count(F.lit(1)) - 1).alias("partners")), group)
+
+
+def sharing_pairs(df: DataFrame, member: str, keys: list[str]) -> DataFrame:
+    """Pairs a < b of members that share all keys, once each."""
+    rows = df.select(member, *keys).distinct()
+    a, b = rows.select(F.col(member).alias("a"), *keys), rows.select(F.col(member).alias("b"), *keys)
+    return a.join(b, keys).where("a < b").select("a", "b").distinct()
+
+
+def ordered_concat(order: list[str], value: str, between: str) -> Column:
+    """Values of a group in order, as one text."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order))), lambda x: x[value].cast("string")), between)
+
+
+def rolled_digest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """One SHA-256 of all rows, whatever their order: of the digests of buckets, each over its rows in order. Keys are dealt to 65,536 buckets."""
+    bucket = F.substring(F.md5(F.col(key).cast("binary")), 1, 4)
+    parts = df.groupBy(bucket.alias("_b")).agg(F.sha2(ordered_concat(order, order[-1], "\n"), 256).alias("_d"))
+    return parts.agg(F.sha2(ordered_concat(["_b", "_d"], "_d", ""), 256).alias("digest"))
 
 
 def keyset_page(df: DataFrame, first: str, second: str, limit: int, after: tuple | None = None) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -56,36 +58,6 @@ def table_checks(rows: DataFrame, id_col: str) -> DataFrame:
     return rows.select(id_col, F.explode(F.array(*[F.struct(F.lit(n).alias("field"), s.alias("status")) for n, s in checks])).alias("c")).select(id_col, "c.*")
 
 
-REFERENCE = re.compile(r"(?<![A-Za-z0-9])KS\s*([A-Z])\s*[-_]?\s*(ISO\s*)?(\d{3,})(?![A-Za-z0-9])", re.I)
-FOLLOWING = re.compile(r"\s*(?:[,，、]\s*|\s)(\d{4})(?![\dA-Za-z])")
-PART = re.compile(r"\s*[-~～:]\s*\d{1,2}(?:\s*[~～-]\s*\d{1,2})?(?!\d)|\s*[-~～:]\s*(?=\d)")
-
-
-def references_of(text: str | None) -> tuple[list[str], bool]:
-    """Product standards with prefixes that a list leaves out; a part or range behind a number makes the text ambiguous."""
-    text, codes, unclear = text or "", {}, False
-    for m in REFERENCE.finditer(text):
-        prefix, at = f"KS {m[1].upper()} " + ("ISO " if m[2] else ""), m.end()
-        codes[prefix + m[3]] = None
-        if part := PART.match(text, at):
-            unclear, at = True, part.end()
-        while more := FOLLOWING.match(text, at):
-            codes[prefix + more[1]] = None
-            at = more.end()
-    return list(codes), unclear
-
-
-def standard_references(c: Column) -> Column:
-    """struct<codes, ambiguous>; the walk over a list depends on what came before, so it runs in Arrow batches."""
-    kind = StructType([StructField("codes", ArrayType(StringType())), StructField("ambiguous", BooleanType())])
-
-    @F.pandas_udf(kind)
-    def found(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([references_of(t) for t in s], columns=["codes", "ambiguous"])
-
-    return found(c)
-
-
 def test_fields(content: Column) -> Column:
     """array<struct<name, value>> of rows of four or five cells, else null."""
     cells = F.transform(F.split(X.text(content), r"\|", -1), lambda x: F.trim(x))
@@ -124,19 +96,20 @@ def related_references(asking: DataFrame, pool: DataFrame, k: int) -> DataFrame:
 def source_positions(clauses: DataFrame, pages: DataFrame) -> DataFrame:
     """doc, clause, page, at: each clause's text is looked for behind the one found before; a clause that is not found moves nothing.
 
-    The cursor runs through a document in order, so a document is one group."""
+    The cursor runs through a document in order, so a document is one group; its pages are joined once and found by bisection."""
 
     def find(cs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
         flat = lambda t: re.sub(r"\s+", "", t or "")
         ps = ps.sort_values("page")
         parts = [flat(t) for t in ps["text"]]
-        starts = [sum(map(len, parts[:i])) for i in range(len(parts))]
+        ends = list(accumulate(map(len, parts)))
         whole, cursor, out = "".join(parts), 0, []
         for doc, clause, text in cs.sort_values("clause")[["doc", "clause", "text"]].itertuples(index=False):
-            at = whole.find(flat(text), cursor) if flat(text) else -1
+            needle = flat(text)
+            at = whole.find(needle, cursor) if needle else -1
             page = None
             if at >= 0:
-                page, cursor = int(ps["page"].iloc[sum(s <= at for s in starts) - 1]), at + len(flat(text))
+                page, cursor = int(ps["page"].iloc[bisect_right(ends, at)]), at + len(needle)
             out.append((doc, clause, page, at if at >= 0 else None))
         return pd.DataFrame(out, columns=["doc", "clause", "page", "at"]).astype({"page": "Int32", "at": "Int64"})
 
@@ -144,25 +117,79 @@ def source_positions(clauses: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def contextual_labels(rows: DataFrame, doc: str, order: str, text: str) -> DataFrame:
-    """Adds full_label: section number, item in brackets and letter, each carried on until a higher one begins."""
+    """Adds full_label (section number, item in brackets and letter, each carried on until a higher one begins) and section_path (the
+    titles of the open sections, outermost first)."""
     w = Window.partitionBy(doc).orderBy(order)
-    label = X.split_label(F.col(text))["label"]
+    parts = X.split_label(F.col(text))
+    label, title = parts["label"], parts["title"]
     section = F.when(label.rlike(r"^\d"), F.regexp_replace(label, r"\.$", ""))
     rows = rows.withColumn("_s", section).withColumn("_i", F.when(label.rlike(r"^\("), label)).withColumn("_l", F.when(label.rlike(r"^[가-하]\."), label))
     rows = rows.withColumn("_sec", F.last("_s", ignorenulls=True).over(w)).withColumn("_ns", F.count("_s").over(w))
     w2 = Window.partitionBy(doc, "_ns").orderBy(order)
     rows = rows.withColumn("_item", F.last("_i", ignorenulls=True).over(w2))
     full = F.concat(F.coalesce("_sec", F.lit("")), F.coalesce("_item", F.lit("")), F.coalesce(F.concat(F.lit("-"), F.col("_l")), F.lit("")))
-    return rows.withColumn("full_label", full).drop("_s", "_i", "_l", "_sec", "_ns", "_item")
-
-
-def contents_entries(rows: DataFrame, doc: str, order: str, text: str, least: int = 5) -> DataFrame:
-    """Rows of a table of contents: runs of at least `least` entries with a page behind dots, after a marker."""
-    entry = F.col(text).rlike(r"(?:\.{2,}|…+|\t)\s*\d+\s*$")
-    w = Window.partitionBy(doc).orderBy(order)
-    marked = rows.withColumn("_e", entry).withColumn("_m", F.max(F.regexp_replace(text, r"\s", "").isin("목차", "차례", "CONTENTS").cast("int")).over(w))
-    runs = marked.withColumn("_r", F.sum((~F.col("_e")).cast("int")).over(w)).where("_e AND _m = 1")
-    return runs.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(doc, "_r"))).where(F.col("_n") >= least).drop("_e", "_m", "_r", "_n")
+    rows = rows.withColumn("full_label", full)
+    # the newest title of each depth, and the place where it began; a depth is open if no shallower section began behind it
+    depth = F.size(F.split("_s", r"\."))
+    levels = range(1, 7)
+    for k in levels:
+        rows = rows.withColumn(f"_t{k}", F.last(F.when(F.col("_s").isNotNull() & (depth == k), F.struct(F.col(order).alias("at"), title.alias("title"))), ignorenulls=True).over(w))
+    latest = lambda k: F.greatest(F.lit(None).cast("long"), *[F.col(f"_t{j}.at").cast("long") for j in range(1, k)]) if k > 1 else F.lit(None).cast("long")
+    open_ = [F.when(F.col(f"_t{k}").isNotNull() & (latest(k).isNull() | (F.col(f"_t{k}.at").cast("long") > latest(k))), F.col(f"_t{k}.title")) for k in levels]
+    return rows.withColumn("section_path", F.concat_ws(" > ", *open_)).drop("_s", "_i", "_l", "_sec", "_ns", "_item", *[f"_t{k}" for k in levels])
+
+
+# Headings of a table of contents, how far it is looked for, and its page locators.
+CONTENTS_MARKS = ["목차", "차례", "contents", "tableofcontents"]
+MARK_WITHIN, ENTRIES_WITHIN, LEAST_RUN = 200, 400, 5
+PAGE_LOCATOR = r"(?:\.{2,}|…+|·{2,}|\t)\s*\d+\s*$"
+
+
+def contents_entry(c: Column) -> Column:
+    """struct<label, title> of a numbered heading without its page locator; null if it is none."""
+    parts = X.split_label(X.clean_space(F.regexp_replace(X.text(c), PAGE_LOCATOR, "")))
+    label, title = F.regexp_replace(parts["label"], r"\.$", ""), F.trim(parts["title"])
+    return F.when(label.rlike(r"^\d+(?:\.\d+)*$") & (title != "") & (F.length(title) <= 200), F.struct(label.alias("label"), X.normalize_key(title, expand=False).alias("title")))
+
+
+def body_starts(rows: DataFrame) -> DataFrame:
+    """doc, body_start of documents with a table of contents. rows: doc, pos (from 0), kind (paragraph or table), text, toc_style,
+    page_break.
+
+    Behind a marker (a heading, or a paragraph styled as contents) the body begins where the first entry comes again after entries of
+    two labels at least, or behind a page break after as many unless contents go on there. Without such a start, a run of at least five
+    entries that begins at a top section is a table of contents if its first three entries come again in order: within the run first,
+    else behind it."""
+    flat = F.regexp_replace(F.lower(X.clean_space(F.col("text"))), "[^0-9a-z가-힣]", "")
+    paragraph = F.col("kind") == "paragraph"
+    marked = rows.withColumn("e", F.when(paragraph, contents_entry(F.col("text")))).withColumn("mark", paragraph & flat.isin(CONTENTS_MARKS)).withColumn("blank", paragraph & (X.clean_space(F.col("text")) == ""))
+    marked = marked.withColumn("styled", paragraph & F.coalesce("toc_style", F.lit(False))).withColumn("toc_like", F.col("e").isNotNull() & (F.col("styled") | F.col("text").rlike(PAGE_LOCATOR)))
+    ahead = Window.partitionBy("doc").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    marked = marked.withColumn("next", F.first(F.when(~F.col("blank"), F.struct("pos", "toc_like")), ignorenulls=True).over(ahead))
+    # behind a marker
+    marks = marked.where((F.col("mark") | F.col("styled")) & (F.col("pos") < MARK_WITHIN)).groupBy("doc").agg(F.min(F.struct("pos", (~F.col("mark")).alias("own"))).alias("m"))
+    near = marked.join(marks, "doc").where(paragraph & (F.col("pos") >= F.col("m.pos") + F.when(F.col("m.own"), 0).otherwise(1)) & (F.col("pos") < F.col("m.pos") + ENTRIES_WITHIN))
+    w = Window.partitionBy("doc").orderBy("pos")
+    near = near.withColumn("first", F.first("e", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    labels = lambda upto: F.size(F.collect_set("e.label").over(w.rowsBetween(Window.unboundedPreceding, upto)))
+    near = near.withColumn("before", labels(-1)).withColumn("upto", labels(0))
+    again = F.when((F.col("e") == F.col("first")) & (F.col("before") >= 2), F.col("pos"))
+    broken = F.when(F.coalesce("page_break", F.lit(False)) & (F.col("upto") >= 2) & F.col("next").isNotNull() & ~F.col("next.toc_like"), F.col("next.pos"))
+    explicit = near.withColumn("start", F.coalesce(again, broken)).where("start IS NOT NULL").groupBy("doc").agg(F.min_by("start", "pos").alias("start"))
+    # runs of entries: numbered by what is no entry before them
+    shown = marked.where(paragraph & ~F.col("blank"))
+    shown = shown.withColumn("run", F.count_if(F.col("e").isNull()).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    entries = shown.where("e IS NOT NULL").withColumn("e1", F.lead("e", 1).over(w)).withColumn("e2", F.lead("e", 2).over(w))
+    runs = entries.where(F.col("pos") < MARK_WITHIN).withColumn("at", F.row_number().over(Window.partitionBy("doc", "run").orderBy("pos")) - 1)
+    heads = runs.groupBy("doc", "run").agg(F.count(F.lit(1)).alias("size"), F.max("pos").alias("end"), *[F.min_by(c, "pos").alias(f"h{i}") for i, c in enumerate(("e", "e1", "e2"))])
+    heads = heads.where((F.col("size") >= LEAST_RUN) & ~F.contains(F.col("h0.label"), F.lit(".")))
+    places = entries.select("doc", F.col("run").alias("in_run"), "pos", "e", "e1", "e2").join(runs.select("doc", "pos", "at"), ["doc", "pos"], "left")
+    same = (F.col("e") == F.col("h0")) & (F.col("e1") == F.col("h1")) & (F.col("e2") == F.col("h2"))
+    inside = (F.col("in_run") == F.col("run")) & (F.col("at") >= LEAST_RUN)
+    hits = heads.join(places, "doc").where(same & (inside | (F.col("pos") > F.col("end"))))
+    order = F.struct(F.when(inside, 0).otherwise(1), F.when(inside, F.col("pos")).otherwise(F.col("run")), F.col("pos"))
+    implicit = hits.groupBy("doc").agg(F.min_by("pos", order).alias("implied"))
+    return explicit.join(implicit, "doc", "full").select("doc", F.coalesce("start", "implied").alias("body_start"))
 
 
 def exact_cover(ids: Column, expected: Column) -> Column:

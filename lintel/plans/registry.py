@@ -26,16 +26,3 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
-
-
-def sql_query(name: str, spark_sql: str, oracle: str | None = None) -> None:
-    """Registers a query given as SQL. Only the tables that it names are opened; Catalyst prunes and pushes down as for any plan."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for t in TABLES:
-            if t in spark_sql:
-                table(spark, sf_dir, t).createOrReplaceTempView(t)
-        return spark.sql(spark_sql)
-
-    QUERIES[name] = run
-    ORACLE_SQL[name] = oracle or spark_sql

@@ -1,107 +1,498 @@
-"""Joins, aggregates, windows, pages and set operations over projects (customer), clauses (orders) and candidates (lineitem).
-
-Roles: a customer is a project, its segment the title, its nation the discipline; an order is a clause with a decision (its status)
-and an order date; a line is a candidate whose line number is its rank and whose quantity stands for its score."""
+"""Joins, aggregates, windows, pages and set operations over projects, clauses and candidates, as DataFrames; see `star` for the roles."""
 
 from __future__ import annotations
 
-from lintel.plans.registry import sql_query
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from lintel.operators import relational as P
+from lintel.plans.relational_sql import SQL
+from lintel.plans.star import Star, star_query
+
+_rate = lambda hits, of: F.round(hits.cast("double") / F.nullif(of, F.lit(0)), 4)
+
+
+def _add(name: str):
+    return star_query(name, SQL)
 
-PROJECTS = "projects AS (SELECT c_custkey AS id, c_name AS filename, c_mktsegment AS title, c_nationkey AS discipline, c_acctbal AS balance, CASE WHEN c_custkey % 5 = 0 THEN 'archived' ELSE 'active' END AS state, c_custkey % 3 AS revision FROM customer)"
-CLAUSES = "clauses AS (SELECT o_orderkey AS id, o_custkey AS project_id, o_orderstatus AS decision, o_totalprice AS price, o_orderdate AS reviewed_at, o_orderpriority AS reason FROM orders)"
-CANDIDATES = "candidates AS (SELECT l_orderkey AS clause_id, l_linenumber AS rank, l_partkey AS section_id, l_quantity / 50.0 AS score, l_returnflag AS relation, l_discount AS confidence, l_suppkey AS code FROM lineitem)"
-W3 = f"WITH {PROJECTS}, {CLAUSES}, {CANDIDATES}"
 
 # projections and filters
-sql_query("F01_optional_filters", f"{W3} SELECT id, title, filename FROM projects WHERE ('' = '' OR title LIKE '%') AND ('build' = '' OR lower(title) LIKE '%build%') AND ('' = '' OR filename LIKE '%')")
-sql_query("F02_status_filters", f"{W3} SELECT p.id, count(c.id) AS open_clauses FROM projects p LEFT JOIN clauses c ON c.project_id = p.id AND c.decision <> 'F' WHERE p.state = 'active' AND p.revision <> 2 GROUP BY p.id")
-sql_query("F03_literal_prefix", f"{W3} SELECT id, filename FROM projects WHERE substr(filename, 1, 13) = 'Customer#0000' AND substr(filename, 14, 1) <> '_'")
-sql_query("F04_review_filter", f"{W3} SELECT id, decision FROM clauses WHERE decision IN ('O', 'P') AND (price > 100000 OR reason LIKE '1-%')")
-sql_query("F05_token_or_like", "SELECT doc_id FROM documents WHERE lang = 'en' AND (lower(text) LIKE '%idiot%' OR lower(text) LIKE '%license%' OR source LIKE 'src1%')")
-sql_query("F06_eligibility_flags", f"{W3} SELECT clause_id, rank, (relation = 'R') AS blocked, (score < 0.25) AS low, (section_id % 97 = 0) AS explicit FROM candidates WHERE section_id % 97 = 0 OR (relation <> 'R' AND score >= 0.25)")
-sql_query("F07_case_defaults", f"{W3} SELECT id, CASE WHEN decision = 'F' THEN 'keep' WHEN decision = 'O' THEN 'hold' ELSE 'delete' END AS verdict, coalesce(nullif(reason, '3-MEDIUM'), 'none') AS reason FROM clauses")
-sql_query("F08_public_fields", f"{W3} SELECT p.id, p.title, concat(p.title, ':', CAST(p.discipline AS VARCHAR(10))) AS label FROM projects p", f"{W3} SELECT p.id, p.title, p.title || ':' || CAST(p.discipline AS VARCHAR) AS label FROM projects p")
-sql_query("F09_violations", f"{W3} SELECT id, concat_ws(',', CASE WHEN decision = 'P' AND reason = '5-LOW' THEN 'reason' END, CASE WHEN price < 2000 THEN 'residual' END, CASE WHEN decision = 'O' AND price > 400000 THEN 'unsafe' END) AS violations FROM clauses WHERE (decision = 'P' AND reason = '5-LOW') OR price < 2000 OR (decision = 'O' AND price > 400000)")
-sql_query("F10_client_filters", f"{W3} SELECT decision, reason, count(*) AS n FROM clauses WHERE reason NOT IN ('4-NOT SPECIFIED') GROUP BY decision, reason")
+
+
+@_add("F01_optional_filters")
+def _(t: Star):
+    return P.optional_filters(t.projects, {"title": "build", "filename": "", "state": None}).select(F.col("project").alias("id"), "title", "filename")
+
+
+@_add("F02_status_filters")
+def _(t: Star):
+    kept = t.projects.where((F.col("state") == "active") & (F.col("revision") != 2))
+    return kept.join(t.clauses.where("decision <> 'F'"), "project", "left").groupBy(F.col("project").alias("id")).agg(F.count("clause").alias("open_clauses"))
+
+
+@_add("F03_literal_prefix")
+def _(t: Star):
+    return t.projects.where(F.startswith("filename", F.lit("Customer#0000")) & (F.substring("filename", 14, 1) != "_")).select(F.col("project").alias("id"), "filename")
+
+
+@_add("F04_review_filter")
+def _(t: Star):
+    return t.clauses.where(F.col("decision").isin("O", "P") & ((F.col("price") > 100000) | F.startswith("reason", F.lit("1-")))).select(F.col("clause").alias("id"), "decision")
+
+
+@_add("F05_token_or_like")
+def _(t: Star):
+    docs = t.table("documents").where("lang = 'en'")
+    return docs.where(P.holds_any(F.col("text"), ["idiot", "license"]) | F.startswith("source", F.lit("src1"))).select("doc_id")
+
+
+@_add("F06_eligibility_flags")
+def _(t: Star):
+    explicit = F.col("section") % 97 == 0
+    passed = t.candidates.where(explicit | (F.col("relation") != "R") & (F.col("score") >= 0.25))
+    return passed.select(F.col("clause").alias("clause_id"), "rank", (F.col("relation") == "R").alias("blocked"), (F.col("score") < 0.25).alias("low"), explicit.alias("explicit"))
+
+
+@_add("F07_case_defaults")
+def _(t: Star):
+    verdict = F.when(F.col("decision") == "F", "keep").when(F.col("decision") == "O", "hold").otherwise("delete")
+    return t.clauses.select(F.col("clause").alias("id"), verdict.alias("verdict"), F.coalesce(F.nullif("reason", F.lit("3-MEDIUM")), F.lit("none")).alias("reason"))
+
+
+@_add("F08_public_fields")
+def _(t: Star):
+    whole = F.struct(F.col("project").alias("id"), "title", "discipline", "balance")
+    shown = whole.withField("label", F.concat_ws(":", "title", F.col("discipline").cast("string"))).dropFields("discipline", "balance")
+    return t.projects.select(shown.alias("public")).select("public.*")
+
+
+@_add("F09_violations")
+def _(t: Star):
+    rules = {"reason": (F.col("decision") == "P") & (F.col("reason") == "5-LOW"), "residual": F.col("price") < 2000, "unsafe": (F.col("decision") == "O") & (F.col("price") > 400000)}
+    return t.clauses.select(F.col("clause").alias("id"), P.named(rules, ",").alias("violations")).where("violations <> ''")
+
+
+@_add("F10_client_filters")
+def _(t: Star):
+    return t.clauses.where(F.col("reason") != "4-NOT SPECIFIED").groupBy("decision", "reason").agg(F.count(F.lit(1)).alias("n"))
+
 
 # joins
-sql_query("J01_left_join", f"{W3} SELECT p.id, count(c.id) AS clauses FROM projects p LEFT JOIN clauses c ON c.project_id = p.id GROUP BY p.id")
-sql_query("J02_left_join_anti", f"{W3} SELECT c.id, count(k.rank) AS visible, max(k.score) AS best FROM clauses c LEFT JOIN (SELECT * FROM candidates k WHERE NOT EXISTS (SELECT 1 FROM candidates x WHERE x.clause_id = k.clause_id AND x.rank = k.rank AND x.relation = 'R' AND x.confidence >= 0.05)) k ON k.clause_id = c.id GROUP BY c.id")
-sql_query("J03_left_analysis", f"{W3} SELECT k.clause_id, k.rank, a.n AS analyses FROM candidates k LEFT JOIN (SELECT clause_id, rank, count(*) AS n FROM candidates WHERE relation = 'A' GROUP BY clause_id, rank) a ON a.clause_id = k.clause_id AND a.rank = k.rank WHERE k.rank <= 3")
-sql_query("J04_inner_and_left", f"{W3} SELECT c.id, k.rank, coalesce(s.s_name, 'none') AS analyst FROM clauses c JOIN candidates k ON k.clause_id = c.id LEFT JOIN supplier s ON s.s_suppkey = k.code AND s.s_acctbal > 0 WHERE c.decision = 'P'")
-sql_query("J05_existence_flags", f"{W3}, flags AS (SELECT c.project_id, CASE WHEN EXISTS (SELECT 1 FROM candidates k WHERE k.clause_id = c.id AND k.relation = 'N') THEN 1 ELSE 0 END AS pending FROM clauses c) SELECT project_id, count(*) AS clauses, CAST(sum(pending) AS BIGINT) AS pending FROM flags GROUP BY project_id")
-sql_query("J06_semi", f"{W3} SELECT id, title FROM projects p WHERE EXISTS (SELECT 1 FROM clauses c JOIN candidates k ON k.clause_id = c.id WHERE c.project_id = p.id AND k.relation = 'R' AND c.decision = 'P')")
-sql_query("J07_semi_three", f"{W3} SELECT c.id FROM clauses c WHERE EXISTS (SELECT 1 FROM projects p JOIN nation n ON n.n_nationkey = p.discipline WHERE p.id = c.project_id AND p.revision = n.n_regionkey % 3)")
-sql_query("J08_unsafe_delete", f"{W3} SELECT c.id FROM clauses c WHERE c.decision = 'F' AND (NOT EXISTS (SELECT 1 FROM candidates k WHERE k.clause_id = c.id AND k.rank = 2) OR EXISTS (SELECT 1 FROM candidates k WHERE k.clause_id = c.id AND k.score < 0.04))")
-sql_query("J09_lateral_explode", "SELECT v.vec_id, count(*) AS dims, CAST(sum(CASE WHEN x > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive FROM embeddings v LATERAL VIEW explode(embedding) e AS x GROUP BY v.vec_id", "SELECT vec_id, count(*) AS dims, CAST(sum(CASE WHEN x > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY vec_id")
-sql_query("J10_page_with_total", f"{W3} SELECT t.total, g.id, g.price FROM (SELECT count(*) AS total FROM clauses WHERE decision = 'P') t LEFT JOIN (SELECT id, price FROM clauses WHERE decision = 'P' ORDER BY price DESC, id LIMIT 20 OFFSET 40) g ON 1 = 1")
-sql_query("J11_latest_row_join", f"{W3}, last AS (SELECT * FROM (SELECT project_id, id, decision, row_number() OVER (PARTITION BY project_id ORDER BY reviewed_at DESC, id DESC) AS n FROM clauses) WHERE n = 1) SELECT p.id, l.id AS last_clause, l.decision FROM projects p LEFT JOIN last l ON l.project_id = p.id")
-sql_query("J12_composite_left", f"{W3}, stats AS (SELECT project_id, id % 3 AS revision, count(*) AS impacts FROM clauses GROUP BY project_id, id % 3) SELECT p.id, coalesce(s.impacts, 0) AS impacts FROM projects p LEFT JOIN stats s ON s.project_id = p.id AND s.revision = p.revision")
-sql_query("J13_theta_anti", f"{W3} SELECT p.id, p.discipline FROM projects p WHERE NOT EXISTS (SELECT 1 FROM projects q WHERE q.title = p.title AND q.discipline = p.discipline AND (q.balance > p.balance OR (q.balance = p.balance AND q.id > p.id)))")
-sql_query("J14_case_key", f"{W3} SELECT c.id, k.rank, k.section_id FROM clauses c LEFT JOIN candidates k ON k.clause_id = c.id AND k.rank = CASE WHEN c.decision = 'F' THEN 1 WHEN c.decision = 'O' THEN 2 ELSE 3 END")
-sql_query("J15_chain_left", f"{W3} SELECT r.r_name, n.n_name, count(p.id) AS projects FROM region r LEFT JOIN nation n ON n.n_regionkey = r.r_regionkey LEFT JOIN projects p ON p.discipline = n.n_nationkey AND p.state = 'active' GROUP BY r.r_name, n.n_name")
-sql_query("J17_prefix_join", "SELECT n.n_name, count(*) AS parts FROM nation n JOIN part p ON substr(lower(p.p_name), 1, 1) = substr(lower(n.n_name), 1, 1) AND p.p_size < n.n_nationkey + 10 GROUP BY n.n_name")
-sql_query("J18_group_overlap", f"{W3} SELECT DISTINCT a.clause_id AS a, b.clause_id AS b FROM candidates a JOIN candidates b ON a.section_id = b.section_id AND a.clause_id < b.clause_id WHERE a.section_id % 50 = 0 AND b.section_id % 50 = 0 AND a.rank = 1 AND b.rank = 1")
-sql_query("J18_all_group_overlap", f"{W3} SELECT DISTINCT a.clause_id AS a, b.clause_id AS b FROM candidates a JOIN candidates b ON a.section_id = b.section_id AND a.clause_id < b.clause_id")
-sql_query("J19_two_overlaps", f"{W3} SELECT DISTINCT a.clause_id AS a, b.clause_id AS b FROM candidates a JOIN candidates b ON a.section_id = b.section_id AND a.code = b.code AND a.clause_id < b.clause_id")
-sql_query("J20_positional", f"{W3}, v AS (SELECT clause_id, rank, CASE WHEN relation = 'A' THEN 'related' WHEN relation = 'N' THEN 'partial' ELSE 'unrelated' END AS verdict FROM candidates) SELECT k.clause_id, k.rank, coalesce(v.verdict, 'uncertain') AS verdict FROM candidates k LEFT JOIN v ON v.clause_id = k.clause_id AND v.rank = k.rank + 1")
-sql_query("J21_multiset_diff", f"""{W3}, b AS (SELECT clause_id, relation AS fp, row_number() OVER (PARTITION BY clause_id, relation ORDER BY rank) AS n FROM candidates WHERE rank <= 3),
-a AS (SELECT clause_id, relation AS fp, row_number() OVER (PARTITION BY clause_id, relation ORDER BY rank) AS n FROM candidates WHERE rank >= 2 AND rank <= 4)
-SELECT coalesce(b.clause_id, a.clause_id) AS clause_id, coalesce(b.fp, a.fp) AS fp, CAST(coalesce(b.n, a.n) AS INT) AS n, CASE WHEN b.clause_id IS NULL THEN 'added' WHEN a.clause_id IS NULL THEN 'removed' ELSE 'kept' END AS change
-FROM b FULL JOIN a ON b.clause_id = a.clause_id AND b.fp = a.fp AND b.n = a.n""")
-sql_query("J22_nearest_previous", "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END) IGNORE NULLS OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_user FROM conversations", "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_user FROM conversations")
-sql_query("J23_seen_earlier", f"{W3} SELECT k.clause_id, k.rank, CAST(count(DISTINCT e.code) AS BIGINT) AS earlier_codes FROM candidates k LEFT JOIN candidates e ON e.clause_id = k.clause_id AND e.rank < k.rank GROUP BY k.clause_id, k.rank")
-sql_query("J24_anti_existing", f"{W3} SELECT k.clause_id, k.rank FROM candidates k WHERE k.relation = 'A' AND NOT EXISTS (SELECT 1 FROM candidates x WHERE x.clause_id = k.clause_id AND x.relation = 'N' AND x.code = k.code)")
-sql_query("J25_orphans", f"{W3} SELECT 'clause' AS kind, count(*) AS n FROM clauses c WHERE NOT EXISTS (SELECT 1 FROM projects p WHERE p.id = c.project_id AND p.state = 'active') UNION ALL SELECT 'candidate', count(*) FROM candidates k WHERE NOT EXISTS (SELECT 1 FROM clauses c WHERE c.id = k.clause_id)")
+
+
+@_add("J01_left_join")
+def _(t: Star):
+    return t.projects.join(t.clauses, "project", "left").groupBy(F.col("project").alias("id")).agg(F.count("clause").alias("clauses"))
+
+
+@_add("J02_left_join_anti")
+def _(t: Star):
+    hidden = t.candidates.where((F.col("relation") == "R") & (F.col("confidence") >= 0.05)).select("clause", "rank")
+    visible = t.candidates.join(hidden, ["clause", "rank"], "left_anti").groupBy("clause").agg(F.count("rank").alias("visible"), F.max("score").alias("best"))
+    return t.clauses.join(visible, "clause", "left").select(F.col("clause").alias("id"), F.coalesce("visible", F.lit(0)).alias("visible"), "best")
+
+
+@_add("J03_left_analysis")
+def _(t: Star):
+    analyses = t.candidates.where("relation = 'A'").groupBy("clause", "rank").agg(F.count(F.lit(1)).alias("analyses"))
+    return t.candidates.where("rank <= 3").join(analyses, ["clause", "rank"], "left").select(F.col("clause").alias("clause_id"), "rank", "analyses")
+
+
+@_add("J04_inner_and_left")
+def _(t: Star):
+    analysts = t.table("supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("code"), "s_name")
+    rows = t.clauses.where("decision = 'P'").join(t.candidates, "clause").join(analysts, "code", "left")
+    return rows.select(F.col("clause").alias("id"), "rank", F.coalesce("s_name", F.lit("none")).alias("analyst"))
+
+
+@_add("J05_existence_flags")
+def _(t: Star):
+    pending = t.candidates.where("relation = 'N'").select("clause").distinct().withColumn("pending", F.lit(1))
+    return t.clauses.join(pending, "clause", "left").groupBy(F.col("project").alias("project_id")).agg(F.count(F.lit(1)).alias("clauses"), F.count("pending").alias("pending"))
+
+
+@_add("J06_semi")
+def _(t: Star):
+    rejected = t.clauses.where("decision = 'P'").join(t.candidates.where("relation = 'R'"), "clause", "left_semi")
+    return t.projects.join(rejected, "project", "left_semi").select(F.col("project").alias("id"), "title")
+
+
+@_add("J07_semi_three")
+def _(t: Star):
+    nations = t.table("nation").select(F.col("n_nationkey").alias("discipline"), (F.col("n_regionkey") % 3).alias("revision"))
+    current = t.projects.join(nations, ["discipline", "revision"], "left_semi")
+    return t.clauses.join(current, "project", "left_semi").select(F.col("clause").alias("id"))
+
+
+@_add("J08_unsafe_delete")
+def _(t: Star):
+    facts = t.candidates.groupBy("clause").agg(F.bool_or(F.col("rank") == 2).alias("has_second"), F.bool_or(F.col("score") < 0.04).alias("weak"))
+    return t.clauses.where("decision = 'F'").join(facts, "clause", "left").where(~F.coalesce("has_second", F.lit(False)) | F.coalesce("weak", F.lit(False))).select(F.col("clause").alias("id"))
+
+
+@_add("J09_lateral_explode")
+def _(t: Star):
+    return t.table("embeddings").select("vec_id", F.explode("embedding").alias("x")).groupBy("vec_id").agg(F.count(F.lit(1)).alias("dims"), F.count_if(F.col("x") > 0).alias("positive"))
+
+
+@_add("J10_page_with_total")
+def _(t: Star):
+    rows = t.clauses.where("decision = 'P'").select(F.col("clause").alias("id"), "price")
+    return P.page_with_total(rows, [F.desc("price"), "id"], 20, 40).select("total", "id", "price")
+
+
+@_add("J11_latest_row_join")
+def _(t: Star):
+    last = P.latest(t.clauses, ["project"], [F.desc("reviewed_at"), F.desc("clause")]).select("project", F.col("clause").alias("last_clause"), "decision")
+    return t.projects.join(last, "project", "left").select(F.col("project").alias("id"), "last_clause", "decision")
+
+
+@_add("J12_composite_left")
+def _(t: Star):
+    stats = t.clauses.groupBy("project", (F.col("clause") % 3).alias("revision")).agg(F.count(F.lit(1)).alias("impacts"))
+    return t.projects.join(stats, ["project", "revision"], "left").select(F.col("project").alias("id"), F.coalesce("impacts", F.lit(0)).alias("impacts"))
+
+
+@_add("J13_theta_anti")
+def _(t: Star):
+    """No newer project of the same title and discipline: the first in order, without a comparison of all pairs."""
+    return P.latest(t.projects, ["title", "discipline"], [F.desc("balance"), F.desc("project")]).select(F.col("project").alias("id"), "discipline")
+
+
+@_add("J14_case_key")
+def _(t: Star):
+    asked = t.clauses.withColumn("rank", F.when(F.col("decision") == "F", 1).when(F.col("decision") == "O", 2).otherwise(3))
+    found = t.candidates.select("clause", "rank", F.col("rank").alias("shown"), F.col("section").alias("section_id"))
+    return asked.join(found, ["clause", "rank"], "left").select(F.col("clause").alias("id"), F.col("shown").alias("rank"), "section_id")
+
+
+@_add("J15_chain_left")
+def _(t: Star):
+    active = t.projects.where("state = 'active'")
+    nations = t.table("nation")
+    chain = t.table("region").join(nations, F.col("n_regionkey") == F.col("r_regionkey"), "left").join(active, F.col("discipline") == F.col("n_nationkey"), "left")
+    return chain.groupBy("r_name", "n_name").agg(F.count("project").alias("projects"))
+
+
+@_add("J17_prefix_join")
+def _(t: Star):
+    first = lambda c: F.lower(F.substring(c, 1, 1))
+    nations, parts = t.table("nation").withColumn("prefix", first("n_name")), t.table("part").select(first("p_name").alias("prefix"), "p_size")
+    return nations.join(parts, "prefix").where(F.col("p_size") < F.col("n_nationkey") + 10).groupBy("n_name").agg(F.count(F.lit(1)).alias("parts"))
+
+
+@_add("J18_group_overlap")
+def _(t: Star):
+    """With how many other clauses a clause shares each of its groups; pairs are counted, not made."""
+    return P.partners(t.candidates, "section", "clause").select(F.col("clause").alias("clause_id"), F.col("section").alias("section_id"), "partners")
+
+
+@_add("J19_two_overlaps")
+def _(t: Star):
+    return P.sharing_pairs(t.candidates.select("clause", "section", "code"), "clause", ["section", "code"])
+
+
+@_add("J20_positional")
+def _(t: Star):
+    verdict = F.when(F.col("relation") == "A", "related").when(F.col("relation") == "N", "partial").otherwise("unrelated")
+    verdicts = t.candidates.select("clause", (F.col("rank") - 1).alias("rank"), verdict.alias("verdict"))
+    return t.candidates.select("clause", "rank").join(verdicts, ["clause", "rank"], "left").select(F.col("clause").alias("clause_id"), "rank", F.coalesce("verdict", F.lit("uncertain")).alias("verdict"))
+
+
+@_add("J21_multiset_diff")
+def _(t: Star):
+    rows = t.candidates.select(F.col("clause").alias("clause_id"), F.col("relation").alias("fp"), "rank")
+    diff = P.multiset_diff(rows.where("rank <= 3"), rows.where("rank >= 2 AND rank <= 4"), ["clause_id"], "fp", "rank")
+    return diff.select("clause_id", "fp", "n", F.when(F.col("change") == "moved", "kept").otherwise(F.col("change")).alias("change"))
+
+
+@_add("J22_nearest_previous")
+def _(t: Star):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return t.turns.select("conv_id", "turn", P.last_where(F.col("turn"), F.col("role") == "user", w).alias("previous_user"))
+
+
+@_add("J23_seen_earlier")
+def _(t: Star):
+    w = Window.partitionBy("clause").orderBy("rank").rangeBetween(Window.unboundedPreceding, -1)
+    rows = t.candidates.select(F.col("clause").alias("clause_id"), "rank", F.size(F.collect_set("code").over(w)).cast("long").alias("earlier_codes"))
+    return rows.distinct()
+
+
+@_add("J24_anti_existing")
+def _(t: Star):
+    existing = t.candidates.where("relation = 'N'").select("clause", "code")
+    return t.candidates.where("relation = 'A'").join(existing, ["clause", "code"], "left_anti").select(F.col("clause").alias("clause_id"), "rank")
+
+
+@_add("J25_orphans")
+def _(t: Star):
+    count = lambda rows, kind: rows.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n")).select("kind", "n")
+    active = t.projects.where("state = 'active'")
+    return count(P.orphans(t.clauses, active, "project", "project"), "clause").unionByName(count(P.orphans(t.candidates, t.clauses, "clause", "clause"), "candidate"))
+
 
 # aggregates
-sql_query("A01_conditional_counts", f"{W3} SELECT project_id, count(*) AS total, CAST(sum(CASE WHEN decision = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS keep, CAST(sum(CASE WHEN decision = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS hold, CAST(sum(CASE WHEN decision = 'P' THEN 1 ELSE 0 END) AS BIGINT) AS removed FROM clauses GROUP BY project_id")
-sql_query("A02_count_after_left", f"{W3} SELECT p.id, count(*) AS row_count, count(c.id) AS clauses FROM projects p LEFT JOIN clauses c ON c.project_id = p.id AND c.decision = 'P' GROUP BY p.id")
-sql_query("A03_best_and_count", f"{W3} SELECT clause_id, max(score) AS best, count(rank) AS n FROM candidates GROUP BY clause_id")
-sql_query("A04_count_distinct", f"{W3} SELECT code, count(DISTINCT clause_id) AS clauses, count(DISTINCT CASE WHEN relation = 'R' THEN section_id END) AS rejected FROM candidates GROUP BY code")
-sql_query("A05_scalar_counts", f"{W3} SELECT p.id, (SELECT count(*) FROM clauses c WHERE c.project_id = p.id AND c.price > 200000) AS large FROM projects p")
-sql_query("A06_next_revision", f"{W3} SELECT p.id, coalesce(max(c.id % 7), 0) + 1 AS next_revision FROM projects p LEFT JOIN clauses c ON c.project_id = p.id GROUP BY p.id")
-sql_query("A09_job_rollup", "WITH items AS (SELECT user_id, event_id, event_type, value FROM events) SELECT user_id, count(*) AS items, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS failed, CASE WHEN max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) = 1 THEN 'failed' WHEN count(DISTINCT event_type) = 1 THEN 'uniform' ELSE 'mixed' END AS state, min(CASE WHEN event_type <> 'click' THEN event_id END) AS first_other FROM items GROUP BY user_id")
-sql_query("A10_ir_metrics", f"""{W3}, hits AS (SELECT c.id, min(CASE WHEN k.relation = 'A' THEN k.rank END) AS hit FROM clauses c LEFT JOIN candidates k ON k.clause_id = c.id AND k.rank <= 3 GROUP BY c.id)
-SELECT count(*) AS evaluated, CAST(sum(CASE WHEN hit = 1 THEN 1 ELSE 0 END) AS BIGINT) AS rank1, CAST(sum(CASE WHEN hit IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS found, round(CAST(sum(CASE WHEN hit IS NOT NULL THEN 1 ELSE 0 END) AS DOUBLE) / nullif(count(*), 0), 4) AS recall3, round(sum(CASE WHEN hit IS NULL THEN 0.0 ELSE CAST(1.0 AS DOUBLE) / hit END) / nullif(count(*), 0), 4) AS mrr FROM hits""")
-sql_query("A11_group_breakdown", f"{W3}, domain AS (SELECT 'F' AS decision UNION ALL SELECT 'O' UNION ALL SELECT 'P' UNION ALL SELECT 'X') SELECT d.decision, count(c.id) AS n, CAST(coalesce(sum(CASE WHEN c.price > 100000 THEN 1 ELSE 0 END), 0) AS BIGINT) AS large FROM domain d LEFT JOIN clauses c ON c.decision = d.decision GROUP BY d.decision")
-sql_query("A12_error_signals", f"{W3} SELECT CAST(sum(CASE WHEN relation = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS rejected, CAST(sum(CASE WHEN score < 0.1 THEN 1 ELSE 0 END) AS BIGINT) AS weak, round(CAST(sum(CASE WHEN relation = 'R' OR score < 0.1 THEN 1 ELSE 0 END) AS DOUBLE) / nullif(count(*), 0), 4) AS rate FROM candidates")
-sql_query("A13_coverage_progress", f"{W3} SELECT project_id, count(CASE WHEN id % 3 = 1 THEN 1 END) AS current_version, count(*) AS total FROM clauses GROUP BY project_id")
-sql_query("A14_status_lattice", f"""{W3}, seg AS (SELECT clause_id, rank, CASE relation WHEN 'A' THEN 'covered' WHEN 'N' THEN 'uncertain' ELSE 'missing' END AS status, confidence FROM candidates)
-SELECT clause_id, CASE WHEN max(CASE WHEN status = 'missing' AND confidence > 0.08 THEN 1 ELSE 0 END) = 1 THEN 'conflict' WHEN max(CASE WHEN status = 'uncertain' THEN 1 ELSE 0 END) = 1 THEN 'uncertain' WHEN min(CASE WHEN status = 'covered' THEN 1 ELSE 0 END) = 1 THEN 'fully_covered' WHEN max(CASE WHEN status = 'covered' THEN 1 ELSE 0 END) = 1 THEN 'partially_covered' ELSE 'not_covered' END AS status, min(confidence) AS confidence FROM seg GROUP BY clause_id""")
-sql_query("A15_batch_status", f"{W3} SELECT code, CASE WHEN min(CASE WHEN relation = 'A' THEN 1 ELSE 0 END) = 1 THEN 'full' WHEN max(CASE WHEN relation = 'A' THEN 1 ELSE 0 END) = 1 THEN 'partial' ELSE 'none' END AS status FROM candidates GROUP BY code")
-sql_query("A16_ordered_concat", f"{W3} SELECT clause_id, array_join(transform(array_sort(collect_list(struct(rank, relation))), x -> x.relation), '') AS relations FROM candidates GROUP BY clause_id", f"{W3} SELECT clause_id, string_agg(relation, '' ORDER BY rank, relation) AS relations FROM candidates GROUP BY clause_id")
-sql_query("A17_revision_hash", "SELECT sha2(array_join(array_sort(collect_list(concat(CAST(n_nationkey AS STRING), '|', n_name, '|', CAST(n_regionkey AS STRING)))), '\\n'), 256) AS revision FROM nation", "SELECT sha256(string_agg(row_text, chr(10) ORDER BY row_text)) AS revision FROM (SELECT CAST(n_nationkey AS VARCHAR) || '|' || n_name || '|' || CAST(n_regionkey AS VARCHAR) AS row_text FROM nation)")
-sql_query("A18_raw_integrity", "SELECT sha2(array_join(transform(array_sort(collect_list(struct(page_id, sha2(html, 256) AS h))), x -> concat(CAST(x.page_id AS STRING), ':', x.h)), ','), 256) AS digest FROM pages", "SELECT sha256(string_agg(CAST(page_id AS VARCHAR) || ':' || sha256(html), ',' ORDER BY page_id, html)) AS digest FROM pages")
-sql_query("A19_impact_counts", f"{W3} SELECT count(*) AS impacts, CAST(sum(CASE WHEN decision = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS matched, CAST(sum(CASE WHEN price > 150000 THEN 1 ELSE 0 END) AS BIGINT) AS material, CAST(sum(CASE WHEN decision = 'F' AND price > 150000 THEN 1 ELSE 0 END) AS BIGINT) AS review_required FROM clauses")
-sql_query("A20_retention", f"{W3}, top AS (SELECT clause_id, min(CASE WHEN rank = 1 THEN section_id END) AS first, count(*) AS n FROM candidates WHERE rank <= 3 GROUP BY clause_id), ref AS (SELECT clause_id, max(section_id) AS expected FROM candidates GROUP BY clause_id) SELECT count(*) AS cases, CAST(sum(CASE WHEN top.first = ref.expected THEN 1 ELSE 0 END) AS BIGINT) AS top1, CAST(sum(CASE WHEN EXISTS (SELECT 1 FROM candidates k WHERE k.clause_id = ref.clause_id AND k.rank <= 3 AND k.section_id = ref.expected) THEN 1 ELSE 0 END) AS BIGINT) AS top3 FROM ref JOIN top ON top.clause_id = ref.clause_id")
-sql_query("A21_counter", f"{W3} SELECT relation, count(*) AS n FROM candidates GROUP BY relation")
+
+
+@_add("A01_conditional_counts")
+def _(t: Star):
+    kinds = {"keep": "F", "hold": "O", "removed": "P"}
+    return t.clauses.groupBy(F.col("project").alias("project_id")).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("decision") == v).alias(k) for k, v in kinds.items()])
+
+
+@_add("A02_count_after_left")
+def _(t: Star):
+    return t.projects.join(t.clauses.where("decision = 'P'"), "project", "left").groupBy(F.col("project").alias("id")).agg(F.count(F.lit(1)).alias("row_count"), F.count("clause").alias("clauses"))
+
+
+@_add("A03_best_and_count")
+def _(t: Star):
+    return t.candidates.groupBy(F.col("clause").alias("clause_id")).agg(F.max("score").alias("best"), F.count("rank").alias("n"))
+
+
+@_add("A04_count_distinct")
+def _(t: Star):
+    return t.candidates.groupBy("code").agg(F.count_distinct("clause").alias("clauses"), F.count_distinct(F.when(F.col("relation") == "R", F.col("section"))).alias("rejected"))
+
+
+@_add("A05_scalar_counts")
+def _(t: Star):
+    large = t.clauses.where("price > 200000").groupBy("project").agg(F.count(F.lit(1)).alias("large"))
+    return t.projects.join(large, "project", "left").select(F.col("project").alias("id"), F.coalesce("large", F.lit(0)).alias("large"))
+
+
+@_add("A06_next_revision")
+def _(t: Star):
+    last = t.clauses.groupBy("project").agg(F.max(F.col("clause") % 7).alias("last"))
+    return t.projects.join(last, "project", "left").select(F.col("project").alias("id"), (F.coalesce("last", F.lit(0)) + 1).alias("next_revision"))
+
+
+@_add("A09_job_rollup")
+def _(t: Star):
+    failed, kinds = F.count_if(F.col("status") == "error"), F.count_distinct("status")
+    state = F.when(failed > 0, "failed").when(kinds == 1, "uniform").otherwise("mixed")
+    first = F.min_by("status", F.when(F.col("status") != "click", F.col("seq")))
+    return t.events.groupBy(F.col("entity").alias("user_id")).agg(F.count(F.lit(1)).alias("items"), failed.alias("failed"), state.alias("state"), F.round(F.avg("value"), 6).alias("progress"), F.min(F.when(F.col("status") != "click", F.col("seq"))).alias("first_other"), first.alias("first_status"))
+
+
+@_add("A10_ir_metrics")
+def _(t: Star):
+    first = t.candidates.where("rank <= 3 AND relation = 'A'").groupBy("clause").agg(F.min("rank").alias("hit"))
+    found, n = F.count("hit"), F.count(F.lit(1))
+    mrr = F.round(F.sum(F.coalesce(1.0 / F.col("hit"), F.lit(0.0))) / F.nullif(n, F.lit(0)), 4)
+    return t.clauses.join(first, "clause", "left").agg(n.alias("evaluated"), F.count_if(F.col("hit") == 1).alias("rank1"), found.alias("found"), _rate(found, n).alias("recall3"), mrr.alias("mrr"))
+
+
+@_add("A11_group_breakdown")
+def _(t: Star):
+    domain = t.spark.createDataFrame([(x,) for x in "FOPX"], "decision string")
+    counts = t.clauses.groupBy("decision").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("price") > 100000).alias("large"))
+    return F.broadcast(domain).join(counts, "decision", "left").na.fill(0, ["n", "large"])
+
+
+@_add("A12_error_signals")
+def _(t: Star):
+    rejected, weak = F.col("relation") == "R", F.col("score") < 0.1
+    return t.candidates.agg(F.count_if(rejected).alias("rejected"), F.count_if(weak).alias("weak"), _rate(F.count_if(rejected | weak), F.count(F.lit(1))).alias("rate"))
+
+
+@_add("A13_coverage_progress")
+def _(t: Star):
+    return t.clauses.groupBy(F.col("project").alias("project_id")).agg(F.count_if(F.col("clause") % 3 == 1).alias("current_version"), F.count(F.lit(1)).alias("total"))
+
+
+@_add("A14_status_lattice")
+def _(t: Star):
+    status = F.when(F.col("relation") == "A", "covered").when(F.col("relation") == "N", "uncertain").otherwise("missing")
+    seg = t.candidates.withColumn("status", status)
+    some = lambda c: F.bool_or(c)
+    merged = F.when(some((F.col("status") == "missing") & (F.col("confidence") > 0.08)), "conflict").when(some(F.col("status") == "uncertain"), "uncertain").when(F.bool_and(F.col("status") == "covered"), "fully_covered").when(some(F.col("status") == "covered"), "partially_covered").otherwise("not_covered")
+    return seg.groupBy(F.col("clause").alias("clause_id")).agg(merged.alias("status"), F.min("confidence").alias("confidence"))
+
+
+@_add("A15_batch_status")
+def _(t: Star):
+    covered = F.col("relation") == "A"
+    return t.candidates.groupBy("code").agg(F.when(F.bool_and(covered), "full").when(F.bool_or(covered), "partial").otherwise("none").alias("status"))
+
+
+@_add("A16_ordered_concat")
+def _(t: Star):
+    return t.candidates.groupBy(F.col("clause").alias("clause_id")).agg(P.ordered_concat(["rank", "relation"], "relation", "").alias("relations"))
+
+
+@_add("A17_revision_hash")
+def _(t: Star):
+    line = F.concat_ws("|", F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string"))
+    return P.rolled_digest(t.table("nation").select(line.alias("row")), "row", ["row"]).withColumnRenamed("digest", "revision")
+
+
+@_add("A18_raw_integrity")
+def _(t: Star):
+    key = F.col("page_id").cast("string")
+    return P.rolled_digest(t.table("pages").select(key.alias("key"), F.concat(key, F.lit(":"), F.sha2("html", 256)).alias("row")), "key", ["row"])
+
+
+@_add("A19_impact_counts")
+def _(t: Star):
+    matched, material = F.col("decision") == "F", F.col("price") > 150000
+    return t.clauses.agg(F.count(F.lit(1)).alias("impacts"), F.count_if(matched).alias("matched"), F.count_if(material).alias("material"), F.count_if(matched & material).alias("review_required"))
+
+
+@_add("A20_retention")
+def _(t: Star):
+    expected = F.max("section").over(Window.partitionBy("clause"))
+    near = t.candidates.withColumn("expected", expected).where("rank <= 3")
+    per = near.groupBy("clause").agg((F.min(F.when(F.col("rank") == 1, F.col("section"))) == F.first("expected")).alias("first"), F.bool_or(F.col("section") == F.col("expected")).alias("within"))
+    return per.agg(F.count(F.lit(1)).alias("cases"), F.count_if("first").alias("top1"), F.count_if("within").alias("top3"))
+
+
+@_add("A21_counter")
+def _(t: Star):
+    return t.candidates.groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+
 
 # windows
-sql_query("W01_latest_of_title", f"{W3} SELECT id, title, CAST(row_number() OVER (PARTITION BY title ORDER BY balance DESC, id DESC) AS INT) AS n FROM projects")
-sql_query("W02_count_of_title", f"{W3} SELECT id, count(*) OVER (PARTITION BY title, discipline) AS same FROM projects")
-sql_query("W03_latest_submission", f"{W3} SELECT project_id, id FROM (SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY price DESC, id DESC) AS n FROM clauses) WHERE n = 1")
-sql_query("W04_latest_rematch", f"{W3} SELECT project_id, id FROM (SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY reviewed_at DESC, id DESC) AS n FROM clauses) WHERE n = 1")
-sql_query("W05_lag_lead_context", "SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS previous_role, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous_text, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn FROM conversations")
-sql_query("W06_top3_visible", f"{W3} SELECT clause_id, rank, CAST(n AS INT) AS shown FROM (SELECT clause_id, rank, row_number() OVER (PARTITION BY clause_id ORDER BY rank) AS n FROM candidates WHERE NOT (relation = 'R' AND confidence >= 0.05)) WHERE n <= 3")
-sql_query("W07_rerank", f"{W3} SELECT clause_id, rank AS old_rank, CAST(row_number() OVER (PARTITION BY clause_id ORDER BY rank) AS INT) AS rank FROM candidates WHERE relation <> 'R'")
-sql_query("W08_last_substantive", "SELECT conv_id, turn, last_value(CASE WHEN length(text) > 200 THEN turn END) IGNORE NULLS OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS substantive, last_value(CASE WHEN length(text) > 200 THEN turn END) IGNORE NULLS OVER (PARTITION BY conv_id, role ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS same_role FROM conversations", "SELECT conv_id, turn, last_value(CASE WHEN length(text) > 200 THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS substantive, last_value(CASE WHEN length(text) > 200 THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id, role ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS same_role FROM conversations")
-sql_query("W10_first_of_key", f"{W3} SELECT code, clause_id, rank FROM (SELECT code, clause_id, rank, row_number() OVER (PARTITION BY code ORDER BY clause_id, rank) AS n FROM candidates) WHERE n = 1")
-sql_query("W11_relative_to_best", f"{W3} SELECT clause_id, rank, round(score / max(score) OVER (PARTITION BY clause_id), 6) AS relative FROM candidates")
-sql_query("W13_occurrence", f"{W3} SELECT clause_id, rank, CAST(row_number() OVER (PARTITION BY clause_id, relation ORDER BY rank) AS INT) AS occurrence FROM candidates")
+
+
+@_add("W01_latest_of_title")
+def _(t: Star):
+    w = Window.partitionBy("title").orderBy(F.desc("balance"), F.desc("project"))
+    return t.projects.select(F.col("project").alias("id"), "title", F.row_number().over(w).alias("n"))
+
+
+@_add("W02_count_of_title")
+def _(t: Star):
+    """The count of a title is aggregated and joined back, so that no task holds all projects of one."""
+    same = t.projects.groupBy("title", "discipline").agg(F.count(F.lit(1)).alias("same"))
+    return t.projects.join(same, ["title", "discipline"]).select(F.col("project").alias("id"), "same")
+
+
+@_add("W03_latest_submission")
+def _(t: Star):
+    return P.latest(t.clauses, ["project"], [F.desc("price"), F.desc("clause")]).select(F.col("project").alias("project_id"), F.col("clause").alias("id"))
+
+
+@_add("W04_latest_rematch")
+def _(t: Star):
+    return P.latest(t.clauses, ["project"], [F.desc("reviewed_at"), F.desc("clause")]).select(F.col("project").alias("project_id"), F.col("clause").alias("id"))
+
+
+@_add("W05_lag_lead_context")
+def _(t: Star):
+    rows = P.neighbours(t.turns, ["conv_id"], "turn", ["role", "text", "turn"])
+    return rows.select("conv_id", "turn", F.col("prev_role").alias("previous_role"), F.col("prev_text").alias("previous_text"), "next_role", "next_turn")
+
+
+@_add("W06_top3_visible")
+def _(t: Star):
+    shown = F.row_number().over(Window.partitionBy("clause").orderBy("rank"))
+    visible = t.candidates.where(~((F.col("relation") == "R") & (F.col("confidence") >= 0.05)))
+    return visible.withColumn("shown", shown).where("shown <= 3").select(F.col("clause").alias("clause_id"), "rank", "shown")
+
+
+@_add("W07_rerank")
+def _(t: Star):
+    rank = F.row_number().over(Window.partitionBy("clause").orderBy("rank"))
+    return t.candidates.where("relation <> 'R'").select(F.col("clause").alias("clause_id"), F.col("rank").alias("old_rank"), rank.alias("rank"))
+
+
+@_add("W08_last_substantive")
+def _(t: Star):
+    substantive = F.length("text") > 200
+    of = lambda *keys: P.last_where(F.col("turn"), substantive, Window.partitionBy(*keys).orderBy("turn"))
+    return t.turns.select("conv_id", "turn", of("conv_id").alias("substantive"), of("conv_id", "role").alias("same_role"))
+
+
+@_add("W10_first_of_key")
+def _(t: Star):
+    return t.candidates.groupBy("code").agg(F.min(F.struct("clause", "rank")).alias("first")).select("code", F.col("first.clause").alias("clause_id"), "first.rank")
+
+
+@_add("W11_relative_to_best")
+def _(t: Star):
+    return t.candidates.select(F.col("clause").alias("clause_id"), "rank", F.round(F.col("score") / F.max("score").over(Window.partitionBy("clause")), 6).alias("relative"))
+
+
+@_add("W13_occurrence")
+def _(t: Star):
+    return t.candidates.select(F.col("clause").alias("clause_id"), "rank", F.row_number().over(Window.partitionBy("clause", "relation").orderBy("rank")).alias("occurrence"))
+
 
 # order, pages, samples
-sql_query("L01_keyset_page", f"{W3} SELECT id, balance FROM projects WHERE balance < 5000 OR (balance = 5000 AND id < 100) ORDER BY balance DESC, id DESC LIMIT 51")
-sql_query("L02_offset_page", f"{W3} SELECT id, price FROM clauses ORDER BY price DESC, id LIMIT 50 OFFSET 100")
-sql_query("L03_tie_broken_order", f"{W3} SELECT id, CAST(row_number() OVER (ORDER BY discipline, title, id) AS INT) AS place FROM projects WHERE state = 'archived'")
-sql_query("L04_pools", f"{W3} SELECT code, clause_id, rank FROM (SELECT code, clause_id, rank, row_number() OVER (PARTITION BY code ORDER BY score DESC, clause_id, rank) AS n FROM candidates) WHERE n <= 40")
-sql_query("L08_explicit_quota", f"""{W3}, leveled AS (SELECT clause_id, rank, CASE WHEN explicit AND f = 1 THEN 0 WHEN operation THEN 1 ELSE 2 END AS level FROM (SELECT clause_id, rank, section_id % 13 = 0 AS explicit, relation = 'A' AS operation, row_number() OVER (PARTITION BY clause_id, code, section_id % 13 = 0 ORDER BY rank) AS f FROM candidates))
-SELECT clause_id, rank, CAST(n AS INT) AS place FROM (SELECT clause_id, rank, row_number() OVER (PARTITION BY clause_id ORDER BY level, rank) AS n FROM leveled) WHERE n <= 3""")
-sql_query("L09_dedupe_first", f"{W3} SELECT clause_id, rank FROM (SELECT clause_id, rank, row_number() OVER (PARTITION BY clause_id, code, relation ORDER BY rank) AS n FROM candidates) WHERE n = 1")
-sql_query("L10_retention", f"{W3} SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY project_id ORDER BY reviewed_at DESC, id DESC) AS n FROM clauses) WHERE n > 10")
+
+
+@_add("L01_keyset_page")
+def _(t: Star):
+    """The page behind a cursor that went out to a client and came back; its filters are those that it was made for."""
+    filters = {"state": "", "title": ""}
+    after = P.decode_cursor(P.encode_cursor((5000.0, 100), filters), filters)
+    return P.keyset_page(t.projects.select(F.col("project").alias("id"), "balance"), "balance", "id", 50, after)
+
+
+@_add("L02_offset_page")
+def _(t: Star):
+    return t.clauses.orderBy(F.desc("price"), "clause").offset(100).limit(50).select(F.col("clause").alias("id"), "price")
+
+
+@_add("L03_tie_broken_order")
+def _(t: Star):
+    """Places in the whole order: the place within a discipline behind the rows of those before it."""
+    rows = t.projects.where("state = 'archived'")
+    return P.placed(rows, "discipline", ["title", "project"], "place").select(F.col("project").alias("id"), "place")
+
+
+@_add("L04_pools")
+def _(t: Star):
+    n = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("score"), "clause", "rank"))
+    return t.candidates.withColumn("n", n).where("n <= 40").select("code", F.col("clause").alias("clause_id"), "rank")
+
+
+@_add("L08_explicit_quota")
+def _(t: Star):
+    explicit = F.col("section") % 13 == 0
+    first = F.row_number().over(Window.partitionBy("clause", "code", explicit).orderBy("rank"))
+    level = F.when(explicit & (first == 1), 0).when(F.col("relation") == "A", 1).otherwise(2)
+    place = F.row_number().over(Window.partitionBy("clause").orderBy("level", "rank"))
+    return t.candidates.withColumn("level", level).withColumn("place", place).where("place <= 3").select(F.col("clause").alias("clause_id"), "rank", "place")
+
+
+@_add("L09_dedupe_first")
+def _(t: Star):
+    return t.candidates.groupBy("clause", "code", "relation").agg(F.min("rank").alias("rank")).select(F.col("clause").alias("clause_id"), "rank")
+
+
+@_add("L10_retention")
+def _(t: Star):
+    n = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("reviewed_at"), F.desc("clause")))
+    return t.clauses.withColumn("n", n).where("n > 10").select(F.col("clause").alias("id"))
+
 
 # sets
-sql_query("U02_union_with_source", f"{W3} SELECT clause_id, rank, 'scoped' AS source FROM candidates WHERE relation = 'A' UNION ALL SELECT clause_id, rank, 'global' FROM candidates WHERE score > 0.9")
-sql_query("U03_intersection", f"{W3} SELECT DISTINCT clause_id FROM candidates WHERE relation = 'A' INTERSECT SELECT clause_id FROM candidates WHERE relation = 'R'")
-sql_query("U04_added_removed", f"{W3} SELECT 'added' AS change, count(*) AS n FROM (SELECT clause_id, code FROM candidates WHERE rank >= 2 EXCEPT SELECT clause_id, code FROM candidates WHERE rank <= 3) a UNION ALL SELECT 'removed', count(*) FROM (SELECT clause_id, code FROM candidates WHERE rank <= 3 EXCEPT SELECT clause_id, code FROM candidates WHERE rank >= 2) b")
-sql_query("U06_exact_cover", f"{W3} SELECT clause_id, count(*) = count(DISTINCT rank) AND min(rank) = 1 AND max(rank) = count(*) AS exact FROM candidates GROUP BY clause_id")
+
+
+@_add("U02_union_with_source")
+def _(t: Star):
+    part = lambda rows, source: rows.select(F.col("clause").alias("clause_id"), "rank", F.lit(source).alias("source"))
+    return part(t.candidates.where("relation = 'A'"), "scoped").unionByName(part(t.candidates.where("score > 0.9"), "global"))
+
+
+@_add("U03_intersection")
+def _(t: Star):
+    has = lambda r: t.candidates.where(F.col("relation") == r).select(F.col("clause").alias("clause_id"))
+    return has("A").intersect(has("R"))
+
+
+@_add("U04_added_removed")
+def _(t: Star):
+    """Both differences in one grouping: a key is added if only the later side holds it, removed if only the earlier one does."""
+    held = t.candidates.groupBy("clause", "code").agg(F.bool_or(F.col("rank") >= 2).alias("after"), F.bool_or(F.col("rank") <= 3).alias("before"))
+    counts = held.agg(F.count_if(F.col("after") & ~F.col("before")).alias("added"), F.count_if(F.col("before") & ~F.col("after")).alias("removed"))
+    return counts.select(F.stack(F.lit(2), F.lit("added"), "added", F.lit("removed"), "removed").alias("change", "n"))
+
+
+@_add("U06_exact_cover")
+def _(t: Star):
+    n = F.count(F.lit(1))
+    return t.candidates.groupBy(F.col("clause").alias("clause_id")).agg(((n == F.count_distinct("rank")) & (F.min("rank") == 1) & (F.max("rank") == n)).alias("exact"))

@@ -32,28 +32,26 @@ def _top_sql(source: str, k: int) -> str:
     return f"SELECT query, doc, score, CAST(n AS INT) AS rank FROM (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS n FROM (SELECT query, doc, round(score, 6) AS score FROM {source})) WHERE n <= {k}"
 
 
-#: The index of one corpus at a time, kept as postings; another corpus or session drops it.
-_index: dict[tuple[str, str], DataFrame] = {}
-
-
 def _posts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Postings of sections and clauses, and the collection's row. One file is one task: sections are dealt out before they are cut."""
-    revision = (spark.sparkContext.applicationId, sf_dir)
-    if revision not in _index:
-        for old in _index.values():
-            old.unpersist()
-        _index.clear()
-        docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
-        _index[revision] = I.postings(docs, "doc_id", I.latin_tokens(F.col("text"))).persist()
-    posts = _index[revision]
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    posts = I.postings(docs.repartition("doc_id"), "doc_id", I.latin_tokens(F.col("text")))
     asked = I.postings(table(spark, sf_dir, "benchmark"), "item_id", I.latin_tokens(F.col("text")), "query")
-    return posts, asked, I.collection(table(spark, sf_dir, "documents"), posts)
+    return posts, asked, I.collection(docs, posts)
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts, asked, stats = _posts(spark, sf_dir)
+    return I.pair_scores(I.asked_terms(asked, posts, stats), I.term_index(posts, stats))
+
+
+def _top(pairs: DataFrame, column: str, k: int) -> DataFrame:
+    return I.top(pairs.select("query", "doc", F.col(column).alias("score")), k)
 
 
 @query("R03_bm25_top3", f"WITH {SQL_POSTS}, {SQL_BM25} {_top_sql('bm', 3)}")
 def bm25_top3(spark, sf_dir):
-    posts, asked, stats = _posts(spark, sf_dir)
-    return I.top(I.bm25_scores(asked, posts, stats), 3)
+    return _top(_pairs(spark, sf_dir), "bm25", 3)
 
 
 @query("A07_df_stats", f"WITH {SQL_POSTS} SELECT term, df FROM df WHERE df > 1")
@@ -64,8 +62,7 @@ def df_stats(spark, sf_dir):
 @query("R01_tfidf_weights", f"WITH {SQL_POSTS}, {SQL_TFIDF} SELECT doc, count(*) AS terms, round(max(w), 6) AS heaviest FROM dw GROUP BY doc")
 def tfidf_weights(spark, sf_dir):
     posts, _, stats = _posts(spark, sf_dir)
-    w = I.tfidf_weights(posts, I.document_frequencies(posts), stats)
-    return w.groupBy("doc").agg(F.count(F.lit(1)).alias("terms"), F.round(F.max("weight"), 6).alias("heaviest"))
+    return I.term_index(posts, stats).groupBy("doc").agg(F.count(F.lit(1)).alias("terms"), F.round(F.max("weight"), 6).alias("heaviest"))
 
 
 @query("A08_l2_norms", f"WITH {SQL_POSTS} SELECT doc, round(sqrt(sum(tf * tf)), 6) AS norm FROM dp GROUP BY doc")
@@ -75,8 +72,7 @@ def l2_norms(spark, sf_dir):
 
 @query("R02_tfidf_top3", f"WITH {SQL_POSTS}, {SQL_TFIDF} {_top_sql('ti', 3)}")
 def tfidf_top3(spark, sf_dir):
-    posts, asked, stats = _posts(spark, sf_dir)
-    return I.top(I.tfidf_scores(asked, posts, stats), 3)
+    return _top(_pairs(spark, sf_dir), "tfidf", 3)
 
 
 SQL_HYBRID = """
@@ -86,16 +82,13 @@ hy AS (SELECT query, doc, 0.82 * coalesce(t, 0) + 0.18 * CASE WHEN m > 0 THEN co
 
 @query("R04_hybrid_top3", f"WITH {SQL_POSTS}, {SQL_TFIDF}, {SQL_BM25}, {SQL_HYBRID} {_top_sql('hy', 3)}")
 def hybrid_top3(spark, sf_dir):
-    posts, asked, stats = _posts(spark, sf_dir)
-    return I.top(I.hybrid_scores(I.tfidf_scores(asked, posts, stats), I.bm25_scores(asked, posts, stats)), 3)
+    return I.top(I.hybrid_scores(_pairs(spark, sf_dir)), 3)
 
 
 @query("U01_full_outer_scores", f"WITH {SQL_POSTS}, {SQL_TFIDF}, {SQL_BM25} SELECT query, count(*) AS docs, round(sum(b), 4) AS bm25 FROM (SELECT coalesce(ti.query, bm.query) AS query, coalesce(bm.score, 0) AS b FROM ti FULL JOIN bm ON ti.query = bm.query AND ti.doc = bm.doc) GROUP BY query")
 def full_outer_scores(spark, sf_dir):
-    posts, asked, stats = _posts(spark, sf_dir)
-    t, b = I.tfidf_scores(asked, posts, stats), I.bm25_scores(asked, posts, stats).withColumnRenamed("score", "b")
-    both = t.join(b, ["query", "doc"], "full").na.fill(0.0, ["b"])
-    return both.groupBy("query").agg(F.count(F.lit(1)).alias("docs"), F.round(F.sum("b"), 4).alias("bm25"))
+    """Both scores share their terms, so a pair that one of them knows is known to the other."""
+    return _pairs(spark, sf_dir).groupBy("query").agg(F.count(F.lit(1)).alias("docs"), F.round(F.sum("bm25"), 4).alias("bm25"))
 
 
 SQL_OVERLAP = """
@@ -106,19 +99,17 @@ ov AS (SELECT c.query, c.doc, least(1.0, 0.62 * common / ql + 0.38 * common / dl
 
 @query("R20_token_overlap", f"WITH {SQL_POSTS}, {SQL_OVERLAP} {_top_sql('ov', 3)}")
 def token_overlap(spark, sf_dir):
-    posts, asked, _ = _posts(spark, sf_dir)
-    return I.top(I.overlap_scores(asked, posts), 3)
+    return _top(_pairs(spark, sf_dir), "overlap", 3)
 
 
 @query("R21_overlap_final", f"""WITH {SQL_POSTS}, {SQL_OVERLAP}, s AS (SELECT o.query, o.doc, round(CASE WHEN d.lang = 'en' THEN 1.0 ELSE 0.72 END * (0.84 * o.score + 0.08 * CASE WHEN d.lang = 'en' THEN 1 ELSE 0 END), 6) AS score, o.score AS rel, d.source FROM ov o JOIN documents d ON d.doc_id = o.doc),
 f AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query, source ORDER BY score DESC, doc) AS u FROM s WHERE rel >= 0.1)
 SELECT query, doc, score, CAST(n AS INT) AS rank FROM (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS n FROM f WHERE u = 1) WHERE n <= 3""")
 def overlap_final(spark, sf_dir):
-    posts, asked, _ = _posts(spark, sf_dir)
     info = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "lang", "source")
-    s = I.overlap_scores(asked, posts).where("score >= 0.1").join(info, "doc")
+    s = _pairs(spark, sf_dir).where("overlap >= 0.1").join(info, "doc")
     in_scope = F.col("lang") == "en"
-    s = s.withColumn("score", F.round(F.when(in_scope, 1.0).otherwise(0.72) * (0.84 * F.col("score") + 0.08 * F.coalesce(in_scope, F.lit(False)).cast("int")), 6))
+    s = s.withColumn("score", F.round(F.when(in_scope, 1.0).otherwise(0.72) * (0.84 * F.col("overlap") + 0.08 * F.coalesce(in_scope, F.lit(False)).cast("int")), 6))
     return I.top(R.first_per_key(s, ["query", "source"], [F.desc("score"), "doc"]), 3).select("query", "doc", "score", "rank")
 
 
@@ -144,23 +135,19 @@ SELECT query, doc, code, score, CAST(n AS INT) AS rank FROM (SELECT query, r.doc
 def catalog_router(spark, sf_dir):
     parts, posts, asked = _grams(spark, sf_dir)
     codes = parts.select(F.col("p_partkey").alias("doc"), F.col("p_brand").alias("code"))
-    n = parts.agg(F.count(F.lit(1)).alias("n_docs"))
-    scored = I.tfidf_scores(asked, posts, n).join(codes, "doc").withColumn("score", F.round("score", 6)).where("score > 0")
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "code", "doc"))).where("rank <= 5").select("query", "doc", "code", "score", "rank")
+    return I.catalogue_routes(asked, posts, codes, I.collection(parts, posts)).select("query", "doc", "code", "score", "rank")
 
 
-@query("R07_stable_score", f"""WITH {SQL_GRAMS}, c AS (SELECT q.query, d.doc, sum(q.tf * d.tf) AS dot FROM sp q JOIN kp d USING (term) GROUP BY q.query, d.doc),
-qn AS (SELECT query, sqrt(sum(tf * tf)) AS n FROM sp GROUP BY query), dn AS (SELECT doc, sqrt(sum(tf * tf)) AS n FROM kp GROUP BY doc)
-SELECT c.query, c.doc, round(CASE WHEN c.doc % 2 = 0 THEN b ELSE b * 0.72 END, 6) AS score FROM (SELECT c.query, c.doc, 0.82 * least(1.0, 0.9 * least(1.0, 1.8 * dot / (qn.n * dn.n))) + 0.18 AS b FROM c JOIN qn USING (query) JOIN dn USING (doc) WHERE c.doc <= 200) c""")
-def stable_score(spark, sf_dir):
-    _, posts, asked = _grams(spark, sf_dir)
-    c = I.count_cosine(asked, posts.where("doc <= 200"))
-    yes, no = F.lit(True), F.lit(False)
-    return c.select("query", "doc", F.round(R.stable_score(F.col("cosine"), F.lit(0.0), yes, no, F.col("doc") % 2 == 0, no, no), 6).alias("score"))
+SQL_COVER = r"""
+kt AS (SELECT DISTINCT p_partkey AS doc, unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]{2,}|\d+(?:\.\d+)?')) AS t FROM part),
+st AS (SELECT DISTINCT n_nationkey AS query, unnest(regexp_extract_all(lower(n_name || ' promo steel'), '[a-z]{2,}|\d+(?:\.\d+)?')) AS t FROM nation),
+cv AS (SELECT st.query, kt.doc, count(*) / (SELECT count(*) FROM st x WHERE x.query = st.query) AS share FROM st JOIN kt USING (t) GROUP BY st.query, kt.doc)"""
 
 
-@query("R07_all_stable_score")
-def all_stable_score(spark, sf_dir):
+@query("R07_stable_score", f"""WITH {SQL_GRAMS}, {SQL_COVER}, c AS (SELECT q.query, d.doc, sum(q.tf * d.tf) AS dot FROM sp q JOIN kp d USING (term) GROUP BY q.query, d.doc),
+qn AS (SELECT query, sqrt(sum(tf * tf)) AS n FROM sp GROUP BY query), dn AS (SELECT doc, sqrt(sum(tf * tf)) AS n FROM kp GROUP BY doc)
+SELECT c.query, c.doc, round((0.82 * least(1.0, 0.9 * least(1.0, 1.8 * dot / (qn.n * dn.n)) + 0.1 * coalesce(share, 0)) + 0.18) * CASE WHEN c.doc % 2 = 0 THEN 1 ELSE 0.72 END, 6) AS score FROM c JOIN qn ON qn.query = c.query JOIN dn ON dn.doc = c.doc LEFT JOIN cv ON cv.query = c.query AND cv.doc = c.doc""")
+def stable_score(spark, sf_dir):
     _, posts, asked = _grams(spark, sf_dir)
     tokens = lambda name, i, to, *c: I.postings(table(spark, sf_dir, name), i, F.array_distinct(I.latin_tokens(F.concat_ws(" ", *c))), to)
     coverage = I.token_coverage(tokens("nation", "n_nationkey", "query", "n_name", F.lit("promo steel")), tokens("part", "p_partkey", "doc", "p_name", "p_type"))
@@ -179,47 +166,15 @@ x AS (SELECT query, doc, round(coalesce(s, o) + 0.08 * p / max(p) OVER (PARTITIO
 
 @query("R11_rrf_fusion", f"WITH {SQL_POSTS}, {SQL_TFIDF}, {SQL_OVERLAP}, {SQL_FUSED} SELECT query, doc, final, CAST(n AS INT) AS rank FROM (SELECT query, doc, final, row_number() OVER (PARTITION BY query ORDER BY final DESC, doc) AS n FROM x) WHERE n <= 10")
 def rrf_fusion(spark, sf_dir):
-    posts, asked, stats = _posts(spark, sf_dir)
-    lists = [("scoped", I.tfidf_scores(asked, posts, stats)), ("keyword", I.overlap_scores(asked, posts))]
-    parts = [I.top(s, 20).select("query", F.lit(i).alias("list_id"), F.lit(name).alias("source"), "doc", "score") for i, (name, s) in enumerate(lists)]
+    pairs = _pairs(spark, sf_dir)
+    lists = [("scoped", "tfidf"), ("keyword", "overlap")]
+    parts = [_top(pairs, c, 20).select("query", F.lit(i).alias("list_id"), F.lit(name).alias("source"), "doc", "score") for i, (name, c) in enumerate(lists)]
     return R.fuse(parts[0].unionByName(parts[1])).where("rank <= 10").select("query", "doc", "final", "rank")
 
 
 @query("R10_weak_scope", f"WITH {SQL_POSTS}, {SQL_OVERLAP} SELECT query, (count(*) < 40 OR count(CASE WHEN s >= 0.25 THEN 1 END) < 3 OR max(s) < 0.45) AS weak FROM (SELECT query, round(score, 6) AS s, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS n FROM ov) WHERE n <= 40 GROUP BY query")
 def weak_scope(spark, sf_dir):
-    posts, asked, _ = _posts(spark, sf_dir)
-    return R.weak_scope(I.top(I.overlap_scores(asked, posts), 40), 40)
-
-
-@query("R12_concept_probes", "SELECT q.item_id AS query, d.doc_id AS doc, (CASE WHEN q.text LIKE '%the%' AND d.text LIKE '%tion%' THEN 1 ELSE 0 END + CASE WHEN q.text LIKE '%of%' AND d.text LIKE '%with%' THEN 1 ELSE 0 END) AS hits FROM benchmark q JOIN documents d ON d.doc_id % 40 = q.item_id % 40 WHERE d.lang = 'en'")
-def concept_probes(spark, sf_dir):
-    q, d = table(spark, sf_dir, "benchmark").alias("q"), table(spark, sf_dir, "documents").where("lang = 'en'").alias("d")
-    concept = lambda a, b: (F.col("q.text").contains(a) & F.col("d.text").contains(b)).cast("int")
-    both = q.join(d, F.col("d.doc_id") % 40 == F.col("q.item_id") % 40)
-    return both.select(F.col("item_id").alias("query"), F.col("doc_id").alias("doc"), (concept("the", "tion") + concept("of", "with")).alias("hits"))
-
-
-#: What a query holds, and what a document must hold to answer it.
-CONCEPTS = [("the", "tion"), ("of", "with")]
-
-
-@query("R12_all_concept_probes")
-def all_concept_probes(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("doc"), "text")
-    found = lambda rows, i, side: rows.select(i, F.explode(F.array_compact(F.array(*[F.when(F.col("text").contains(c[side]), n) for n, c in enumerate(CONCEPTS)]))).alias("concept"))
-    asked, held = found(q, "query", 0), found(d, "doc", 1)
-    # only queries and documents with a concept can gain, so only they are scored
-    q, d = q.join(asked, "query", "left_semi"), d.join(held, "doc", "left_semi")
-    key = F.regexp_replace(F.lower(F.col("text")), "[^0-9a-z가-힣]", "")
-    grams = lambda rows, i, name: I.postings(rows, i, X.char_ngrams(key), name)
-    tokens = lambda rows, i, name: I.postings(rows, i, F.array_distinct(I.latin_tokens(F.col("text"))), name)
-    cosine, coverage = I.count_cosine(grams(q, "query", "query"), grams(d, "doc", "doc")), I.token_coverage(tokens(q, "query", "query"), tokens(d, "doc", "doc"))
-    yes, no = F.lit(True), F.lit(False)
-    base = R.stable_score(F.coalesce("cosine", F.lit(0.0)), F.coalesce("coverage", F.lit(0.0)), yes, no, yes, no, no)
-    pairs = asked.join(held, "concept").select("query", "doc").distinct()
-    scores = pairs.join(cosine, ["query", "doc"], "left").join(coverage, ["query", "doc"], "left").select("query", "doc", base.alias("score"))
-    return R.concept_probes(asked, held, scores)
+    return R.weak_scope(_top(_pairs(spark, sf_dir), "overlap", 40), 40)
 
 
 @query("R13_final_score", "SELECT l_orderkey AS id, l_linenumber AS n, CASE WHEN l_partkey % 50 = 0 THEN 1.0 ELSE round(greatest(0.0, least(1.0, 0.82 * (l_quantity / 50) * (1 - l_discount) + 0.08 * l_tax * 10 + 0.03 * (l_suppkey % 2) + 0.07 * (l_suppkey % 3 // 2))), 6) END AS score FROM lineitem")
@@ -239,17 +194,11 @@ def embedding_blend(spark, sf_dir):
 
 
 @query("T46_cosine_topk", """SELECT query, doc, score, CAST(n AS INT) AS rank FROM (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS n FROM
-(SELECT q.vec_id AS query, d.vec_id AS doc, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id < 20)) WHERE n <= 5""")
+(SELECT q.vec_id AS query, d.vec_id AS doc, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0)) WHERE n <= 5""")
 def cosine_topk(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("embedding").alias("a"), "label")
-    both = q.join(e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("b"), "label"), "label").where("query <> doc")
-    return I.top(both.select("query", "doc", X.cosine(F.col("a"), F.col("b")).alias("score")), 5)
-
-
-@query("T46_all_cosine_topk")
-def all_cosine_topk(spark, sf_dir):
-    return I.nearest_vectors(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 5)
+    """Every vector whose id is divisible by 100 asks all others."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return I.nearest_vectors(vectors, 5, asking=F.col("id") % 100 == 0)
 
 
 @query("E01_rank_without_vectors", "SELECT o_orderkey AS id, round(coalesce(0.65 * (o_totalprice / 600000) + 0.35 * CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 0.5 END, o_totalprice / 600000), 11) AS score FROM orders WHERE o_totalprice >= 150000")
@@ -297,13 +246,13 @@ def evidence_first(spark, sf_dir):
     return R.with_evidence_first(r.where("exact").drop("exact"), r.where("not exact").drop("exact"))
 
 
-@query("R24_distinct_texts", "SELECT count(*) AS row_count, count(DISTINCT text) AS texts FROM documents")
-def distinct_texts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("text").alias("texts"))
-
-
-@query("R06_explicit_scope", "SELECT item_id AS query, coalesce(CASE WHEN item_id % 3 = 0 THEN 'KCS 41' END, CASE WHEN text LIKE '%the%' THEN 'keyword' END, 'KCS 41') AS scope FROM benchmark")
-def explicit_scope(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark")
-    return q.select(F.col("item_id").alias("query"), F.coalesce(F.when(F.col("item_id") % 3 == 0, "KCS 41"), F.when(F.col("text").contains("the"), "keyword"), F.lit("KCS 41")).alias("scope"))
+@query("R24_embedding_groups", """WITH v AS (SELECT text, min(doc_id) % 500 AS vec FROM documents GROUP BY text), g AS (SELECT d.source AS query, d.doc_id AS doc, e.embedding FROM documents d JOIN v ON v.text = d.text JOIN embeddings e ON e.vec_id = v.vec),
+b AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)
+SELECT query, count(*) AS docs, round(max(greatest(-1.0, least(1.0, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[]))))), 5) AS best FROM g, b GROUP BY query""")
+def embedding_groups(spark, sf_dir):
+    """Scores of the texts of each group: a text is embedded once, however many groups hold it, and its vector joined back by its digest."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("source").alias("query"), F.col("doc_id").alias("doc"), F.sha2("text", 256).alias("digest"))
+    e = table(spark, sf_dir, "embeddings")
+    vectors = docs.groupBy("digest").agg((F.min("doc") % 500).alias("vec_id")).join(e.select("vec_id", "embedding"), "vec_id").select("digest", "embedding")
+    scored = I.group_scores(docs, vectors, e.where("vec_id = 0").select("embedding"))
+    return scored.groupBy("query").agg(F.count(F.lit(1)).alias("docs"), F.round(F.max("score"), 5).alias("best"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lintel.functions import links as L
 from lintel.functions import quantities as N
 from lintel.functions import text as X
+from lintel.operators import coverage as C
 from lintel.operators import relational as P
 from lintel.operators import review as V
 from lintel.plans.registry import query, table
@@ -44,10 +46,10 @@ def exact_table_rows(spark, sf_dir):
     return V.matching_table_rows(left, right, "clause", "row")
 
 
-@query("T33_omitted_prefixes", _values("n, codes, ambiguous", [(0, "KS L 3201|KS L 3202|KS L ISO 5019", False), (1, "KS D 3101", True), (2, "", False)]))
+@query("T33_omitted_prefixes", _values("n, codes, ambiguous", [(0, "KS L 3201|KS L 3202|KS L ISO 5019", False), (1, "KS D 3101", True), (2, "", False), (3, "KS L ISO 5019|KS L ISO 3111|KS L ISO 3113", True), (4, "KS D 3503", False)]))
 def omitted_prefixes(spark, sf_dir):
-    rows = spark.createDataFrame([(0, "KS L 3201, 3202 및 KS L ISO 5019"), (1, "KS D 3101-5"), (2, "없음")], "n int, t string")
-    return rows.select("n", V.standard_references(F.col("t")).alias("r")).select("n", F.array_join("r.codes", "|").alias("codes"), F.col("r.ambiguous").alias("ambiguous"))
+    rows = spark.createDataFrame([(0, "KS L 3201, 3202 및 KS L ISO 5019"), (1, "KS D 3101-5"), (2, "없음"), (3, "KS L ISO 5019-1~6, 3111, 3113"), (4, "ksd-3503 KS D 3503, 35031")], "n int, t string")
+    return rows.select("n", L.standard_references(F.col("t")).alias("r")).select("n", F.array_join("r.codes", "|").alias("codes"), F.col("r.ambiguous").alias("ambiguous"))
 
 
 @query("T36_test_fields", _values("id, fields", [(1, "시험 항목=강도;시험 방법=KS F 2405;시험 빈도=1회;비고="), (2, "종별=벽돌;시험 항목=흡수율;시험 방법=KS L 4201;시험 빈도=매회;비고=-")]))
@@ -63,22 +65,12 @@ def standards_analysis(spark, sf_dir):
     return rows.select("id", F.array_join(refs, "|").alias("refs"), F.array_join(V.missing_references(refs, F.col("candidates")), "|").alias("missing"))
 
 
-@query("R22_related_references", "SELECT o AS clause, CAST(n AS INT) AS rank, code FROM (SELECT o, code, row_number() OVER (PARTITION BY o ORDER BY code) AS n FROM (SELECT DISTINCT a.l_orderkey AS o, b.l_suppkey AS code FROM lineitem a JOIN lineitem b ON b.l_partkey = a.l_partkey AND b.l_orderkey <> a.l_orderkey WHERE a.l_orderkey % 20 = 0 AND NOT EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey = a.l_orderkey AND x.l_suppkey = b.l_suppkey))) WHERE n <= 3")
+@query("R22_related_references", "SELECT o AS clause, CAST(n AS INT) AS rank, code FROM (SELECT o, code, row_number() OVER (PARTITION BY o ORDER BY code) AS n FROM (SELECT DISTINCT a.l_orderkey AS o, b.l_suppkey AS code FROM lineitem a JOIN lineitem b ON b.l_partkey = a.l_partkey AND b.l_orderkey <> a.l_orderkey WHERE NOT EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey = a.l_orderkey AND x.l_suppkey = b.l_suppkey))) WHERE n <= 3")
 def related_references(spark, sf_dir):
-    lines = _references(spark, sf_dir)
-    return V.related_references(lines.where("clause % 20 = 0"), lines, 3)
-
-
-@query("R22_all_related_references")
-def all_related_references(spark, sf_dir):
-    lines = _references(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("clause"), F.col("l_partkey").alias("topic"), F.col("l_suppkey").alias("code"))
     return V.related_references(lines, lines, 3)
 
 
-def _references(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("clause"), F.col("l_partkey").alias("topic"), F.col("l_suppkey").alias("code"))
-
-
 @query("P01_source_positions", _values("clause, page", [(1, 1), (2, 1), (3, 2), (4, None)]))
 def source_positions(spark, sf_dir):
     pages = spark.createDataFrame([("d", 1, "1. 일반 (1) 벽돌을 쌓는다"), ("d", 2, "(2) 줄눈 10 mm 벽돌을 쌓는다")], "doc string, page int, text string")
@@ -86,17 +78,38 @@ def source_positions(spark, sf_dir):
     return V.source_positions(clauses, pages).select("clause", "page")
 
 
-@query("S10_contextual_labels", _values("n, label", [(1, "1"), (2, "1.2"), (3, "1.2(1)"), (4, "1.2(1)-가."), (5, "1.2(2)"), (6, "2")]))
+@query("S10_contextual_labels", _values("n, label, path", [(1, "1", "일반"), (2, "1.2", "일반 > 재료"), (3, "1.2(1)", "일반 > 재료"), (4, "1.2(1)-가.", "일반 > 재료"), (5, "1.2(2)", "일반 > 재료"), (6, "2", "시공"), (7, "2.1", "시공 > 준비"), (8, "2.1.3", "시공 > 준비 > 청소"), (9, "2.2", "시공 > 쌓기")]))
 def contextual_labels(spark, sf_dir):
-    rows = spark.createDataFrame([("d", 1, "1. 일반"), ("d", 2, "1.2 재료"), ("d", 3, "(1) 벽돌"), ("d", 4, "가. 점토"), ("d", 5, "(2) 타일"), ("d", 6, "2. 시공")], "doc string, n int, text string")
-    return V.contextual_labels(rows, "doc", "n", "text").select("n", F.col("full_label").alias("label"))
+    texts = ["1. 일반", "1.2 재료", "(1) 벽돌", "가. 점토", "(2) 타일", "2. 시공", "2.1 준비", "2.1.3 청소", "2.2 쌓기"]
+    rows = spark.createDataFrame([("d", i + 1, t) for i, t in enumerate(texts)], "doc string, n int, text string")
+    return V.contextual_labels(rows, "doc", "n", "text").select("n", F.col("full_label").alias("label"), F.col("section_path").alias("path"))
+
 
+_ENTRIES = ["1. 일반", "1.1 적용", "1.2 재료", "2. 시공", "3. 검사"]
+#: Documents by name: texts, places of page breaks.
+_FRONT = {
+    "marked": (["표지", "목차", *[f"{e} .... {i}" for i, e in enumerate(_ENTRIES)], *_ENTRIES], []),
+    "broken": (["차례", "1. 일반", "2. 시공", "", "머리말", "1. 일반"], [2]),
+    "goes on": (["CONTENTS", "1. 일반 .. 1", "2. 시공 .. 2", "3. 검사 .. 3", "1. 일반", "본문"], [2]),
+    "implied": ([*_ENTRIES, *_ENTRIES, "본문"], []),
+    "later": ([*_ENTRIES, "머리말", "본문", *_ENTRIES], []),
+    "no anchors": ([*_ENTRIES, "머리말", "1. 일반", "2. 시공", "1.1 적용"], []),
+    "short": (["1. 일반", "2. 시공", "1. 일반", "2. 시공"], []),
+    "nested": (["1.1 적용", "1.2 재료", "1.3 제출", "1.4 품질", "1.5 운반", "1.1 적용", "1.2 재료", "1.3 제출"], []),
+}
 
-@query("S09_contents_regions", _values("n", [(2,), (3,), (4,), (5,), (6,)]))
+
+@query("S09_contents_regions", _values("doc, body_start", [("marked", 7), ("broken", 4), ("goes on", 4), ("implied", 5), ("later", 7)]))
 def contents_regions(spark, sf_dir):
-    texts = ["목차", "1. 일반 .... 1", "1.1 적용 .... 1", "1.2 재료 .... 2", "2. 시공 .... 3", "3. 검사 .... 5", "1. 일반"]
-    rows = spark.createDataFrame([("d", i + 1, t) for i, t in enumerate(texts)], "doc string, n int, text string")
-    return V.contents_entries(rows, "doc", "n", "text", 5).select("n")
+    rows = [(doc, i, "paragraph", t, False, i in breaks) for doc, (texts, breaks) in _FRONT.items() for i, t in enumerate(texts)]
+    return V.body_starts(spark.createDataFrame(rows, "doc string, pos int, kind string, text string, toc_style boolean, page_break boolean"))
+
+
+@query("E11_contents_entries", _values("n, label, title, locator", [(0, "1.2", "재료", True), (1, "3", "검사", True), (2, None, None, False), (3, "4", "시공", False), (4, None, None, True)]))
+def contents_entries(spark, sf_dir):
+    texts = ["1.2 재료 ..... 12", "3. 검사\t7", "본문", " 4. 시공 ", "(1) 벽돌 … 3"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").withColumn("e", V.contents_entry(F.col("t")))
+    return rows.select("n", "e.label", "e.title", F.col("t").rlike(V.PAGE_LOCATOR).alias("locator"))
 
 
 @query("R09_synonym_recovery", _values("q, d", [(1, 10), (2, 11)]))
@@ -125,21 +138,44 @@ def neighbour_columns(spark, sf_dir):
     return P.neighbours(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", ["role"]).select("conv_id", "turn", "prev_role", "next_role")
 
 
-@query("C01_numeric_guard", _values("n, lost", [(0, False), (1, True)]))
-def numeric_guard(spark, sf_dir):
-    rows = spark.createDataFrame([(0, "줄눈 10 mm", "줄눈 1 cm"), (1, "줄눈 10 mm", "줄눈 8 mm")], "n int, a string, b string")
-    return rows.select("n", F.array_contains(N.differences(F.col("a"), F.col("b"))["categories"], "quantity").alias("lost"))
+_OWN, _BRICK = "내화벽돌 조적용 내화몰탈은 KS L 3202에 따른다.", "내화벽돌 쌓기에 사용하는 모르타르는 {0}에 적합한 것을 사용한다."
+
+
+@query("T34_standard_links", _values("n, links", [(0, "KS L 3202 indirect"), (1, "KS L 3202 explicit"), (2, ""), (3, ""), (4, ""), (5, "KS L 3202 indirect")]))
+def standard_links(spark, sf_dir):
+    texts = [(_OWN, _BRICK.format("한국산업표준")), (_OWN, _BRICK.format("KS L 3202")), (_OWN, _BRICK.format("KS L 5201")), ("내화몰탈은 KS L 5201에 따른다.", _BRICK.format("한국산업표준")), (_OWN, "시멘트 모르타르는 한국산업표준에 적합하여야 한다."), ("[원문 상위 문맥] 조적\n[현재 요구사항] " + _OWN, "[KCS 상위 문맥] 벽돌\n[KCS 본문] " + _BRICK.format("한국 산업 표준"))]
+    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "n int, a string, b string")
+    links = F.transform(L.standard_links(F.col("a"), F.col("b")), lambda x: F.concat_ws(" ", x["standard"], x["reference_type"]))
+    return rows.select("n", F.array_join(links, "|").alias("links"))
 
 
-@query("E31_reason_of_decision", _values("n, ok", [(0, True), (1, False)]))
+@query("C03_guards", _values("n, status", [(0, "covered"), (1, "uncertain"), (2, "uncertain"), (3, "uncertain"), (4, "not_covered"), (5, "covered")]))
+def guards(spark, sf_dir):
+    cases = [
+        ("covered", "줄눈 두께 10 mm", "줄눈 두께 1 cm"), ("covered", "줄눈 두께 10 mm", "줄눈 두께 8 mm"), ("covered", "내화 모르타르를 바른다", "단열 모르타르를 바른다"),
+        ("covered", _OWN, _BRICK.format("한국산업표준")), ("not_covered", "줄눈 두께 10 mm", "줄눈 두께 8 mm"), ("covered", _OWN, _BRICK.format("KS L 3202")),
+    ]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "n int, status string, a string, b string")
+    return rows.select("n", C.guarded(F.col("status"), F.col("a"), F.col("b")).alias("status"))
+
+
+@query("E31_reason_of_decision", _values("n, ok", [(0, True), (1, False), (2, True), (3, False), (4, True), (5, False), (6, True)]))
 def reason_of_decision(spark, sf_dir):
-    allowed = F.create_map(F.lit("keep"), F.array(F.lit("own")), F.lit("delete"), F.array(F.lit("covered"), F.lit("obsolete")))
-    rows = spark.createDataFrame([(0, "delete", "covered"), (1, "keep", "covered")], "n int, decision string, reason string")
-    return rows.select("n", F.coalesce(F.array_contains(F.element_at(allowed, F.col("decision")), F.col("reason")), F.lit(False)).alias("ok"))
+    cases = [("delete", "fully_covered_by_kcs", "a", ""), ("keep", "fully_covered_by_kcs", "a", ""), ("keep", "partial_overlap_residual", "a", "b"), ("keep", "partial_overlap_residual", "a", " a "), ("hold", "kcs_conflict", "a", ""), ("drop", "x", "a", ""), (None, None, "a", "")]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "n int, decision string, reason string, content string, edited string")
+    return rows.select("n", C.valid_decision(*[F.col(c) for c in ("decision", "reason", "content", "edited")]).alias("ok"))
+
+
+_SPOTS = "i IN (SELECT CAST(round_even(j * (n - 1) / CAST(want - 1 AS DOUBLE), 0) AS BIGINT) FROM (SELECT unnest(range(50)) AS j) WHERE j < want)"
 
 
-@query("Q01_quality_sample", "SELECT cohort, count(*) AS n FROM (SELECT o_orderstatus AS cohort, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS i FROM orders) WHERE i <= CASE cohort WHEN 'F' THEN 12 WHEN 'O' THEN 23 ELSE 15 END GROUP BY cohort")
+@query("Q01_quality_sample", f"""WITH r AS (SELECT l_orderkey AS id, CASE WHEN max(l_quantity / 50 * CAST(l_returnflag <> 'R' AS INT)) = 0 THEN 'no_candidate' WHEN max(l_quantity / 50 * CAST(l_returnflag <> 'R' AS INT)) >= 0.45 THEN 'high' ELSE 'review' END AS cohort FROM lineitem GROUP BY l_orderkey),
+p AS (SELECT *, CASE cohort WHEN 'high' THEN 12 WHEN 'review' THEN 23 ELSE 15 END AS want, row_number() OVER (PARTITION BY cohort ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY cohort) AS n FROM r),
+s AS (SELECT id, cohort FROM p WHERE n <= want OR {_SPOTS}),
+t AS (SELECT id, cohort, 50 - (SELECT count(*) FROM s) AS want, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM r WHERE id NOT IN (SELECT id FROM s))
+SELECT id, cohort FROM s UNION ALL SELECT id, cohort FROM t WHERE want > 0 AND (n <= want OR CASE WHEN want = 1 THEN i = n // 2 ELSE {_SPOTS} END)""")
 def quality_sample(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").withColumn("i", F.row_number().over(Window.partitionBy("o_orderstatus").orderBy("o_orderkey")))
-    want = F.when(F.col("o_orderstatus") == "F", 12).when(F.col("o_orderstatus") == "O", 23).otherwise(15)
-    return rows.where(F.col("i") <= want).groupBy(F.col("o_orderstatus").alias("cohort")).agg(F.count(F.lit(1)).alias("n"))
+    score = F.max(F.when(F.col("l_returnflag") != "R", F.col("l_quantity") / 50))
+    cohort = F.when(score.isNull(), "no_candidate").when(score >= 0.45, "high").otherwise("review")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(cohort.alias("cohort"))
+    return P.stratified_sample(rows, "cohort", {"high": 12, "review": 23, "no_candidate": 15}, ["id"], 50)

@@ -45,10 +45,24 @@ def corpus_versions(spark, sf_dir):
     return S.sections(S.latest_versions(S.versions(files))).select("code", "version", "label", "content")
 
 
-@query("T40_chunks")
+@query("T40_chunks", "SELECT doc_id, sha256(coalesce(text, '')) AS joined, true AS short, length(coalesce(text, '')) <= 2000 AS one FROM documents")
 def chunks(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return S.chunked(docs, "doc_id", "text", 2000).select("id", "n", F.length("chunk").alias("chars"), F.sha2("chunk", 256).alias("digest"))
+    """Pieces of every document: together they are the text, and none is too long."""
+    pieces = table(spark, sf_dir, "documents").select("doc_id", S.chunks(F.col("text"), 2000).alias("p"))
+    return pieces.select("doc_id", F.sha2(F.array_join("p", ""), 256).alias("joined"), F.forall("p", lambda x: F.length(x) <= 2000).alias("short"), (F.size("p") == 1).alias("one"))
+
+
+@query("T40_cuts", "SELECT * FROM (VALUES (0, 'ab, cde |fgh'), (1, 'abcdefgh|ij'), (2, 'abcdef |gh.ijk'), (3, 'a；bcde；|fg'), (4, ''), (5, 'a.bcdefg|hi')) AS t(n, pieces)")
+def cuts(spark, sf_dir):
+    texts = ["ab, cde fgh", "abcdefghij", "abcdef gh.ijk", "a；bcde；fg", None, "a.bcdefghi"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    return rows.select("n", F.array_join(S.chunks(F.col("t"), 8), "|").alias("pieces"))
+
+
+@query("T41_segments", "SELECT * FROM (VALUES (1, 1, '가나다.', false), (1, 2, '라마바 사', false), (1, 3, '아자차카타파하 ', true), (1, 4, '거너더', true), (2, 1, '(1) x;', false), (2, 2, 'y', false)) AS t(id, n, segment, was_split)")
+def segments(spark, sf_dir):
+    rows = spark.createDataFrame([(1, "가나다.라마바\u00a0사\n아자차카타파하 거너더"), (2, " (1)  x; y "), (3, None)], "id int, t string")
+    return S.source_segments(rows, "id", "t", 10)
 
 
 @query("T42_greedy_batches", "SELECT * FROM (VALUES (0, '0,0,1,1,2'), (1, '0,0,0'), (2, '')) AS t(n, batches)")
@@ -59,12 +73,18 @@ def greedy_batches(spark, sf_dir):
 
 @query("X01_stream", "SELECT event_type AS status, count(*) AS n FROM events GROUP BY event_type")
 def stream_counts(spark, sf_dir):
-    """The events file as a stream, counted by status; the stream ends when what has arrived is worked off."""
-    stream = Q.event_stream(spark, sf_dir).groupBy(F.col("event_type").alias("status")).agg(F.count(F.lit(1)).alias("n"))
-    name = f"lintel_x01_{abs(hash(sf_dir)) % 10**8}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    """The events file as a stream that is worked off in order, a folder a batch; the statuses of what came out."""
+    base = Q.scratch(spark, "x01")
+    Q.run_queue(Q.event_stream(spark, sf_dir), f"{base}/out", f"{base}/state", lambda df: df.select("event_id", "event_type"), ["ts", "event_id"]).awaitTermination()
+    return spark.read.parquet(f"{base}/out").groupBy(F.col("event_type").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("X01_latest_by_stream", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
+def latest_by_stream(spark, sf_dir):
+    """The last event of each user, kept by a stream."""
+    base = Q.scratch(spark, "latest")
+    Q.keep_latest(Q.event_stream(spark, sf_dir).select("user_id", "event_id"), f"{base}/out", f"{base}/state", ["user_id"], "event_id").awaitTermination()
+    return Q.kept(spark, f"{base}/out")
 
 
 @query("X03_illegal_steps", "SELECT * FROM (VALUES ('a', 3), ('b', 2)) AS t(entity, seq)")

@@ -15,6 +15,9 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+from lintel.functions import text as X
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 CLAUSES = "path string, source_order int, source_type string, outline_level int, label string, text string, context string"
@@ -99,7 +102,7 @@ class _Tables(HTMLParser):
         elif self.stack and tag in ("td", "th"):
             if not self.stack[-1]["rows"]:
                 self.stack[-1]["rows"].append([])
-            span = lambda k: max(1, min(100, int(attrs[k]))) if (attrs.get(k) or "").isdecimal() else 1
+            span = lambda k: max(1, min(SPAN_LIMIT, int(attrs[k]))) if (attrs.get(k) or "").isdecimal() else 1
             self.stack[-1]["cell"] = [[], span("rowspan"), span("colspan")]
             self.stack[-1]["rows"][-1].append(self.stack[-1]["cell"])
 
@@ -114,28 +117,31 @@ class _Tables(HTMLParser):
             self.stack[-1]["cell"][0].append(data)
 
 
+#: Fixed value: the widest and deepest span that a cell may have.
+SPAN_LIMIT = 100
+
+
+def spread(rows: list[list[tuple[str, int, int]]]) -> list[dict[int, str]]:
+    """The slots of a table's rows. A cell (text, rows, columns) takes the first free slot of its row and fills its whole rectangle, the
+    slots in rows below included, so that those rows find them taken; nothing reaches below the last row."""
+    slots: list[dict[int, str]] = [{} for _ in rows]
+    for r, cells in enumerate(rows):
+        column = 0
+        for text, down, across in cells:
+            while column in slots[r]:
+                column += 1
+            for line in slots[r : r + down]:
+                line.update(dict.fromkeys(range(column, column + across), text))
+            column += across
+    return slots
+
+
 def table_rows(html: str | None) -> list[tuple[int, int, list[str]]]:
     """(table, row, cells) with the values of row and column spans repeated in every cell that they cover."""
     parser = _Tables()
     parser.feed(html or "")
-    out = []
-    for t, tab in enumerate(parser.tables):
-        held: dict[int, list] = {}  # column -> [text, rows left]
-        for r, row in enumerate(tab["rows"]):
-            cells = {c: v[0] for c, v in held.items()}
-            held = {c: [v[0], v[1] - 1] for c, v in held.items() if v[1] > 1}
-            c = 0
-            for parts, down, across in row:
-                while c in cells:
-                    c += 1
-                text = re.sub(r"\s+", " ", "".join(parts)).strip()
-                for k in range(c, c + across):
-                    cells[k] = text
-                    if down > 1:
-                        held[k] = [text, down - 1]
-                c += across
-            out.append((t, r, [cells[k] for k in sorted(cells)]))
-    return out
+    clean = lambda cell: (re.sub(r"\s+", " ", "".join(cell[0])).strip(), cell[1], cell[2])
+    return [(t, r, [line[c] for c in sorted(line)]) for t, table in enumerate(parser.tables) for r, line in enumerate(spread([list(map(clean, row)) for row in table["rows"]]))]
 
 
 def read_tables(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
@@ -191,27 +197,38 @@ def with_context(rows: DataFrame, dependent: Column, substantive: Column) -> Dat
     return marked.withColumn("back", F.when(dependent, F.coalesce(before(same), before(doc)))).withColumn("ahead", ahead).drop("_s")
 
 
+#: The last place of a cut in a window: behind punctuation, else behind white space.
+_CUTS = [re.compile(r"(?s).*[.!?。;；,:，、]"), re.compile(r"(?s).*[ \n\t]")]
+
+
 def split_chunks(text: str | None, most: int) -> list[str]:
-    """Pieces of at most `most` characters; a cut prefers punctuation in the second half of its window, else white space, else it is hard."""
-    text, out = (text or "").strip(), []
-    while len(text) > most:
-        window = text[:most]
-        cut = max((m.end() for m in re.finditer(r"[.!?。;,]\s|\n", window) if m.end() > most // 2), default=0)
-        cut = cut or max((m.start() for m in re.finditer(r"\s", window) if m.start() > most // 2), default=0) or most
-        out.append(text[:cut].strip())
-        text = text[cut:].strip()
-    return [*out, text] if text else out
+    """Pieces of at most `most` characters that make up the text again; a cut prefers the last punctuation mark in the second half of its
+    window, else the last white space there, else it is hard. An empty text is one empty piece."""
+    text, out, at = text or "", [], 0
+    while len(text) - at > most:
+        window = text[at : at + most]
+        found = next((m.end() for p in _CUTS if (m := p.match(window, max(1, most // 2)))), most)
+        out.append(window[:found])
+        at += found
+    return [*out, text[at:]]
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
-    """id, n, chunk."""
+@F.pandas_udf(ArrayType(StringType()))
+def _chunks(texts: pd.Series, most: pd.Series) -> pd.Series:
+    return pd.Series([split_chunks(t, int(n)) for t, n in zip(texts, most, strict=True)])
+
+
+def chunks(c: Column, most: int) -> Column:
+    """array<string> of the pieces of a text."""
+    return _chunks(F.coalesce(c, F.lit("")), F.lit(most))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([(i, n, c) for i, t in zip(pdf["id"], pdf["text"], strict=True) for n, c in enumerate(split_chunks(t, most))], columns=["id", "n", "chunk"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(cut, f"id {kind}, n int, chunk string")
+def source_segments(docs: DataFrame, id_col: str, text_col: str, most: int = 2000) -> DataFrame:
+    """id, n (from 1), segment, was_split: the sentences of a text, each cut into pieces if it is too long."""
+    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(X.sentences(F.col(text_col))).alias("s", "sentence"))
+    pieces = rows.select("id", "s", chunks(F.col("sentence"), most).alias("pieces")).select("id", "s", F.posexplode("pieces").alias("p", "segment"), (F.size("pieces") > 1).alias("was_split"))
+    n = F.row_number().over(Window.partitionBy("id").orderBy("s", "p"))
+    return pieces.select("id", n.alias("n"), "segment", "was_split")
 
 
 def greedy_batches(lengths: Column, count: int, chars: int) -> Column:

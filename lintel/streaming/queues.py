@@ -5,6 +5,8 @@ is keyed by batch or entity, so that a repeat changes nothing."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,17 +47,65 @@ def run_queue(stream: DataFrame, target: str, checkpoint: str, work: Callable[[D
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def keep_latest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: str):
-    """Keeps one row of each key, the last by order, in two alternating tables; a repeated batch gives the same table."""
+def keep_latest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: str, buckets: int = 64):
+    """Keeps one row of each key, the last by order, in buckets of keys. A batch writes anew only the buckets that it touches, as that
+    batch's version of them; then versions that no later batch reads are deleted. A repeated batch gives the same versions."""
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        old = spark.read.schema(df.schema).parquet(f"{target}/{number - 1}") if number else spark.createDataFrame([], df.schema)
-        upsert(old, latest(df, keys, [F.desc(order)]), keys, order).write.mode("overwrite").parquet(f"{target}/{number}")
+        spark, schema = df.sparkSession, df.schema
+        dealt = latest(df, keys, [F.desc(order)]).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = sorted(r["bucket"] for r in dealt.select("bucket").distinct().collect())  # at most `buckets`
+        held = {b: v for b, v in _versions(spark, target, number - 1).items() if b in touched}
+        paths = [f"{target}/version={v}/bucket={b}" for b, v in held.items()]
+        old = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+        fresh = upsert(old, dealt.drop("bucket"), keys, order).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/version={number}")
+        _delete(spark, [f"{target}/version={v}/bucket={b}" for b, v in _versions(spark, target, number - 2).items() if b in held and held[b] != v])
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _versions(spark: SparkSession, target: str, upto: int | None = None) -> dict[int, int]:
+    """Of each bucket the newest version, of batches up to one."""
+    store, path = _files(spark, target)
+    found: dict[int, int] = {}
+    if store.exists(path):
+        for v in store.listStatus(path):
+            number = int(v.getPath().getName().partition("=")[2])
+            if upto is None or number <= upto:
+                for b in store.listStatus(v.getPath()):
+                    name, _, bucket = b.getPath().getName().partition("=")
+                    if name == "bucket":
+                        found[int(bucket)] = max(number, found.get(int(bucket), -1))
+    return found
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        store, p = _files(spark, path)
+        store.delete(p, True)
+
+
+def kept(spark: SparkSession, target: str) -> DataFrame:
+    """The table that keep_latest keeps."""
+    return spark.read.parquet(*[f"{target}/version={v}/bucket={b}" for b, v in _versions(spark, target).items()])
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the cluster's shared one (spark.checkpoint.dir); a temporary one only in a session on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="lintel-")
+    return f"{shared}/lintel-{name}-{uuid.uuid4().hex}"
+
+
 def first_per_key(stream: DataFrame, keys: list[str], time: str, delay: str = "1 day") -> DataFrame:
     """Idempotent enqueueing: later rows of a key are dropped while the watermark remembers it."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)

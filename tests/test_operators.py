@@ -72,3 +72,34 @@ def test_upsert_last_wins(spark):
     new = spark.createDataFrame([(2, "c", 1), (2, "d", 2), (3, "e", 1)], "k int, v string, o int")
     assert {r["k"]: r["v"] for r in relational.upsert(old, new, ["k"], "o").collect()} == {1: "a", 2: "d", 3: "e"}
     assert {r["k"]: r["v"] for r in relational.upsert(old, new, ["k"], "o", overwrite=False).collect()}[2] == "b"
+
+
+def test_spread_sample_by_keys_with_ties(spark):
+    rows = spark.createDataFrame([(k, i // 7, i) for k in ("a", "b") for i in range(300 if k == "a" else 5)], "k string, x int, id int")
+    got = relational.spread_sample(rows, ["k"], ["x", "id"], 12, buckets=8)
+    for k, n in (("a", 300), ("b", 5)):
+        want = {round(j * (n - 1) / 11) for j in range(12)} if n > 12 else set(range(n))
+        assert {r["id"] for r in got.where(F.col("k") == k).collect()} == want
+
+
+def test_stratified_sample_is_topped_up(spark):
+    rows = spark.range(100).select("id", F.when(F.col("id") < 90, "x").otherwise("y").alias("c"))
+    got = relational.stratified_sample(rows, "c", {"x": 12, "y": 23}, ["id"], 50)
+    assert got.count() == 50 and got.where("c = 'y'").count() == 10 and got.distinct().count() == 50
+
+
+def test_rolled_digest_does_not_depend_on_partitions(spark):
+    rows = spark.range(500).select(F.col("id").cast("string").alias("key"), F.concat(F.lit("v"), "id").alias("row"))
+    digests = {relational.rolled_digest(df, "key", ["row"]).first()[0] for df in (rows, rows.repartition(7), rows.orderBy(F.rand()))}
+    assert len(digests) == 1 and relational.rolled_digest(rows.where("key <> '3'"), "key", ["row"]).first()[0] not in digests
+
+
+def test_query_blocks_give_the_same_scores(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 13}" for j in range(1, 9))) for i in range(40)], "id int, text string")
+    terms = F.split("text", " ")
+    posts, asked = index.postings(docs, "id", terms), index.postings(docs.where("id < 6"), "id", terms, "query")
+    stats = index.collection(docs, posts)
+    scores = lambda: {(r["query"], r["doc"]): (round(r["tfidf"], 9), round(r["bm25"], 9), round(r["overlap"], 9)) for r in index.pair_scores(index.asked_terms(asked, posts, stats), index.term_index(posts, stats)).collect()}
+    whole = scores()
+    monkeypatch.setattr(index, "ASKED_ROWS", 10)
+    assert scores() == whole

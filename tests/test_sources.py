@@ -13,11 +13,16 @@ def test_spans_stop_at_their_end():
     assert [r[2] for r in rows] == [["a", "b"], ["a", "c"], ["d", "e"]]
 
 
-def test_chunks_keep_every_word():
-    text = "One sentence. " * 50 + "x" * 300
+def test_chunks_keep_every_character():
+    text = "One sentence. " * 50 + "x" * 300 + " \n"
     parts = S.split_chunks(text, 100)
-    assert max(map(len, parts)) <= 100 and "".join("".join(parts).split()) == "".join(text.split())
-    assert S.split_chunks(None, 10) == []
+    assert max(map(len, parts)) <= 100 and "".join(parts) == text and all(p.endswith(".") for p in parts[:5])
+    assert S.split_chunks(None, 10) == [""]
+
+
+def test_spans_fill_rectangles():
+    rows = S.table_rows("<table><tr><td rowspan=3 colspan=2>a<td>b</tr><tr><td rowspan=9>c<td>d</tr><tr></tr></table>")
+    assert [r[2] for r in rows] == [["a", "a", "b"], ["a", "a", "c", "d"], ["a", "a", "c"]]
 
 
 def test_corpus_folder(spark, tmp_path):

@@ -54,6 +54,8 @@ def test_uuid5_matches_the_standard_library(spark):
         assert one(spark, identity.uuid5(str(NAMESPACE_DNS), F.col("a")), a=name) == str(uuid5(NAMESPACE_DNS, name))
 
 
-def test_semantic_fingerprint_ignores_spacing(spark):
-    rows = spark.createDataFrame([("KCS 41-34", "제목", "a  b", ["w", "v"]), ("kcs4134", "제 목", "ab", ["v", "w", "w"])], "c string, t string, x string, w array<string>")
-    assert rows.select(identity.semantic_fingerprint(*map(F.col, "ctxw")).alias("f")).distinct().count() == 1
+def test_semantic_fingerprint_ignores_spacing_case_and_width(spark):
+    rows = spark.createDataFrame([("KCS 41-34", "1", "제목", "a  b", ["w", "v"]), ("kcs4134", " 1 ", "제목 ", "Ａ b", ["v", "w ", "w", " "])], "c string, n string, t string, x string, w array<string>")
+    assert rows.select(identity.semantic_fingerprint(*map(F.col, "cntxw")).alias("f")).distinct().count() == 1
+    other = rows.limit(1).withColumn("n", F.lit("2")).unionByName(rows.limit(1).withColumn("x", F.lit("ab"))).unionByName(rows.limit(1))
+    assert other.select(identity.semantic_fingerprint(*map(F.col, "cntxw")).alias("f")).distinct().count() == 3
