@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from lintel.llm.words import slices
 
-RANK_SHIFT, MEMO = 3.0, 400_000
+#: A worker forgets its segments once it holds more of them, or more edges, than this; the second bound holds for texts without spaces.
+RANK_SHIFT, MEMO, MEMO_EDGES = 3.0, 400_000, 8_000_000
 SEGMENTS = re.compile(r"\n| +(?= [^ \n])| +(?=\n|\Z)| ?[^ \n]+")
 
 
@@ -153,7 +154,7 @@ class PieceSampler:
 
     def encode(self, texts: list[str | None], keys: list) -> list[np.ndarray]:
         """A sampled segmentation of each text, as piece ids."""
-        if len(self.at) > MEMO:
+        if len(self.at) > MEMO or self.edges > MEMO_EDGES:
             self.clear()
         split = [SEGMENTS.findall(t) if t else [] for t in texts]
         flat = [s for x in split for s in x]
