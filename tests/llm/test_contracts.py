@@ -330,3 +330,14 @@ def test_quoted_archives_are_no_records():
 
 def test_word_lists_are_whole():
     assert word_lists(["Ab cd", None, "e1f"])[0] == ["ab", "cd", "e", "f"]
+
+
+def test_samples_do_not_depend_on_the_memo(monkeypatch):
+    from lintel.llm import sampled_pieces
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    texts = ["x" * 3000, "a word " * 40, "größe" * 500, "a word"]
+    want = [x.tolist() for x in sampled_pieces.PieceSampler(model).encode(texts, [1, 2, 3, 4])]
+    monkeypatch.setattr(sampled_pieces, "MEMO_EDGES", 100)
+    small = sampled_pieces.PieceSampler(model)
+    assert [small.encode([t], [i + 1])[0].tolist() for i, t in enumerate(texts)] == want
