@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.llm.common import columns_of, unused
-from lintel.llm.words import WordMemo, letters, slices, sums, word_lists
+from lintel.llm.words import WordMemo, held, letters, slices, sums, word_lists
 
 ORDER = 5
 UND = "und"
@@ -236,10 +236,6 @@ def fit(sample: pd.DataFrame, hold: int = 5) -> LanguageModel | None:
     return model
 
 
-#: The model a worker scores with, and its memo.
-_memo: list = [None, None]
-
-
 def identify(docs: DataFrame, train: DataFrame | None = None, per_language: int = 800, text_col: str = "text", prefix: str = "") -> DataFrame:
     """`docs` with lang_pred, score, rejected and entropy, names led by `prefix`; columns that bore these names are replaced.
 
@@ -254,12 +250,11 @@ def identify(docs: DataFrame, train: DataFrame | None = None, per_language: int
 
     @F.pandas_udf(PREDICTED)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if _memo[0] is not shared.value:
-            _memo[:] = [shared.value, WordMemo(shared.value.word_costs)]
+        memo = held(shared.value, lambda: WordMemo(shared.value.word_costs))
         for texts in batches:
             texts = texts.tolist()
-            parts = [shared.value.predict(texts[a:b], _memo[1]) for a, b in slices(texts)]
-            yield pd.concat(parts, ignore_index=True) if parts else shared.value.predict([], _memo[1])
+            parts = [shared.value.predict(texts[a:b], memo) for a, b in slices(texts)]
+            yield pd.concat(parts, ignore_index=True) if parts else shared.value.predict([], memo)
 
     found = unused(docs.columns, "_found")
     return docs.withColumn(found, predict(F.col(f"`{text_col}`"))).select(*kept, *(F.col(f"{found}.{c}").alias(f"{prefix}{c}") for c in fields))
@@ -267,6 +262,6 @@ def identify(docs: DataFrame, train: DataFrame | None = None, per_language: int
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    held = F.coalesce(id_class(4) == 2, F.lit(False))
-    found = identify(docs.select("doc_id", "text"), train=docs.where(~held))
-    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected", "entropy")
+    held_out = F.coalesce(id_class(4) == 2, F.lit(False))
+    found = identify(docs.select("doc_id", "text"), train=docs.where(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected", "entropy")

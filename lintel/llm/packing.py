@@ -26,9 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.llm.common import rank_within, staged
+from lintel.llm.words import held
 
 #: Text is tokenised in slices of about so many characters, and a worker remembers so many chunks.
-SLICE_CHARS, MEMO = 1 << 20, 1_000_000
+SLICE_CHARS, MEMO = 1 << 20, 500_000
 # Fixed values of the vocabulary: how it cuts normalised text into words, and byte-level letters. Below U+0300 normalisation is
 # lower-casing letter by letter; text beyond, with a letter whose lower case is two, or with special tokens is left to the library.
 WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\d\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\s\w]|_)+")
@@ -101,9 +102,6 @@ class ChunkTokenizer:
         return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
-_tokenizers: dict[str, ChunkTokenizer] = {}
-
-
 def slices(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
     """(position of the first, UTF-8 texts) of runs of texts of about SLICE_CHARS characters."""
     first, run, size = 0, [], 0
@@ -121,8 +119,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int)
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = _tokenizers.setdefault(tokenizer_path, None) or ChunkTokenizer(tokenizer_path)
-        _tokenizers[tokenizer_path] = tok
+        tok = held(("packing", tokenizer_path), lambda: ChunkTokenizer(tokenizer_path))
         for pdf in batches:
             doc_ids = pdf["doc_id"].tolist()
             for first, texts in slices(pdf["text"].tolist()):

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.llm.words import slices
+from lintel.llm.words import held, slices
 
 #: A worker forgets its segments once it holds more of them, or more edges, than this; the second bound holds for texts without spaces.
 RANK_SHIFT, MEMO, MEMO_EDGES = 3.0, 400_000, 8_000_000
@@ -213,14 +213,8 @@ class PieceSampler:
         return self.decode_bytes(np.asarray(ids, np.int64)).decode("utf-8", "replace")
 
 
-#: A worker's samplers by their parameters.
-_samplers: dict[tuple, PieceSampler] = {}
-
-
 def sampler(*parameters) -> PieceSampler:
-    if parameters not in _samplers:
-        _samplers[parameters] = PieceSampler(*parameters)
-    return _samplers[parameters]
+    return held(("pieces", *parameters), lambda: PieceSampler(*parameters))
 
 
 def encode(docs: DataFrame, model_path: str, alpha: float = 1.0, seed: int = 1, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,6 +25,19 @@ def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+#: What a worker has learnt for the operator that it last worked for, and whose it is.
+_held: list = [None, None]
+
+
+def held(owner: object, make: Callable[[], object]) -> object:
+    """What `make` gave for this owner (an object, or a tuple that names one); anything kept for another is let go first, so that a worker
+    that serves one operator after the other holds the memo of one."""
+    if not (_held[0] is owner or isinstance(owner, tuple) and _held[0] == owner):
+        _held[:] = [None, None]
+        _held[:] = [owner, make()]
+    return _held[1]
+
+
 class WordMemo:
     """Row numbers of words; `learn` gives the rows of new words, and at most about `limit` words are kept."""
 
