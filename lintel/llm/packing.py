@@ -18,29 +18,72 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.llm.common import rank_within, staged
 from lintel.llm.words import held
 
-#: Text is tokenised in slices of about so many characters, and a worker remembers so many chunks.
-SLICE_CHARS, MEMO = 1 << 20, 500_000
+#: Text is tokenised in slices of about so many characters, and a worker remembers so many chunks and words.
+SLICE_CHARS, MEMO, WORD_MEMO = 1 << 22, 500_000, 400_000
 # Fixed values of the vocabulary: how it cuts normalised text into words, and byte-level letters. Below U+0300 normalisation is
 # lower-casing letter by letter; text beyond, with a letter whose lower case is two, or with special tokens is left to the library.
-WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\d\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\s\w]|_)+")
+WORDS = re.compile(r"\n|'(?:s|t|re|ve|m|ll|d)|[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\d\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\s\w]|_)+")
 UNUSUAL = re.compile("[\x1c-\x1f\u0130\u0300-\U0010ffff]|<\\|")
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_LETTERS = [chr(b) if b in _PRINTED else chr(256 + sum(x not in _PRINTED for x in range(b))) for b in range(256)]
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
+class _Spans:
+    """Numbered keys, each with a run of ids."""
+
+    def __init__(self):
+        self.at: dict = {}
+        self.flat, self.ends = np.empty(1 << 16, "<u4"), np.zeros(1 << 14, np.int64)
+
+    def index(self, keys: list) -> tuple[np.ndarray, list]:
+        """The numbers of keys, and the keys that have none yet, whose places hold a number counted from -1 down."""
+        out = np.fromiter(map(self.at.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(out < 0)
+        if not len(missing):
+            return out, []
+        lost = [keys[i] for i in missing.tolist()]
+        numbers = {k: -1 - i for i, k in enumerate(dict.fromkeys(lost))}
+        out[missing] = np.fromiter(map(numbers.__getitem__, lost), np.int64, len(lost))
+        return out, list(numbers)
+
+    def learn(self, index: np.ndarray, keys: list, ids: list | np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+        """Add keys with their ids (a list a key, or all of them and where each key's end); `index` with the new numbers."""
+        if ends is None:
+            ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+            ids = np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1]))
+        n = len(self.at)
+        used = int(self.ends[n - 1]) if n else 0
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while n + len(keys) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[used : used + len(ids)], self.ends[n : n + len(keys)] = ids, used + ends
+        self.at.update(zip(keys, range(n, n + len(keys)), strict=True))
+        return np.where(index < 0, n - 1 - index, index)
+
+    def gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of keys one after the other, and where each key's end."""
+        stop = self.ends[index]
+        size = stop - np.where(index > 0, self.ends[index - 1], 0)
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(stop - ends, size) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class ChunkTokenizer:
-    """Token ids of texts through a memo of white-space-separated chunks.
+    """Token ids of texts through a memo of white-space-separated chunks, and one of the words that chunks are made of.
 
     No token of the vocabulary crosses ASCII white space and normalisation never joins chunks, so a text's ids are its chunks' ids."""
 
@@ -49,56 +92,43 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.words: dict[str, list[int]] = {}
-        self.flat, self.begin, self.size = np.empty(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _ids(self, chunk: bytes) -> list[int]:
-        """Of plain chunks the words are looked up, or merged by the model itself; others take the library's whole way."""
-        s = chunk.decode("utf-8", "replace")
-        if UNUSUAL.search(s):
-            return self.tokenizer.encode(s, add_special_tokens=False).ids
-        out = []
-        for w in WORDS.findall(s.lower()):
-            ids = self.words.get(w)
-            if ids is None:
-                spelled = w if w.isascii() and w.isprintable() else "".join([BYTE_LETTERS[b] for b in w.encode()])
-                ids = self.words[w] = [t.id for t in self.tokenizer.model.tokenize(spelled)]
-            out += ids
-        return out
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        for chunk in chunks:
-            ids, n = self._ids(chunk), len(self.at)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            if n == len(self.begin):
-                self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.begin[n], self.size[n] = self.used, len(ids)
-            self.used += len(ids)
-            self.at[chunk] = n
+        self.chunks, self.words = _Spans(), _Spans()
+
+    def _words(self, lowered: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain chunks, one a line, and where each ends: words are looked up, or merged by the model itself."""
+        found = WORDS.findall(lowered)
+        if len(self.words.at) > WORD_MEMO:
+            self.words = _Spans()
+        index, new = self.words.index(["\n", *found])
+        if new:
+            merge, letters = self.tokenizer.model.tokenize, BYTE_LETTERS
+            spelled = [w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()]) for w in new]
+            index = self.words.learn(index, new, [[t.id for t in merge(x)] if w != "\n" else [] for w, x in zip(new, spelled, strict=True)])
+        ids, ends = self.words.gather(index[1:])
+        return ids, ends[np.flatnonzero(index[1:] == index[0])]
+
+    def _learn(self, index: np.ndarray, new: list[bytes]) -> np.ndarray:
+        """Plain chunks go together; others take the library's whole way, one by one."""
+        texts = b"\n".join(new).decode("utf-8", "replace")
+        if not UNUSUAL.search(texts):
+            return self.chunks.learn(index, new, *self._words(texts.lower() + "\n"))
+        each = [c.decode("utf-8", "replace") for c in new]
+        odd = [UNUSUAL.search(t) is not None for t in each]
+        ids, ends = self._words("".join(f"{t.lower()}\n" for t, o in zip(each, odd, strict=True) if not o))
+        plain = iter(np.split(ids, ends[:-1]) if len(ends) else ())
+        return self.chunks.learn(index, new, [self.tokenizer.encode(t, add_special_tokens=False).ids if o else next(plain) for t, o in zip(each, odd, strict=True)])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """For each text its ids."""
-        if len(self.at) > MEMO:
-            self.clear()
-        split = [t.split() for t in texts]
-        chunks = [c for s in split for c in s]
-        index = np.fromiter(map(self.at.get, chunks, repeat(-1)), np.int64, len(chunks))
-        missing = np.flatnonzero(index < 0)
-        if len(missing):
-            new = [chunks[i] for i in missing.tolist()]
-            self._learn(list(dict.fromkeys(new)))
-            index[missing] = np.fromiter(map(self.at.__getitem__, new), np.int64, len(new))
-        sizes = self.size[index]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.begin[index] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
+        """For each text its ids. Arrow splits the texts and numbers their distinct chunks; only those are looked up."""
+        if len(self.chunks.at) > MEMO:
+            self.chunks = _Spans()
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        coded = split.values.dictionary_encode()
+        index, new = self.chunks.index(coded.dictionary.cast(pa.binary()).to_pylist())
+        if new:
+            index = self._learn(index, new)
+        ids, ends = self.chunks.gather(index[coded.indices.to_numpy()])
+        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()]
         return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
