@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lintel.llm.common import dropped, staged
+from lintel.llm.common import dropped, small_batches, staged
 from lintel.llm.components import connected
 from lintel.llm.words import slices
 
@@ -367,6 +367,7 @@ def _without_connected(docs: DataFrame, roles: DataFrame, summary: DataFrame, k:
 
 def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of `docs` (doc_id, text)."""
+    small_batches(docs.sparkSession)
     summary = summarise(docs, k)
     rows = summary.where("block is null").select("doc_id", "n", "key")
     matrix = matrix_of(postings(docs, common_order(summary), k, percent))

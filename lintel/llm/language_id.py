@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.llm.common import columns_of, unused
+from lintel.llm.common import columns_of, small_batches, unused
 from lintel.llm.words import WordMemo, held, letters, slices, sums, word_lists
 
 ORDER = 5
@@ -246,6 +246,7 @@ def identify(docs: DataFrame, train: DataFrame | None = None, per_language: int
     if model is None:
         none = {"lang_pred": F.lit(UND), "score": F.lit(0.0), "rejected": F.lit(True), "entropy": F.lit(None).cast("double")}
         return docs.select(*kept, *(v.alias(f"{prefix}{k}") for k, v in none.items()))
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(PREDICTED)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.llm.common import rank_within, staged
+from lintel.llm.common import rank_within, small_batches, staged
 from lintel.llm.words import held
 
 #: Text is tokenised in slices of about so many characters, and a worker remembers so many chunks and words.
@@ -163,6 +163,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int)
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(cut, PIECES)
 
 

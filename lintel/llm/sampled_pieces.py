@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintel.llm.common import small_batches
 from lintel.llm.words import held, slices
 
 #: A worker forgets its segments once it holds more of them, or more edges, than this; the second bound holds for texts without spaces.
@@ -219,6 +220,7 @@ def sampler(*parameters) -> PieceSampler:
 
 def encode(docs: DataFrame, model_path: str, alpha: float = 1.0, seed: int = 1, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with array<int> `pieces`: a segmentation sampled for each row."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("array<int>")
     def sample(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -248,6 +250,7 @@ def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, pieces_crc32 (little-endian unsigned 32-bit ids), decoded_sha256, lossless."""
     import public_tokenizers
 
+    small_batches(spark)
     path = public_tokenizers.path("piece_bpe_32k.model")
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
