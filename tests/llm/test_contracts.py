@@ -341,3 +341,51 @@ def test_samples_do_not_depend_on_the_memo(monkeypatch):
     monkeypatch.setattr(sampled_pieces, "MEMO_EDGES", 100)
     small = sampled_pieces.PieceSampler(model)
     assert [small.encode([t], [i + 1])[0].tolist() for i, t in enumerate(texts)] == want
+
+
+def test_gradients_equal_differences_of_the_loss():
+    rng = np.random.default_rng(11)
+    words = [f"word{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(words, n)) for n in (1, 2, 5, 9, 14)] + [""]
+    labels, weight, pick = np.array([1, 0, 1, 0, 0, 1.0]), np.array([2.0, 1, 2, 1, 1, 2]), np.arange(6)
+    model, data = toxicity.Cnn(5), toxicity._Words(texts)
+    for name in ("emb", "conv_bias", "out"):
+        setattr(model, name, rng.normal(0, 0.4, getattr(model, name).shape))
+    model.conv, model.out_bias = [rng.normal(0, 0.4, c.shape) for c in model.conv], 0.1
+
+    def loss():
+        total = 0.0
+        for i in range(len(texts)):
+            mine = data.ids[data.bounds[i] : data.bounds[i + 1]]
+            e = [np.mean([model.emb[b] for b in data.parts[w] if b >= 0], axis=0) for w in mine]
+            feats = []
+            for k, width in enumerate(toxicity.WIDTHS):
+                z = [sum(e[at + j] @ model.conv[k][j] for j in range(width) if at + j < len(e)) for at in range(len(e))]
+                feats.append(np.maximum(np.max(z, axis=0) + model.conv_bias[k], 0) if z else np.zeros(toxicity.FILTERS))
+            score = np.concatenate(feats) @ model.out + model.out_bias
+            total += weight[i] * (np.log1p(np.exp(score)) - labels[i] * score) / len(texts)
+        return total
+
+    grads, buckets, rows, bias = toxicity.gradients(model, data, labels, weight, pick)
+
+    def slope(array, at, h=1e-6):
+        kept = array[at]
+        array[at] = kept + h
+        up = loss()
+        array[at] = kept - h
+        down = loss()
+        array[at] = kept
+        return (up - down) / (2 * h)
+
+    for array, grad in zip([*model.conv, model.conv_bias, model.out], grads, strict=True):
+        for _ in range(12):
+            at = tuple(rng.integers(0, n) for n in array.shape)
+            assert slope(array, at) == pytest.approx(grad[at], abs=1e-6)
+    for i in rng.choice(len(buckets), 15):
+        d = int(rng.integers(0, toxicity.DIM))
+        assert slope(model.emb, (int(buckets[i]), d)) == pytest.approx(rows[i, d], abs=1e-6)
+    before = model.out_bias
+    model.out_bias = before + 1e-6
+    up = loss()
+    model.out_bias = before - 1e-6
+    assert (up - loss()) / 2e-6 == pytest.approx(bias, abs=1e-6)
