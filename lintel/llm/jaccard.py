@@ -37,13 +37,13 @@ from pyspark.sql import functions as F
 
 from lintel.llm.common import dropped, small_batches, staged
 from lintel.llm.components import connected
-from lintel.llm.words import slices
+from lintel.llm.words import held, slices
 
 SHINGLE, PERCENT = 5, 80
 #: Counters of shingles, and in how many blocks tasks hand theirs in.
 COUNTERS, BLOCKS = 1 << 20, 64
 #: Holders of a shingle that one window sees; shingles of members, and of queries, that meet in one task; members that a group of more than a block is first compared with.
-HOLDERS, MEET, LEADERS = 1 << 16, 1 << 20, 16
+HOLDERS, MEET, LEADERS = 1 << 16, 1 << 19, 16
 #: Bytes whose words are hashed at a time.
 BLOCK_BYTES = 1 << 21
 
@@ -139,6 +139,7 @@ def summarise(docs: DataFrame, k: int) -> DataFrame:
     rest = "text_hash long, bits array<long>, block long, counts binary"
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held(("jaccard",))
         seen, done = np.zeros(COUNTERS, np.int32), set()
         for pdf in batches:
             ids, hashes, texts = pdf["doc_id"].astype("Int64"), pdf["text_hash"], pdf["text"].tolist()
@@ -182,6 +183,7 @@ def postings(docs: DataFrame, order: np.ndarray, k: int, percent: int) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast((by_count, {i: int(parts[i]) for i in np.flatnonzero(parts > 1).tolist()}))
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held(("jaccard",))
         done: set[int] = set()
         place, many = shared.value
         for pdf in batches:
@@ -253,6 +255,7 @@ def bodies_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bits.reshape(-1))
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held(("jaccard",))
         done: set[int] = set()
         for pdf in batches:
             bit = pdf["bit"].to_numpy()
@@ -312,7 +315,7 @@ def verified(docs: DataFrame, roles: DataFrame, summary: DataFrame, k: int, perc
             flat, owner = np.concatenate([sets_[i] for i in of]), np.repeat(np.arange(len(of)), size)
             by = np.argsort(flat, kind="stable")
             flat, owner = flat[by], owner[by]
-            union, first, held = np.unique(flat, return_index=True, return_counts=True)
+            union, first, holders = np.unique(flat, return_index=True, return_counts=True)
             root = np.arange(len(ids))  # of each member, the first that it is connected with here
             place = {m: i for i, m in enumerate(ids.tolist())}
             for i in asks.tolist():
@@ -321,7 +324,7 @@ def verified(docs: DataFrame, roles: DataFrame, summary: DataFrame, k: int, perc
                 at = at[union[at] == q]
                 if len(at) < needed(len(q), percent):  # the bound of this block's union
                     continue
-                span = held[at]
+                span = holders[at]
                 hit = np.repeat(first[at] - np.cumsum(span) + span, span) + np.arange(span.sum())
                 both = np.bincount(owner[hit], minlength=len(ids))
                 near = np.flatnonzero((100 * both >= percent * (size + len(q) - both)) & (ids != key))

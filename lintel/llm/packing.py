@@ -31,7 +31,7 @@ from lintel.llm.common import rank_within, small_batches, staged
 from lintel.llm.words import held
 
 #: Text is tokenised in slices of about so many characters, and a worker remembers so many chunks and words.
-SLICE_CHARS, MEMO, WORD_MEMO = 1 << 22, 500_000, 400_000
+SLICE_CHARS, MEMO, WORD_MEMO = 1 << 21, 300_000, 250_000
 # Fixed values of the vocabulary: how it cuts normalised text into words, and byte-level letters. Below U+0300 normalisation is
 # lower-casing letter by letter; text beyond, with a letter whose lower case is two, or with special tokens is left to the library.
 WORDS = re.compile(r"\n|'(?:s|t|re|ve|m|ll|d)|[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\d\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\s\w]|_)+")

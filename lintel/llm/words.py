@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -10,7 +12,7 @@ import numpy as np
 
 #: Runs of letters, and of signs of numbers that are not digits (superscripts, fractions, Roman numerals): see `letters`.
 LETTERS = re.compile(r"[^\W\d_]+")
-SLICE_CHARS, MEMO = 1 << 20, 400_000
+SLICE_CHARS, MEMO = 1 << 20, 250_000
 
 
 def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
@@ -29,11 +31,21 @@ def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
 _held: list = [None, None]
 
 
-def held(owner: object, make: Callable[[], object]) -> object:
+def _give_back() -> None:
+    """Return freed memory to the system, where the C library can: a worker's next operator may need it elsewhere on the machine."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def held(owner: object, make: Callable[[], object] = lambda: None) -> object:
     """What `make` gave for this owner (an object, or a tuple that names one); anything kept for another is let go first, so that a worker
     that serves one operator after the other holds the memo of one."""
     if not (_held[0] is owner or isinstance(owner, tuple) and _held[0] == owner):
         _held[:] = [None, None]
+        _give_back()
         _held[:] = [owner, make()]
     return _held[1]
 
