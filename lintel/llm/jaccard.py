@@ -45,7 +45,7 @@ COUNTERS, BLOCKS = 1 << 20, 64
 #: Holders of a shingle that one window sees; shingles of members, and of queries, that meet in one task; members that a group of more than a block is first compared with.
 HOLDERS, MEET, LEADERS = 1 << 16, 1 << 19, 16
 #: Bytes whose words are hashed at a time.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -54,7 +54,6 @@ _LETTER[65:91] = _LETTER[97:123]  # A-Z as a-z
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _ROLL = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -65,17 +64,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _block_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and starts of the words of a block that ends in white space."""
-    if len(_powers[0]) < len(data):
+    powers = held(("jaccard",), lambda: [np.ones(1, np.uint64)] * 2)  # of the base and its inverse, kept between blocks
+    if len(powers[0]) < len(data):
         for i, base in enumerate((_BASE, _INVERSE)):
             p = np.full(len(data) + (1 << 16), base, np.uint64)
             p[0] = 1
-            _powers[i] = np.cumprod(p)
+            powers[i] = np.cumprod(p)
     word = ~_SPACE[data]
     edge = np.flatnonzero(np.diff(word, prepend=False))  # the last byte is white space, so edges pair up
     starts, ends = edge[::2], edge[1::2]
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LETTER[data] * _powers[0][: len(data)], out=total[1:])
-    return _mixed((total[ends] - total[starts]) * _powers[1][starts] + (ends - starts).astype(np.uint64)), starts
+    np.cumsum(_LETTER[data] * powers[0][: len(data)], out=total[1:])
+    return _mixed((total[ends] - total[starts]) * powers[1][starts] + (ends - starts).astype(np.uint64)), starts
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +139,6 @@ def summarise(docs: DataFrame, k: int) -> DataFrame:
     rest = "text_hash long, bits array<long>, block long, counts binary"
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held(("jaccard",))
         seen, done = np.zeros(COUNTERS, np.int32), set()
         for pdf in batches:
             ids, hashes, texts = pdf["doc_id"].astype("Int64"), pdf["text_hash"], pdf["text"].tolist()
@@ -183,7 +182,6 @@ def postings(docs: DataFrame, order: np.ndarray, k: int, percent: int) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast((by_count, {i: int(parts[i]) for i in np.flatnonzero(parts > 1).tolist()}))
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held(("jaccard",))
         done: set[int] = set()
         place, many = shared.value
         for pdf in batches:
@@ -255,7 +253,6 @@ def bodies_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bits.reshape(-1))
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held(("jaccard",))
         done: set[int] = set()
         for pdf in batches:
             bit = pdf["bit"].to_numpy()
@@ -394,8 +391,8 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     members = grouped.select(F.col("group").alias("target"), F.col("key").alias("member")).join(found.select("target").distinct(), "target", "left_semi")
     sets = grouped.select("key", "n").join(summary.where("bits is not null").select("key", "bits"), "key").dropDuplicates(["key"])
     near = staged(qualifying(found, members, sets, percent), "qualifying")
-    held = members.join(near.select("target").distinct(), "target", "left_semi").select("target", F.col("member").alias("key"), F.lit(False).alias("asks"), F.lit(True).alias("held"))
-    roles = near.select("target", "key", F.lit(True).alias("asks"), F.lit(False).alias("held")).unionByName(held)
+    present = members.join(near.select("target").distinct(), "target", "left_semi").select("target", F.col("member").alias("key"), F.lit(False).alias("asks"), F.lit(True).alias("held"))
+    roles = near.select("target", "key", F.lit(True).alias("asks"), F.lit(False).alias("held")).unionByName(present)
     roles = roles.groupBy("target", "key").agg(F.max("asks").alias("asks"), F.max("held").alias("held")).join(grouped.select("key", "n"), "key")
     roles = staged(roles.select("target", "key", "n", "asks", "held"), "roles")
     texts = grouped.select("key", "text_hash")

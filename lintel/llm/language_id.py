@@ -254,7 +254,7 @@ def identify(docs: DataFrame, train: DataFrame | None = None, per_language: int
         memo = held(shared.value, lambda: WordMemo(shared.value.word_costs))
         for texts in batches:
             texts = texts.tolist()
-            parts = [shared.value.predict(texts[a:b], memo) for a, b in slices(texts)]
+            parts = [shared.value.predict(texts[a:b], memo) for a, b in slices(texts, 1 << 18)]
             yield pd.concat(parts, ignore_index=True) if parts else shared.value.predict([], memo)
 
     found = unused(docs.columns, "_found")
