@@ -106,11 +106,13 @@ def top(scores: DataFrame, k: int, by: str = "score", query: str = "query", tie:
     return rounded.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def hybrid_scores(pairs: DataFrame) -> DataFrame:
-    """0.82 tf-idf + 0.18 BM25 relative to the query's best. pairs: query, doc, tfidf, bm25."""
+def hybrid_scores(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """0.82 tf-idf + 0.18 BM25 relative to the query's best. pairs: query, doc, tfidf, bm25. The best of each of the queries asked are
+    sent to the pairs if they are no more than ASKED_ROWS."""
     best = pairs.groupBy("query").agg(F.max("bm25").alias("m"))
+    few = asked.select("query").distinct().count() <= ASKED_ROWS
     share = F.when(F.col("m") > 0, F.col("bm25") / F.col("m")).otherwise(0.0)
-    return pairs.join(F.broadcast(best), "query").select("query", "doc", (0.82 * F.col("tfidf") + 0.18 * share).alias("score"))
+    return pairs.join(F.broadcast(best) if few else best, "query").select("query", "doc", (0.82 * F.col("tfidf") + 0.18 * share).alias("score"))
 
 
 def catalogue_routes(queries: DataFrame, posts: DataFrame, codes: DataFrame, stats: DataFrame, k: int = 5, prefixes: list[str] | None = None) -> DataFrame:

@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: So many keys, with 64 numbers each, may be sent to all tasks.
+FEW_KEYS = 10_000
+
+
 def spread_sample(df: DataFrame, keys: list[str], order: list[str], count: int, buckets: int = 64) -> DataFrame:
     """Evenly spaced rows of each key: `count` of them (the middle one if it is 1), all if there are fewer. Half-way indices go to even.
 
@@ -20,8 +24,10 @@ def spread_sample(df: DataFrame, keys: list[str], order: list[str], count: int,
     by = keys or ["_all"]
     rows = df if keys else df.withColumn("_all", F.lit(0))
     steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    few = rows.select(*by).distinct().count() <= FEW_KEYS  # then their cuts go to the rows, and no row moves for them
+    sent = F.broadcast if few else lambda df: df
     cuts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(first, steps, F.lit(1000)).alias("_cuts"))
-    dealt = rows.join(cuts, by).withColumn("_b", F.coalesce(F.size(F.filter("_cuts", lambda c: c < first)), F.lit(-1))).drop("_cuts")
+    dealt = rows.join(sent(cuts), by).withColumn("_b", F.coalesce(F.size(F.filter("_cuts", lambda c: c < first)), F.lit(-1))).drop("_cuts")
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy(*by, "_b", "_n").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
     if count == 1:
@@ -30,7 +36,7 @@ def spread_sample(df: DataFrame, keys: list[str], order: list[str], count: int,
         spots = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(count - 1), 0).cast("long"))
         spots = F.when(F.col("_n") <= count, F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).otherwise(spots)
     wanted = counts.withColumn("_spots", F.filter(F.array_distinct(spots), lambda s: (s >= F.col("_before")) & (s < F.col("_before") + F.col("_c")))).where(F.size("_spots") > 0)
-    near = dealt.drop("_n").join(wanted.select(*by, "_b", "_before", "_spots"), [*by, "_b"])
+    near = dealt.drop("_n").join(sent(wanted.select(*by, "_b", "_before", "_spots")), [*by, "_b"])
     place = F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order)) - 1
     return near.withColumn("_i", place).where(F.array_contains("_spots", F.col("_i"))).select(*df.columns)
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
+from lintel.functions import links as L
 from lintel.functions import quantities as N
 from lintel.functions import terms as T
 from lintel.functions import text as X
@@ -58,12 +59,20 @@ def table_checks(rows: DataFrame, id_col: str) -> DataFrame:
     return rows.select(id_col, F.explode(F.array(*[F.struct(F.lit(n).alias("field"), s.alias("status")) for n, s in checks])).alias("c")).select(id_col, "c.*")
 
 
-def test_fields(content: Column) -> Column:
-    """array<struct<name, value>> of rows of four or five cells, else null."""
-    cells = F.transform(F.split(X.text(content), r"\|", -1), lambda x: F.trim(x))
-    four = ["시험 항목", "시험 방법", "시험 빈도", "비고"]
-    named = lambda names: F.zip_with(X.words_array(names), cells, lambda n, v: F.struct(n.alias("name"), v.alias("value")))
-    return F.when(F.size(cells) == 4, named(four)).when(F.size(cells) == 5, named(["종별", *four]))
+#: Fixed value: wording of the second cell of a row of tests.
+TEST_WORDS = r"시험|강도|치수|내화|내 화|규격|흡"
+
+
+def test_fields(source_type: Column, content: Column, notation: Column) -> Column:
+    """array<struct<field, source>> of a table row about tests, else null: four cells, or five with the standard in the third; the second
+    speaks of tests, and the row's notation (of four cells given apart) names a product standard. Empty cells are no fields."""
+    cells = F.transform(F.split(X.text(content), r"\|", -1), X.clean_space)
+    n = F.size(cells)
+    named = F.coalesce(F.nullif(notation, F.lit("")), F.when(n == 5, F.get(cells, 2)), F.lit(""))
+    ok = (source_type == "table") & n.isin(4, 5) & (F.size(L.standard_references(named)["codes"]) > 0) & F.get(cells, 1).rlike(TEST_WORDS)
+    at = [("tests", F.lit(1)), ("frequency", F.when(n == 5, 3).otherwise(2)), ("conditions", F.when(n == 5, 4).otherwise(3))]
+    fields = F.array(*[F.struct(F.lit(name).alias("field"), F.get(cells, i).alias("source")) for name, i in at])
+    return F.when(ok, F.filter(fields, lambda f: f["source"] != ""))
 
 
 def all_references(c: Column) -> Column:

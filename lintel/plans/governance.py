@@ -449,7 +449,7 @@ def _(t: Star):
 @_add("E19_blocked_removals")
 def _(t: Star):
     """An unrelated verdict does not remove a candidate that is selected or evidence."""
-    unrelated = t.review_candidates.where("relation = 'partial'").select("clause", "candidate")
+    unrelated = t.review_candidates.where("relation = 'unrelated'").select("clause", "candidate")
     selected = t.review_clauses.select("clause", F.col("selected").cast("int").alias("candidate"))
     evidence = t.coverage.select("clause", F.explode("evidence").alias("candidate"))
     return unrelated.join(selected.unionByName(evidence).distinct(), ["clause", "candidate"], "left_semi").select(F.col("clause").alias("clause_id"), F.col("candidate").alias("pos"))

@@ -79,7 +79,7 @@ SELECT t.total, g.id, g.previous, g.following, coalesce(v.visible, 0) AS visible
     "E16_transitions": f"WITH {EVENTS} SELECT seq, CASE WHEN status = 'click' AND value > 50 THEN 'running' WHEN status = 'click' THEN 'pending' WHEN status = 'error' AND entity % 2 = 0 THEN 'pending' ELSE status END AS next FROM ev",
     "E17_upload_progress": f"WITH {EVENTS} SELECT entity, CAST(sum(CASE WHEN status = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS completed, count(*) AS items, CASE WHEN sum(CASE WHEN status IN ('click', 'view') THEN 1 ELSE 0 END) = 0 THEN 'finished' ELSE 'running' END AS state FROM ev GROUP BY entity",
     "E18_acknowledge": f"WITH {REVIEW} SELECT rc.clause AS id, CASE WHEN decision IS NULL OR NOT {_VALID} OR u.clause IS NOT NULL THEN 'refused' ELSE 'acknowledged' END AS outcome FROM rc LEFT JOIN unsafe u ON u.clause = rc.clause",
-    "E19_blocked_removals": f"WITH {REVIEW} SELECT k.clause AS clause_id, k.candidate AS pos FROM rk k WHERE k.relation = 'partial' AND (EXISTS (SELECT 1 FROM rc WHERE rc.clause = k.clause AND rc.selected = k.candidate) OR EXISTS (SELECT 1 FROM cov WHERE cov.clause = k.clause AND list_contains(cov.evidence, k.candidate)))",
+    "E19_blocked_removals": f"WITH {REVIEW} SELECT k.clause AS clause_id, k.candidate AS pos FROM rk k WHERE k.relation = 'unrelated' AND (EXISTS (SELECT 1 FROM rc WHERE rc.clause = k.clause AND rc.selected = k.candidate) OR EXISTS (SELECT 1 FROM cov WHERE cov.clause = k.clause AND list_contains(cov.evidence, k.candidate)))",
     "E20_project_summary": f"{W3} SELECT p.id, (SELECT count(*) FROM projects q WHERE q.title = p.title AND q.state = 'active' AND q.revision = 2) AS duplicates, NOT EXISTS (SELECT 1 FROM projects q WHERE q.title = p.title AND q.state = 'active' AND q.revision = 2 AND (q.balance > p.balance OR (q.balance = p.balance AND q.id > p.id))) AS newest FROM projects p WHERE p.state = 'active' AND p.revision = 2",
     "E21_catalogue": f"{W3} SELECT p.id, p.title, count(c.id) AS clauses FROM projects p LEFT JOIN clauses c ON c.project_id = p.id WHERE p.state = 'active' GROUP BY p.id, p.title",
     "E22_workflow_view": f"WITH {EVENTS} SELECT a.entity, a.seq, b.n_name FROM ev a JOIN nation b ON b.n_nationkey = a.entity % 25 WHERE a.status = 'purchase' ORDER BY a.ts, a.seq",

@@ -11,6 +11,7 @@ from lintel.functions import text as X
 from lintel.operators import coverage as C
 from lintel.operators import relational as P
 from lintel.operators import review as V
+from lintel.operators import screening as G
 from lintel.plans.registry import query, table
 
 
@@ -52,10 +53,12 @@ def omitted_prefixes(spark, sf_dir):
     return rows.select("n", L.standard_references(F.col("t")).alias("r")).select("n", F.array_join("r.codes", "|").alias("codes"), F.col("r.ambiguous").alias("ambiguous"))
 
 
-@query("T36_test_fields", _values("id, fields", [(1, "시험 항목=강도;시험 방법=KS F 2405;시험 빈도=1회;비고="), (2, "종별=벽돌;시험 항목=흡수율;시험 방법=KS L 4201;시험 빈도=매회;비고=-")]))
+@query("T36_test_fields", _values("id, fields", [(1, "tests=압축강도 시험;frequency=1회"), (2, "tests=흡수율;frequency=매회;conditions=10% 이하")]))
 def test_fields(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "강도 | KS F 2405 | 1회 | "), (2, "벽돌 | 흡수율 | KS L 4201 | 매회 | -"), (3, "a | b")], "id int, content string")
-    return rows.select("id", V.test_fields(F.col("content")).alias("f")).where("f IS NOT NULL").select("id", F.array_join(F.transform("f", lambda x: F.concat_ws("=", x["name"], x["value"])), ";").alias("fields"))
+    rows = [(1, "table", "벽돌 | 압축강도 시험 | 1회 | ", "KS F 2405"), (2, "table", "벽돌 | 흡수율 | KS L 4201 | 매회 | 10%  이하", ""), (3, "table", "a | b", "KS L 4201"), (4, "paragraph", "벽돌 | 흡수율 | KS L 4201 | 매회 | x", ""), (5, "table", "벽돌 | 흡수율 | 매회 | x", ""), (6, "table", "벽돌 | 색상 | KS L 4201 | 매회 | x", "")]
+    found = V.test_fields(F.col("kind"), F.col("content"), F.col("notation"))
+    got = spark.createDataFrame(rows, "id int, kind string, content string, notation string").select("id", found.alias("f")).where("f IS NOT NULL")
+    return got.select("id", F.array_join(F.transform("f", lambda x: F.concat_ws("=", x["field"], x["source"])), ";").alias("fields"))
 
 
 @query("T37_standards_analysis", _values("id, refs, missing", [(1, "KS D 3503|ASTM A36", "ASTM A36"), (2, "KCS 41 34 02", "")]))
@@ -126,13 +129,76 @@ def duplicate_json_keys(spark, sf_dir):
     return rows.select("n", V.unique_json_keys(F.col("t")).alias("ok"))
 
 
-@query("E06_row_validation", "SELECT l_orderkey AS id, count(*) = max(l_linenumber) AND count(DISTINCT l_linenumber) = count(*) AS exact FROM lineitem GROUP BY l_orderkey")
-def row_validation(spark, sf_dir):
+@query("E06_row_cover", "SELECT l_orderkey AS id, count(*) = max(l_linenumber) AND count(DISTINCT l_linenumber) = count(*) AS exact FROM lineitem GROUP BY l_orderkey")
+def row_cover(spark, sf_dir):
     ids = F.array_sort(F.collect_list("l_linenumber"))
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(ids.alias("ids"), F.max("l_linenumber").alias("n"))
     return rows.select("id", V.exact_cover(F.col("ids"), F.sequence(F.lit(1), F.col("n"))).alias("exact"))
 
 
+_FIELDS = [(1, "tests", "시험 항목", "압축강도", "벽돌", False), (1, "conditions", "조건", "강도 10 MPa 이상", "벽돌", False), (1, "frequency", "빈도", "상 동", "벽돌", False), (2, "tests", "시험 항목", "흡수율", "블록", True), (3, "tests", "시험 항목", "치수", "타일", False), (4, "tests", "시험 항목", "내화도", "벽돌", False), (4, "conditions", "조건", "1회 8 MPa", "벽돌", False)]
+_ANSWERS = [
+    (1, "tests", "corresponds", "같다", [("a", "압축강도  시험"), ("a", "없는 인용문")]), (1, "conditions", "corresponds", "같다", [("a", "강도 8 MPa 이상")]), (1, "frequency", "differs", "", [("a", "압축강도 시험")]),
+    (2, "tests", "corresponds", "같다", [("b", "흡수율 시험을")]), (3, "tests", "corresponds", "", [("a", "압축강도 시험")]), (3, "tests", "differs", "", [("a", "압축강도 시험")]),
+    (4, "tests", "differs", "", [("a", "짧다")]), (4, "conditions", "corresponds", "본문에 없는 조건이 다르다", [("a", "강도 8 MPa 이상으로 1회")]),
+]
+_SECTIONS = [("a", "압축강도 시험을 한다. 강도 8 MPa 이상으로 1회"), ("b", "흡수율 시험을 한다")]
+
+
+def _checked(spark):
+    fields = spark.createDataFrame(_FIELDS, "row int, field string, label string, source string, material string, ambiguous boolean")
+    answers = spark.createDataFrame(_ANSWERS, "row int, field string, status string, explanation string, evidence array<struct<section:string,quote:string>>")
+    return fields, G.checked_fields(fields, answers, spark.createDataFrame(_SECTIONS, "section string, text string"))
+
+
+@query("E06_checked_fields", _values("row, field, status, quotes", [(1, "tests", "corresponds", "압축강도 시험"), (1, "conditions", "unconfirmed", "강도 8 MPa 이상"), (1, "frequency", "unconfirmed", "압축강도 시험"), (2, "tests", "unconfirmed", "흡수율 시험을"), (4, "tests", "unconfirmed", ""), (4, "conditions", "unconfirmed", "강도 8 MPa 이상으로 1회")]))
+def checked_fields(spark, sf_dir):
+    return _checked(spark)[1].withColumn("quotes", F.array_join("quotes", "|"))
+
+
+@query("E07_comparison_cache", _values("row, state", [(1, "fresh"), (2, "stale"), (3, "reusable"), (4, "pending"), (5, "pending")]))
+def comparison_cache(spark, sf_dir):
+    rows = spark.createDataFrame([(i, f"s{i}", "b") for i in range(1, 6)], "row int, source_hash string, body_hash string")
+    held = [(1, "s1", "v2", "x", "m", "2026-01-02T01"), (2, "s2", "v2", "x", "m", "2026-01-01T01"), (3, "s3", "v2", "b", "m", "2026-01-01T01"), (4, "old", "v2", "b", "m", "2026-01-02T01")]
+    cache = spark.createDataFrame(held, "row int, source_hash string, version string, body_hash string, model string, checked string")
+    return G.cached(rows, cache, "v2", "m", "2026-01-02")
+
+
+@query("E07_suggestions", _values("row, text", [(1, "벽돌의 압축강도은 KS A 1, KS B 2에 따른다. 조건: 강도 10 MPa 이상. 빈도: 상 동.")]))
+def suggestions(spark, sf_dir):
+    fields, checked = _checked(spark)
+    read = [(1, "KS B 2", "machine_verified"), (1, "KS A 1", "machine_verified"), (2, "KS C 3", "machine_verified"), (4, "KS D 4", "viewer_only")]
+    return G.suggestions(checked, fields, spark.createDataFrame(read, "row int, standard string, status string"))
+
+
+@query("E08_batches", """WITH p AS (SELECT l_orderkey AS source_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS idx, 100 + l_orderkey % 4000 AS a, 1 + l_partkey * 7 % 7000 AS b FROM lineitem),
+f AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY idx) AS k FROM p WHERE a <= 4000 AND b <= 6000),
+r AS (SELECT source_id, idx, k, 0 AS batch, 1 AS n, a + b AS size FROM f WHERE k = 1 UNION ALL
+SELECT f.source_id, f.idx, f.k, CASE WHEN r.n >= 8 OR r.size + f.a + f.b >= 24000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.n >= 8 OR r.size + f.a + f.b >= 24000 THEN 1 ELSE r.n + 1 END, CASE WHEN r.n >= 8 OR r.size + f.a + f.b >= 24000 THEN f.a + f.b ELSE r.size + f.a + f.b END FROM r JOIN f ON f.source_id = r.source_id AND f.k = r.k + 1)
+SELECT source_id, idx, batch FROM r""".replace("WITH p", "WITH RECURSIVE p"))
+def screening_batches(spark, sf_dir):
+    """Pairs put to a reader: lines of an order, with texts as long as their keys say."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    long = lambda n: F.repeat(F.lit("x"), n.cast("int"))
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source_id"), F.row_number().over(w).alias("idx"), long(100 + F.col("l_orderkey") % 4000).alias("source"), long(1 + F.col("l_partkey") * 7 % 7000).alias("target"))
+    return G.batches(pairs).select("source_id", "idx", "batch")
+
+
+@query("E08_screened", _values("source_id, idx, relation", [(1, 0, "related"), (1, 1, "uncertain"), (1, 2, "unrelated"), (1, 3, "uncertain"), (2, 0, "uncertain"), (2, 1, "uncertain")]))
+def screened(spark, sf_dir):
+    source, target = "[원문 상위 문맥] 조적\n[현재 요구사항] 줄눈 두께 10 mm", "[KCS 상위 문맥] 벽돌\n[KCS 본문] 줄눈의 두께는 10 mm로 한다"
+    pairs = spark.createDataFrame([(1, 0, source, target), (1, 1, source, target), (1, 2, source, "타일"), (1, 3, source, "y" * 6001), (2, 0, "짧다", target), (2, 1, "짧다", target)], "source_id int, idx int, source string, target string")
+    said = [(1, 0, 0, "related", "줄눈 두께 10", "[KCS 본문] 줄눈의 두께는"), (1, 0, 1, "partial", "줄눈 두께 10", "상위 문맥 벽돌"), (1, 0, 2, "unrelated", "", ""), (2, 0, 0, "unrelated", "", ""), (2, 0, 0, "unrelated", "", "")]
+    verdicts = spark.createDataFrame(said, "source_id int, batch int, idx int, relation string, source_quote string, target_quote string")
+    return G.screened(pairs, G.batches(pairs), verdicts)
+
+
+@query("E09_valid_analyses", _values("n, ok", [(0, True), (1, False), (2, False), (3, False)]))
+def valid_analyses(spark, sf_dir):
+    rows = spark.createDataFrame([(0, "equivalent", 0.9, "a"), (1, "same", 0.9, "a"), (2, "conflict", 1.1, "a"), (3, "unrelated", 0.5, " ")], "n int, relation string, confidence double, rationale string")
+    return rows.select("n", G.valid_analysis(F.col("relation"), F.col("confidence"), F.col("rationale")).alias("ok"))
+
+
 @query("W05_neighbour_columns", "SELECT conv_id, turn, lag(role) OVER w AS prev_role, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def neighbour_columns(spark, sf_dir):
     return P.neighbours(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", ["role"]).select("conv_id", "turn", "prev_role", "next_role")

@@ -25,12 +25,11 @@ LINES = "lines AS (SELECT l_orderkey AS clause_id, l_suppkey AS code, l_partkey
 
 ALL_REASONS = [r for rs in DECISION_REASONS.values() for r in rs] + ["other"]
 STATUSES = ["reviewing", "submitted", "changes_requested", "approved"]
-RELATIONS = ["equivalent", "kcs_covers", "partial", None]
 # clauses under review, their candidates, and what was judged of their segments, derived from keys so that every rule meets every case
 REVIEW = f"""{LINES},
 rc AS (SELECT o_orderkey AS clause, o_custkey AS project, CASE o_orderkey % 10 WHEN 0 THEN 'heading' WHEN 1 THEN 'table' ELSE 'paragraph' END AS source_type, CASE WHEN o_orderstatus = 'O' THEN CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'hold' END WHEN o_orderstatus = 'F' AND o_orderkey % 2 = 0 THEN 'keep' ELSE 'delete' END AS decision,
  {ALL_REASONS!r}[CAST(o_orderkey % {len(ALL_REASONS)} AS INT) + 1] AS reason, o_orderpriority AS content, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN o_orderpriority ELSE o_orderpriority || ' x' END AS edited, nullif(o_orderkey % 4, 0) AS selected, o_orderkey % 3 <> 0 AS confirmed FROM orders),
-rk AS (SELECT clause_id AS clause, pos AS candidate, CASE WHEN section_id % 5 = 0 THEN 1 ELSE 0 END AS warnings, CASE code % 4 WHEN 0 THEN 'equivalent' WHEN 1 THEN 'kcs_covers' WHEN 2 THEN 'partial' END AS relation, 1 - 2 * confidence AS confidence FROM lines),
+rk AS (SELECT clause_id AS clause, pos AS candidate, CASE WHEN section_id % 5 = 0 THEN 1 ELSE 0 END AS warnings, CASE code % 4 WHEN 0 THEN 'equivalent' WHEN 1 THEN 'kcs_covers' WHEN 2 THEN 'unrelated' END AS relation, 1 - 2 * confidence AS confidence FROM lines),
 js AS (SELECT clause_id AS clause, (pos + 1) // 2 AS segment, pos % 2 AS call, CASE relation WHEN 'A' THEN 'covered' WHEN 'N' THEN 'not_covered' ELSE CASE WHEN confidence > 0.08 THEN 'conflict' ELSE 'uncertain' END END AS status, pos, 1 - confidence AS confidence FROM lines),
 forced AS (SELECT DISTINCT clause_id AS clause, (pos + 1) // 2 AS segment FROM lines WHERE section_id % 7 = 0),
 seg0 AS (SELECT clause, segment, CASE WHEN bool_or(status = 'conflict') THEN 'conflict' WHEN bool_or(status = 'uncertain') OR (bool_or(status = 'covered') AND bool_or(status = 'not_covered')) THEN 'uncertain' WHEN bool_or(status = 'covered') THEN 'covered' ELSE 'not_covered' END AS base, min(confidence) AS confidence FROM js GROUP BY clause, segment),
@@ -88,7 +87,7 @@ class Star:
 
     @cached_property
     def review_candidates(self) -> DataFrame:
-        relation = F.when(F.col("code") % 4 == 0, "equivalent").when(F.col("code") % 4 == 1, "kcs_covers").when(F.col("code") % 4 == 2, "partial")
+        relation = F.when(F.col("code") % 4 == 0, "equivalent").when(F.col("code") % 4 == 1, "kcs_covers").when(F.col("code") % 4 == 2, "unrelated")
         return self.lines.select("clause", F.col("pos").alias("candidate"), (F.col("section") % 5 == 0).cast("int").alias("warnings"), relation.alias("relation"), (1 - 2 * F.col("confidence")).alias("confidence"))
 
     @cached_property

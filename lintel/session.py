@@ -1,10 +1,12 @@
-"""Session defaults for local runs; on a cluster the submitted configuration wins."""
+"""Session defaults for local runs (on a cluster the submitted configuration wins), and tables in the folder that all machines share."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 LOCAL = {
     "spark.sql.session.timeZone": "UTC",
@@ -25,3 +27,20 @@ def local_session(cpus: int | None = None, app: str = "lintel", memory: str = "1
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the cluster's shared one (spark.checkpoint.dir); a temporary one only in a session on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="lintel-")
+    return f"{shared.rstrip('/')}/lintel-{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read back: a plan that uses it often computes it once, and a lost executor costs no more."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -24,46 +25,110 @@ CLAUSES = "path string, source_order int, source_type string, outline_level int,
 LABEL = re.compile(r"^\s*(\d+(?:\.\d+)*\.?|\(\d+\)|[가-하]\.|[①-⑳])\s*")
 
 
+BOX, MC = f"{W}txbxContent", "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
+
+
+def _within(node) -> Iterator:
+    """What a node holds, text boxes left out: those are blocks of their own."""
+    for x in node:
+        if x.tag != BOX:
+            yield x
+            yield from _within(x)
+
+
+def _boxes(node) -> Iterator:
+    """The outermost text boxes of a node; of alternatives the first that has any."""
+    for x in node:
+        if x.tag == BOX:
+            yield x
+        elif x.tag == f"{MC}AlternateContent":
+            yield from next((found for y in x if (found := list(_boxes(y)))), [])
+        else:
+            yield from _boxes(x)
+
+
+def _value(node, path: str) -> str | None:
+    found = node.find(path) if node is not None else None
+    return found.get(f"{W}val") if found is not None else None
+
+
+class _Numbering:
+    """Labels of numbered paragraphs: every list counts by itself, and a level begins anew behind a higher one."""
+
+    def __init__(self, numbering, styles):
+        none = ElementTree.Element("none")
+        numbering, styles = (none if x is None else x for x in (numbering, styles))
+        levels = {a.get(f"{W}abstractNumId"): {x.get(f"{W}ilvl"): (_value(x, f"{W}numFmt") or "decimal", _value(x, f"{W}lvlText"), int(_value(x, f"{W}start") or 1)) for x in a.findall(f"{W}lvl")} for a in numbering.findall(f"{W}abstractNum")}
+        self.lists = {n.get(f"{W}numId"): levels.get(_value(n, f"{W}abstractNumId"), {}) for n in numbering.findall(f"{W}num")}
+        self.of_style = {x.get(f"{W}styleId"): x.find(f"{W}pPr/{W}numPr") for x in styles.findall(f"{W}style")}
+        self.counted: dict[str, dict[int, int]] = defaultdict(dict)
+
+    def label(self, p) -> str:
+        place = p.find(f"{W}pPr/{W}numPr")
+        if place is None:
+            place = self.of_style.get(_value(p, f"{W}pPr/{W}pStyle"))
+        number, level = _value(place, f"{W}numId"), int(_value(place, f"{W}ilvl") or 0)
+        if str(level) not in self.lists.get(number, {}):
+            return ""
+        kind, pattern, start = self.lists[number][str(level)]
+        counts = {k: v for k, v in self.counted[number].items() if k <= level}
+        counts[level] = counts[level] + 1 if level in counts else start
+        self.counted[number] = counts
+        if kind == "bullet":
+            return "•"
+        letter = {"lowerLetter": "a", "upperLetter": "A"}.get(kind)
+
+        def written(m: re.Match) -> str:
+            k = int(m[1]) - 1
+            value = max(1, counts.get(k, 0))
+            return chr(ord(letter) + (value - 1) % 26) if letter and k == level else str(value)
+
+        return re.sub(r"%([1-9])", written, f"%{level + 1}." if pattern is None else pattern)
+
+
 def _paragraph(p) -> tuple[str, int | None]:
-    text = "".join(t.text or "" if t.tag == f"{W}t" else "\t" if t.tag == f"{W}tab" else "\n" if t.tag == f"{W}br" else "" for t in p.iter())
-    level = p.find(f"{W}pPr/{W}outlineLvl")
-    style = p.find(f"{W}pPr/{W}pStyle")
+    text = "".join(t.text or "" if t.tag == f"{W}t" else "\t" if t.tag == f"{W}tab" else "\n" if t.tag == f"{W}br" else "" for t in _within(p))
+    level, style = _value(p, f"{W}pPr/{W}outlineLvl"), _value(p, f"{W}pPr/{W}pStyle")
     if level is not None:
-        return text.strip(), int(level.get(f"{W}val", "0"))
-    m = re.match(r"(?i)heading\s*(\d)", style.get(f"{W}val", "")) if style is not None else None
+        return text.strip(), int(level)
+    m = re.match(r"(?i)(?:heading|제목)\s*(\d)", style or "")
     return text.strip(), int(m[1]) - 1 if m else None
 
 
 def word_clauses(content: bytes) -> list[tuple]:
-    """(order, type, level, label, text, context) of a Word file's body: paragraphs, headings and table rows, in order."""
+    """(order, type, level, label, text, context) of a Word file's body: paragraphs, headings and table rows, in order; text boxes follow
+    the paragraph that holds them. A numbered paragraph's label is that of its list."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
+        part = lambda name: ElementTree.fromstring(z.read(name)) if name in z.namelist() else None
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{W}body")
+        numbering = _Numbering(part("word/numbering.xml"), part("word/styles.xml"))
     out, path = [], {}
 
-    def add(kind: str, text: str, level: int | None) -> None:
+    def add(kind: str, text: str, level: int | None, label: str = "") -> None:
         m = LABEL.match(text)
-        out.append((len(out), kind, level, m[1] if m else "", text, " > ".join(path[k] for k in sorted(path))))
+        out.append((len(out), kind, level, label or (m[1] if m else ""), text, " > ".join(path[k] for k in sorted(path))))
 
     def walk(parent) -> None:
         for x in parent:
             if x.tag == f"{W}p":
-                text, level = _paragraph(x)
-                if not text:
-                    continue
-                if level is not None:
+                (text, level), label = _paragraph(x), numbering.label(x)
+                if text and level is not None:
                     for k in [k for k in path if k >= level]:
                         del path[k]
-                    add("heading", text, level)
+                    add("heading", text, level, label)
                     path[level] = text
-                else:
-                    add("paragraph", text, None)
+                elif text:
+                    add("paragraph", text, None, label)
+                for box in _boxes(x):
+                    walk(box)
             elif x.tag == f"{W}tbl":
                 for row in x.iter(f"{W}tr"):
                     cells = [" ".join(filter(None, (_paragraph(p)[0] for p in c.iter(f"{W}p")))) for c in row.findall(f"{W}tc")]
                     if any(cells):
                         add("table", " | ".join(cells), None)
-            elif x.tag in (f"{W}sdt", f"{W}sdtContent"):
-                walk(x)
+            elif x.tag == f"{W}sdt":
+                for held in x.findall(f"{W}sdtContent"):
+                    walk(held)
 
     walk(body)
     return out

@@ -5,8 +5,6 @@ is keyed by batch or entity, so that a repeat changes nothing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,13 +36,13 @@ def recovered(events: DataFrame) -> DataFrame:
     return state.withColumn("status", F.when(F.col("status") == "running", "queued").otherwise(F.col("status")))
 
 
-def run_queue(stream: DataFrame, target: str, checkpoint: str, work: Callable[[DataFrame], DataFrame], order: list[str]):
+def run_queue(stream: DataFrame, target: str, checkpoint: str, work: Callable[[DataFrame], DataFrame], order: list[str], mode: str = "append"):
     """Works off what has arrived, in order within a batch; a batch that runs twice overwrites its own folder."""
 
     def batch(df: DataFrame, number: int) -> None:
         work(df.orderBy(*order)).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def keep_latest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: str, buckets: int = 64):
@@ -96,16 +94,6 @@ def kept(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(*[f"{target}/version={v}/bucket={b}" for b, v in _versions(spark, target).items()])
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared one (spark.checkpoint.dir); a temporary one only in a session on one machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="lintel-")
-    return f"{shared}/lintel-{name}-{uuid.uuid4().hex}"
-
-
 def first_per_key(stream: DataFrame, keys: list[str], time: str, delay: str = "1 day") -> DataFrame:
     """Idempotent enqueueing: later rows of a key are dropped while the watermark remembers it."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)

@@ -20,7 +20,8 @@ def test_fusion_prefers_the_scoped_score(spark):
     rows = spark.createDataFrame([(1, 0, "scoped", 7, 0.4), (1, 1, "global", 7, 0.9), (1, 1, "global", 8, 0.5)], "query int, list_id int, source string, doc int, score double")
     got = {r["doc"]: r for r in ranking.fuse(rows).collect()}
     assert got[7]["score"] == 0.4 and got[8]["score"] == 0.5
-    assert {r["doc"]: r["score"] for r in ranking.fuse(rows, masonry=True).collect()}[7] == 0.9
+    focused = rows.unionByName(rows.sparkSession.createDataFrame([(1, 2, "focused", 7, 0.6)], rows.schema))
+    assert {r["doc"]: r["score"] for r in ranking.fuse(focused).collect()} == {7: 0.6, 8: 0.5}  # only a focused score competes with a scoped one
     assert sorted(r["rank"] for r in got.values()) == [1, 2]
 
 

@@ -116,8 +116,8 @@ def test_all_group_overlap_and_structure_snapshot(spark):
 
 
 def test_every_query_has_sql_of_its_own():
-    """No query is text that Spark and DuckDB share: queries are built from DataFrames, and all have rows to be compared with."""
-    assert sorted(QUERIES) == sorted(ORACLE_SQL)
+    """Queries are built from DataFrames, and all but the ranking program (see test_matching) have SQL to be compared with."""
+    assert sorted(set(QUERIES) - set(ORACLE_SQL)) == ["R06_routed_scopes", "R08_shortlists", "R23_match_clauses"]
 
 
 def test_all_stable_score(spark, tmp_path):
