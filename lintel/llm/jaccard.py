@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lintel.llm.common import dropped, small_batches, staged
 from lintel.llm.components import connected
-from lintel.llm.words import held, slices
+from lintel.llm.words import give_back, held, slices
 
 SHINGLE, PERCENT = 5, 80
 #: Counters of shingles, and in how many blocks tasks hand theirs in.
@@ -150,6 +150,7 @@ def summarise(docs: DataFrame, k: int) -> DataFrame:
                     bits.append(None if key is None or key in done else bitmap(s))
                     done.add(key)
                 yield pd.DataFrame({"doc_id": ids[a:b].array, "n": [len(s) for s in sets], "key": pd.array(keys, "Int64"), "text_hash": hashes[a:b].array, "bits": bits, "block": pd.array([None] * len(sets), "Int64"), "counts": None})
+            give_back()
         if seen.any():
             none = pd.array([None] * BLOCKS, "Int64")
             yield pd.DataFrame({"doc_id": none, "n": 0, "key": none, "text_hash": 0, "bits": None, "block": pd.array(range(BLOCKS), "Int64"), "counts": [zlib.compress(c.tobytes(), 1) for c in seen.reshape(BLOCKS, -1)]})
@@ -199,6 +200,7 @@ def postings(docs: DataFrame, order: np.ndarray, k: int, percent: int) -> DataFr
                     token = np.concatenate(tokens)
                     spread = [many.get(x, 1) for x in (token & (COUNTERS - 1)).tolist()] if many else 1
                     yield pd.DataFrame({"token": token, "key": np.concatenate(keys), "parts": spread})
+            give_back()
 
     return docs.select("text").where("text is not null").mapInPandas(one, "token long, key long, parts int")
 
@@ -266,6 +268,7 @@ def bodies_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                         found.append((set_key(s), h, zlib.compress(t, 6)))
                 if found:
                     yield pd.DataFrame(found, columns=["key", "text_hash", "body"])
+            give_back()
 
     read = docs.where("text is not null").withColumn("text_hash", F.xxhash64("text")).select("text", "text_hash", bit.alias("bit")).mapInPandas(one, "key long, text_hash long, body binary")
     return read.withColumn("_k", F.row_number().over(Window.partitionBy("key").orderBy("text_hash"))).where("_k = 1").select("key", "body")
@@ -337,6 +340,7 @@ def verified(docs: DataFrame, roles: DataFrame, summary: DataFrame, k: int, perc
                     roots = np.append(roots, root[own])
                 if len(roots) > 1:
                     root[np.isin(root, roots)] = roots.min()
+        give_back()
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
     out = staged(moved.groupBy("pool", "x", "y").applyInPandas(meet, "a long, b long"), "links")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.llm.common import columns_of, small_batches, unused
-from lintel.llm.words import WordMemo, held, letters, slices, sums, word_lists
+from lintel.llm.words import WordMemo, give_back, held, letters, slices, sums, word_lists
 
 ORDER = 5
 UND = "und"
@@ -256,6 +256,7 @@ def identify(docs: DataFrame, train: DataFrame | None = None, per_language: int
             texts = texts.tolist()
             parts = [shared.value.predict(texts[a:b], memo) for a, b in slices(texts, 1 << 18)]
             yield pd.concat(parts, ignore_index=True) if parts else shared.value.predict([], memo)
+            give_back()
 
     found = unused(docs.columns, "_found")
     return docs.withColumn(found, predict(F.col(f"`{text_col}`"))).select(*kept, *(F.col(f"{found}.{c}").alias(f"{prefix}{c}") for c in fields))

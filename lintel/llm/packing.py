@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.llm.common import rank_within, small_batches, staged
-from lintel.llm.words import held
+from lintel.llm.words import give_back, held
 
 #: Text is tokenised in slices of about so many characters, and a worker remembers so many chunks and words.
 SLICE_CHARS, MEMO, WORD_MEMO = 1 << 21, 300_000, 250_000
@@ -162,6 +162,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int)
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
+            give_back()
 
     small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(cut, PIECES)

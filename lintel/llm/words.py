@@ -8,6 +8,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 
 #: Runs of letters, and of signs of numbers that are not digits (superscripts, fractions, Roman numerals): see `letters`.
@@ -31,13 +32,17 @@ def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
 _held: list = [None, None]
 
 
-def _give_back() -> None:
-    """Return freed memory to the system, where the C library can: a worker's next operator may need it elsewhere on the machine."""
-    gc.collect()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library
-        pass
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def give_back() -> None:
+    """Return what allocators keep of freed memory to the system: batches come and go, and a worker would hold the most it ever used."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def held(owner: object, make: Callable[[], object] = lambda: None) -> object:
@@ -45,7 +50,8 @@ def held(owner: object, make: Callable[[], object] = lambda: None) -> object:
     that serves one operator after the other holds the memo of one."""
     if not (_held[0] is owner or isinstance(owner, tuple) and _held[0] == owner):
         _held[:] = [None, None]
-        _give_back()
+        gc.collect()
+        give_back()
         _held[:] = [owner, make()]
     return _held[1]
 
