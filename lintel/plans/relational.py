@@ -273,7 +273,7 @@ def _(t: Star):
     failed, kinds = F.count_if(F.col("status") == "error"), F.count_distinct("status")
     state = F.when(failed > 0, "failed").when(kinds == 1, "uniform").otherwise("mixed")
     first = F.min_by("status", F.when(F.col("status") != "click", F.col("seq")))
-    return t.events.groupBy(F.col("entity").alias("user_id")).agg(F.count(F.lit(1)).alias("items"), failed.alias("failed"), state.alias("state"), F.round(F.avg("value"), 6).alias("progress"), F.min(F.when(F.col("status") != "click", F.col("seq"))).alias("first_other"), first.alias("first_status"))
+    return t.events.groupBy(F.col("entity").alias("user_id")).agg(F.count(F.lit(1)).alias("items"), failed.alias("failed"), state.alias("state"), F.round(F.avg("value"), 8).alias("progress"), F.min(F.when(F.col("status") != "click", F.col("seq"))).alias("first_other"), first.alias("first_status"))
 
 
 @_add("A10_ir_metrics")

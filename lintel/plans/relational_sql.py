@@ -48,7 +48,7 @@ FROM b FULL JOIN a ON b.clause_id = a.clause_id AND b.fp = a.fp AND b.n = a.n"""
     "A04_count_distinct": f"{W3} SELECT code, count(DISTINCT clause_id) AS clauses, count(DISTINCT CASE WHEN relation = 'R' THEN section_id END) AS rejected FROM candidates GROUP BY code",
     "A05_scalar_counts": f"{W3} SELECT p.id, (SELECT count(*) FROM clauses c WHERE c.project_id = p.id AND c.price > 200000) AS large FROM projects p",
     "A06_next_revision": f"{W3} SELECT p.id, coalesce(max(c.id % 7), 0) + 1 AS next_revision FROM projects p LEFT JOIN clauses c ON c.project_id = p.id GROUP BY p.id",
-    "A09_job_rollup": "SELECT user_id, count(*) AS items, count(CASE WHEN event_type = 'error' THEN 1 END) AS failed, CASE WHEN bool_or(event_type = 'error') THEN 'failed' WHEN min(event_type) = max(event_type) THEN 'uniform' ELSE 'mixed' END AS state, round(avg(value), 6) AS progress, min(event_id) FILTER (event_type <> 'click') AS first_other, arg_min(event_type, event_id) FILTER (event_type <> 'click') AS first_status FROM events GROUP BY user_id",
+    "A09_job_rollup": "SELECT user_id, count(*) AS items, count(CASE WHEN event_type = 'error' THEN 1 END) AS failed, CASE WHEN bool_or(event_type = 'error') THEN 'failed' WHEN min(event_type) = max(event_type) THEN 'uniform' ELSE 'mixed' END AS state, round(avg(value), 8) AS progress, min(event_id) FILTER (event_type <> 'click') AS first_other, arg_min(event_type, event_id) FILTER (event_type <> 'click') AS first_status FROM events GROUP BY user_id",
     "A10_ir_metrics": f"""{W3}, hits AS (SELECT c.id, min(CASE WHEN k.relation = 'A' THEN k.rank END) AS hit FROM clauses c LEFT JOIN candidates k ON k.clause_id = c.id AND k.rank <= 3 GROUP BY c.id)
 SELECT count(*) AS evaluated, CAST(sum(CASE WHEN hit = 1 THEN 1 ELSE 0 END) AS BIGINT) AS rank1, CAST(sum(CASE WHEN hit IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS found, round(CAST(sum(CASE WHEN hit IS NOT NULL THEN 1 ELSE 0 END) AS DOUBLE) / nullif(count(*), 0), 4) AS recall3, round(sum(CASE WHEN hit IS NULL THEN 0.0 ELSE CAST(1.0 AS DOUBLE) / hit END) / nullif(count(*), 0), 4) AS mrr FROM hits""",
     "A11_group_breakdown": f"{W3}, domain AS (SELECT 'F' AS decision UNION ALL SELECT 'O' UNION ALL SELECT 'P' UNION ALL SELECT 'X') SELECT d.decision, count(c.id) AS n, CAST(coalesce(sum(CASE WHEN c.price > 100000 THEN 1 ELSE 0 END), 0) AS BIGINT) AS large FROM domain d LEFT JOIN clauses c ON c.decision = d.decision GROUP BY d.decision",
