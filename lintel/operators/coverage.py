@@ -11,7 +11,7 @@ from lintel.functions import text as X
 
 # Reasons that a decision may have, verdicts that allow a deletion, and how sure they must be.
 DECISION_REASONS = {
-    "keep": ["posco_specific", "posco_stricter", "partial_overlap_residual", "no_kcs_match"],
+    "keep": ["own_specific", "own_stricter", "partial_overlap_residual", "no_kcs_match"],
     "delete": ["fully_covered_by_kcs", "internal_duplicate", "obsolete_requirement", "out_of_scope", "editorial_cleanup", "management_decision"],
     "hold": ["needs_expert_review", "candidate_uncertain", "kcs_conflict"],
 }
@@ -37,7 +37,7 @@ def merge_clauses(segments: DataFrame) -> DataFrame:
     """clause, coverage, confidence, evidence, covered, segments: conflict and doubt win, coverage needs every segment."""
     is_ = lambda s: F.col("status") == s
     own = F.bool_and(is_("not_covered")) & F.bool_and(F.size("evidence") == 0)
-    coverage = F.when(F.bool_or(is_("conflict")), "conflict").when(F.bool_or(is_("uncertain")), "uncertain").when(F.bool_and(is_("covered")), "fully_covered").when(own, "posco_specific").otherwise("partially_covered")
+    coverage = F.when(F.bool_or(is_("conflict")), "conflict").when(F.bool_or(is_("uncertain")), "uncertain").when(F.bool_and(is_("covered")), "fully_covered").when(own, "own_specific").otherwise("partially_covered")
     evidence = F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence"))))
     return segments.groupBy("clause").agg(coverage.alias("coverage"), F.min("confidence").alias("confidence"), evidence.alias("evidence"), F.count_if(is_("covered")).alias("covered"), F.count(F.lit(1)).alias("segments"))
 

@@ -11,7 +11,7 @@ from lintel.functions import text as X
 # Reasons, in the order in which they are listed, and the namespace and prefix of new ids.
 REASONS = ["candidate_meaning_changed", "candidate_added", "candidate_removed", "candidate_metadata_changed", "selected_candidate_removed"]
 URL_NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
-NEW_ID = "posco-kcs-candidate"
+NEW_ID = "kcs-candidate"
 
 
 def with_fingerprints(rows: DataFrame) -> DataFrame:

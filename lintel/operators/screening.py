@@ -13,7 +13,7 @@ from lintel.sources.documents import greedy_batches
 # Longest source and target of a pair, pairs and characters of a batch, relations, statuses, lengths of quotes, and wording.
 LONGEST_SOURCE, LONGEST_TARGET, BATCH_PAIRS, BATCH_CHARS = 4_000, 6_000, 8, 24_000
 RELATIONS, STATUSES = ["related", "partial", "unrelated", "uncertain"], ["corresponds", "differs", "unconfirmed"]
-ANALYSIS_RELATIONS = ["equivalent", "kcs_covers", "partial_overlap", "posco_specific", "conflict", "unrelated"]
+ANALYSIS_RELATIONS = ["equivalent", "kcs_covers", "partial_overlap", "own_specific", "conflict", "unrelated"]
 QUOTE_LENGTHS = (5, 100)
 CONDITION_TOKENS = r"\d+(?:\.\d+)?(?:kgf?/㎠|kgf?/cm[²2]|MPa|일|회|매|개|%|급|종)"
 DOUBTFUL = r"일치하지|다르|본문에\s*없|규정하지\s*않|확인되지|직접.*(?:아니|않)|추가\s*조건"

@@ -10,7 +10,7 @@ _FP = """sha256('{"content":"text ' || (section_id % 3) || '","kcs_clause":"' ||
 _SIDES = f"""{LINES}, f AS (SELECT clause_id, pos, code || '/' || relation AS lk, {_FP} AS fp FROM lines),
 b AS (SELECT *, 'c-' || clause_id || '-' || pos AS id, pos AS rank, row_number() OVER (PARTITION BY clause_id, fp ORDER BY pos) AS occ FROM f WHERE pos <= 4),
 a AS (SELECT clause_id, 10 - pos AS pos, pos AS rank, lk, fp, row_number() OVER (PARTITION BY clause_id, fp ORDER BY 10 - pos) AS occ FROM f WHERE pos BETWEEN 2 AND 5),
-g AS (SELECT a.clause_id, a.pos, a.fp, a.occ, b.id AS preserved, b.id IS NOT NULL AND b.rank <> a.rank AS moved, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode('posco-kcs-candidate:' || a.clause_id || ':' || a.fp || ':' || a.occ)) AS h FROM a LEFT JOIN b ON b.clause_id = a.clause_id AND b.fp = a.fp AND b.occ = a.occ)"""
+g AS (SELECT a.clause_id, a.pos, a.fp, a.occ, b.id AS preserved, b.id IS NOT NULL AND b.rank <> a.rank AS moved, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode('kcs-candidate:' || a.clause_id || ':' || a.fp || ':' || a.occ)) AS h FROM a LEFT JOIN b ON b.clause_id = a.clause_id AND b.fp = a.fp AND b.occ = a.occ)"""
 _UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
 _PLAN = f"""{_SIDES}, {REVIEW.removeprefix(LINES + ',')},
 s AS (SELECT clause_id, lk, fp, max(x) AS b, max(y) AS a FROM (SELECT clause_id, lk, fp, 1 AS x, 0 AS y FROM b UNION ALL SELECT clause_id, lk, fp, 0, 1 FROM a) GROUP BY ALL),

@@ -34,7 +34,7 @@ js AS (SELECT clause_id AS clause, (pos + 1) // 2 AS segment, pos % 2 AS call, C
 forced AS (SELECT DISTINCT clause_id AS clause, (pos + 1) // 2 AS segment FROM lines WHERE section_id % 7 = 0),
 seg0 AS (SELECT clause, segment, CASE WHEN bool_or(status = 'conflict') THEN 'conflict' WHEN bool_or(status = 'uncertain') OR (bool_or(status = 'covered') AND bool_or(status = 'not_covered')) THEN 'uncertain' WHEN bool_or(status = 'covered') THEN 'covered' ELSE 'not_covered' END AS base, min(confidence) AS confidence FROM js GROUP BY clause, segment),
 seg AS (SELECT s.clause, s.segment, CASE WHEN s.base = 'covered' AND f.clause IS NOT NULL THEN 'uncertain' ELSE s.base END AS status, s.confidence, coalesce((SELECT list(j.pos ORDER BY j.call, j.pos) FROM js j WHERE j.clause = s.clause AND j.segment = s.segment AND j.status = 'covered' AND s.base IN ('covered', 'uncertain')), []) AS evidence FROM seg0 s LEFT JOIN forced f ON f.clause = s.clause AND f.segment = s.segment),
-cov0 AS (SELECT clause, CASE WHEN bool_or(status = 'conflict') THEN 'conflict' WHEN bool_or(status = 'uncertain') THEN 'uncertain' WHEN bool_and(status = 'covered') THEN 'fully_covered' WHEN bool_and(status = 'not_covered') AND max(len(evidence)) = 0 THEN 'posco_specific' ELSE 'partially_covered' END AS coverage, min(confidence) AS confidence, list_sort(flatten(list(evidence))) AS evidence, count(CASE WHEN status = 'covered' THEN 1 END) AS covered, count(*) AS segments FROM seg GROUP BY clause),
+cov0 AS (SELECT clause, CASE WHEN bool_or(status = 'conflict') THEN 'conflict' WHEN bool_or(status = 'uncertain') THEN 'uncertain' WHEN bool_and(status = 'covered') THEN 'fully_covered' WHEN bool_and(status = 'not_covered') AND max(len(evidence)) = 0 THEN 'own_specific' ELSE 'partially_covered' END AS coverage, min(confidence) AS confidence, list_sort(flatten(list(evidence))) AS evidence, count(CASE WHEN status = 'covered' THEN 1 END) AS covered, count(*) AS segments FROM seg GROUP BY clause),
 cov AS (SELECT c.*, coverage = 'fully_covered' AND confidence >= 0.85 AND len(evidence) > 0 AND NOT EXISTS (SELECT 1 FROM rk WHERE rk.clause = c.clause AND list_contains(c.evidence, rk.candidate) AND (rk.warnings > 0 OR (rk.relation IS NOT NULL AND (rk.relation NOT IN ('equivalent', 'kcs_covers') OR rk.confidence < 0.85)))) AS deletion_safe FROM cov0 c),
 unsafe AS (SELECT c.clause FROM rc c LEFT JOIN rk k ON k.clause = c.clause AND k.candidate = c.selected LEFT JOIN cov v ON v.clause = c.clause WHERE c.source_type <> 'heading' AND c.decision = 'delete' AND c.reason = 'fully_covered_by_kcs' AND (c.selected IS NULL OR NOT c.confirmed OR k.clause IS NULL OR k.warnings > 0 OR (k.relation IS NOT NULL AND (k.relation NOT IN ('equivalent', 'kcs_covers') OR k.confidence < 0.85)) OR (v.clause IS NOT NULL AND (NOT v.deletion_safe OR NOT list_contains(v.evidence, c.selected) OR EXISTS (SELECT 1 FROM rk e WHERE e.clause = c.clause AND list_contains(v.evidence, e.candidate) AND e.relation IS NOT NULL AND (e.relation NOT IN ('equivalent', 'kcs_covers') OR e.confidence < 0.85)))))),
 rp AS (SELECT c_custkey AS project, {STATUSES!r}[CAST(c_custkey % 4 AS INT) + 1] AS status, CASE WHEN c_custkey % 3 = 0 THEN 'r1' ELSE 'r2' END AS revision, CASE WHEN c_custkey % 11 = 0 THEN 'v1' ELSE 'v2' END AS parser_version, CASE c_custkey % 13 WHEN 0 THEN 'pending' WHEN 1 THEN 'failed' END AS rematch, c_custkey % 8 <> 0 AS approved FROM customer)"""
