@@ -31,7 +31,7 @@ from lintel.llm.common import rank_within, small_batches, staged
 from lintel.llm.words import give_back, held
 
 #: Text is tokenised in slices of about so many characters, and a worker remembers so many chunks and words.
-SLICE_CHARS, MEMO, WORD_MEMO = 1 << 21, 300_000, 250_000
+SLICE_CHARS, MEMO, WORD_MEMO = 1 << 21, 400_000, 300_000
 # Fixed values of the vocabulary: how it cuts normalised text into words, and byte-level letters. Below U+0300 normalisation is
 # lower-casing letter by letter; text beyond, with a letter whose lower case is two, or with special tokens is left to the library.
 WORDS = re.compile(r"\n|'(?:s|t|re|ve|m|ll|d)|[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\d\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\s\w]|_)+")
@@ -150,7 +150,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = held(("packing", tokenizer_path), lambda: ChunkTokenizer(tokenizer_path))
-        for pdf in batches:
+        for n, pdf in enumerate(batches):
             doc_ids = pdf["doc_id"].tolist()
             for first, texts in slices(pdf["text"].tolist()):
                 rows = []
@@ -162,7 +162,8 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int)
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
-            give_back()
+            if n % 4 == 3:
+                give_back()
 
     small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(cut, PIECES)
