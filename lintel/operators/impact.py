@@ -17,11 +17,18 @@ NEW_ID = "kcs-candidate"
 def with_fingerprints(rows: DataFrame) -> DataFrame:
     """Adds fp (what a candidate says), lk (its code and clause number) and meta (the rest that is shown) to rows with code, number,
     title, content, warnings, rank, score, classification, reasons, version, updated, name."""
-    flat = X.folded
-    fp = D.semantic_fingerprint(F.col("code"), F.col("number"), F.col("title"), F.col("content"), F.col("warnings"))
-    logical = F.concat_ws("\u001f", X.folded_key(F.col("code")), flat(F.col("number")))
-    meta = F.struct("rank", "score", flat(F.col("classification")).alias("classification"), X.folded_each(F.col("reasons")).alias("reasons"), flat(F.col("version")).alias("version"), flat(F.col("updated")).alias("updated"), flat(F.col("name")).alias("name"))
-    return rows.withColumn("fp", fp).withColumn("lk", logical).withColumn("meta", meta)
+    # one pass in Python a row: all texts are folded as one and taken apart again
+    texts = ["code", "number", "title", "content", "classification", "version", "updated", "name"]
+    lists = [F.array_join(F.coalesce(c, F.array().cast("array<string>")), "\u001e") for c in ("warnings", "reasons")]
+    whole = F.concat_ws("\u001f", *[X.text(c) for c in texts], *lists)
+    rows = rows.withColumn("_f", F.split(F.lower(X.compatibility_form(whole)), "\u001f"))
+    flat = {name: X.clean_space(F.get("_f", i)) for i, name in enumerate([*texts, "warnings", "reasons"])}
+    each = lambda name: F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.get("_f", (len(texts) + ["warnings", "reasons"].index(name))), "\u001e"), X.clean_space), lambda x: x != "")))
+    code = F.regexp_replace(flat["code"], r"[^\p{L}\p{N}]", "")
+    fp = D.fingerprint({"kcs_code": code, "kcs_clause": flat["number"], "title": flat["title"], "content": flat["content"], "warnings": each("warnings")})
+    logical = F.concat_ws("\u001f", code, flat["number"])
+    meta = F.struct("rank", "score", flat["classification"].alias("classification"), each("reasons").alias("reasons"), flat["version"].alias("version"), flat["updated"].alias("updated"), flat["name"].alias("name"))
+    return rows.withColumn("fp", fp).withColumn("lk", logical).withColumn("meta", meta).drop("_f")
 
 
 def assignments(before: DataFrame, after: DataFrame) -> DataFrame:
