@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lintel.llm.decontaminate import OP12_SQL, op12_decontaminate
 from lintel.llm.html_text import op10_html_text
 from lintel.llm.jaccard import op3_jaccard
 from lintel.llm.language_id import op1_language_id
@@ -28,8 +29,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sampled_pieces": op8_sampled_pieces,
     "op9_packing": op9_packing,
     "op10_html_text": op10_html_text,
+    "op12_decontaminate": op12_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_winnowing": OP7_SQL,
+    "op12_decontaminate": OP12_SQL,
 }
