@@ -14,6 +14,7 @@ from lintel.llm.neighbours import op2_neighbours
 from lintel.llm.packing import op9_packing
 from lintel.llm.sampled_pieces import op8_sampled_pieces
 from lintel.llm.sharding import op4_sharding
+from lintel.llm.spelling import OP13_SQL, op13_spelling
 from lintel.llm.toxicity import op5_toxicity
 from lintel.llm.warc import op6_warc
 from lintel.llm.winnowing import OP7_SQL, op7_winnowing
@@ -30,9 +31,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_html_text": op10_html_text,
     "op12_decontaminate": op12_decontaminate,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_winnowing": OP7_SQL,
     "op12_decontaminate": OP12_SQL,
+    "op13_spelling": OP13_SQL,
 }
