@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lintel.llm.collocations import OP11_SQL, op11_collocations
 from lintel.llm.decontaminate import OP12_SQL, op12_decontaminate
 from lintel.llm.html_text import op10_html_text
 from lintel.llm.jaccard import op3_jaccard
@@ -30,12 +31,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sampled_pieces": op8_sampled_pieces,
     "op9_packing": op9_packing,
     "op10_html_text": op10_html_text,
+    "op11_collocations": op11_collocations,
     "op12_decontaminate": op12_decontaminate,
     "op13_spelling": op13_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_winnowing": OP7_SQL,
+    "op11_collocations": OP11_SQL,
     "op12_decontaminate": OP12_SQL,
     "op13_spelling": OP13_SQL,
 }
