@@ -94,6 +94,10 @@ def _fingerprints() -> Column:
     return F.transform("_m", cell)
 
 
+def _short_grams(m: int) -> Column:
+    return F.transform(f"_s{m}", lambda gram, at: _cell(m, gram, at, F.array(gram)))
+
+
 def benchmark_windows(items: DataFrame) -> DataFrame:
     """m, key, window, item: the distinct windows of items, with the fingerprint that leads to them; m is their length."""
     rows = items.select(F.col("item_id").cast("string").alias("item"), word_hashes(F.col("text")).alias("_h"))
@@ -126,7 +130,7 @@ def find_contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     rows = with_grams(rows, short)
     # a cell of length 0 stands for the document itself, so that one pass over the texts gives it and its hits
     itself = F.array(_cell(0, F.xxhash64("doc_id", "_text"), F.lit(0), F.array().cast("array<bigint>")))
-    grams = [F.transform(f"_s{m}", lambda g, i, m=m: _cell(m, g, i, F.array(g))) for m in short]
+    grams = [_short_grams(m) for m in short]
     cells = rows.select("doc_id", "_text", "_n", F.explode(F.concat(itself, _fingerprints(), *grams)).alias("c")).select("doc_id", "_text", "_n", "c.*")
     keys = _within(windows.select("m", "key").distinct()).withColumn("met", F.lit(True))
     cells = cells.join(keys, ["m", "key"], "left").where("met OR m = 0")

@@ -45,13 +45,15 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>").select("*", *clash).write.parquet(f"{folder}/embeddings.parquet")
     pages = [(1, "u", "<p>x</p>"), (2, "u", "<p>x</p>"), (3, None, None), (4, "u", ""), (None, "u", "<p>x</p>"), (5, "u", "<div>" * 30_000 + "deep, text"), (5, "u", "é" * 500_000)]
     spark.createDataFrame(pages, "page_id long, url string, html string").select("*", *clash).write.parquet(f"{folder}/pages.parquet")
+    items = [(1, rows[1][1]), (2, "house with window"), (None, rows[2][1]), (3, None), (3, "")]
+    spark.createDataFrame(items, "item_id long, text string").select("*", *clash).write.parquet(f"{folder}/benchmark.parquet")
     return str(folder), rows, pages
 
 
 @pytest.fixture(scope="module")
 def no_rows(spark, tables, tmp_path_factory):
     folder = tmp_path_factory.mktemp("no_rows")
-    for name in ("documents", "labels", "embeddings", "pages"):
+    for name in ("documents", "labels", "embeddings", "pages", "benchmark"):
         spark.read.parquet(f"{tables[0]}/{name}.parquet").where("false").write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
