@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintel.functions import text as X
+from lintel.session import bucketed, staged
 
 
 def postings(docs: DataFrame, id_col: str, terms: Column, doc: str = "doc") -> DataFrame:
@@ -89,6 +90,59 @@ def pair_scores(asked: DataFrame, index: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def sent(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has no more than ASKED_ROWS rows."""
+    return F.broadcast(df) if df.count() <= ASKED_ROWS else df
+
+
+def document_postings(docs: DataFrame, terms: Column, only: DataFrame | None = None) -> DataFrame:
+    """doc, term, tf, len of docs (doc, unique, and what terms need), in buckets of doc; each document has one row more, with a null term.
+
+    Texts are dealt by document once, so terms are counted and, later, scores summed up without another shuffle. With `only` (term, distinct)
+    other terms count for the length alone and are dropped where they are cut."""
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = docs.repartition(tasks, "doc").select("doc", terms.alias("terms"))
+    rows = cut.select("doc", F.size("terms").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "terms")).alias("term"))
+    if only is not None:
+        rows = rows.join(sent(only).withColumn("wanted", F.lit(True)), "term", "left").where("wanted OR term IS NULL")
+    return bucketed(rows.groupBy("doc", "len", "term").agg(F.count(F.lit(1)).alias("tf")), "doc", "postings")
+
+
+def scan_scores(queries: DataFrame, docs: DataFrame, terms: Column, scores: tuple[str, ...]) -> DataFrame:
+    """query, doc and the scores wanted (of tfidf, bm25, overlap) of all pairs that share a term, by one pass over docs (doc, ...).
+
+    queries: query, term, tf. Only asked terms are kept of a document, unless tf-idf wants all of them for its norm; a pair's scores are
+    sums over rows of its document, which lie in one bucket."""
+    asked = staged(queries, "asked")
+    only = asked.select("term").distinct()
+    everything = document_postings(docs, terms, None if "tfidf" in scores else only)
+    head = everything.where("term IS NULL").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("terms")).first()  # one row
+    n, average = head["n"], max(head["terms"] / max(head["n"], 1), 1e-9)
+    posts = everything.where("term IS NOT NULL")
+    df = posts if "tfidf" in scores else posts.join(sent(only), "term", "left_semi")
+    df = staged(df.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
+
+    of_query = Window.partitionBy("query")
+    weight = lambda tf: (1 + F.log(tf)) * (F.log((n + 1) / (F.col("df") + 1)) + 1)
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = asked.select("query", "term", F.col("tf").alias("qtf"), F.sum("tf").over(of_query).alias("qlen")).join(df, "term").withColumn("qw", weight("qtf"))
+    asked = staged(asked.withColumn("qw", F.col("qw") / F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(of_query))).withColumn("gain", (1 + F.log("qtf")) * idf * (K1 + 1)), "asked")
+
+    common, number = F.sum(F.least("qtf", "tf")), F.max(F.col("term").rlike(r"^\d").cast("int"))
+    sums = {
+        "tfidf": F.sum(F.col("qw") * weight("tf")),
+        "bm25": F.sum(F.col("gain") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / average))),
+        "overlap": F.least(F.lit(1.0), 0.62 * common / F.first("qlen") + 0.38 * common / F.first("len") + 0.08 * number),
+    }
+    blocks = max(1, -(-asked.count() // ASKED_ROWS))
+    parts = [asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i) for i in range(blocks)]
+    pairs = reduce(DataFrame.unionByName, [posts.join(F.broadcast(part), "term").groupBy("query", "doc").agg(*[sums[s].alias(s) for s in scores]) for part in parts])
+    if "tfidf" not in scores:
+        return pairs
+    norms = posts.join(sent(df), "term").groupBy("doc").agg(F.sqrt(F.sum(weight("tf") * weight("tf"))).alias("norm"))
+    return pairs.join(norms, "doc").select("query", "doc", *[(F.col(s) / F.col("norm") if s == "tfidf" else F.col(s)).alias(s) for s in scores])
+
+
 def bm25_scores(queries: DataFrame, posts: DataFrame, stats: DataFrame) -> DataFrame:
     """query, doc, score; a query term weighs 1 + ln of its count."""
     return pair_scores(asked_terms(queries, posts, stats), term_index(posts, stats)).select("query", "doc", F.col("bm25").alias("score"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lintel.functions import text as X
 from lintel.operators import index as I
 from lintel.operators import ranking as R
+from lintel.operators.impact_index import ImpactIndex
 from lintel.plans.registry import query, table
+from lintel.session import staged
 
 TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[A-Za-z가-힣]{{2,}}|\d+(?:\.\d+)?')"
 SQL_POSTS = f"""
@@ -40,9 +42,10 @@ def _posts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return posts, asked, I.collection(docs, posts)
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts, asked, stats = _posts(spark, sf_dir)
-    return I.pair_scores(I.asked_terms(asked, posts, stats), I.term_index(posts, stats))
+def _pairs(spark: SparkSession, sf_dir: str, *scores: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    asked = I.postings(table(spark, sf_dir, "benchmark"), "item_id", I.latin_tokens(F.col("text")), "query")
+    return I.scan_scores(asked, docs, I.latin_tokens(F.col("text")), scores)
 
 
 def _top(pairs: DataFrame, column: str, k: int) -> DataFrame:
@@ -51,7 +54,7 @@ def _top(pairs: DataFrame, column: str, k: int) -> DataFrame:
 
 @query("R03_bm25_top3", f"WITH {SQL_POSTS}, {SQL_BM25} {_top_sql('bm', 3)}")
 def bm25_top3(spark, sf_dir):
-    return _top(_pairs(spark, sf_dir), "bm25", 3)
+    return _top(_pairs(spark, sf_dir, "bm25"), "bm25", 3)
 
 
 @query("A07_df_stats", f"WITH {SQL_POSTS} SELECT term, df FROM df WHERE df > 1")
@@ -72,7 +75,7 @@ def l2_norms(spark, sf_dir):
 
 @query("R02_tfidf_top3", f"WITH {SQL_POSTS}, {SQL_TFIDF} {_top_sql('ti', 3)}")
 def tfidf_top3(spark, sf_dir):
-    return _top(_pairs(spark, sf_dir), "tfidf", 3)
+    return _top(_pairs(spark, sf_dir, "tfidf"), "tfidf", 3)
 
 
 SQL_HYBRID = """
@@ -82,15 +85,14 @@ hy AS (SELECT query, doc, 0.82 * coalesce(t, 0) + 0.18 * CASE WHEN m > 0 THEN co
 
 @query("R04_hybrid_top3", f"WITH {SQL_POSTS}, {SQL_TFIDF}, {SQL_BM25}, {SQL_HYBRID} {_top_sql('hy', 3)}")
 def hybrid_top3(spark, sf_dir):
-    posts, queries, stats = _posts(spark, sf_dir)
-    asked = I.asked_terms(queries, posts, stats)
-    return I.top(I.hybrid_scores(I.pair_scores(asked, I.term_index(posts, stats)), queries), 3)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"))
+    return I.top(I.hybrid_scores(_pairs(spark, sf_dir, "tfidf", "bm25"), asked), 3)
 
 
 @query("U01_full_outer_scores", f"WITH {SQL_POSTS}, {SQL_TFIDF}, {SQL_BM25} SELECT query, count(*) AS docs, round(sum(b), 4) AS bm25 FROM (SELECT coalesce(ti.query, bm.query) AS query, coalesce(bm.score, 0) AS b FROM ti FULL JOIN bm ON ti.query = bm.query AND ti.doc = bm.doc) GROUP BY query")
 def full_outer_scores(spark, sf_dir):
     """Both scores share their terms, so a pair that one of them knows is known to the other."""
-    return _pairs(spark, sf_dir).groupBy("query").agg(F.count(F.lit(1)).alias("docs"), F.round(F.sum("bm25"), 4).alias("bm25"))
+    return _pairs(spark, sf_dir, "bm25").groupBy("query").agg(F.count(F.lit(1)).alias("docs"), F.round(F.sum("bm25"), 4).alias("bm25"))
 
 
 SQL_OVERLAP = """
@@ -101,7 +103,7 @@ ov AS (SELECT c.query, c.doc, least(1.0, 0.62 * common / ql + 0.38 * common / dl
 
 @query("R20_token_overlap", f"WITH {SQL_POSTS}, {SQL_OVERLAP} {_top_sql('ov', 3)}")
 def token_overlap(spark, sf_dir):
-    return _top(_pairs(spark, sf_dir), "overlap", 3)
+    return _top(_pairs(spark, sf_dir, "overlap"), "overlap", 3)
 
 
 @query("R21_overlap_final", f"""WITH {SQL_POSTS}, {SQL_OVERLAP}, s AS (SELECT o.query, o.doc, round(CASE WHEN d.lang = 'en' THEN 1.0 ELSE 0.72 END * (0.84 * o.score + 0.08 * CASE WHEN d.lang = 'en' THEN 1 ELSE 0 END), 6) AS score, o.score AS rel, d.source FROM ov o JOIN documents d ON d.doc_id = o.doc),
@@ -109,7 +111,7 @@ f AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query, source OR
 SELECT query, doc, score, CAST(n AS INT) AS rank FROM (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS n FROM f WHERE u = 1) WHERE n <= 3""")
 def overlap_final(spark, sf_dir):
     info = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "lang", "source")
-    s = _pairs(spark, sf_dir).where("overlap >= 0.1").join(info, "doc")
+    s = _pairs(spark, sf_dir, "overlap").where("overlap >= 0.1").join(info, "doc")
     in_scope = F.col("lang") == "en"
     s = s.withColumn("score", F.round(F.when(in_scope, 1.0).otherwise(0.72) * (0.84 * F.col("overlap") + 0.08 * F.coalesce(in_scope, F.lit(False)).cast("int")), 6))
     return I.top(R.first_per_key(s, ["query", "source"], [F.desc("score"), "doc"]), 3).select("query", "doc", "score", "rank")
@@ -168,7 +170,7 @@ x AS (SELECT query, doc, round(coalesce(s, o) + 0.08 * p / max(p) OVER (PARTITIO
 
 @query("R11_rrf_fusion", f"WITH {SQL_POSTS}, {SQL_TFIDF}, {SQL_OVERLAP}, {SQL_FUSED} SELECT query, doc, final, CAST(n AS INT) AS rank FROM (SELECT query, doc, final, row_number() OVER (PARTITION BY query ORDER BY final DESC, doc) AS n FROM x) WHERE n <= 10")
 def rrf_fusion(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir)
+    pairs = staged(_pairs(spark, sf_dir, "tfidf", "overlap"), "pairs")
     lists = [("scoped", "tfidf"), ("keyword", "overlap")]
     parts = [_top(pairs, c, 20).select("query", F.lit(i).alias("list_id"), F.lit(name).alias("source"), "doc", "score") for i, (name, c) in enumerate(lists)]
     return R.fuse(parts[0].unionByName(parts[1])).where("rank <= 10").select("query", "doc", "final", "rank")
@@ -176,7 +178,7 @@ def rrf_fusion(spark, sf_dir):
 
 @query("R10_weak_scope", f"WITH {SQL_POSTS}, {SQL_OVERLAP} SELECT query, (count(*) < 40 OR count(CASE WHEN s >= 0.25 THEN 1 END) < 3 OR max(s) < 0.45) AS weak FROM (SELECT query, round(score, 6) AS s, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS n FROM ov) WHERE n <= 40 GROUP BY query")
 def weak_scope(spark, sf_dir):
-    return R.weak_scope(_top(_pairs(spark, sf_dir), "overlap", 40), 40)
+    return R.weak_scope(_top(_pairs(spark, sf_dir, "overlap"), "overlap", 40), 40)
 
 
 @query("R13_final_score", "SELECT l_orderkey AS id, l_linenumber AS n, CASE WHEN l_partkey % 50 = 0 THEN 1.0 ELSE round(greatest(0.0, least(1.0, 0.82 * (l_quantity / 50) * (1 - l_discount) + 0.08 * l_tax * 10 + 0.03 * (l_suppkey % 2) + 0.07 * (l_suppkey % 3 // 2))), 6) END AS score FROM lineitem")
@@ -258,3 +260,47 @@ def embedding_groups(spark, sf_dir):
     vectors = docs.groupBy("digest").agg((F.min("doc") % 500).alias("vec_id")).join(e.select("vec_id", "embedding"), "vec_id").select("digest", "embedding")
     scored = I.group_scores(docs, vectors, e.where("vec_id = 0").select("embedding"))
     return scored.groupBy("query").agg(F.count(F.lit(1)).alias("docs"), F.round(F.max("score"), 5).alias("best"))
+
+
+def _terms(docs: DataFrame) -> DataFrame:
+    return docs.repartition("doc_id").select(F.col("doc_id").alias("doc"), I.latin_tokens(F.coalesce("text", F.lit(""))).alias("terms"))
+
+
+@query("J16_impact_index", f"WITH {SQL_POSTS}, {SQL_BM25} {_top_sql('bm', 3)}")
+def impact_index(spark, sf_dir):
+    """The rows of R03 from an index that is kept as tables; most postings of a query lie in blocks that bounds leave out."""
+    index = ImpactIndex.build(_terms(table(spark, sf_dir, "documents")))
+    asked = I.postings(table(spark, sf_dir, "benchmark"), "item_id", I.latin_tokens(F.col("text")), "query")
+    return index.top(asked, 3)
+
+
+#: What is in the corpus after three deltas: every seventh document has gone, every fifth of the others has the text of its benchmark twin.
+SQL_UPKEEP = SQL_POSTS.replace("FROM documents)", "FROM docs)").replace("count(*) FROM documents)", "count(*) FROM docs)").replace("\ndp AS", """
+docs AS (SELECT doc_id, CASE WHEN doc_id % 5 = 3 THEN coalesce(b.text, '') ELSE d.text END AS text FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % 97 WHERE doc_id % 7 <> 2),
+dp AS""")
+
+
+def kept_up_index(spark, sf_dir) -> ImpactIndex:
+    """An index of two thirds of the documents, the others added, then every seventh removed, then texts of others replaced."""
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    index = ImpactIndex.build(_terms(docs.where("doc_id % 3 <> 1")))
+    index.apply(_terms(docs.where("doc_id % 3 = 1")))
+    index.apply(docs.where("doc_id % 7 = 2").select(F.col("doc_id").alias("doc"), F.lit(None).cast("array<string>").alias("terms")))
+    changed = docs.where("doc_id % 7 <> 2 AND doc_id % 5 = 3").select("doc_id", (F.col("doc_id") % 97).alias("item_id")).join(bench, "item_id", "left")
+    index.apply(_terms(changed))
+    return index
+
+
+@query("S14_index_after_deltas", f"WITH {SQL_UPKEEP}, {SQL_BM25} {_top_sql('bm', 3)}")
+def index_after_deltas(spark, sf_dir):
+    """The best rows by an index that deltas kept up: those that an index of the corpus as it is now would give."""
+    asked = I.postings(table(spark, sf_dir, "benchmark"), "item_id", I.latin_tokens(F.col("text")), "query")
+    return kept_up_index(spark, sf_dir).top(asked, 3)
+
+
+@query("S14_frequencies_after_deltas", f"WITH {SQL_UPKEEP} SELECT term, df, st.n AS n_docs, round(avg_len, 6) AS avg_len FROM df, st WHERE df > 1")
+def frequencies_after_deltas(spark, sf_dir):
+    """Document frequencies and lengths after three deltas, from signed changes of them."""
+    index = kept_up_index(spark, sf_dir)
+    n, average = index.stats()
+    return index.frequencies().where("df > 1").select("term", "df", F.lit(n).cast("long").alias("n_docs"), F.round(F.lit(average), 6).alias("avg_len"))

@@ -44,3 +44,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """A staged table in as many buckets of `key` as there are shuffle partitions: groupings and joins on the key need no shuffle.
+
+    Rows that are dealt by the key into that many partitions already move no more."""
+    spark = df.sparkSession
+    table = f"lintel_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", scratch(spark, name)).saveAsTable(table)
+    return spark.table(table)
