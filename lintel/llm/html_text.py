@@ -5,7 +5,8 @@ three) to its parent and half of them to its grandparent; a container's sum is d
 what its tag, class and id say. The best container is kept, with those siblings that score near it or read like prose; inside
 what is kept, menus, forms, scripts, notices, adverts, comments and the like are left out.
 
-Class and id names of boilerplate leave a block out, but not one that holds the article itself or most of the page's text. Names that
+Class and id names of boilerplate leave a block out, but not one that holds the article itself or most of the page's text, nor prose inside
+an article that only part of a name marks ("related-work"; not "related-posts", whose other part says nothing about a subject). Names that
 an article's own blocks may bear as well (side, legal, discussion and others), and headers, leave out only what lies outside an article
 or is mostly links. A list of links is a menu, unless it stands between paragraphs or is announced by a colon.
 
@@ -45,6 +46,7 @@ STRONG = COMMENTS + (
     "popup modal overlay newsletter subscribe subscription signup login footer masthead menu nav navbar navigation pagination pager related recommended recommendations "
     "share sharing social sidebar widget toolbar topbar copyright disclaimer outbrain taboola"
 ).split()
+FILLING = "area bar block body box btn button card cell col column container content count desc entry feed footer form grid group head header heading holder icon inline inner item link list main meta more outer panel post row section slot stories story tag teaser text thread title tools top bottom unit wrap wrapper zone".split()
 WEAK = "discussion foot head header legal rail register side skip tagcloud tags toc".split()
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text|blog)(?=$|[\s_-])", re.I)
@@ -75,12 +77,16 @@ def _names(words: list[str]) -> re.Pattern:
 
 
 BOILERPLATE, PERHAPS, COMMENT = _names(STRONG), _names(WEAK), _names(COMMENTS)
+#: A name that has no word beside those of boilerplate and of layout.
+WHOLE = re.compile(rf"(?=.*(?:^|[_-])(?:{'|'.join(STRONG)})s?(?:$|[_-]|\d))(?:(?:{'|'.join(STRONG + FILLING)})s?\d*(?:[_-]+|$)|\d+(?:[_-]+|$))+", re.I)
+#: Inside an article, a block with a name in part of boilerplate is prose from so many characters on.
+PROSE = 100
 #: Why an element is left out: it never holds text of the article; its name says so, if it does not hold the article.
 NEVER, NAMED = 2, 1
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "items", "score", "chars", "link_chars", "links", "bad", "weak", "comment", "holds", "inside", "depth", "marks")
+    __slots__ = ("tag", "attrs", "parent", "items", "score", "chars", "link_chars", "links", "bad", "weak", "comment", "partly", "holds", "inside", "raw", "depth", "marks")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
@@ -90,7 +96,8 @@ class Node:
         self.marks = parent.marks if parent is not None else {}
         if tag in MARKED:
             self.marks = self.marks | dict.fromkeys(MARKED[tag], self)
-        self.holds = self.inside = False
+        self.holds = self.inside = self.partly = False
+        self.raw = 0.0
         self.bad, self.weak, self.comment = NEVER if tag in DROPPED else NAMED if tag == "form" else 0, tag == "header", False
         if attrs and tag not in ("html", "body"):
             names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
@@ -98,6 +105,7 @@ class Node:
             if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
                 self.bad = NEVER
             elif self.comment or tag not in ARTICLES and (attrs.get("role", "").lower() in ROLES or bool(BOILERPLATE.search(names))):
+                self.partly = not self.bad and attrs.get("role", "").lower() not in ROLES and not any(WHOLE.fullmatch(name) for name in names.split())
                 self.bad = max(self.bad, NAMED)
             self.weak = self.weak or tag not in ARTICLES and bool(PERHAPS.search(names))
 
@@ -201,23 +209,26 @@ def _ordered(root: Node, worst: int = 0) -> list[Node]:
 def _spare(root: Node) -> None:
     """Take back elements whose names mark them although the article is in them, and mark the doubtful ones outside of it."""
     nodes = _ordered(root, NAMED)
-    for n in nodes:
-        n.inside = n.tag in ARTICLES and not n.bad or n.parent is not None and n.parent.inside and not n.bad
-        if n.weak and not n.inside:
-            n.bad = NAMED
     for n in reversed(nodes):
-        n.holds = n.tag in ARTICLES and not n.bad
         for x in n.items:
             if isinstance(x, str):
                 n.chars += len(x.strip())
             elif x.bad <= NAMED:
                 n.chars += x.chars
-                n.holds = n.holds or x.holds and not x.comment
+                n.link_chars += x.chars if x.tag == "a" else x.link_chars
+    for n in nodes:
+        if n.partly and n.parent.inside and n.chars >= PROSE and 3 * n.link_chars < n.chars:
+            n.bad, n.comment = 0, False
+        n.inside = n.tag in ARTICLES and not n.bad or n.parent is not None and n.parent.inside and not n.bad
+        if n.weak and not n.inside:
+            n.bad = NAMED
+    for n in reversed(nodes):
+        n.holds = n.tag in ARTICLES and not n.bad or any(not isinstance(x, str) and x.bad <= NAMED and x.holds and not x.comment for x in n.items)
     for n in nodes:
         if n.bad and (n.holds or not root.holds and not n.comment and 2 * n.chars > root.chars):
             n.bad = 0
     for n in nodes:
-        n.chars = 0
+        n.chars = n.link_chars = 0
 
 
 def _score(nodes: list[Node]) -> None:
@@ -245,12 +256,14 @@ def _score(nodes: list[Node]) -> None:
                 if up.parent is not None:
                     up.parent.score += points / 2
     for n in nodes:
+        n.raw = n.score
         if n.tag in ARTICLES:
             n.score += 25
         elif n.attrs and GOOD.search(f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}"):
             n.score += 15
         if n.chars:
             n.score *= 1 - n.link_chars / n.chars
+            n.raw *= 1 - n.link_chars / n.chars
 
 
 def _kept(nodes: list[Node]) -> list[Node | str]:
@@ -266,7 +279,8 @@ def _kept(nodes: list[Node]) -> list[Node | str]:
     around = best.parent
     if around is None:
         return [best]
-    least = max(10.0, best.score * 0.2)
+    # what a name says of the best one says nothing against those beside it; an article element does
+    near = (lambda x: x.score >= max(10.0, best.score * 0.2)) if best.tag in ARTICLES else (lambda x: x.chars and x.raw >= best.raw * 0.2)
     kept: list[Node | str] = []
     loose: list[str] = []
     for x in around.items:
@@ -277,7 +291,7 @@ def _kept(nodes: list[Node]) -> list[Node | str]:
             continue
         density = x.link_chars / x.chars if x.chars else 1
         prose = x.tag == "p" and (x.chars > 80 and density < 0.25 or 0 < x.chars <= 80 and density == 0)
-        if x is best or x.score >= least and density < 0.5 or prose and best.tag not in ARTICLES:
+        if x is best or near(x) and density < 0.5 or prose and best.tag not in ARTICLES:
             if kept:
                 kept.extend(loose)
             loose.clear()

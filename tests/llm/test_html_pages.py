@@ -27,6 +27,10 @@ LINKS = "<ul><li><a href=a>one</a></li><li><a href=b>two</a></li><li><a href=c>t
         ("<article><p>x</p></article><section><article class=comment><p>nice, comment, really, nice</p></article></section>", "x"),
         ("<div><p>First paragraph, with enough text to be the one that is kept by all means, yes.</p>loose text<p>Second paragraph, with enough.</p></div>", "First paragraph, with enough text to be the one that is kept by all means, yes.\nloose text\nSecond paragraph, with enough."),
         ("<p title='a>Text</p> rest", "Text\nrest"), ('<a href="x>text</a> more', "text more"), ("a < b and c <", "a < b and c <"), ("text <a hre", "text"), ("1 <2", "1 <2"),
+        *[(f"<article><p>Text, a.</p><section {name}><p>{'A full paragraph, with words. ' * 3}</p><p>{'Another one, of some length. ' * 3}</p></section></article>", f"Text, a.\n{('A full paragraph, with words. ' * 3).strip()}\n{('Another one, of some length. ' * 3).strip()}") for name in ("class=related-work", "class=social-impact", "class=share-analysis", "class=promotion-of-health", "id=comments-on-the-law")],
+        *[(f"<article><p>Text, a.</p><section {name}><p>{'A full paragraph, with words. ' * 3}</p></section></article>", "Text, a.") for name in ("class=related", "class='comments-list'", "id=comment-12", "class='x newsletter_signup-box'", "class=cookie-notice", "role=complementary class=related-work")],
+        ("<article><p>Text, a.</p><div class=share-this-page><a href=x>Share it</a></div></article>", "Text, a."),
+        (f"<div id=content><p>{'seventy characters ' * 3}</p></div><div id=more><p>{'of more of the text ' * 3}</p></div>", f"{('seventy characters ' * 3).strip()}\n{('of more of the text ' * 3).strip()}"),
         ("<p hidden>a</p><p style='display: none'>b</p><p>c</p>", "c"),
     ],
 )
