@@ -370,10 +370,11 @@ def _without_connected(docs: DataFrame, roles: DataFrame, summary: DataFrame, k:
 
 
 def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of `docs` (doc_id, text)."""
+    """doc_id, n_shingles, component_id of every row of `docs` (doc_id, text); and text_hash and component, by which rows of one id that
+    lie in different components are told apart (component is null for rows without shingles, which are linked with nothing)."""
     small_batches(docs.sparkSession)
     summary = summarise(docs, k)
-    rows = summary.where("block is null").select("doc_id", "n", "key")
+    rows = summary.where("block is null").select("doc_id", "n", "key", "text_hash")
     matrix = matrix_of(postings(docs, common_order(summary), k, percent))
     # groups of similar sets: a set joins the first holder that it meets in most of its rare shingles, and sets of its bitmap's width
     stars = matrix.where("key != holder").groupBy("key", "holder").agg(F.count(F.lit(1)).alias("met"))
@@ -406,12 +407,12 @@ def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     # from sets to documents
     firsts = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first")).join(final.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("component", "key").alias("label"))
     smallest = firsts.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_key = firsts.join(smallest, "label").select("key", "component_id")
+    by_key = firsts.join(smallest, "label").select("key", "component_id", F.col("label").alias("component"))
     for table in (found, near, roles, grouped, links):
         dropped(table)
     out = rows.join(by_key, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "component")
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text_hash", "component")

@@ -182,6 +182,22 @@ def test_pipeline_keeps_clashing_columns(spark, tables, no_rows):
     assert corpus_pipeline.run(spark, no_rows).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """One row of each group stays, also where ids repeat; rows of one id that are not linked both stay."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    near = lambda k: " ".join(base[:-1] + [f"x{k}"])
+    other = " ".join(f"v{rng.randrange(900)}" for _ in range(100))
+    rows = [(5, near(0)), (5, near(1)), (6, near(2)), (None, near(3)), (5, other), (7, other), (8, other), (9, None), (9, None), (9, ""), (10, "one"), (4, "one"), (4, "two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component", F.lit("clash"))
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    linked = [x for x in kept if x[1] in {near(k) for k in range(4)}]
+    assert len(linked) == 1 and linked[0][0] == 5
+    assert sorted((x for x in kept if x not in linked), key=repr) == sorted([(5, other), (9, None), (9, ""), (4, "one"), (4, "two")], key=repr)
+
+
 # finer points
 
 
