@@ -2,7 +2,9 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns the documents that it keeps, the last one the
 pieces with their places. Null and empty texts are `und` and go in the first stage; equal rows of one document are near duplicates
-of each other; empty tables pass through every stage."""
+of each other; empty tables pass through every stage; extra columns pass through, whatever their names, up to the last stage. Very long
+texts are handed to Python in batches of one row and cut into slices there, so a worker holds one text and its slices at a time. A stage
+that fits a model sets the session's bound of Arrow batches to 4 MB for good, if it is larger."""
 
 from __future__ import annotations
 
@@ -35,11 +37,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id."""
-    first_id, text = unused(docs.columns, "_id"), unused(docs.columns, "_text")
-    groups = similar_components(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = docs.join(groups.select(F.col("doc_id").alias(first_id)).distinct(), F.col("doc_id").eqNullSafe(F.col(first_id)), "left_semi")
-    return kept.withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text]).select(*columns_of(docs))
+    """Of each group of linked documents the one with the smallest id (of equal ids that with the smallest hash of its text)."""
+    first_id, first_text, text = unused(docs.columns, "_id"), unused(docs.columns, "_first"), unused(docs.columns, "_text")
+    rows = similar_components(docs.select("doc_id", "text"))
+    # rows without shingles are linked with nothing: each is its own group
+    group = F.when(F.col("component").isNull(), F.struct("doc_id", "text_hash"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias(first_id), F.col("text_hash").alias(first_text)))
+    firsts = rows.groupBy("component", group.alias("alone")).agg(first.alias("first")).select(f"first.{first_id}", f"first.{first_text}").distinct()
+    hashed = docs.withColumn(text, F.xxhash64("text"))
+    kept = hashed.join(firsts, F.col("doc_id").eqNullSafe(F.col(first_id)) & (F.col(text) == F.col(first_text)), "left_semi")
+    return kept.dropDuplicates(["doc_id", text]).select(*columns_of(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
