@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lintel.functions import identity as D
 from lintel.functions import text as X
+from lintel.session import staged
 
 # Reasons, in the order in which they are listed, and the namespace and prefix of new ids.
 REASONS = ["candidate_meaning_changed", "candidate_added", "candidate_removed", "candidate_metadata_changed", "selected_candidate_removed"]
@@ -17,11 +18,14 @@ NEW_ID = "kcs-candidate"
 def with_fingerprints(rows: DataFrame) -> DataFrame:
     """Adds fp (what a candidate says), lk (its code and clause number) and meta (the rest that is shown) to rows with code, number,
     title, content, warnings, rank, score, classification, reasons, version, updated, name."""
-    # one pass in Python a row: all texts are folded as one and taken apart again
+    # all texts are folded as one and taken apart again; only rows with other characters than ASCII go to Python for their normal form
     texts = ["code", "number", "title", "content", "classification", "version", "updated", "name"]
     lists = [F.array_join(F.coalesce(c, F.array().cast("array<string>")), "\u001e") for c in ("warnings", "reasons")]
     whole = F.concat_ws("\u001f", *[X.text(c) for c in texts], *lists)
-    rows = rows.withColumn("_f", F.split(F.lower(X.compatibility_form(whole)), "\u001f"))
+    rows = rows.withColumn("_f", whole)
+    plain = F.octet_length("_f") == F.char_length("_f")
+    rows = rows.where(plain).unionByName(rows.where(~plain).withColumn("_f", X.compatibility_form(F.col("_f"))))
+    rows = rows.withColumn("_f", F.split(F.lower("_f"), "\u001f"))
     flat = {name: X.clean_space(F.get("_f", i)) for i, name in enumerate([*texts, "warnings", "reasons"])}
     each = lambda name: F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.get("_f", (len(texts) + ["warnings", "reasons"].index(name))), "\u001e"), X.clean_space), lambda x: x != "")))
     code = F.regexp_replace(flat["code"], r"[^\p{L}\p{N}]", "")
@@ -34,11 +38,12 @@ def with_fingerprints(rows: DataFrame) -> DataFrame:
 def assignments(before: DataFrame, after: DataFrame) -> DataFrame:
     """clause, pos, occurrence, fp, preserved_id, assigned_id, reused, metadata_changed of each candidate after.
 
-    before: clause, pos, id and what with_fingerprints needs; after likewise without id. Equal fingerprints are matched in order; what
+    before: clause, pos, id and what with_fingerprints needs, or what it gives; after likewise without id. Equal fingerprints are matched in order; what
     has no match gets an id made of its clause, fingerprint and occurrence, so that a repeated run gives the same."""
 
     def numbered(rows: DataFrame) -> DataFrame:
-        return with_fingerprints(rows).withColumn("occurrence", F.row_number().over(Window.partitionBy("clause", "fp").orderBy("pos")))
+        known = rows if "fp" in rows.columns else with_fingerprints(rows)
+        return known.withColumn("occurrence", F.row_number().over(Window.partitionBy("clause", "fp").orderBy("pos")))
 
     old = numbered(before).select("clause", "fp", "occurrence", F.col("id").alias("preserved_id"), F.col("meta").alias("old_meta"))
     both = numbered(after).join(old, ["clause", "fp", "occurrence"], "left")
@@ -55,7 +60,10 @@ def plan(before: DataFrame, after: DataFrame, clauses: DataFrame) -> DataFrame:
 
     clauses: clause, decision, selected (an id before). Sets of fingerprints are compared whole and, for code and number that both
     sides have, one by one."""
-    sides = with_fingerprints(before).select("clause", "lk", "fp", F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(with_fingerprints(after).select("clause", "lk", "fp", F.lit(0).alias("b"), F.lit(1).alias("a")))
+    # a row is fingerprinted once, for the sets and for the ids
+    before = staged(with_fingerprints(before).select("clause", "pos", "id", "fp", "lk", "meta"), "before")
+    after = staged(with_fingerprints(after).select("clause", "pos", "fp", "lk", "meta"), "after")
+    sides = before.select("clause", "lk", "fp", F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(after.select("clause", "lk", "fp", F.lit(0).alias("b"), F.lit(1).alias("a")))
     per_fp = sides.groupBy("clause", "lk", "fp").agg(F.max("b").alias("b"), F.max("a").alias("a"))
     per_key = per_fp.groupBy("clause", "lk").agg(
         ((F.max("b") == 1) & (F.max("a") == 1) & F.bool_or(F.col("b") != F.col("a"))).alias("meaning"),

@@ -7,3 +7,4 @@ from lintel.plans import governance  # noqa: F401
 from lintel.plans import sources  # noqa: F401
 from lintel.plans import review  # noqa: F401
 from lintel.plans import matching  # noqa: F401
+from lintel.plans import streams  # noqa: F401

@@ -86,7 +86,7 @@ hy AS (SELECT query, doc, 0.82 * coalesce(t, 0) + 0.18 * CASE WHEN m > 0 THEN co
 @query("R04_hybrid_top3", f"WITH {SQL_POSTS}, {SQL_TFIDF}, {SQL_BM25}, {SQL_HYBRID} {_top_sql('hy', 3)}")
 def hybrid_top3(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"))
-    return I.top(I.hybrid_scores(_pairs(spark, sf_dir, "tfidf", "bm25"), asked), 3)
+    return I.top(I.hybrid_scores(staged(_pairs(spark, sf_dir, "tfidf", "bm25"), "pairs"), asked), 3)
 
 
 @query("U01_full_outer_scores", f"WITH {SQL_POSTS}, {SQL_TFIDF}, {SQL_BM25} SELECT query, count(*) AS docs, round(sum(b), 4) AS bm25 FROM (SELECT coalesce(ti.query, bm.query) AS query, coalesce(bm.score, 0) AS b FROM ti FULL JOIN bm ON ti.query = bm.query AND ti.doc = bm.doc) GROUP BY query")
