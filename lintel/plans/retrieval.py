@@ -250,14 +250,14 @@ def evidence_first(spark, sf_dir):
     return R.with_evidence_first(r.where("exact").drop("exact"), r.where("not exact").drop("exact"))
 
 
-@query("R24_embedding_groups", """WITH v AS (SELECT text, min(doc_id) % 500 AS vec FROM documents GROUP BY text), g AS (SELECT d.source AS query, d.doc_id AS doc, e.embedding FROM documents d JOIN v ON v.text = d.text JOIN embeddings e ON e.vec_id = v.vec),
+@query("R24_embedding_groups", """WITH v AS (SELECT text, min(doc_id) % (SELECT count(*) FROM embeddings) AS vec FROM documents GROUP BY text), g AS (SELECT d.source AS query, d.doc_id AS doc, e.embedding FROM documents d JOIN v ON v.text = d.text JOIN embeddings e ON e.vec_id = v.vec),
 b AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)
 SELECT query, count(*) AS docs, round(max(greatest(-1.0, least(1.0, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[]))))), 5) AS best FROM g, b GROUP BY query""")
 def embedding_groups(spark, sf_dir):
     """Scores of the texts of each group: a text is embedded once, however many groups hold it, and its vector joined back by its digest."""
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("source").alias("query"), F.col("doc_id").alias("doc"), F.sha2("text", 256).alias("digest"))
     e = table(spark, sf_dir, "embeddings")
-    vectors = docs.groupBy("digest").agg((F.min("doc") % 500).alias("vec_id")).join(e.select("vec_id", "embedding"), "vec_id").select("digest", "embedding")
+    vectors = docs.groupBy("digest").agg((F.min("doc") % max(e.count(), 1)).alias("vec_id")).join(e.select("vec_id", "embedding"), "vec_id").select("digest", "embedding")
     scored = I.group_scores(docs, vectors, e.where("vec_id = 0").select("embedding"))
     return scored.groupBy("query").agg(F.count(F.lit(1)).alias("docs"), F.round(F.max("score"), 5).alias("best"))
 

@@ -23,9 +23,9 @@ def job_events(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), S.milliseconds("ts").alias("at"), F.expr(COMMANDS).alias("command"), F.expr(STEPS).cast("long").alias("steps"), F.col("ts").cast("timestamp").alias("ts"))
 
 
-def _worked(spark: SparkSession, rows: DataFrame, key: str, processor, name: str) -> DataFrame:
+def _worked(spark: SparkSession, rows: DataFrame, key: str, processor, name: str, time: str | None = "ts") -> DataFrame:
     base = scratch(spark, name)
-    S.run_processor(rows, [key], processor, processor.SCHEMA, f"{base}/out", f"{base}/state").awaitTermination()
+    S.run_processor(rows, [key], processor, processor.SCHEMA, f"{base}/out", f"{base}/state", time).awaitTermination()
     return spark.read.schema(processor.SCHEMA).parquet(f"{base}/out")
 
 
@@ -70,7 +70,7 @@ ENTRIES, BUCKETS = 8000, 64
 def text_requests(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Texts to be embedded: bucket (of the digest), digest, doc."""
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    rows = docs.select(digest.alias("digest"), F.col("doc_id").alias("doc"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    rows = docs.select(digest.alias("digest"), F.col("doc_id").alias("doc"))
     return rows.withColumn("bucket", (F.conv(F.substring("digest", 1, 4), 16, 10).cast("long") % buckets).cast("int"))
 
 
@@ -79,7 +79,7 @@ b AS (SELECT *, CAST(CAST('0x' || substr(digest, 1, 4) AS BIGINT) % {BUCKETS} AS
 SELECT bucket, digest, doc, uses, true AS computed, row_number() OVER (PARTITION BY bucket ORDER BY doc DESC, digest DESC) > {ENTRIES // BUCKETS} AS evicted FROM b""")
 def vector_cache(spark, sf_dir):
     """The texts of the documents ask a bounded cache for their vectors: each is computed once; the longest unused make room."""
-    return _worked(spark, text_requests(S.table_stream(spark, f"{sf_dir}/documents.parquet")), "bucket", S.RecentlyUsed(ENTRIES // BUCKETS), "vectors")
+    return _worked(spark, text_requests(S.table_stream(spark, f"{sf_dir}/documents.parquet")), "bucket", S.RecentlyUsed(ENTRIES // BUCKETS), "vectors", None)
 
 
 def read_number(row: dict, attempt: int) -> str:

@@ -36,9 +36,10 @@ def rocks_state(spark: SparkSession):
         spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
-def run_processor(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, target: str, checkpoint: str, time: str = "ts", delay: str = "0 seconds") -> StreamingQuery:
-    """Works off what has arrived; rows that the processor gives are appended to `target`, each once."""
-    rows = stream.withWatermark(time, delay).groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+def run_processor(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, target: str, checkpoint: str, time: str | None = "ts", delay: str = "0 seconds") -> StreamingQuery:
+    """Works off what has arrived; rows that the processor gives are appended to `target`, each once. Without `time` nothing is late."""
+    timed = stream.withWatermark(time, delay) if time else stream
+    rows = timed.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime" if time else "None")
     with rocks_state(stream.sparkSession):
         return rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
