@@ -35,7 +35,8 @@ def digest_tree(rows: DataFrame, key: str) -> DataFrame:
     levels, level = [leaves.select(F.lit(0).alias("level"), "node", "digest", "rows")], 0
     ends = leaves.agg(F.min("node").alias("a"), F.max("node").alias("b")).first()
     a, b = (ends["a"] or 0), (ends["b"] or 0)
-    while a != b or level == 0:
+    # keys on both sides of 0 end in two roots, -1 and 0
+    while (a != b and (a, b) != (-1, 0)) or level == 0:
         a, b, level = a // FANOUT, b // FANOUT, level + 1
         named = levels[-1].select(F.floor(F.col("node") / FANOUT).alias("node"), F.sha2(F.concat_ws(":", F.col("node").cast("string"), "digest"), 256).alias("child"), "rows")
         levels.append(named.groupBy("node").agg(_combined("child").alias("digest"), F.sum("rows").alias("rows")).select(F.lit(level).alias("level"), "node", "digest", "rows"))
