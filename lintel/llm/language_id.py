@@ -4,8 +4,14 @@ Each language has a model of order 5 over the letters of words (a word is read f
 n-grams that begin a word are raw, those of other lower orders count distinct left neighbours; every order has its discount
 n1 / (n1 + 2 n2). The models are kept in sorted arrays of n-gram hashes: for an order, the hashes that any language has seen, with a
 column of log probabilities for each language, and likewise the contexts with their log back-off weights. The language with the
-lowest cross-entropy per character is chosen; ties go to the first name. The score is the posterior under a temperature fitted on
-texts kept out of the counts; a text is rejected if its cross-entropy lies far above what such texts of its language and length have, near that of letters by chance.
+lowest cross-entropy per character is chosen; ties go to the first name.
+
+Texts kept out of the counts calibrate the rest. A language's usual entropy is their median, and by chance it is what the same texts have
+with their letters in random order. A text is rejected if it lies nearer to chance than to what is usual, with an allowance for few words
+that shrinks with the root of their number; so junk, names or codes in a text don't reject it, and texts of other languages, which models
+of letters find about as strange as random letters, are. The score is the posterior of the language, its logits divided by a temperature
+and multiplied by a power of the text's length, both fitted to the texts kept out with one wrong label in as many texts assumed; times the
+chance that the text is of a learnt language at all, which is one half at the bound. So what is rejected never scores above 0.5.
 
 The models are fitted on a bounded sample of labelled rows: `per_language` documents of each language with the smallest hashes of
 their ids. Every document is scored whole.
@@ -30,6 +36,11 @@ from lintel.llm.words import WordMemo, give_back, held, letters, slices, sums, w
 
 ORDER = 5
 UND = "und"
+#: Deviations of single words that few words are allowed.
+ALLOWANCE = 2.0
+#: Steepness of the chance that a text is of a learnt language: 0.998 at the usual entropy, 0.5 at the bound.
+STEEP = 6.0
+POWERS, TEMPERATURES = (0.0, 0.25, 0.5, 0.75, 1.0), np.geomspace(1e-4, 1e4, 161)
 PREDICTED = "lang_pred string, score double, rejected boolean, entropy double"
 
 
@@ -94,7 +105,7 @@ class LanguageModel:
         fits = [kneser_ney(words[name], self.alphabet) for name in self.names]
         self.probs = [self._beside([f[0][n] for f in fits]) for n in range(ORDER)]
         self.backs = [self._beside([f[1][n] for f in fits]) for n in range(ORDER)]
-        self.temperature, self.usual = 0.1, np.zeros((len(self.names), 3))
+        self.temperature, self.power, self.usual = 0.1, 0.0, np.zeros((len(self.names), 3))
 
     @staticmethod
     def _beside(columns: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -140,41 +151,61 @@ class LanguageModel:
         return total[:, 0], np.diff(bounds), total[:, 1:] / np.maximum(total[:, :1], 1)
 
     def calibrate(self, texts: list[str], langs: list[str]) -> None:
-        """Fit the temperature, and what is usual in each language: mean and spread of the entropy, and its spread in one word."""
+        """Fit the temperature and the power of lengths, and for each language the usual entropy, that of chance, and the spread of one word."""
         truth = np.array([self.names.index(x) for x in langs])
         chars, words, nats = self.entropies(texts, WordMemo(self.word_costs))
         ok = chars > 0
         truth, words, nats = truth[ok], words[ok], nats[ok]
         if not len(truth):
-            self.usual[:] = (2.0, 1.0, 2.0)
+            self.usual[:] = (2.0, 2 * np.log(self.alphabet), 2.0)
             return
-        loss = {}
-        for t in np.geomspace(0.005, 2, 40):
-            z = -nats / t
-            z -= z.max(1, keepdims=True)
-            loss[t] = float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), truth]))
-        self.temperature = min(loss, key=loss.get)
-        own = nats[np.arange(len(nats)), truth]
+        lengths = chars[ok]
+        rows, wrong, best = np.arange(len(nats)), 1 / (len(nats) + 2), np.inf
+        for power in POWERS:
+            scaled = -nats * lengths[:, None] ** power
+            for t in TEMPERATURES:
+                z = scaled / t
+                z -= z.max(1, keepdims=True)
+                logs = z - np.log(np.exp(z).sum(1, keepdims=True))
+                loss = -float(np.mean((1 - wrong) * logs[rows, truth] + wrong * logs.mean(1)))
+                if loss < best:
+                    best, self.temperature, self.power = loss, float(t), power
+        own, chance = nats[rows, truth], self.chance(texts)
         for j in range(len(self.names)):
-            mine = own[truth == j] if (truth == j).any() else own
-            count = words[truth == j] if (truth == j).any() else words
+            some = (truth == j) if (truth == j).any() else np.ones(len(truth), bool)
+            mine, count = own[some], np.maximum(words[some], 1)
             middle = float(np.median(mine))
-            spread = float(np.percentile(np.abs(mine - middle), 90))
-            single = float(np.percentile(np.abs(mine - middle) * np.sqrt(np.maximum(count, 1)), 90))
-            self.usual[j] = middle, spread, min(single, 10.0)
+            single = float(np.percentile(np.abs(mine - middle) * np.sqrt(count), 90))
+            self.usual[j] = middle, max(chance, middle + 0.5), min(single, 10.0)
+
+    def chance(self, texts: list[str]) -> float:
+        """The usual lowest entropy of texts whose letters are dealt out anew to their words."""
+        order, mixed = np.random.default_rng(3), []
+        for text in texts:
+            words = [x for w in word_lists([text])[0] if (x := letters(w))]
+            pool = order.permutation(list("".join(words)))
+            ends = np.cumsum([len(w) for w in words])
+            mixed.append(" ".join("".join(pool[e - len(w) : e]) for w, e in zip(words, ends)))
+        chars, _, nats = self.entropies(mixed, WordMemo(self.word_costs))
+        return float(np.median(nats.min(1)[chars > 0]))
+
+    def strangeness(self, nats: np.ndarray, lang: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """An entropy between what is usual in a language for so many words (0) and the bound of rejection (1)."""
+        usual, chance, single = self.usual[lang].T
+        return (nats - usual) / ((chance - usual) / 2 + ALLOWANCE * single / np.sqrt(np.maximum(words, 1)))
 
     def predict(self, texts: list[str | None], memo: WordMemo) -> pd.DataFrame:
         chars, words, nats = self.entropies(texts, memo)
         best = nats.argmin(1) if len(self.names) else np.zeros(len(texts), int)
-        z = -nats / self.temperature
+        z = -nats * np.maximum(chars, 1)[:, None] ** self.power / self.temperature
         z = np.exp(z - z.max(1, keepdims=True))
         rows, some = np.arange(len(texts)), chars > 0
-        lowest, usual = nats[rows, best], self.usual[best]
-        # six times the ordinary deviation of texts, and of texts with so few words, and hardly better than letters by chance
-        bound = np.maximum(usual[:, 0] + 6 * (usual[:, 1] + usual[:, 2] / np.sqrt(np.maximum(words, 1))), np.log(self.alphabet) - 0.5)
+        lowest = nats[rows, best]
+        away = self.strangeness(lowest, best, words)
+        learnt = 1 / (1 + np.exp(np.clip(STEEP * (away - 1), -STEEP, 50)))
         return pd.DataFrame({
-            "lang_pred": np.where(some, np.array(self.names, object)[best], UND), "score": np.where(some, z[rows, best] / z.sum(1), 0.0),
-            "rejected": ~some | (lowest > bound), "entropy": np.where(some, lowest, np.nan),
+            "lang_pred": np.where(some, np.array(self.names, object)[best], UND), "score": np.where(some, learnt * z[rows, best] / z.sum(1), 0.0),
+            "rejected": ~some | (away > 1), "entropy": np.where(some, lowest, np.nan),
         })
 
 
