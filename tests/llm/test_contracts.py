@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import math
 import random
 import zlib
@@ -132,15 +134,19 @@ def test_held_out_labels_are_not_learnt(spark, tables, tmp_path):
     docs, labels = (spark.read.parquet(f"{tables[0]}/{t}.parquet") for t in ("documents", "labels"))
     docs.withColumn("lang", F.when(F.coalesce(language_id.id_class(4) == 2, F.lit(True)), F.lit("xx")).otherwise(F.col("lang"))).write.parquet(str(tmp_path / "documents.parquet"))
     turned = F.when(F.coalesce(language_id.id_class(3) == 1, F.lit(True)), 1 - F.col("toxic")).otherwise(F.col("toxic"))
-    labels.withColumn("toxic", turned).write.parquet(str(tmp_path / "labels.parquet"))
-    for name, columns in (("op1_language_id", ["doc_id", "lang_pred", "score"]),):
-        a, b = (sorted(map(tuple, queries.QUERIES[name](spark, d).select(*columns).fillna(-1).collect())) for d in (tables[0], str(tmp_path)))
+    docs.write.parquet(str(tmp_path / "labelled" / "documents.parquet"))
+    for folder in (tmp_path, tmp_path / "labelled"):
+        labels.withColumn("toxic", turned).write.parquet(str(folder / "labels.parquet"))
+    for name, folder, columns in (("op1_language_id", tmp_path, ["doc_id", "lang_pred", "score"]), ("op5_toxicity", tmp_path / "labelled", ["doc_id", "score", "predicted"])):
+        a, b = (sorted(map(tuple, queries.QUERIES[name](spark, d).select(*columns).fillna(-1).collect())) for d in (tables[0], str(folder)))
         assert a == b
 
 
 def test_op6(spark, tables):
     got = queries.QUERIES["op6_warc"](spark, tables[0]).toPandas()
     assert len(got) == len(tables[2]) and got.columns.tolist() == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    whole = Counter((len(h := (html or "").encode()), base64.b32encode(hashlib.sha1(h).digest()).decode()) for _, _, html in tables[2])
+    assert Counter(zip(got["payload_bytes"], got["payload_digest"])) == whole
     found = sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in got.itertuples())
     assert found == sorted([("1.0", "revisit", "2.0"), ("2.0", "response", "nan"), ("3.0", "revisit", "4.0"), ("4.0", "response", "nan"), ("nan", "revisit", "2.0"), ("5.0", "response", "nan"), ("5.0", "response", "nan")])
 
@@ -407,3 +413,28 @@ def test_gradients_equal_differences_of_the_loss():
     up = loss()
     model.out_bias = before - 1e-6
     assert (up - loss()) / 2e-6 == pytest.approx(bias, abs=1e-6)
+
+
+SMALL = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(SMALL), reason="needs the driver's tables")
+def test_unlearnt_languages_are_rejected():
+    """Thirty words of a language that was not learnt are rejected and score below one half; nothing of the learnt ones is."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table(f"{SMALL}/documents.parquet").to_pandas().dropna(subset=["text", "lang"])
+    model = language_id.fit(table[table["doc_id"] % 2 == 0].rename(columns={"lang": "label"})[["text", "label"]])
+    foreign = [
+        "Он сказал что в доме никого нет и мы пошли дальше по дороге к реке где стояли лодки и сети сохли на солнце потому что рыбаки ушли в город за солью и хлебом",
+        "ja tak jsme šli dál po cestě k řece kde stály lodě a sítě schly na slunci protože rybáři odešli do města pro sůl a chleba jak to dělali vždycky před zimou",
+        "olen aina ajatellut että meidän pitäisi lähteä kaupunkiin ennen kuin lumi sulaa ja tiet muuttuvat liian märiksi kulkea hevosella tai jalan metsän läpi kotiin asti kun ilta tulee",
+        "吾輩は猫である 名前はまだ無い どこで生れたかとんと見当がつかぬ 何でも薄暗いじめじめした所で " * 4,
+        "xq zvbk jjqw pplkz qqxv wkrtz bnmv xzxz qwrt zkjh vbnq wxkz jqpl " * 3,
+    ]
+    found = model.predict(foreign, WordMemo(model.word_costs))
+    assert found["rejected"].all() and (found["score"] <= 0.5).all()
+    rest = table[table["doc_id"] % 2 == 1]
+    found = model.predict(rest["text"].tolist(), WordMemo(model.word_costs))
+    assert found["rejected"].sum() == (found["lang_pred"] == "und").sum()
+    assert (found["lang_pred"].to_numpy() == rest["lang"].to_numpy())[found["lang_pred"] != "und"].mean() > 0.99
