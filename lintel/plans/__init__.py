@@ -9,3 +9,4 @@ from lintel.plans import review  # noqa: F401
 from lintel.plans import matching  # noqa: F401
 from lintel.plans import streams  # noqa: F401
 from lintel.plans import kept  # noqa: F401
+from lintel.plans import phrased  # noqa: F401
