@@ -10,9 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lintel.functions import identity as D
+from lintel.functions import links as L
 from lintel.functions import quantities as N
 from lintel.functions import terms as T
 from lintel.functions import text as X
+from lintel.operators import coverage as C
+from lintel.operators import review as V
+from lintel.operators import screening as G
 from lintel.plans.registry import query, table
 
 
@@ -111,3 +115,98 @@ _phrased(
     "I04_all_semantic_fingerprints", [f"concat(CASE WHEN k % 2 = 0 THEN 'KCS 41-34' ELSE 'kcs4134' END, CAST(k % 10 AS STRING))", "concat(CASE WHEN k % 3 = 0 THEN '（１） 벽돌 ' ELSE '(1)  벽돌 ' END, CAST(k AS STRING))", "concat(CASE WHEN k % 5 = 0 THEN '본문 Ａ' ELSE '본문  a' END, CASE WHEN k % 7 = 0 THEN 'b' ELSE '' END)", "concat('kcs 4134', CAST(k % 10 AS STRING))", "concat('(1) 벽돌 ', CAST(k AS STRING))"],
     lambda a, b, c, d, e: D.semantic_fingerprint(a, F.lit("1"), b, c, F.array(F.lit("경고"), F.lit(" 경고 "))) == D.semantic_fingerprint(d, F.lit(" 1 "), e, F.lit("본문 A"), F.array(F.lit("경고"))), "k % 7 <> 0",
 )
+
+
+# rules on rows that several texts, or texts and tables, take part in
+_phrased(
+    "E05_all_table_fields", [f"CASE WHEN k % 2 = 0 THEN concat('강판 SS', CAST(200 + k % 300 AS STRING), ' KS D ', {_n}, ' 두께 ', CAST(1 + k % 40 AS STRING), ' mm 이하') ELSE '형강 SM355A, B' END", f"CASE WHEN k % 2 = 0 THEN '표 1' ELSE concat('표 > KS D ', {_n}, ' 강재 > [표 열] 강종') END"],
+    lambda a, b: F.concat(*[x for c in ("standards", "grades", "thickness", "products") for x in (F.array_join(V.table_fields(a, b)[c], "|"), F.lit("/"))]),
+    f"'KS D ' || {_n_sql} || CASE WHEN k % 2 = 0 THEN '/SS' || (200 + k % 300) || '/' || (1 + k % 40) || ' mm 이하/강판/' ELSE '/SM355A|SM355B//형강/' END",
+)
+_abc = ["CAST(1000 + k % 3000 AS {0})", "CAST(4000 + k % 3000 AS {0})", "CAST(7000 + k % 2000 AS {0})"]
+_a, _b, _c = (x.format("STRING") for x in _abc)
+_phrased(
+    "T33_all_omitted_prefixes", [f"CASE WHEN k % 2 = 0 THEN concat('KS L ', {_a}, ', ', {_b}, ' 및 KS L ISO ', {_c}) ELSE concat('KS L ISO ', {_a}, '-1~6, ', {_b}) END"],
+    lambda a: F.concat(F.array_join(L.standard_references(a)["codes"], "|"), F.lit("/"), L.standard_references(a)["ambiguous"].cast("string")),
+    "CASE WHEN k % 2 = 0 THEN 'KS L ' || (1000 + k % 3000) || '|KS L ' || (4000 + k % 3000) || '|KS L ISO ' || (7000 + k % 2000) || '/false' ELSE 'KS L ISO ' || (1000 + k % 3000) || '|KS L ISO ' || (4000 + k % 3000) || '/true' END",
+)
+_phrased(
+    "T34_all_standard_links", [f"concat('내화벽돌 조적용 내화몰탈은 KS L ', CASE WHEN k % 2 = 0 THEN '3202' ELSE {_b} END, '에 따른다. ', CAST(k AS STRING))", f"concat('내화벽돌 쌓기에 사용하는 모르타르는 ', CASE floor(k / 2) % 3 WHEN 0 THEN '한국산업표준' WHEN 1 THEN 'KS L 3202' ELSE concat('KS L ', {_b}) END, '에 적합한 것을 사용한다.')"],
+    lambda a, b: _text(F.transform(L.standard_links(a, b), lambda x: F.concat_ws(" ", x["standard"], x["reference_type"]))),
+    "CASE WHEN k % 2 = 1 THEN '' ELSE CASE k // 2 % 3 WHEN 0 THEN 'KS L 3202 indirect' WHEN 1 THEN 'KS L 3202 explicit' ELSE '' END END",
+)
+_phrased(
+    "T36_all_test_fields", ["CASE WHEN k % 4 = 3 THEN 'paragraph' ELSE 'table' END", f"CASE k % 3 WHEN 0 THEN concat('벽돌 | 압축강도 시험 | ', CAST(1 + k % 9 AS STRING), '회 | ') WHEN 1 THEN concat('벽돌 | 흡수율 | KS L ', {_n}, ' | 매회 | ', CAST(1 + k % 60 AS STRING), '%  이하') ELSE 'a | b' END", f"concat('KS F ', {_n})"],
+    lambda a, b, c: F.coalesce(F.array_join(F.transform(V.test_fields(a, b, c), lambda x: F.concat_ws("=", x["field"], x["source"])), ";"), F.lit("")),
+    "CASE WHEN k % 4 = 3 OR k % 3 = 2 THEN '' WHEN k % 3 = 0 THEN 'tests=압축강도 시험;frequency=' || (1 + k % 9) || '회' ELSE 'tests=흡수율;frequency=매회;conditions=' || (1 + k % 60) || '% 이하' END",
+)
+_phrased("T37_all_standards_analysis", [f"concat('KS D ', {_n}, ' 및 astm a', CAST(30 + k % 9 AS STRING))", f"concat('KSD', {_n}, ' 적용', CASE WHEN k % 2 = 0 THEN concat(', ASTM A', CAST(30 + k % 9 AS STRING)) ELSE '' END)"], lambda a, b: F.concat(_text(V.all_references(a)), F.lit("/"), _text(V.missing_references(V.all_references(a), b))), f"'KS D ' || {_n_sql} || '|ASTM A' || (30 + k % 9) || '/' || CASE WHEN k % 2 = 0 THEN '' ELSE 'ASTM A' || (30 + k % 9) END")
+_phrased("E09_all_valid_analyses", [_pick(["equivalent", "conflict", "same", "unrelated"], "k"), "k % 13", "CASE WHEN k % 5 = 0 THEN ' ' ELSE concat('근거 ', CAST(k AS STRING)) END"], lambda a, b, c: G.valid_analysis(a, b / 10.0, c), "k % 4 <> 2 AND k % 13 <= 10 AND k % 5 <> 0")
+_phrased("E10_all_duplicate_json_keys", ["CASE k % 3 WHEN 0 THEN concat('{\"a\":', CAST(k AS STRING), ',\"b\":{\"a\":2}}') WHEN 1 THEN concat('{\"a\":1,\"a\":', CAST(k AS STRING), '}') ELSE 'no json' END"], V.unique_json_keys, _cases([True, False, False], "k"))
+_phrased(
+    "E11_all_contents_entries", ["CASE k % 3 WHEN 0 THEN concat(CAST(1 + k % 8 AS STRING), '.', CAST(1 + k % 7 AS STRING), ' 재료 ..... ', CAST(k % 300 AS STRING)) WHEN 1 THEN concat(CAST(1 + k % 8 AS STRING), '. 검사\\t', CAST(k % 300 AS STRING)) ELSE concat(' ', CAST(1 + k % 8 AS STRING), '. 시공 ') END"],
+    lambda a: F.concat_ws("|", V.contents_entry(a)["label"], V.contents_entry(a)["title"], a.rlike(V.PAGE_LOCATOR).cast("string")),
+    "CASE k % 3 WHEN 0 THEN (1 + k % 8) || '.' || (1 + k % 7) || '|재료|true' WHEN 1 THEN (1 + k % 8) || '|검사|true' ELSE (1 + k % 8) || '|시공|false' END",
+)
+_phrased(
+    "E31_all_reasons_of_decisions", [_pick(["delete", "keep", "keep", "keep", "hold", "drop"], "k"), _pick(["fully_covered_by_kcs", "fully_covered_by_kcs", "partial_overlap_residual", "partial_overlap_residual", "kcs_conflict", "x"], "k"), "concat('a', CAST(k AS STRING))", "CASE k % 6 WHEN 2 THEN concat('b', CAST(k AS STRING)) WHEN 3 THEN concat(' a', CAST(k AS STRING), ' ') ELSE '' END"],
+    C.valid_decision, _cases([True, False, True, False, True, False], "k"),
+)
+_phrased("C03_all_guards", ["CASE WHEN k % 7 = 0 THEN 'not_covered' ELSE 'covered' END", "concat('줄눈 두께 ', CAST(10 * (1 + k % 20) AS STRING), ' mm')", "concat('줄눈 두께 ', CAST(1 + k % 20 + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS STRING), ' cm')"], C.guarded, "CASE WHEN k % 7 = 0 THEN 'not_covered' WHEN k % 3 = 0 THEN 'uncertain' ELSE 'covered' END")
+
+
+def _said(spark, sf_dir, **columns: str):
+    """o_orderkey, as id, with columns phrased from it."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).select(F.col("k").alias("id"), *[F.expr(e).alias(c) for c, e in columns.items()])
+
+
+@query("R16_all_query_texts", """SELECT k AS id, CASE k % 4 WHEN 0 THEN '벽돌 쌓기 ' || k WHEN 1 THEN '상기 기준에 따른다 벽돌 쌓기 ' || (k - 1) WHEN 2 THEN '다음 표에 따른다 표 내용 ' || (k + 1) ELSE '표 내용 ' || k END || ' 조적' AS query
+FROM (SELECT o_orderkey AS k FROM orders)""")
+def query_texts(spark, sf_dir):
+    """Clauses in groups of four; the second refers back and the third ahead."""
+    words = "CASE k % 4 WHEN 0 THEN concat('벽돌 쌓기 ', CAST(k AS STRING)) WHEN 1 THEN '상기 기준에 따른다' WHEN 2 THEN '다음 표에 따른다' ELSE concat('표 내용 ', CAST(k AS STRING)) END"
+    rows = _said(spark, sf_dir, project="floor(k / 4)", source_order="k % 4 + 1", title="''", content=words, source_type="CASE WHEN k % 4 = 3 THEN 'table' ELSE 'paragraph' END", context="'조적'")
+    return V.query_texts(rows, ["project"]).select("id", "query")
+
+
+@query("R19_all_table_checks", """WITH o AS (SELECT o_orderkey AS k FROM orders) SELECT k AS id, 'products' AS field, 'unconfirmed' AS status FROM o UNION ALL SELECT k, 'thickness', 'unconfirmed' FROM o
+UNION ALL SELECT k, 'standards', CASE WHEN k % 3 = 0 THEN 'unconfirmed' ELSE 'found' END FROM o UNION ALL SELECT k, 'grades', CASE WHEN k % 2 = 0 THEN 'found' ELSE 'unconfirmed' END FROM o""")
+def all_table_checks(spark, sf_dir):
+    rows = _said(spark, sf_dir, standards=f"array(concat('KS D ', {_n}))", grades="array('SS275', concat('SS', CAST(k % 90 AS STRING)))", known_standards=f"array('KS D 1', CASE WHEN k % 3 = 0 THEN 'KS D 2' ELSE concat('KS D ', {_n}) END)", known_grades="array('SS275', CASE WHEN k % 2 = 0 THEN concat('SS', CAST(k % 90 AS STRING)) ELSE 'SM1' END)")
+    return V.table_checks(rows, "id")
+
+
+@query("J19_all_exact_table_rows", "SELECT o_orderkey AS clause, p_partkey AS row FROM orders JOIN part ON (o_orderkey % 500 = p_partkey % 500 OR o_orderkey % 500 + 1000 = p_partkey % 500 + 1000) AND o_orderkey % 7 = p_partkey % 7")
+def all_exact_table_rows(spark, sf_dir):
+    """Clauses and table rows that share a standard and a grade."""
+    left = _said(spark, sf_dir, standards="array(concat('KS D ', CAST(k % 500 AS STRING)), concat('KS F ', CAST(k % 500 + 1000 AS STRING)))", grades="array(concat('SS', CAST(k % 7 AS STRING)))").withColumnRenamed("id", "clause")
+    k = F.col("p_partkey")
+    right = table(spark, sf_dir, "part").select(k.alias("row"), F.array(F.concat(F.lit("KS D "), (k % 500).cast("string")), F.concat(F.lit("KS F "), (k % 500 + 1000).cast("string"))).alias("standards"), F.array(F.concat(F.lit("SS"), (k % 7).cast("string"))).alias("grades"))
+    return V.matching_table_rows(left, right, "clause", "row")
+
+
+@query("R09_all_synonyms", "SELECT s_suppkey AS q, n_nationkey AS d FROM supplier JOIN nation ON s_suppkey % 3 = n_nationkey % 3 WHERE s_suppkey % 3 < 2")
+def all_synonyms(spark, sf_dir):
+    """Suppliers' questions and nations' texts that name the same thing in other words."""
+    groups = lambda df, i, words: df.select(F.col(i[0]).alias(i[1]), F.explode(X.matched_groups(F.element_at(F.array(*map(F.lit, words)), (F.col(i[0]) % 3).cast("int") + 1))).alias("g"))
+    asked = groups(table(spark, sf_dir, "supplier"), ("s_suppkey", "q"), ["몰탈 바르기", "shop drawing", "타일"])
+    return asked.join(groups(table(spark, sf_dir, "nation"), ("n_nationkey", "d"), ["모르타르 배합", "시공상세도 제출", "도장"]), "g").select("q", "d").distinct()
+
+
+_LINES = ["1. 일반", "1.2 재료", "(1) 벽돌", "가. 점토", "(2) 타일", "2. 시공", "2.1 준비", "2.1.3 청소", "2.2 쌓기"]
+_LABELS = ["1/일반", "1.2/일반 > 재료", "1.2(1)/일반 > 재료", "1.2(1)-가./일반 > 재료", "1.2(2)/일반 > 재료", "2/시공", "2.1/시공 > 준비", "2.1.3/시공 > 준비 > 청소", "2.2/시공 > 쌓기"]
+
+
+@query("S10_all_contextual_labels", f"SELECT k AS id, {_cases(_LABELS, 'k')} AS result FROM (SELECT o_orderkey AS k FROM orders)")
+def all_contextual_labels(spark, sf_dir):
+    """Outlines of nine lines each."""
+    rows = _said(spark, sf_dir, doc="floor(k / 9)", n="k % 9", text=_pick(_LINES, "k"))
+    return V.contextual_labels(rows, "doc", "n", "text").select("id", F.concat_ws("/", "full_label", "section_path").alias("result"))
+
+
+@query("E07_all_cached_comparisons", f"SELECT k AS id, {_cases(['fresh', 'stale', 'reusable', 'pending', 'pending'], 'k')} AS state FROM (SELECT o_orderkey AS k FROM orders)")
+def all_cached_comparisons(spark, sf_dir):
+    """Comparisons that are kept, of which some are of today, some of the same body, some of another source; every fifth row has none."""
+    rows = _said(spark, sf_dir, row="k", source_hash="concat('s', CAST(k AS STRING))", body_hash="'b'")
+    held = _said(spark, sf_dir, row="k", source_hash="concat(CASE WHEN k % 5 = 3 THEN 'old' ELSE 's' END, CAST(k AS STRING))", version="'v2'", body_hash="CASE WHEN k % 5 IN (0, 1) THEN 'x' ELSE 'b' END", model="'m'", checked="CASE WHEN k % 5 IN (0, 3) THEN '2026-01-02T01' ELSE '2026-01-01T01' END").where("id % 5 < 4").drop("id")
+    return G.cached(rows.drop("id"), held, "v2", "m", "2026-01-02").select(F.col("row").alias("id"), "state")
