@@ -56,11 +56,15 @@ def impact(average: float | Column) -> Column:
     return F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / average))
 
 
-def counted_terms(terms: Column) -> Column:
-    """An array of terms as an array of (term, tf)."""
-    pair = lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"))
-    same = lambda a, t: F.when(F.element_at(a, -1)["term"] == t, F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(t.alias("term"), (F.element_at(a, -1)["tf"] + 1).alias("tf"))))).otherwise(F.concat(a, F.array(pair(t))))
-    return F.aggregate(F.array_sort(terms), F.array().cast("array<struct<term: string, tf: int>>"), lambda a, t: F.when(F.size(a) == 0, F.array(pair(t))).otherwise(same(a, t)))
+def counted_terms(docs: DataFrame) -> DataFrame:
+    """doc, len, terms (array of term and tf) of docs (doc, terms); null terms stay null. Documents are dealt once, so nothing else moves."""
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.repartition(tasks, "doc")
+    words = dealt.where("terms IS NOT NULL").select("doc", F.size("terms").cast("long").alias("len"), F.explode_outer("terms").alias("term"))
+    counts = words.groupBy("doc", "len", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    held = counts.groupBy("doc", "len").agg(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("terms"))
+    gone = dealt.where("terms IS NULL").select("doc", F.lit(-1).cast("long").alias("len"), F.lit(None).cast(held.schema["terms"].dataType).alias("terms"))
+    return held.unionByName(gone)
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -117,12 +121,12 @@ class ImpactIndex:
             rows = rows.join(rows.groupBy("part", "doc").agg(F.max("segment").alias("segment")), ["part", "doc", "segment"])
         return rows.select("doc", "len", "terms").where("terms IS NOT NULL")
 
-    def _write(self, df: DataFrame, name: str, number: int, spread: list[str]) -> None:
-        df.repartition("part", *spread).write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/{name}/segment={number}")
+    def _write(self, df: DataFrame, name: str, number: int) -> None:
+        # a part in one task and file, unless it is large: adaptive execution splits those
+        df.hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/{name}/segment={number}")
 
     def _segment(self, number: int, docs: DataFrame, old: DataFrame | None) -> None:
-        counted = docs.select("doc", F.size("terms").cast("long").alias("len"), F.when(F.col("terms").isNotNull(), counted_terms(F.col("terms"))).alias("terms"))
-        self._write(counted.withColumn("part", _part("doc")), "forward", number, ["doc"])
+        self._write(counted_terms(docs).withColumn("part", _part("doc")), "forward", number)
         new = self.spark.read.schema(SCHEMAS["forward"]).parquet(f"{self.path}/forward/segment={number}").where("terms IS NOT NULL").select("doc", "len", "terms")
         old = staged(old, "old") if old is not None else None  # before anything of this segment counts
         signed = new.select(F.lit(1).alias("sign"), "len", "terms")
@@ -134,7 +138,7 @@ class ImpactIndex:
         average = (total * n + sums["terms"]) / max(docs_now, 1)
 
         frequencies = signed.select("sign", F.explode("terms").alias("t")).groupBy(F.col("t.term").alias("term")).agg(F.sum("sign").alias("df")).where("df <> 0")
-        self._write(frequencies.withColumn("part", _part("term")), "terms", number, ["term"])
+        self._write(frequencies.withColumn("part", _part("term")), "terms", number)
         held = self.spark.read.schema(SCHEMAS["terms"]).parquet(f"{self.path}/terms/segment={number}")
         # terms with more postings than a chunk are dealt into several; others are one
         many = held.where(F.col("df") > CHUNK).select("term", F.ceil(F.col("df") / CHUNK).cast("int").alias("chunks"))
@@ -142,10 +146,10 @@ class ImpactIndex:
         posts = posts.withColumn("x", impact(average)).withColumn("level", F.least(F.lit(DEEPEST), F.floor(-LEVELS_PER_HALVING * F.log2("x"))).cast("int"))
         posts = posts.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.coalesce("chunks", F.lit(1))).cast("int"))
         blocks = posts.groupBy("term", "level", "chunk").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("x").alias("best"), F.collect_list(F.struct("doc", "tf", "len")).alias("entries"))
-        self._write(blocks.withColumn("part", _part("term")), "blocks", number, ["term", "chunk"])
+        self._write(blocks.withColumn("part", _part("term")), "blocks", number)
         written = self.spark.read.schema(SCHEMAS["blocks"]).parquet(f"{self.path}/blocks/segment={number}")
         levels = written.groupBy("part", "term", "level").agg(F.sum("n").alias("n"), F.max("best").alias("best"))
-        self._write(levels, "levels", number, ["term"])
+        self._write(levels, "levels", number)
         stats = self.spark.createDataFrame([(sums["docs"], sums["terms"], float(average))], "docs long, terms long, average double")
         stats.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/stats/segment={number}")
         self._known = None
