@@ -6,6 +6,7 @@ of a query leave a task."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -192,35 +193,67 @@ def token_coverage(queries: DataFrame, posts: DataFrame) -> DataFrame:
     return common.join(sizes, "query").select("query", "doc", (F.col("n") / F.col("kinds")).alias("coverage"))
 
 
-def nearest_vectors(vectors: DataFrame, k: int, block: int = 2048, asking: Column | None = None) -> DataFrame:
+#: Vectors that ask at once: as many are broadcast; and those that meet a piece of the others in one matrix product.
+ASKING_VECTORS, PIECE = 32_768, 1024
+
+
+def _unit(rows: list) -> np.ndarray:
+    m = np.array(rows, float).reshape(len(rows), -1)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def _best(held: tuple[np.ndarray, np.ndarray] | None, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of what a row holds (ids, scores) and of new columns the k best, ties to the smaller id."""
+    at = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # ids ascend
+    ids, scores = ids[at], np.take_along_axis(scores, at, 1)
+    if held is not None:
+        ids, scores = np.concatenate([held[0], ids], 1), np.concatenate([held[1], scores], 1)
+        at = np.lexsort((ids, -scores), axis=1)[:, :k]
+        ids, scores = np.take_along_axis(ids, at, 1), np.take_along_axis(scores, at, 1)
+    return ids, scores
+
+
+def nearest_vectors(vectors: DataFrame, k: int, asking: Column | None = None) -> DataFrame:
     """query, doc, score, rank: each vector's k nearest others by cosine, ties by id. vectors: id, embedding; all ask, or those for which
     `asking` holds.
 
-    Every block of vectors meets every other as one matrix product; only k rows a query and block leave a task."""
-    blocks = max(1, -(-vectors.count() // block))
-    dealt = vectors.where("embedding IS NOT NULL").select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asks = (dealt if asking is None else dealt.where(asking)).select(F.col("id").alias("query"), F.col("embedding").alias("a"), F.col("b").alias("qb"), others.alias("db"))
-    held = dealt.select(F.col("id").alias("doc"), F.col("embedding").alias("vector"), others.alias("qb"), F.col("b").alias("db"))
-
-    def unit(rows: pd.Series) -> np.ndarray:
-        m = np.stack(rows.to_numpy()).astype(float)
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-    def best(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or d.empty:
-            return pd.DataFrame({"query": [], "doc": [], "score": []})
-        d = d.sort_values("doc")
-        ids, asking = d["doc"].to_numpy(), q["query"].to_numpy()
-        scores = np.round(np.clip(unit(q["a"]) @ unit(d["vector"]).T, -1, 1), 6)
-        scores[asking[:, None] == ids[None, :]] = -np.inf
-        at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        found = pd.DataFrame({"query": np.repeat(asking, at.shape[1]), "doc": ids[at].ravel(), "score": np.take_along_axis(scores, at, 1).ravel()})
-        return found[np.isfinite(found["score"])]
-
-    near = asks.groupBy("qb", "db").cogroup(held.groupBy("qb", "db")).applyInPandas(best, "query long, doc long, score double")
-    return top(near, k)
+    Those that ask are sent to all tasks, ASKING_VECTORS at a time; the others are scanned where they lie, and of each task only k rows a
+    query move. What blocks of askers found is written, so that a plan stays small however many there are."""
+    spark = vectors.sparkSession
+    known = vectors.where("embedding IS NOT NULL").select("id", "embedding")
+    asks = known if asking is None else known.where(asking)
+    blocks = max(1, -(-asks.count() // ASKING_VECTORS))
+    parts = []
+    for b in range(blocks):
+        part = asks if blocks == 1 else asks.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
+        rows = part.collect()  # about ASKING_VECTORS
+        if not rows:
+            continue
+        sent_rows = spark.sparkContext.broadcast((np.array([r["id"] for r in rows], np.int64), _unit([r["embedding"] for r in rows])))
+
+        def scan(batches: Iterator[pd.DataFrame], sent_rows=sent_rows) -> Iterator[pd.DataFrame]:
+            ids, units = sent_rows.value
+            held: list = [None] * -(-len(ids) // PIECE)
+            for batch in batches:
+                batch = batch.sort_values("id")
+                docs, others = batch["id"].to_numpy(), _unit(batch["embedding"].tolist())
+                for i in range(len(held)):
+                    mine = slice(i * PIECE, (i + 1) * PIECE)
+                    for j in range(0, len(docs), PIECE):
+                        scores = np.round(np.clip(units[mine] @ others[j : j + PIECE].T, -1, 1), 6)
+                        scores[ids[mine][:, None] == docs[None, j : j + PIECE]] = -np.inf
+                        held[i] = _best(held[i], docs[j : j + PIECE], scores, k)
+            for i, found in enumerate(held):
+                if found is not None:
+                    out = pd.DataFrame({"query": np.repeat(ids[i * PIECE : (i + 1) * PIECE], found[0].shape[1]), "doc": found[0].ravel(), "score": found[1].ravel()})
+                    yield out[np.isfinite(out["score"])]
+
+        found = known.mapInPandas(scan, "query long, doc long, score double")
+        parts.append(found if blocks == 1 else staged(top(found, k), "nearest").drop("rank"))
+    if not parts:
+        parts = [spark.createDataFrame([], "query long, doc long, score double")]
+    return top(reduce(DataFrame.unionByName, parts), k)
 
 
 def group_scores(members: DataFrame, vectors: DataFrame, asked: DataFrame) -> DataFrame:

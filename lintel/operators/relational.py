@@ -51,12 +51,20 @@ def stratified_sample(df: DataFrame, cohort: str, wanted: dict[str, int], order:
     return chosen.unionByName(spread_sample(df.join(F.broadcast(chosen.select(*order)), order, "left_anti"), [], order, missing))
 
 
-def placed(df: DataFrame, first: str, then: list[str], into: str) -> DataFrame:
-    """Numbers all rows from 1 in the order of (first, then): by the counts of the values of `first` before, and the place within its own."""
-    before = Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = df.groupBy(first).agg(F.count(F.lit(1)).alias("_c")).select(first, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
-    own = df.withColumn("_r", F.row_number().over(Window.partitionBy(first).orderBy(*then)))
-    return own.join(offsets, first).withColumn(into, (F.col("_o") + F.col("_r")).cast("int")).drop("_o", "_r")
+def placed(df: DataFrame, keys: list[str], number: Column, then: list, into: str, within: bool = False, buckets: int = 64) -> DataFrame:
+    """Numbers rows from 1 in the order of keys, a number and `then`; `within` begins anew for each combination of keys.
+
+    Rows are dealt into buckets between approximate quantiles of the number (of each combination), which are put in order one by one; places
+    of whole buckets come from a prefix sum over their counts, so no task sees all rows of a combination unless they share one number."""
+    steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    rows = df.withColumn("_v", number.cast("double"))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", steps, F.lit(1000)).alias("_cuts"))
+    sent = F.broadcast if cuts.count() <= FEW_KEYS else lambda df: df
+    dealt = rows.join(sent(cuts), keys).withColumn("_b", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))), F.lit(-1))).drop("_cuts")
+    before = (Window.partitionBy(*keys).orderBy("_b") if within else Window.orderBy(*keys, "_b")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c")).select(*keys, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    own = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_v", *then)))
+    return own.join(sent(counts), [*keys, "_b"]).withColumn(into, (F.col("_o") + F.col("_r")).cast("int")).drop("_v", "_b", "_o", "_r")
 
 
 def optional_filters(df: DataFrame, filters: dict[str, str | None]) -> DataFrame:

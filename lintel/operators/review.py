@@ -94,10 +94,11 @@ def related_references(asking: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     finds its k among the first k + m codes of each of its topics; no more rows of a topic meet it."""
     cited = asking.where("code IS NOT NULL").select("clause", "code").distinct()
     asks = asking.select("clause", "topic").distinct().join(cited.groupBy("clause").agg(F.count(F.lit(1)).alias("m")), "clause", "left").withColumn("need", F.coalesce("m", F.lit(0)) + k)
-    most = asks.agg(F.max("need").alias("most"))
+    # one number for all, so that tasks keep no more rows of a topic than that before they are brought together
+    most = asks.agg(F.max("need")).first()[0] or k
     codes = pool.where("topic IS NOT NULL AND code IS NOT NULL").select("topic", "code").distinct()
-    codes = codes.withColumn("at", F.row_number().over(Window.partitionBy("topic").orderBy("code"))).crossJoin(F.broadcast(most)).where(F.col("at") <= F.col("most"))
-    found = asks.join(codes.drop("most"), "topic").where(F.col("at") <= F.col("need")).select("clause", "code").distinct()
+    codes = codes.withColumn("at", F.row_number().over(Window.partitionBy("topic").orderBy("code"))).where(F.col("at") <= most)
+    found = asks.join(codes, "topic").where(F.col("at") <= F.col("need")).select("clause", "code").distinct()
     new = found.join(cited, ["clause", "code"], "left_anti")
     return new.withColumn("rank", F.row_number().over(Window.partitionBy("clause").orderBy("code"))).where(F.col("rank") <= k).select("clause", "rank", "code")
 

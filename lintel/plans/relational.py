@@ -358,8 +358,8 @@ def _(t: Star):
 
 @_add("W01_latest_of_title")
 def _(t: Star):
-    w = Window.partitionBy("title").orderBy(F.desc("balance"), F.desc("project"))
-    return t.projects.select(F.col("project").alias("id"), "title", F.row_number().over(w).alias("n"))
+    rows = P.placed(t.projects, ["title"], -F.col("balance"), [F.desc("project")], "n", within=True)
+    return rows.select(F.col("project").alias("id"), "title", "n")
 
 
 @_add("W02_count_of_title")
@@ -438,9 +438,9 @@ def _(t: Star):
 
 @_add("L03_tie_broken_order")
 def _(t: Star):
-    """Places in the whole order: the place within a discipline behind the rows of those before it."""
+    """Places in the whole order: the place within a discipline and title behind the rows of those before it."""
     rows = t.projects.where("state = 'archived'")
-    return P.placed(rows, "discipline", ["title", "project"], "place").select(F.col("project").alias("id"), "place")
+    return P.placed(rows, ["discipline", "title"], F.col("project"), [], "place").select(F.col("project").alias("id"), "place")
 
 
 @_add("L04_pools")

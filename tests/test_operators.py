@@ -104,3 +104,16 @@ def test_query_blocks_give_the_same_scores(spark, monkeypatch):
     whole = scores()
     monkeypatch.setattr(index, "ASKED_ROWS", 10)
     assert scores() == whole
+
+
+def test_places_equal_a_plain_sort(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), rng.choice([None, 1.5, 2.0, float(rng.randrange(40))]), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, v double, i int").repartition(5)
+    key = lambda r: (r[1] is not None, r[1] or 0, -r[2])
+    got = {r["i"]: r["n"] for r in relational.placed(df, ["k"], F.col("v"), [F.desc("i")], "n", within=True, buckets=8).collect()}
+    assert got == {r[2]: n for k in "ab" for n, r in enumerate(sorted((r for r in rows if r[0] == k), key=key), 1)}
+    got = {r["i"]: r["n"] for r in relational.placed(df, ["k"], F.col("v"), [F.desc("i")], "n", buckets=8).collect()}
+    assert got == {r[2]: n for n, r in enumerate(sorted(rows, key=lambda r: (r[0], *key(r))), 1)}

@@ -141,10 +141,12 @@ def test_all_stable_score(spark, tmp_path):
     assert got == pytest.approx(expected, abs=2e-6) and max(p for _, p in got) > 200
 
 
-def test_all_cosine_topk(spark):
+def test_all_cosine_topk(spark, monkeypatch):
     rng = random.Random(46)
     rows = [(i, [0.0] * 4 if i == 7 else [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)]) for i in range(60)]
-    got = index.nearest_vectors(spark.createDataFrame(rows, "id long, embedding array<float>"), 5, block=16).collect()
+    monkeypatch.setattr(index, "ASKING_VECTORS", 16)
+    monkeypatch.setattr(index, "PIECE", 7)
+    got = index.nearest_vectors(spark.createDataFrame(rows, "id long, embedding array<float>"), 5).collect()
     norm = lambda v: math.sqrt(sum(x * x for x in v))
     cosine = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / (norm(a) * norm(b)), 6) if norm(a) * norm(b) else 0.0
     expected = {(q, d, n + 1) for q, a in rows for n, (_, d) in enumerate(sorted((-cosine(a, b), d) for d, b in rows if d != q)[:5])}
