@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lintel.sources.documents import chunks, greedy_batches
+
 from lintel.functions import links as L
 from lintel.functions import quantities as N
 from lintel.functions import text as X
@@ -121,3 +123,29 @@ def call_plan(segments: DataFrame, packs: DataFrame, most: int = MOST_CALLS) ->
     m = packs.groupBy("clause").agg(F.count_distinct("pack").alias("packs"))
     calls = F.col("batches") * F.coalesce("packs", F.lit(1))
     return n.join(m, "clause", "left").select("clause", calls.alias("calls"), (calls <= most).alias("allowed"))
+
+
+# What one call may hold, in characters and segments, and what each segment or candidate adds to its text.
+SEGMENTS_A_CALL, SEGMENT_CHARS, CANDIDATE_CHARS, PACK_CHARS = 24, 8_000, 8_000, 48_000
+SEGMENT_EXTRA, CANDIDATE_EXTRA = 3, 12
+
+
+def _numbered_batches(rows: DataFrame, order: list[str], size: Column, count: int, chars: int, into: str) -> DataFrame:
+    """clause and a row for each batch that its sizes, in order, are put into. The sizes of one clause are an array; its texts do not move."""
+    sizes = rows.groupBy("clause").agg(F.array_sort(F.collect_list(F.struct(*order, size.cast("long").alias("size")))).alias("rows"))
+    batches = greedy_batches(F.transform("rows", lambda r: r["size"]), count, chars)
+    return sizes.select("clause", F.explode(F.array_distinct(batches)).alias(into))
+
+
+def planned_calls(segments: DataFrame, candidates: DataFrame, most: int = MOST_CALLS) -> DataFrame:
+    """clause, calls, allowed: source batches times packs of candidates.
+
+    segments: clause, n (from 1), text; at most SEGMENTS_A_CALL of them and SEGMENT_CHARS make a batch. candidates: clause, n, ref, text; texts
+    are cut at CANDIDATE_CHARS, parts bear their number, and PACK_CHARS make a pack."""
+    said = F.char_length(F.concat(F.lit("S"), F.col("n").cast("string"))) + F.char_length("text") + SEGMENT_EXTRA
+    batches = _numbered_batches(segments, ["n"], said, SEGMENTS_A_CALL, SEGMENT_CHARS, "batch")
+    parts = candidates.withColumn("parts", chunks(F.col("text"), CANDIDATE_CHARS))
+    parts = parts.select("clause", "n", "ref", F.size("parts").alias("of"), F.posexplode("parts").alias("part", "piece"))
+    label = F.when(F.col("of") == 1, F.col("ref")).otherwise(F.concat("ref", F.lit(" · 부분 "), (F.col("part") + 1).cast("string"), F.lit("/"), F.col("of").cast("string")))
+    packs = _numbered_batches(parts, ["n", "part"], F.char_length(label) + F.char_length("piece") + CANDIDATE_EXTRA, 1 << 30, PACK_CHARS, "pack")
+    return call_plan(batches, packs, most)

@@ -126,6 +126,27 @@ def source_positions(clauses: DataFrame, pages: DataFrame) -> DataFrame:
     return clauses.groupBy("doc").cogroup(pages.groupBy("doc")).applyInPandas(find, "doc string, clause int, page int, at long")
 
 
+#: A clause of fewer letters and digits than this, or one that refers to others, is read with its neighbours.
+SHORT = 45
+
+
+def neighbour_context(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """rows (source_type, title, content, heading_context) with source_context: the context of the headings and, for a clause that is short
+    or refers to others, the nearest clauses before and behind it that are no headings."""
+    said = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
+    body = F.when(F.coalesce("source_type", F.lit("")) != "heading", said)
+    last = lambda by: F.last(body, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_before", last(F.col(order))).withColumn("_behind", last(F.desc(order)))
+    whole = F.regexp_replace(F.lower(F.concat_ws(" ", "heading_context", said)), "[^0-9a-z가-힣]", "")
+    alone = (F.char_length(whole) >= SHORT) & ~said.rlike(X.UI + T.NEIGHBOUR_REFERENCE) & ~said.rlike(X.UI + T.NEIGHBOUR_AHEAD)
+    shown = F.filter(F.array("heading_context", "_before", "_behind"), lambda x: x.isNotNull() & (x != ""))
+    return rows.withColumn("source_context", F.when(alone, F.col("heading_context")).otherwise(F.array_join(shown, " "))).drop("_before", "_behind")
+
+
+#: Depths of section numbers; a column is made for each that occurs.
+MOST_LEVELS = 64
+
+
 def contextual_labels(rows: DataFrame, doc: str, order: str, text: str) -> DataFrame:
     """Adds full_label (section number, item in brackets and letter, each carried on until a higher one begins) and section_path (the
     titles of the open sections, outermost first)."""
@@ -141,7 +162,10 @@ def contextual_labels(rows: DataFrame, doc: str, order: str, text: str) -> DataF
     rows = rows.withColumn("full_label", full)
     # the newest title of each depth, and the place where it began; a depth is open if no shallower section began behind it
     depth = F.size(F.split("_s", r"\."))
-    levels = range(1, 7)
+    deepest = rows.where("_s IS NOT NULL").agg(F.max(depth)).first()[0] or 1  # one number
+    if deepest > MOST_LEVELS:
+        raise ValueError(f"a section number of {deepest} parts; at most {MOST_LEVELS} are told apart")
+    levels = range(1, deepest + 1)
     for k in levels:
         rows = rows.withColumn(f"_t{k}", F.last(F.when(F.col("_s").isNotNull() & (depth == k), F.struct(F.col(order).alias("at"), title.alias("title"))), ignorenulls=True).over(w))
     latest = lambda k: F.greatest(F.lit(None).cast("long"), *[F.col(f"_t{j}.at").cast("long") for j in range(1, k)]) if k > 1 else F.lit(None).cast("long")

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from lintel.functions import identity as D
@@ -18,6 +18,7 @@ from lintel.operators import coverage as C
 from lintel.operators import review as V
 from lintel.operators import screening as G
 from lintel.plans.registry import query, table
+from lintel.sources.documents import greedy_batches
 
 
 def _pick(values: list[str], n: str) -> str:
@@ -210,3 +211,49 @@ def all_cached_comparisons(spark, sf_dir):
     rows = _said(spark, sf_dir, row="k", source_hash="concat('s', CAST(k AS STRING))", body_hash="'b'")
     held = _said(spark, sf_dir, row="k", source_hash="concat(CASE WHEN k % 5 = 3 THEN 'old' ELSE 's' END, CAST(k AS STRING))", version="'v2'", body_hash="CASE WHEN k % 5 IN (0, 1) THEN 'x' ELSE 'b' END", model="'m'", checked="CASE WHEN k % 5 IN (0, 3) THEN '2026-01-02T01' ELSE '2026-01-01T01' END").where("id % 5 < 4").drop("id")
     return G.cached(rows.drop("id"), held, "v2", "m", "2026-01-02").select(F.col("row").alias("id"), "state")
+
+
+_TALK = ["제목", "벽돌의 하루 쌓기 높이는 담당원이 승인한 시공계획에 정한 값을 표준으로 하며 필요한 때에는 시험으로 확인하고 기록을 남겨 둔다", "짧은 문장", "줄눈의 폭과 깊이는 상기 조건을 만족하도록 하고 담당원이 승인한 시공계획에 정한 값을 표준으로 하며 시험으로 확인한 뒤 기록한다", "", "나중 제목", "모르타르는 표 3과 같이 배합하고 담당원이 승인한 시공계획에 정한 값을 표준으로 하며 필요한 때에는 시험으로 확인하고 기록한다"]
+
+
+@query("E28_all_neighbour_contexts", f"""WITH r AS (SELECT o_orderkey AS k, o_orderkey // 7 AS project, o_orderkey % 7 IN (0, 5) AS heading, trim({_cases(_TALK, 'o_orderkey')} || CASE WHEN o_orderkey % 7 = 4 THEN '' ELSE ' ' || o_orderkey END) AS said FROM orders),
+n AS (SELECT *, last_value(CASE WHEN NOT heading THEN ' ' || said END IGNORE NULLS) OVER (PARTITION BY project ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+ first_value(CASE WHEN NOT heading THEN ' ' || said END IGNORE NULLS) OVER (PARTITION BY project ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS behind FROM r)
+SELECT k AS id, CASE WHEN k % 7 = 1 THEN '조적' ELSE concat_ws(' ', '조적', before, behind) END AS source_context FROM n""")
+def all_neighbour_contexts(spark, sf_dir):
+    """Projects of seven clauses: two headings, a long one that stands alone, short ones and long ones that refer to others."""
+    content = f"concat({_pick(_TALK, 'k')}, CASE WHEN k % 7 = 4 THEN '' ELSE concat(' ', CAST(k AS STRING)) END)"
+    rows = _said(spark, sf_dir, project="floor(k / 7)", place="k", title="''", content=content, source_type="CASE WHEN k % 7 IN (0, 5) THEN 'heading' ELSE 'paragraph' END", heading_context="'조적'")
+    return V.neighbour_context(rows, ["project"], "place").select("id", "source_context")
+
+
+def _greedy_sql(name: str, source: str, count: int, chars: int) -> str:
+    """CTEs that give each row of `source` (clause, k from 1, size) its batch, one after the other."""
+    full = f"(r.n >= {count} OR r.held + s.size > {chars})"
+    return f"""{name}_r AS (SELECT clause, k, 0 AS batch, 1 AS n, size AS held FROM {source} WHERE k = 1 UNION ALL
+SELECT s.clause, s.k, r.batch + CAST({full} AS INT), CASE WHEN {full} THEN 1 ELSE r.n + 1 END, CASE WHEN {full} THEN s.size ELSE r.held + s.size END FROM {name}_r r JOIN {source} s ON s.clause = r.clause AND s.k = r.k + 1),
+{name} AS (SELECT clause, max(batch) + 1 AS batches FROM {name}_r GROUP BY clause)"""
+
+
+@query("C04_planned_calls", f"""WITH RECURSIVE o AS (SELECT o_custkey AS clause, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_orderkey, 300 + o_orderkey * 7 % 1700 AS chars, 1 + o_orderkey * 1013 % 30000 AS held FROM orders),
+seg AS (SELECT clause, n AS k, length('S' || n) + chars + 3 AS size FROM o),
+parts AS (SELECT clause, n, i, (held + 7999) // 8000 AS of, least(8000, held - 8000 * (i - 1)) AS chars, CAST(o_orderkey AS VARCHAR) AS ref FROM (SELECT *, unnest(range(1, (held + 7999) // 8000 + 1)) AS i FROM o)),
+can AS (SELECT clause, row_number() OVER (PARTITION BY clause ORDER BY n, i) AS k, length(ref) + CASE WHEN of = 1 THEN 0 ELSE length(' · 부분 ' || i || '/' || of) END + chars + 12 AS size FROM parts),
+{_greedy_sql('b', 'seg', 24, 8000)}, {_greedy_sql('p', 'can', 1 << 30, 48000)}
+SELECT b.clause, CAST(b.batches * p.batches AS BIGINT) AS calls, b.batches * p.batches <= 64 AS allowed FROM b JOIN p ON p.clause = b.clause""")
+def planned_calls(spark, sf_dir):
+    """Customers as clauses: their orders' texts are the source segments, and longer ones the candidates."""
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("clause"), F.row_number().over(Window.partitionBy("o_custkey").orderBy(key)).alias("n"), key.alias("key"))
+    long = lambda n: F.repeat(F.lit("x"), n.cast("int"))
+    segments = rows.select("clause", "n", long(300 + F.col("key") * 7 % 1700).alias("text"))
+    candidates = rows.select("clause", "n", F.col("key").cast("string").alias("ref"), long(1 + F.col("key") * 1013 % 30000).alias("text"))
+    return C.planned_calls(segments, candidates)
+
+
+@query("T42_all_greedy_batches", f"WITH RECURSIVE seg AS (SELECT o_custkey AS clause, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, 100 + o_orderkey * 31 % 3000 AS size FROM orders), {_greedy_sql('b', 'seg', 5, 8000)} SELECT clause, k, batch FROM b_r")
+def all_greedy_batches(spark, sf_dir):
+    """Orders of a customer put into batches of at most five and 8,000 characters."""
+    sizes = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("clause")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", (100 + F.col("o_orderkey") * 31 % 3000).alias("size")))).alias("rows"))
+    batches = sizes.select("clause", F.posexplode(greedy_batches(F.transform("rows", lambda r: r["size"]), 5, 8000)).alias("k", "batch"))
+    return batches.select("clause", (F.col("k") + 1).cast("long").alias("k"), "batch")
