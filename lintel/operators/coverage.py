@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintel.sources.documents import chunks, greedy_batches
@@ -149,3 +149,19 @@ def planned_calls(segments: DataFrame, candidates: DataFrame, most: int = MOST_C
     label = F.when(F.col("of") == 1, F.col("ref")).otherwise(F.concat("ref", F.lit(" · 부분 "), (F.col("part") + 1).cast("string"), F.lit("/"), F.col("of").cast("string")))
     packs = _numbered_batches(parts, ["n", "part"], F.char_length(label) + F.char_length("piece") + CANDIDATE_EXTRA, 1 << 30, PACK_CHARS, "pack")
     return call_plan(batches, packs, most)
+
+
+#: Candidates that a clause shows.
+SHOWN = 3
+
+
+def current_coverage(clauses: DataFrame, judged: DataFrame, visible: DataFrame) -> DataFrame:
+    """clause, current: whether the first SHOWN candidates that a coverage was judged on are those that are visible now. judged, visible:
+    clause, pos (rank); a clause without candidates on both sides is current."""
+
+    def first(rows: DataFrame, into: str) -> DataFrame:
+        top = rows.withColumn("n", F.row_number().over(Window.partitionBy("clause").orderBy("pos"))).where(F.col("n") <= SHOWN)
+        return top.groupBy("clause").agg(F.array_sort(F.collect_list("pos")).alias(into))
+
+    both = clauses.join(first(judged, "then"), "clause", "left").join(first(visible, "now"), "clause", "left")
+    return both.select("clause", F.col("then").eqNullSafe(F.col("now")).alias("current"))

@@ -91,3 +91,29 @@ def applied(impacts: DataFrame, coverage: DataFrame) -> DataFrame:
 def unacknowledged(impacts: DataFrame, project: Column) -> DataFrame:
     """How many impacts of a project still ask for a review."""
     return impacts.where("review_required AND acknowledged_at IS NULL").groupBy(project.alias("project")).agg(F.count(F.lit(1)).alias("impacts"))
+
+
+RUN_ID = "spec-kcs-rematch"
+
+
+def published(runs: DataFrame, projects: DataFrame, snapshot: str, revision: str, parser: str) -> DataFrame:
+    """The runs after a revision was published: project, target, snapshot, status, requeued, id.
+
+    runs: project, target, snapshot, status, id, one for each project and target. projects: project, revision, snapshot, archived, parser.
+    Waiting and running work for other revisions is superseded, and so is running work on another snapshot of this one; waiting work takes
+    the new snapshot and queues again. Each project that lags behind, is not archived and was read by the current parser gets a run of its
+    own, unless it has one for this revision in whatever state."""
+    other, here = F.col("target") != revision, F.col("snapshot") != snapshot
+    active = F.col("status").isin("pending", "running")
+    moved = ~other & here & active
+    kept = runs.select(
+        "project", "target", F.when(moved, snapshot).otherwise(F.col("snapshot")).alias("snapshot"),
+        F.when((active & other) | (moved & (F.col("status") == "running")), "superseded").otherwise(F.col("status")).alias("status"), (moved & (F.col("status") == "pending")).alias("requeued"), "id",
+    )
+    # a project of this very snapshot that knows no revision is at the one published
+    known = F.when((F.coalesce("revision", F.lit("")) == "") & (F.col("snapshot") == snapshot), revision).otherwise(F.coalesce("revision", F.lit("")))
+    stale = projects.where(~F.col("archived") & (known != revision) & (F.col("parser") == parser)).select("project")
+    new = stale.join(runs.where(~other).select("project"), "project", "left_anti")
+    name = F.concat_ws(":", F.lit(RUN_ID), F.col("project").cast("string"), F.lit(revision))
+    queued = new.select("project", F.lit(revision).alias("target"), F.lit(snapshot).alias("snapshot"), F.lit("pending").alias("status"), F.lit(True).alias("requeued"), D.uuid5(URL_NAMESPACE, name).alias("id"))
+    return kept.unionByName(queued)

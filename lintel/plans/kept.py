@@ -6,9 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lintel.operators import backup as B
+from lintel.operators import coverage as V
+from lintel.operators import impact as M
 from lintel.operators.intervals import longest_prefixes
 from lintel.operators.segments import inherited_references
 from lintel.plans.registry import query, table
+from lintel.plans.star import Star
 from lintel.session import scratch
 
 #: Lines of a supplier are a document's table rows; those of every other supplier are one document, half of all rows.
@@ -88,3 +91,33 @@ def retention(spark, sf_dir):
     """Orders as copies of their customers: all but the three newest may go once they are 90 days old."""
     copies = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderdate").alias("made"), F.col("o_orderkey").alias("id"))
     return B.pruned(copies, ["owner"], 3, 90, F.lit("1998-01-01").cast("timestamp_ntz")).select("owner", "id")
+
+
+RUNS = """(SELECT o_custkey AS project, 'r' || (1 + o_orderkey % 2) AS target, max(o_orderkey) AS key FROM orders GROUP BY ALL)"""
+
+
+@query("I08_published_runs", f"""WITH r AS (SELECT project, target, ['pending', 'running', 'completed', 'failed', 'superseded'][CAST(key % 5 AS INT) + 1] AS status, 's' || (1 + key // 2 % 2) AS snapshot FROM {RUNS}),
+p AS (SELECT c_custkey AS project, CASE c_custkey % 3 WHEN 0 THEN 'r1' WHEN 1 THEN 'r2' ELSE '' END AS revision, 's' || (1 + c_custkey % 2) AS snapshot FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 7 <> 0)
+SELECT project, target, CASE WHEN target = 'r2' AND status IN ('pending', 'running') THEN 's2' ELSE snapshot END AS snapshot,
+ CASE WHEN status IN ('pending', 'running') AND target <> 'r2' OR status = 'running' AND snapshot <> 's2' THEN 'superseded' ELSE status END AS status, target = 'r2' AND status = 'pending' AND snapshot <> 's2' AS requeued FROM r
+UNION ALL SELECT project, 'r2', 's2', 'pending', true FROM p WHERE revision <> 'r2' AND NOT (revision = '' AND snapshot = 's2') AND project NOT IN (SELECT project FROM r WHERE target = 'r2')""")
+def published_runs(spark, sf_dir):
+    """Revision r2 as snapshot s2 is published; customers are projects, the last of their even and odd orders their runs."""
+    key = F.col("key")
+    runs = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("project"), F.concat(F.lit("r"), (1 + F.col("o_orderkey") % 2).cast("string")).alias("target")).agg(F.max("o_orderkey").alias("key"))
+    states = F.array(*[F.lit(s) for s in ("pending", "running", "completed", "failed", "superseded")])
+    runs = runs.select("project", "target", F.concat(F.lit("s"), (1 + F.floor(key / 2) % 2).cast("string")).alias("snapshot"), F.element_at(states, (key % 5).cast("int") + 1).alias("status"), key.cast("string").alias("id"))
+    k = F.col("c_custkey")
+    projects = table(spark, sf_dir, "customer").select(
+        k.alias("project"), F.when(k % 3 == 0, "r1").when(k % 3 == 1, "r2").otherwise("").alias("revision"), F.concat(F.lit("s"), (1 + k % 2).cast("string")).alias("snapshot"), (k % 5 == 0).alias("archived"), F.when(k % 7 == 0, "old").otherwise("v2").alias("parser")
+    )
+    return M.published(runs, projects, "s2", "r2", "v2").drop("id")
+
+
+@query("G12_current_coverage", """WITH l AS (SELECT l_orderkey AS clause, l_partkey AS section, l_returnflag AS relation, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS pos FROM lineitem)
+SELECT clause, coalesce(list(pos ORDER BY pos) FILTER (section % 6 <> 0), [])[1:3] = coalesce(list(pos ORDER BY pos) FILTER (relation <> 'R'), [])[1:3] AS current FROM l GROUP BY clause""")
+def current_coverage(spark, sf_dir):
+    """Whether what a clause's coverage was judged on is what it shows now: the same three candidates, in the same order."""
+    lines = Star(spark, sf_dir).lines
+    held = lines.where("section % 6 <> 0").select("clause", "pos")
+    return V.current_coverage(lines.select("clause").distinct(), held, lines.where("relation <> 'R'").select("clause", "pos")).select("clause", "current")
