@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lintel.operators import backup as B
 from lintel.operators import coverage as V
 from lintel.operators import impact as M
+from lintel.operators import places as L
 from lintel.operators.intervals import longest_prefixes
 from lintel.operators.segments import inherited_references
 from lintel.plans.registry import query, table
@@ -121,3 +122,25 @@ def current_coverage(spark, sf_dir):
     lines = Star(spark, sf_dir).lines
     held = lines.where("section % 6 <> 0").select("clause", "pos")
     return V.current_coverage(lines.select("clause").distinct(), held, lines.where("relation <> 'R'").select("clause", "pos")).select("clause", "current")
+
+
+_FLAT = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]', ''{1})"
+
+
+@query("P01_all_places", f"""WITH t AS (SELECT page_id AS doc, list_filter(string_split_regex(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g'), '[.!?]\\s+'), lambda s: length({_FLAT.format('s', ", 'g'")}) > 0) AS s FROM pages),
+f AS (SELECT doc, list_transform(s, lambda x: {_FLAT.format('x', ", 'g'")}) AS s FROM t),
+m AS (SELECT doc, s, array_to_string(CASE WHEN len(s) >= 8 THEN s[4:6] || s[1:3] || s[7:] ELSE s END, '') AS text FROM f),
+c AS (SELECT doc, text, i AS ord, s[i] AS said, strpos(text, s[i]) AS p FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM m))
+SELECT doc, ord, CASE WHEN once THEN p - 1 END AS start, CASE WHEN once THEN 'found' WHEN length(said) < 8 THEN 'absent' ELSE 'several' END AS status FROM (SELECT *, length(said) >= 8 AND strpos(substr(text, p + 1), said) = 0 AS once FROM c)""")
+def all_places(spark, sf_dir):
+    """Sentences of each page in a copy in which the fourth to the sixth have floated to the front. Those that stand once are found; of the
+    others, which a test holds against a plain search, it is only said that they stand at several places."""
+    words = F.split(F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " "), r"[.!?]\s+")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc"), F.filter(words, lambda s: L.letters(s) != "").alias("s"))
+    part = lambda a, n: F.slice("s", a, n)
+    moved = F.when(F.size("s") >= 8, F.concat(part(4, 3), part(1, 3), F.slice(F.col("s"), F.lit(7), F.greatest(F.size("s") - 6, F.lit(0))))).otherwise(F.col("s"))
+    sources = pages.select("doc", F.array_join(moved, " ").alias("text"))
+    clauses = pages.select("doc", F.posexplode("s").alias("i", "text")).select("doc", (F.col("i") + 1).cast("long").alias("ord"), "text")
+    places = L.find_places(sources, clauses)
+    several = F.col("status").isin("repeated", "ambiguous")
+    return places.select("doc", "ord", F.when(~several, F.col("start")).alias("start"), F.when(several, "several").when(F.col("status") == "absent", "absent").otherwise("found").alias("status"))

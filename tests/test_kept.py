@@ -88,3 +88,56 @@ def test_retention_by_age_and_count(spark):
     copies = spark.createDataFrame(rows, "owner string, id int, made string").withColumn("made", F.to_timestamp("made"))
     gone = backup.pruned(copies, ["owner"], 3, 5, F.to_timestamp(F.lit("2024-01-10")))
     assert sorted((r["owner"], r["id"]) for r in gone.collect()) == [("a", i) for i in range(1, 5)]
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_places_equal_a_plain_search(spark, monkeypatch, block):
+    from lintel.operators import places
+
+    monkeypatch.setattr(places, "BLOCK", block)
+    rng = random.Random(block)
+    sources, clauses, texts = [], [], {}
+    for doc in range(4):
+        words = [f"sentence number {rng.randrange(10**6)} of {doc}" for _ in range(30)] + ["the same words again"] * 3 + ["twice said here"] * 2 + ["tiny", "absent sentence 77", ""]
+        rng.shuffle(words)
+        there = [w for w in words if "absent" not in w]
+        there = there[10:14] + there[:10] + there[14:] + (["twice said here"] if doc == 2 else [])
+        sources.append((doc, ". ".join(there).upper()))
+        clauses += [(doc, i, w) for i, w in enumerate(words)]
+        texts[doc] = "".join(c for c in ". ".join(there).lower() if c.isalnum())
+    got = {(r["doc"], r["ord"]): (r["start"], r["status"]) for r in places.find_places(spark.createDataFrame(sources, "doc int, text string"), spark.createDataFrame(clauses, "doc int, ord int, text string")).collect()}
+    assert len(got) == len(clauses)
+    for doc in range(4):
+        said = {i: "".join(c for c in w.lower() if c.isalnum()) for d, i, w in clauses if d == doc}
+        at = {i: [p for p in range(len(texts[doc])) if texts[doc].startswith(w, p)] if len(w) >= 8 else [] for i, w in said.items()}
+        unique = {i: p[0] for i, p in at.items() if len(p) == 1}
+        mine = {i: got[doc, i] for i in said}
+        assert all(mine[i] == (None, "absent") for i, p in at.items() if not p)
+        assert all(mine[i][0] == p and mine[i][1] in ("exact", "moved") for i, p in unique.items())
+        line = [(i, mine[i][0]) for i in sorted(unique) if mine[i][1] == "exact"]
+        assert all(a[1] < b[1] for a, b in zip(line, line[1:]))
+        order = [unique[i] for i in sorted(unique)]
+        if block == 512:
+            best = [1] * len(order)
+            for i in range(len(order)):
+                best[i] += max((best[j] for j in range(i) if order[j] < order[i]), default=0)
+            assert len(line) == max(best)
+        groups = defaultdict(lambda: (set(), set()))
+        for i, p in at.items():
+            if len(p) > 1:
+                low, high = max((s for j, s in line if j < i), default=-1), min((s for j, s in line if j > i), default=1 << 62)
+                fit = {s for s in p if low < s and s + len(said[i]) <= high}
+                if fit:
+                    groups[low, said[i]][0].add(i)
+                    groups[low, said[i]][1].update(fit)
+        expected = {i: (s, "repeated") for asked, there in groups.values() if len(asked) == len(there) for i, s in zip(sorted(asked), sorted(there))}
+        assert {i: mine[i] for i, p in at.items() if len(p) > 1} == {i: expected.get(i, (None, "ambiguous")) for i, p in at.items() if len(p) > 1}
+    assert {s for _, s in got.values()} >= {"exact", "moved", "repeated", "ambiguous", "absent"}
+
+
+def test_places_of_no_rows(spark):
+    from lintel.operators import places
+
+    none = spark.createDataFrame([], "doc int, text string")
+    assert places.find_places(none, spark.createDataFrame([(1, 1, "some words here")], "doc int, ord int, text string")).collect()[0]["status"] == "absent"
+    assert places.find_places(none, spark.createDataFrame([], "doc int, ord int, text string")).collect() == []
