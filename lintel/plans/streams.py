@@ -119,3 +119,49 @@ def guarded_writes(spark, sf_dir):
     )
     initial = events.sparkSession.range(1).select(digest(F.lit(0))).first()[0]
     return accepted_writes(writes, initial).select("entity", "seq", "accepted")
+
+
+ITEM_COMMANDS = "CASE event_type WHEN 'signup' THEN 'claim' WHEN 'view' THEN 'progress' WHEN 'click' THEN CASE WHEN value > 120 THEN 'complete' ELSE 'progress' END WHEN 'purchase' THEN 'retry' ELSE 'fail' END"
+
+
+def item_events(events: DataFrame) -> DataFrame:
+    return events.select(F.col("user_id").alias("item"), F.col("event_id").alias("seq"), S.milliseconds("ts").alias("at"), F.expr(ITEM_COMMANDS).alias("command"), F.floor("value").alias("progress"), (F.col("event_id") % 3 != 0).alias("retryable"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+_RUN = "s.cmd = 'claim' AND r.status = 'queued'"
+_STEP = "s.cmd = 'progress' AND r.status = 'running' AND s.p BETWEEN 0 AND 99"
+_END, _LOSE, _AGAIN = "s.cmd = 'complete' AND r.status = 'running'", "s.cmd = 'fail' AND r.status = 'running'", "s.cmd = 'retry' AND r.status = 'failed' AND r.retryable"
+SQL_ITEMS = f"""s AS (SELECT user_id AS item, event_id AS seq, {ITEM_COMMANDS} AS cmd, CAST(floor(value) AS BIGINT) AS p, event_id % 3 <> 0 AS again, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+r AS (SELECT DISTINCT item, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, '' AS outcome, 'queued' AS status, CAST(0 AS BIGINT) AS progress, false AS retryable, CAST(0 AS BIGINT) AS attempts FROM s
+ UNION ALL SELECT s.item, s.n, s.seq, CASE WHEN {_RUN} OR {_STEP} OR {_END} OR {_LOSE} OR {_AGAIN} THEN 'done' WHEN s.cmd = 'complete' AND r.status = 'completed' OR s.cmd = 'fail' AND r.status = 'failed' THEN 'kept' ELSE 'refused' END,
+  CASE WHEN {_RUN} THEN 'running' WHEN {_END} THEN 'completed' WHEN {_LOSE} THEN 'failed' WHEN {_AGAIN} THEN 'queued' ELSE r.status END, CASE WHEN {_STEP} THEN s.p WHEN {_END} THEN 100 WHEN {_AGAIN} THEN 0 ELSE r.progress END,
+  CASE WHEN {_LOSE} THEN s.again WHEN {_RUN} OR {_END} OR {_AGAIN} THEN false ELSE r.retryable END, r.attempts + CASE WHEN {_RUN} THEN 1 ELSE 0 END FROM r JOIN s ON s.item = r.item AND s.n = r.n + 1)"""
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _worked(spark, item_events(S.table_stream(spark, f"{sf_dir}/events.parquet")), "item", S.UploadItems(), "items")
+
+
+def _last_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), S.milliseconds("ts").alias("at"))
+    return _items(spark, sf_dir).join(order, "seq").groupBy("item").agg(F.max_by(F.struct("status", "progress"), F.struct("at", "seq")).alias("s")).select("item", "s.*")
+
+
+@query("E17_upload_transitions", f"WITH RECURSIVE {SQL_ITEMS} SELECT item, seq, outcome, status, progress, retryable, attempts FROM r WHERE n > 0")
+def upload_transitions(spark, sf_dir):
+    """Events as commands to each user's upload: what was done, kept or refused, and the item after it."""
+    return _items(spark, sf_dir)
+
+
+@query("E17_upload_jobs", f"""WITH RECURSIVE {SQL_ITEMS}, l AS (SELECT * FROM r QUALIFY n = max(n) OVER (PARTITION BY item))
+SELECT item % 10 AS job, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status IN ('queued', 'running')) = 0 AS finished, CAST(floor(avg(progress)) AS BIGINT) AS progress FROM l GROUP BY 1""")
+def upload_jobs(spark, sf_dir):
+    return S.upload_jobs(_last_states(spark, sf_dir).withColumn("job", F.col("item") % 10))
+
+
+@query("X04_recovered_items", f"""WITH RECURSIVE {SQL_ITEMS}, l AS (SELECT * FROM r QUALIFY n = max(n) OVER (PARTITION BY item)), k AS (SELECT c_custkey AS item FROM customer WHERE c_acctbal > 3000)
+SELECT item, CASE WHEN status = 'running' THEN CASE WHEN item IN (SELECT item FROM k) THEN 'completed' ELSE 'queued' END ELSE status END AS status, CASE WHEN status = 'running' THEN CASE WHEN item IN (SELECT item FROM k) THEN 100 ELSE 0 END ELSE progress END AS progress FROM l""")
+def recovered_uploads(spark, sf_dir):
+    """The uploads after a restart; projects of customers with a good balance had been stored."""
+    stored = table(spark, sf_dir, "customer").where("c_acctbal > 3000").select(F.col("c_custkey").alias("item"))
+    return S.recovered_items(_last_states(spark, sf_dir), stored)

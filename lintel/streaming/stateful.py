@@ -250,3 +250,58 @@ def run_isolated(stream: DataFrame, work: Callable[[dict, int], str], done: str,
 def milliseconds(ts: str):
     """A time stamp without zone as milliseconds since 1970."""
     return F.unix_millis(F.col(ts).cast("timestamp"))
+
+
+class UploadItems(StatefulProcessor):
+    """One file of an upload for each key; it is queued at first. Rows: item (the key), seq, at (ms), command, progress, retryable.
+
+    claim takes a queued item; progress (0 to 99), complete and fail are for running ones; what is completed or failed already stays so
+    without harm; retry queues a failed item again if its failure was marked as retryable. Anything else is refused and changes nothing.
+    Gives item, seq, outcome (done, kept, refused), status, progress, retryable after it, attempts (how often it was claimed)."""
+
+    SCHEMA = "item long, seq long, outcome string, status string, progress long, retryable boolean, attempts long"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("item", "status string, progress long, retryable boolean, attempts long")
+
+    @staticmethod
+    def step(state: tuple, command: str, progress: int, retryable: bool) -> tuple[str, tuple]:
+        status, reached, again, attempts = state
+        if command == "claim" and status == "queued":
+            return "done", ("running", reached, False, attempts + 1)
+        if command == "progress" and status == "running" and 0 <= progress <= 99:
+            return "done", (status, progress, again, attempts)
+        if command == "complete" and status in ("running", "completed"):
+            return ("kept", state) if status == "completed" else ("done", ("completed", 100, False, attempts))
+        if command == "fail" and status in ("running", "failed"):
+            return ("kept", state) if status == "failed" else ("done", ("failed", reached, retryable, attempts))
+        if command == "retry" and status == "failed" and again:
+            return "done", ("queued", 0, False, attempts)
+        return "refused", state
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state = tuple(self.held.get()) if self.held.exists() else ("queued", 0, False, 0)
+        out = []
+        for r in _in_order(rows).itertuples():
+            outcome, state = self.step(state, r.command, int(r.progress), bool(r.retryable))
+            out.append((key[0], int(r.seq), outcome, *state))
+        self.held.update(state)
+        yield pd.DataFrame(out, columns=["item", "seq", "outcome", "status", "progress", "retryable", "attempts"])
+
+    def close(self) -> None:
+        pass
+
+
+def recovered_items(items: DataFrame, stored: DataFrame) -> DataFrame:
+    """items (item, status, progress) after a restart: what was running is completed if its project (item) is stored, else queued anew."""
+    known = items.join(stored.select("item").distinct().withColumn("known", F.lit(True)), "item", "left")
+    running = F.col("status") == "running"
+    status = F.when(running, F.when(F.col("known"), "completed").otherwise("queued")).otherwise(F.col("status"))
+    progress = F.when(running, F.when(F.col("known"), 100).otherwise(0)).otherwise(F.col("progress"))
+    return known.select("item", status.alias("status"), progress.cast("long").alias("progress"))
+
+
+def upload_jobs(items: DataFrame) -> DataFrame:
+    """job, completed, failed, finished, progress (the mean, rounded down) of items (job, status, progress); finished if none waits or runs."""
+    active = F.count_if(F.col("status").isin(*ACTIVE))
+    return items.groupBy("job").agg(F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"), (active == 0).alias("finished"), F.floor(F.avg("progress")).alias("progress"))

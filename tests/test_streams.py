@@ -177,3 +177,37 @@ def test_guarded_writes_equal_a_fold(spark, seed):
     df = spark.createDataFrame(rows, "entity int, seq long, expected string, state string").repartition(5)
     assert {r["seq"]: r["accepted"] for r in accepted_writes(df, "s0").collect()} == expected
     assert accepted_writes(df.where("false"), "s0").collect() == []
+
+
+def test_uploads_equal_a_replay(spark, parts, tmp_path):
+    files, events = parts
+    items, expected = {}, []
+    for user, _, seq, kind, value in events:
+        x = items.setdefault(user, {"status": "queued", "progress": 0, "retryable": False, "attempts": 0})
+        what = {"signup": "claim", "view": "progress", "purchase": "retry", "error": "fail"}.get(kind) or ("complete" if value > 120 else "progress")
+        outcome = "refused"
+        if what == "claim":
+            if x["status"] == "queued":
+                outcome = "done"
+                x.update(status="running", retryable=False, attempts=x["attempts"] + 1)
+        elif what == "progress":
+            if x["status"] == "running" and value < 100:
+                outcome = "done"
+                x["progress"] = int(value)
+        elif what == "retry":
+            if x["status"] == "failed" and x["retryable"]:
+                outcome = "done"
+                x.update(status="queued", progress=0, retryable=False)
+        else:
+            end = "completed" if what == "complete" else "failed"
+            if x["status"] == end:
+                outcome = "kept"
+            elif x["status"] == "running":
+                outcome = "done"
+                x.update(status=end, retryable=what == "fail" and seq % 3 != 0)
+                if what == "complete":
+                    x["progress"] = 100
+        expected.append((user, seq, outcome, x["status"], x["progress"], x["retryable"], x["attempts"]))
+    got = fed(spark, files, tmp_path, streams.item_events, "item", S.UploadItems)
+    assert sorted(got) == sorted(expected)
+    assert {r[2] for r in got} == {"done", "kept", "refused"}
