@@ -29,14 +29,21 @@ def local_session(cpus: int | None = None, app: str = "lintel", memory: str = "1
     return spark
 
 
+#: What this process has made in the shared folder and in the catalogue, until it is released.
+_MADE: dict[str, list[str]] = {"folders": [], "tables": []}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared one (spark.checkpoint.dir); a temporary one only in a session on one machine."""
+    """A new folder in the cluster's shared one (spark.checkpoint.dir); a temporary one only in a session on one machine.
+
+    It stays until `release` is called, as a result that was returned may not have been read yet."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
         if not spark.sparkContext.master.partition("[")[0] == "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="lintel-")
-    return f"{shared.rstrip('/')}/lintel-{name}-{uuid.uuid4().hex}"
+    _MADE["folders"].append(f"{shared.rstrip('/')}/lintel-{name}-{uuid.uuid4().hex}")
+    return _MADE["folders"][-1]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -53,4 +60,17 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     spark = df.sparkSession
     table = f"lintel_{name}_{uuid.uuid4().hex}"
     df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", scratch(spark, name)).saveAsTable(table)
+    _MADE["tables"].append(table)
     return spark.table(table)
+
+
+def release(spark: SparkSession) -> int:
+    """Drops all tables and folders that this process has made for its queries; results that were not read before are lost. Gives how many."""
+    tables, folders = _MADE["tables"], _MADE["folders"]
+    _MADE["tables"], _MADE["folders"] = [], []
+    for table in tables:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(tables) + len(folders)

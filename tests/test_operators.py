@@ -117,3 +117,19 @@ def test_places_equal_a_plain_sort(spark):
     assert got == {r[2]: n for k in "ab" for n, r in enumerate(sorted((r for r in rows if r[0] == k), key=key), 1)}
     got = {r["i"]: r["n"] for r in relational.placed(df, ["k"], F.col("v"), [F.desc("i")], "n", buckets=8).collect()}
     assert got == {r[2]: n for n, r in enumerate(sorted(rows, key=lambda r: (r[0], *key(r))), 1)}
+
+
+def test_release_drops_what_queries_made(spark):
+    import os
+
+    from lintel import session
+
+    session.release(spark)
+    kept = session.staged(spark.range(5), "one")
+    held = session.bucketed(spark.range(9).withColumnRenamed("id", "k"), "k", "two")
+    assert "Exchange" not in held.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+    folders = [f.removeprefix("file:").rpartition("/")[0] for f in (*kept.inputFiles(), *held.inputFiles())]
+    assert all(os.path.isdir(f.removeprefix("//")) for f in folders)
+    assert session.release(spark) == 3 and session.release(spark) == 0
+    assert not any(os.path.isdir(f.removeprefix("//")) for f in folders)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lintel_")]
