@@ -123,7 +123,7 @@ class ImpactIndex:
 
     def _write(self, df: DataFrame, name: str, number: int) -> None:
         # a part in one task and file, unless it is large: adaptive execution splits those
-        df.hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/{name}/segment={number}")
+        df.hint("rebalance", "part").write.option("compression", "zstd").mode("overwrite").partitionBy("part").parquet(f"{self.path}/{name}/segment={number}")
 
     def _segment(self, number: int, docs: DataFrame, old: DataFrame | None) -> None:
         self._write(counted_terms(docs).withColumn("part", _part("doc")), "forward", number)
@@ -145,7 +145,7 @@ class ImpactIndex:
         posts = new.select("doc", "len", F.explode("terms").alias("t")).select("doc", "len", "t.term", "t.tf").join(many, "term", "left")
         posts = posts.withColumn("x", impact(average)).withColumn("level", F.least(F.lit(DEEPEST), F.floor(-LEVELS_PER_HALVING * F.log2("x"))).cast("int"))
         posts = posts.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.coalesce("chunks", F.lit(1))).cast("int"))
-        blocks = posts.groupBy("term", "level", "chunk").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("x").alias("best"), F.collect_list(F.struct("doc", "tf", "len")).alias("entries"))
+        blocks = posts.groupBy("term", "level", "chunk").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("x").alias("best"), F.array_sort(F.collect_list(F.struct("doc", "tf", "len"))).alias("entries"))
         self._write(blocks.withColumn("part", _part("term")), "blocks", number)
         written = self.spark.read.schema(SCHEMAS["blocks"]).parquet(f"{self.path}/blocks/segment={number}")
         levels = written.groupBy("part", "term", "level").agg(F.sum("n").alias("n"), F.max("best").alias("best"))
