@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lintel.session import staged
 
 #: So many keys, with 64 numbers each, may be sent to all tasks.
 FEW_KEYS = 10_000
@@ -19,14 +20,15 @@ def spread_sample(df: DataFrame, keys: list[str], order: list[str], count: int,
     """Evenly spaced rows of each key: `count` of them (the middle one if it is 1), all if there are fewer. Half-way indices go to even.
 
     Rows are dealt by approximate quantiles of the first order column, a number or date; counts of buckets say which buckets hold a
-    wanted place, and only those are put in order, so no task sees all rows of a key. With no keys the table is one group."""
+    wanted place, and only those are put in order, so no task sees all rows of a key. With no keys the table is one group. Approximate
+    quantiles depend on the order in which parts are merged, so the cuts are staged: rows are counted and placed by the same ones."""
     first = F.col(order[0]).cast("double")
     by = keys or ["_all"]
     rows = df if keys else df.withColumn("_all", F.lit(0))
     steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    few = rows.select(*by).distinct().count() <= FEW_KEYS  # then their cuts go to the rows, and no row moves for them
+    cuts = staged(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(first, steps, F.lit(1000)).alias("_cuts")), "cuts")
+    few = cuts.count() <= FEW_KEYS  # then their cuts go to the rows, and no row moves for them
     sent = F.broadcast if few else lambda df: df
-    cuts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(first, steps, F.lit(1000)).alias("_cuts"))
     dealt = rows.join(sent(cuts), by).withColumn("_b", F.coalesce(F.size(F.filter("_cuts", lambda c: c < first)), F.lit(-1))).drop("_cuts")
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy(*by, "_b", "_n").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
@@ -44,7 +46,7 @@ def spread_sample(df: DataFrame, keys: list[str], order: list[str], count: int,
 def stratified_sample(df: DataFrame, cohort: str, wanted: dict[str, int], order: list[str], total: int) -> DataFrame:
     """Evenly spaced rows of each cohort, as many as are wanted of it, and, if that makes fewer than `total`, evenly spaced ones of the rest."""
     parts = [spread_sample(df.where(F.col(cohort) == name), [cohort], order, n) for name, n in wanted.items()]
-    chosen = reduce(DataFrame.unionByName, parts)
+    chosen = staged(reduce(DataFrame.unionByName, parts), "chosen")
     missing = total - chosen.count()  # at most `total`
     if missing <= 0:
         return chosen
@@ -55,10 +57,11 @@ def placed(df: DataFrame, keys: list[str], number: Column, then: list, into: str
     """Numbers rows from 1 in the order of keys, a number and `then`; `within` begins anew for each combination of keys.
 
     Rows are dealt into buckets between approximate quantiles of the number (of each combination), which are put in order one by one; places
-    of whole buckets come from a prefix sum over their counts, so no task sees all rows of a combination unless they share one number."""
+    of whole buckets come from a prefix sum over their counts, so no task sees all rows of a combination unless they share one number.
+    The cuts are staged, as approximate quantiles made twice may differ."""
     steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     rows = df.withColumn("_v", number.cast("double"))
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", steps, F.lit(1000)).alias("_cuts"))
+    cuts = staged(rows.groupBy(*keys).agg(F.percentile_approx("_v", steps, F.lit(1000)).alias("_cuts")), "cuts")
     sent = F.broadcast if cuts.count() <= FEW_KEYS else lambda df: df
     dealt = rows.join(sent(cuts), keys).withColumn("_b", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))), F.lit(-1))).drop("_cuts")
     before = (Window.partitionBy(*keys).orderBy("_b") if within else Window.orderBy(*keys, "_b")).rowsBetween(Window.unboundedPreceding, -1)

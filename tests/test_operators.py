@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +90,18 @@ def test_stratified_sample_is_topped_up(spark):
     assert got.count() == 50 and got.where("c = 'y'").count() == 10 and got.distinct().count() == 50
 
 
+def test_samples_and_places_use_one_set_of_cuts(spark, monkeypatch):
+    """Approximate quantiles made twice may differ: here they differ whenever they are made."""
+    drawn = F.udf(lambda n: [float(x) for x in sorted(random.sample(range(300), 7))], "array<double>")
+    monkeypatch.setattr(F, "percentile_approx", lambda column, *_: drawn(F.count(column)))
+    rows = spark.range(300).select("id", F.lit("a").alias("k"), F.lit("x").alias("text"))
+    want = {round(j * 299 / 39) for j in range(40)}
+    assert {r["id"] for r in relational.spread_sample(rows, ["k"], ["id"], 40).collect()} == want
+    got = relational.stratified_sample(rows, "k", {"a": 12}, ["id"], 50)
+    assert got.distinct().count() == got.count() == 50
+    assert all(r["n"] == r["id"] + 1 for r in relational.placed(rows, ["k"], F.col("id"), [], "n", within=True).collect())
+
+
 def test_rolled_digest_does_not_depend_on_partitions(spark):
     rows = spark.range(500).select(F.col("id").cast("string").alias("key"), F.concat(F.lit("v"), "id").alias("row"))
     digests = {relational.rolled_digest(df, "key", ["row"]).first()[0] for df in (rows, rows.repartition(7), rows.orderBy(F.rand()))}
