@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lintel.operators import index, ranking, relational
+from lintel.operators import index, ranking, relational, review
 
 
 def test_bm25_by_hand(spark):
@@ -102,6 +102,19 @@ def test_samples_and_places_use_one_set_of_cuts(spark, monkeypatch):
     assert all(r["n"] == r["id"] + 1 for r in relational.placed(rows, ["k"], F.col("id"), [], "n", within=True).collect())
 
 
+def test_table_rows_meet_by_classes(spark):
+    """Repeated keys, nulls and empty lists; pairs of rows are neither deduplicated nor moved after they were made."""
+    rng = random.Random(19)
+    some = lambda names: rng.choice([None, [], [rng.choice(names) for _ in range(rng.randrange(1, 4))]])
+    clauses, held = ([(rng.randrange(40), some("abcd"), some(["x", "y", None])) for _ in range(90)] for _ in range(2))
+    shape = "{} int, standards array<string>, grades array<string>"
+    got = review.matching_table_rows(spark.createDataFrame(clauses, shape.format("c")), spark.createDataFrame(held, shape.format("r")), "c", "r")
+    shared = lambda a, b: (set(a or []) & set(b or [])) - {None}
+    assert sorted(map(tuple, got.collect())) == sorted({(c, r) for c, s, g in clauses for r, t, h in held if shared(s, t) and shared(g, h)})
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.splitlines()[0].startswith("Project") and plan.splitlines()[1].startswith("+- Join Inner")
+
+
 def test_rolled_digest_does_not_depend_on_partitions(spark):
     rows = spark.range(500).select(F.col("id").cast("string").alias("key"), F.concat(F.lit("v"), "id").alias("row"))
     digests = {relational.rolled_digest(df, "key", ["row"]).first()[0] for df in (rows, rows.repartition(7), rows.orderBy(F.rand()))}
