@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from lintel.functions import text as X
+from lintel.session import small_batches
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 CLAUSES = "path string, source_order int, source_type string, outline_level int, label string, text string, context string"
@@ -284,7 +285,8 @@ def _chunks(texts: pd.Series, most: pd.Series) -> pd.Series:
 
 
 def chunks(c: Column, most: int) -> Column:
-    """array<string> of the pieces of a text."""
+    """array<string> of the pieces of a text. Lowers the session's bound of Arrow batches, as texts are long."""
+    small_batches(SparkSession.active())
     return _chunks(F.coalesce(c, F.lit("")), F.lit(most))
 
 

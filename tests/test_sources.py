@@ -1,3 +1,4 @@
+from lintel.operators import coverage
 from lintel.plans.sources import word_file
 from lintel.sources import documents as S
 
@@ -20,6 +21,16 @@ def test_chunks_keep_every_character():
     assert S.split_chunks(None, 10) == [""]
 
 
+def test_texts_are_cut_in_small_batches(spark):
+    """Thousands of long texts are not handed to Python at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    rows = spark.range(20).selectExpr("id AS clause", "1 AS n", "'r' AS ref", "repeat('x', 30000) AS text")
+    got = coverage.planned_calls(rows.drop("ref"), rows)
+    assert int(spark.conf.get(name)) <= 4 << 20
+    assert {(r["calls"], r["allowed"]) for r in got.collect()} == {(1, True)}
+
+
 def test_spans_fill_rectangles():
     rows = S.table_rows("<table><tr><td rowspan=3 colspan=2>a<td>b</tr><tr><td rowspan=9>c<td>d</tr><tr></tr></table>")
     assert [r[2] for r in rows] == [["a", "a", "b"], ["a", "a", "c", "d"], ["a", "a", "c"]]
