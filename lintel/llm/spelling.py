@@ -65,6 +65,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     index = words.select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.explode(segment_keys(F.col("word"), length, False)).alias("key"))
     probes = F.concat(segment_keys(F.col("word"), length, False), segment_keys(F.col("word"), length - 1, True))
     asking = words.select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.explode(probes).alias("key"))
+    # a file of words is far smaller than the rows made of it, so Spark's estimate would send millions of probes through the driver
+    index = index.hint("merge")
     one_edit = ((F.char_length("a") < F.char_length("b")) | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1)
     met = index.join(asking, (index["key"] == asking["key"]) & one_edit)
     return met.select("a", "a_n", "b", "b_n").distinct()
@@ -86,11 +88,11 @@ def with_roots(forms: DataFrame) -> DataFrame:
     links = staged(forms.where("form IS NOT NULL").select("word", F.col("form").alias("root"), F.lit(True).alias("moved")), "links")
     while links.where("moved").limit(1).count():
         ahead = links.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        moved = links.join(ahead, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
+        moved = links.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
         after = staged(moved, "links")
         dropped(links)
         links = after
-    return forms.join(links.select("word", "root"), "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return forms.join(links.select("word", "root").hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def spelling_variants(docs: DataFrame) -> DataFrame:

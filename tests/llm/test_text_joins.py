@@ -228,6 +228,15 @@ def test_a_key_for_every_edit():
                 assert keys(r, len(r), False) & keys(s, len(r), len(s) > len(r))
 
 
+def test_words_do_not_pass_through_the_driver(spark, tmp_path):
+    """Files of words look small beside the rows made of them."""
+    spark.createDataFrame([(f"{a}bcde{b}", 3) for a in "xyz" for b in "xyz"], "word string, n long").write.parquet(f"{tmp_path}/words")
+    words = spark.read.parquet(f"{tmp_path}/words")
+    pairs = spelling.near_pairs(words)
+    assert pairs.count() == 18
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().sparkPlan().toString()
+
+
 # --- the queries, as registered, hold the operators' results on a table of every edge
 @pytest.mark.parametrize("name, plain", [("op11_collocations", plain_collocations), ("op12_decontaminate", plain_contamination), ("op13_spelling", plain_variants)])
 def test_queries_on_edges(spark, tmp_path, name, plain):
