@@ -171,11 +171,16 @@ def hybrid_scores(pairs: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def catalogue_routes(queries: DataFrame, posts: DataFrame, codes: DataFrame, stats: DataFrame, k: int = 5, prefixes: list[str] | None = None) -> DataFrame:
-    """The k catalogue entries nearest to a query with a positive score; codes: doc, code. Ties by code, then by document."""
-    scored = tfidf_scores(queries, posts, stats).join(codes, "doc")
+    """The k catalogue entries nearest to a query with a positive score; codes: doc, code. Ties by code, then by document.
+
+    Codes are merged in, never broadcast, as a catalogue of any size can look small in its file; without prefixes only pairs whose
+    score is among the k best of their query meet them, equal scores included."""
+    scored = tfidf_scores(queries, posts, stats).withColumn("score", F.round("score", 6)).where(F.col("score") > 0)
+    if not prefixes:
+        scored = scored.withColumn("_r", F.rank().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("_r") <= k).drop("_r")
+    scored = scored.join(codes.hint("merge"), "doc")
     if prefixes:
         scored = scored.where(F.greatest(*[F.startswith("code", F.lit(p)) for p in prefixes], F.lit(False)))
-    scored = scored.withColumn("score", F.round("score", 6)).where(F.col("score") > 0)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "code", "doc"))).where(F.col("rank") <= k)
 
 

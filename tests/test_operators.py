@@ -115,6 +115,24 @@ def test_table_rows_meet_by_classes(spark):
     assert plan.splitlines()[0].startswith("Project") and plan.splitlines()[1].startswith("+- Join Inner")
 
 
+def test_routes_of_a_catalogue_that_looks_small(spark, tmp_path):
+    """Ties by code, then by document; the catalogue does not pass through the driver."""
+    rows = [(i, f"C{i % 3}", "steel bolt" if i % 2 else "copper pipe") for i in range(40)]
+    spark.createDataFrame(rows, "doc long, code string, text string").write.parquet(f"{tmp_path}/codes")
+    codes = spark.read.parquet(f"{tmp_path}/codes")
+    posts = index.postings(codes, "doc", F.split("text", " "))
+    asked = index.postings(spark.createDataFrame([(1, "steel"), (2, "copper bolt"), (3, "wood")], "id long, text string"), "id", F.split("text", " "), "query")
+    ask = lambda **more: index.catalogue_routes(asked, posts, codes.select("doc", "code"), index.collection(codes, posts), **more)
+    listed = lambda word: sorted((c, i) for i, c, t in rows if word in t)
+    got = ask().orderBy("query", "rank").collect()
+    assert [(r["query"], r["code"], r["doc"]) for r in got if r["query"] == 1] == [(1, *x) for x in listed("steel")[:5]]
+    assert [(r["code"], r["doc"]) for r in got if r["query"] == 2] == sorted(listed("copper") + listed("bolt"))[:5] and len(got) == 10
+    got = ask(prefixes=["C2"]).where("query = 1").orderBy("rank").collect()
+    assert [r["doc"] for r in got] == [i for c, i in listed("steel") if c == "C2"][:5]
+    plan = ask()._jdf.queryExecution().sparkPlan().toString()
+    assert any("SortMergeJoin [doc" in line for line in plan.splitlines())
+
+
 def test_rolled_digest_does_not_depend_on_partitions(spark):
     rows = spark.range(500).select(F.col("id").cast("string").alias("key"), F.concat(F.lit("v"), "id").alias("row"))
     digests = {relational.rolled_digest(df, "key", ["row"]).first()[0] for df in (rows, rows.repartition(7), rows.orderBy(F.rand()))}
