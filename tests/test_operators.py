@@ -1,10 +1,12 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from lintel.operators import index, ranking, relational, review
+from lintel.functions import terms
+from lintel.operators import index, matching, ranking, relational, review
 
 
 def test_bm25_by_hand(spark):
@@ -133,6 +135,24 @@ def test_routes_of_a_catalogue_that_looks_small(spark, tmp_path):
     assert any("SortMergeJoin [doc" in line for line in plan.splitlines())
 
 
+def test_shares_of_concepts(spark):
+    """Pairs of classes are counted, pairs of rows only joined."""
+    texts = ["통줄눈 및 소석회", "통줄눈", "하루 쌓기 소석회", "없음", None, "수평"]
+    queries = spark.createDataFrame([(i, texts[i % 6], i % 5 > 0) for i in range(30)], "query int, text string, masonry boolean")
+    sections = spark.createDataFrame([(i, "413402" if i % 4 else "414000", "t", texts[i % 6]) for i in range(48)], "doc int, code string, title string, content string")
+    sides = lambda t, side: {i for i, c in enumerate(terms.MASONRY_CONCEPTS) if re.search(c[side], re.sub(r"\s+", "", t or ""))}
+    expected = {}
+    for q in queries.collect():
+        for d in sections.collect():
+            asked, held = sides(q["text"], 0), sides(d["content"], 1)
+            if q["masonry"] and d["code"].startswith(terms.MASONRY_PREFIX) and asked & held:
+                expected[q["query"], d["doc"]] = len(asked & held) / len(asked)
+    got = matching.concept_hits(queries, sections)
+    assert {(r["query"], r["doc"]): r["share"] for r in got.collect()} == pytest.approx(expected) and got.count() == len(expected) > 50
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert plan[0].startswith("Project") and plan[1].startswith("+- Join Inner")
+
+
 def test_rolled_digest_does_not_depend_on_partitions(spark):
     rows = spark.range(500).select(F.col("id").cast("string").alias("key"), F.concat(F.lit("v"), "id").alias("row"))
     digests = {relational.rolled_digest(df, "key", ["row"]).first()[0] for df in (rows, rows.repartition(7), rows.orderBy(F.rand()))}
