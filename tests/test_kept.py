@@ -38,6 +38,19 @@ def test_references_are_inherited_by_material(spark):
     assert {r["place"]: r["notation"] for r in got.where("notation IS NOT NULL").collect()} == {3: "KS 2", 4: "KS 1", 5: "KS 9", 6: "KS 1; KS 2"}
 
 
+def test_cuts_are_searched_in_two_steps(spark):
+    """As many cuts as bisection finds, with repeated cuts and lists shorter and longer than a step; no value meets every cut."""
+    from bisect import bisect_left, bisect_right
+
+    from lintel.operators import intervals
+
+    for n in (0, 1, 15, 16, 17, 255):
+        cuts = sorted(i * 7 % 40 for i in range(n))
+        counts = [intervals._counted(cuts, lambda c: c < F.col("id")).alias("below"), intervals._counted(cuts, lambda c: c <= F.col("id")).alias("upto")]
+        got = [(r["below"], r["upto"]) for r in spark.range(42).select("id", *counts).orderBy("id").collect()]
+        assert got == [(bisect_left(cuts, x), bisect_right(cuts, x)) for x in range(42)]
+
+
 @pytest.mark.parametrize("buckets", [1, 3, 64])
 def test_longest_prefixes_equal_all_pairs(spark, buckets):
     rng = random.Random(buckets)
