@@ -47,18 +47,22 @@ def normalize_references(c: Column) -> Column:
     return replace_each(text(c), p, lambda h: F.concat(F.lit("KS "), F.upper(F.regexp_extract(h, p, 1)), F.lit(" "), F.regexp_extract(h, p, 2)))
 
 
+def _of_groups(flat: Column, hit: Callable[[int], Column]) -> Column:
+    """For each group of equivalent terms of which a compacted text holds one, `hit` of its number, else null. The text is bound, so that
+    it is compacted once and not for each term."""
+    found = lambda f: F.array(*[F.when(F.greatest(*[F.contains(f, F.lit("".join(t.split()).lower())) for t in g], F.lit(False)), hit(i)) for i, g in enumerate(T.EQUIVALENT_TERMS)])
+    return F.array_compact(F.element_at(F.transform(F.array(flat), found), 1))
+
+
 def matched_groups(c: Column) -> Column:
     """Numbers of the groups of equivalent terms of which a text holds one."""
-    flat = compact(c)
-    hit = [F.when(F.greatest(*[F.contains(flat, F.lit("".join(t.split()).lower())) for t in g], F.lit(False)), F.lit(i)) for i, g in enumerate(T.EQUIVALENT_TERMS)]
-    return F.filter(F.array(*hit), lambda x: x.isNotNull())
+    return _of_groups(compact(c), F.lit)
 
 
 def expand_terms(c: Column) -> Column:
     """The text and every equivalent of terms in it, first seen first."""
-    flat = compact(c)
-    groups = [F.when(F.greatest(*[F.contains(flat, F.lit("".join(t.split()).lower())) for t in g], F.lit(False)), words_array(g)).otherwise(words_array([])) for g in T.EQUIVALENT_TERMS]
-    return clean_space(F.concat_ws(" ", text(c), F.array_join(F.array_distinct(F.flatten(F.array(*groups))), " ")))
+    groups = _of_groups(compact(c), lambda i: words_array(T.EQUIVALENT_TERMS[i]))
+    return clean_space(F.concat_ws(" ", text(c), F.array_join(F.array_distinct(F.flatten(groups)), " ")))
 
 
 def normalize_key(c: Column, expand: bool = True) -> Column:

@@ -10,13 +10,14 @@ from lintel.functions import identity as D
 from lintel.functions import quantities as N
 from lintel.functions import terms as T
 from lintel.functions import text as X
-from lintel.plans.registry import query, table
+from lintel.plans.registry import dealt, query, table
 
 CLEAN = r"trim(regexp_replace(coalesce({0}, ''), '[\s\x0B\x{{85}}\x{{A0}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{3000}}]+', ' ', 'g'))"
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    """One file may be one task, so texts are dealt out before anything is made of them."""
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 @query("T01_clean_space", f"SELECT doc_id, sha256({CLEAN.format('text')}) AS cleaned, length({CLEAN.format('text')}) AS n FROM documents")

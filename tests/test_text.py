@@ -59,3 +59,16 @@ def test_semantic_fingerprint_ignores_spacing_case_and_width(spark):
     assert rows.select(identity.semantic_fingerprint(*map(F.col, "cntxw")).alias("f")).distinct().count() == 1
     other = rows.limit(1).withColumn("n", F.lit("2")).unionByName(rows.limit(1).withColumn("x", F.lit("ab"))).unionByName(rows.limit(1))
     assert other.select(identity.semantic_fingerprint(*map(F.col, "cntxw")).alias("f")).distinct().count() == 3
+
+
+def test_texts_are_compacted_once(spark):
+    """Groups of equivalent terms bind the compacted text, so its expression does not stand once for each term, and texts of one file are dealt out."""
+    from lintel.plans import texts as P
+
+    rows = spark.createDataFrame([("몰탈을 충진 한다",), ("plain",), ("",), (None,)], "t string")
+    plan = rows.select(text.matched_groups(F.col("t")).alias("g"), text.normalize_key(F.col("t")).alias("k"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("\\s+") <= 6
+    got = plan.collect()
+    assert got[0]["g"] == [0, 4] and got[0]["k"] == "몰탈을충진한다몰탈모르타르모르터사춤충진충전"
+    assert [tuple(r) for r in got[1:]] == [([], "plain"), ([], ""), ([], "")]
+    assert P._docs(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
