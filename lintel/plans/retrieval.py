@@ -9,7 +9,7 @@ from lintel.functions import text as X
 from lintel.operators import index as I
 from lintel.operators import ranking as R
 from lintel.operators.impact_index import ImpactIndex
-from lintel.plans.registry import query, table
+from lintel.plans.registry import dealt, query, table
 from lintel.session import staged
 
 TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[A-Za-z가-힣]{{2,}}|\d+(?:\.\d+)?')"
@@ -34,10 +34,14 @@ def _top_sql(source: str, k: int) -> str:
     return f"SELECT query, doc, score, CAST(n AS INT) AS rank FROM (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS n FROM (SELECT query, doc, round(score, 6) AS score FROM {source})) WHERE n <= {k}"
 
 
+#: Documents that one task counts the terms of, whatever the size of the table.
+DEALT = 5_000
+
+
 def _posts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Postings of sections and clauses, and the collection's row. One file is one task: sections are dealt out before they are cut."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    posts = I.postings(docs.repartition("doc_id"), "doc_id", I.latin_tokens(F.col("text")))
+    posts = I.postings(dealt(docs, "doc_id", DEALT), "doc_id", I.latin_tokens(F.col("text")))
     asked = I.postings(table(spark, sf_dir, "benchmark"), "item_id", I.latin_tokens(F.col("text")), "query")
     return posts, asked, I.collection(docs, posts)
 

@@ -197,3 +197,12 @@ def test_release_drops_what_queries_made(spark):
     assert session.release(spark) == 3 and session.release(spark) == 0
     assert not any(os.path.isdir(f.removeprefix("//")) for f in folders)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("lintel_")]
+
+
+def test_tasks_hold_a_bounded_number_of_rows(spark):
+    from lintel.plans.registry import dealt
+
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert dealt(spark.range(1000), "id", 10).rdd.getNumPartitions() == 100
+    assert dealt(spark.range(5), "id", 10).rdd.getNumPartitions() == least
+    assert dealt(spark.range(1000), "id", 10).count() == 1000
