@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lintel.functions import identity as D
 from lintel.functions import text as X
-from lintel.session import staged
 
 # Reasons, in the order in which they are listed, and the namespace and prefix of new ids.
 REASONS = ["candidate_meaning_changed", "candidate_added", "candidate_removed", "candidate_metadata_changed", "selected_candidate_removed"]
@@ -25,9 +24,10 @@ def with_fingerprints(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_f", whole)
     plain = F.octet_length("_f") == F.char_length("_f")
     rows = rows.where(plain).unionByName(rows.where(~plain).withColumn("_f", X.compatibility_form(F.col("_f"))))
-    rows = rows.withColumn("_f", F.split(F.lower("_f"), "\u001f"))
-    flat = {name: X.clean_space(F.get("_f", i)) for i, name in enumerate([*texts, "warnings", "reasons"])}
-    each = lambda name: F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.get("_f", (len(texts) + ["warnings", "reasons"].index(name))), "\u001e"), X.clean_space), lambda x: x != "")))
+    # white space is folded once in the whole, of which the separators are no part, so a field is only trimmed
+    rows = rows.withColumn("_f", F.split(F.regexp_replace(F.lower("_f"), X.U + r"\s+", " "), "\u001f"))
+    flat = {name: F.trim(F.get("_f", i)) for i, name in enumerate([*texts, "warnings", "reasons"])}
+    each = lambda name: F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.get("_f", (len(texts) + ["warnings", "reasons"].index(name))), "\u001e"), F.trim), lambda x: x != "")))
     code = F.regexp_replace(flat["code"], r"[^\p{L}\p{N}]", "")
     fp = D.fingerprint({"kcs_code": code, "kcs_clause": flat["number"], "title": flat["title"], "content": flat["content"], "warnings": each("warnings")})
     logical = F.concat_ws("\u001f", code, flat["number"])
@@ -35,51 +35,63 @@ def with_fingerprints(rows: DataFrame) -> DataFrame:
     return rows.withColumn("fp", fp).withColumn("lk", logical).withColumn("meta", meta).drop("_f")
 
 
+def _met(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows of both sides (new: whether after) with occurrence and, for those after, old: id and meta of the row before that lives on in them.
+
+    Both sides are dealt by clause in one shuffle; ranks, matches and whatever is summed up for a clause then happen where it lies."""
+
+    def side(rows: DataFrame, new: bool) -> DataFrame:
+        known = rows if "fp" in rows.columns else with_fingerprints(rows)
+        identity = F.lit(None).cast(before.schema["id"].dataType) if new else F.col("id")
+        return known.select("clause", "pos", identity.alias("id"), F.unhex("fp").alias("fp"), "lk", "meta", F.lit(new).alias("new"))
+
+    rows = side(before, False).unionByName(side(after, True)).repartition("clause")
+    rows = rows.withColumn("occurrence", F.row_number().over(Window.partitionBy("clause", "fp", "new").orderBy("pos")))
+    # of an occurrence there is one row at most on each side, the one before first
+    match = Window.partitionBy("clause", "fp", "occurrence").orderBy("new")
+    return rows.withColumn("old", F.when(F.col("new") & F.col("clause").isNotNull(), F.lag(F.struct("id", "meta")).over(match)))
+
+
+def _assigned() -> tuple[Column, Column]:
+    """reused and metadata_changed of rows that have met."""
+    reused = F.col("old.id").isNotNull()
+    return reused, reused & ~F.col("meta").eqNullSafe(F.col("old.meta"))
+
+
 def assignments(before: DataFrame, after: DataFrame) -> DataFrame:
     """clause, pos, occurrence, fp, preserved_id, assigned_id, reused, metadata_changed of each candidate after.
 
     before: clause, pos, id and what with_fingerprints needs, or what it gives; after likewise without id. Equal fingerprints are matched in order; what
     has no match gets an id made of its clause, fingerprint and occurrence, so that a repeated run gives the same."""
-
-    def numbered(rows: DataFrame) -> DataFrame:
-        known = rows if "fp" in rows.columns else with_fingerprints(rows)
-        return known.withColumn("occurrence", F.row_number().over(Window.partitionBy("clause", "fp").orderBy("pos")))
-
-    old = numbered(before).select("clause", "fp", "occurrence", F.col("id").alias("preserved_id"), F.col("meta").alias("old_meta"))
-    both = numbered(after).join(old, ["clause", "fp", "occurrence"], "left")
+    reused, changed = _assigned()
+    rows = _met(before, after).where("new").withColumn("fp", F.lower(F.hex("fp")))
     name = F.concat_ws(":", F.lit(NEW_ID), F.col("clause").cast("string"), "fp", F.col("occurrence").cast("string"))
-    reused = F.col("preserved_id").isNotNull()
-    return both.select(
-        "clause", "pos", "occurrence", "fp", "preserved_id", F.coalesce("preserved_id", D.uuid5(URL_NAMESPACE, name)).alias("assigned_id"), reused.alias("reused"),
-        (reused & ~F.col("meta").eqNullSafe(F.col("old_meta"))).alias("metadata_changed"),
-    )
+    assigned = F.coalesce(F.col("old.id"), D.uuid5(URL_NAMESPACE, name))
+    return rows.select("clause", "pos", "occurrence", "fp", F.col("old.id").alias("preserved_id"), assigned.alias("assigned_id"), reused.alias("reused"), changed.alias("metadata_changed"))
 
 
 def plan(before: DataFrame, after: DataFrame, clauses: DataFrame) -> DataFrame:
     """One row of each clause: material_changed, metadata_changed, review_required, selected (mapped), selection_removed, reasons.
 
     clauses: clause, decision, selected (an id before). Sets of fingerprints are compared whole and, for code and number that both
-    sides have, one by one."""
-    # a row is fingerprinted once, for the sets and for the ids
-    before = staged(with_fingerprints(before).select("clause", "pos", "id", "fp", "lk", "meta"), "before")
-    after = staged(with_fingerprints(after).select("clause", "pos", "fp", "lk", "meta"), "after")
-    sides = before.select("clause", "lk", "fp", F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(after.select("clause", "lk", "fp", F.lit(0).alias("b"), F.lit(1).alias("a")))
-    per_fp = sides.groupBy("clause", "lk", "fp").agg(F.max("b").alias("b"), F.max("a").alias("a"))
+    sides have, one by one. A row is fingerprinted once and moves once; what a clause comes to is summed up where its rows lie."""
+    reused, changed = _assigned()
+    rows = _met(before, after).select("clause", "lk", "fp", "new", F.when(reused, F.col("old.id")).alias("kept"), changed.alias("changed"))
+    per_fp = rows.groupBy("clause", "lk", "fp").agg(
+        F.bool_or(~F.col("new")).alias("b"), F.bool_or("new").alias("a"), F.bool_or("changed").alias("changed"), F.collect_list("kept").alias("kept"),
+    )
     per_key = per_fp.groupBy("clause", "lk").agg(
-        ((F.max("b") == 1) & (F.max("a") == 1) & F.bool_or(F.col("b") != F.col("a"))).alias("meaning"),
-        F.bool_or((F.col("a") == 1) & (F.col("b") == 0)).alias("added"), F.bool_or((F.col("b") == 1) & (F.col("a") == 0)).alias("removed"),
+        (F.bool_or("b") & F.bool_or("a") & F.bool_or(F.col("b") != F.col("a"))).alias("meaning"), F.bool_or(F.col("a") & ~F.col("b")).alias("added"),
+        F.bool_or(F.col("b") & ~F.col("a")).alias("removed"), F.bool_or("changed").alias("metadata_changed"), F.flatten(F.collect_list("kept")).alias("kept"),
     )
-    sets = per_key.groupBy("clause").agg(*[F.bool_or(c).alias(c) for c in ("meaning", "added", "removed")])
-    given = assignments(before, after)
-    meta = given.groupBy("clause").agg(F.bool_or("metadata_changed").alias("metadata_changed"))
-    mapped = given.where("reused").select("clause", F.col("preserved_id").alias("selected"), F.col("assigned_id").alias("mapped"))
+    flags = ("meaning", "added", "removed", "metadata_changed")
+    sets = per_key.groupBy("clause").agg(*[F.bool_or(c).alias(c) for c in flags], F.flatten(F.collect_list("kept")).alias("kept"))
+    found = clauses.join(sets, "clause", "left").withColumn("mapped", F.when(F.array_contains("kept", F.col("selected")), F.col("selected")))
     no = F.lit(False)
-    rows = clauses.join(sets, "clause", "left").join(meta, "clause", "left").join(mapped, ["clause", "selected"], "left")
-    flags = {c: F.coalesce(F.col(c), no) for c in ("meaning", "added", "removed", "metadata_changed")}
-    material, gone = flags["added"] | flags["removed"], F.col("selected").isNotNull() & F.col("mapped").isNull()
-    found = [flags["meaning"], flags["added"], flags["removed"], flags["metadata_changed"], gone]
-    reasons = F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in zip(REASONS, found, strict=True)]))
-    return rows.select("clause", "decision", material.alias("material_changed"), flags["metadata_changed"].alias("metadata_changed"), (F.col("decision").isNotNull() & material).alias("review_required"), F.col("mapped").alias("selected"), gone.alias("selection_removed"), reasons.alias("reasons"))
+    given = {c: F.coalesce(F.col(c), no) for c in flags}
+    material, gone = given["added"] | given["removed"], F.col("selected").isNotNull() & F.col("mapped").isNull()
+    reasons = F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in zip(REASONS, [*given.values(), gone], strict=True)]))
+    return found.select("clause", "decision", material.alias("material_changed"), given["metadata_changed"].alias("metadata_changed"), (F.col("decision").isNotNull() & material).alias("review_required"), F.col("mapped").alias("selected"), gone.alias("selection_removed"), reasons.alias("reasons"))
 
 
 def applied(impacts: DataFrame, coverage: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from lintel.operators import relational as P
 from lintel.plans.governance_sql import SQL
 from lintel.plans.registry import query, table
 from lintel.plans.star import Star, star_query
+from lintel.session import staged
 from lintel.streaming import queues as Q
 
 
@@ -60,7 +61,8 @@ def _versions(t: Star):
     """Candidates of each clause before and after a revision: the first four, and the second to the fifth in turned order."""
     said = {"code": F.col("code").cast("string"), "number": F.concat(F.lit(" "), F.col("relation")), "title": F.lit("T"), "content": F.concat(F.lit("Text  "), (F.col("section") % 3).cast("string")), "warnings": F.array_compact(F.array(F.when(F.col("relation") == "R", "W")))}
     shown = {"rank": F.col("pos"), "score": F.lit(0.5), "classification": F.lit("c"), "reasons": F.array(F.lit("r")), "version": F.lit("1"), "updated": F.lit("u"), "name": F.lit("n")}
-    rows = t.lines.select("clause", "pos", F.concat_ws("-", F.lit("c"), F.col("clause").cast("string"), F.col("pos").cast("string")).alias("id"), *[v.alias(k) for k, v in (said | shown).items()])
+    # lines are numbered once, as both sides read them twice (what is plain ASCII, and the rest)
+    rows = staged(t.lines.select("clause", "code", "section", "relation", "pos"), "lines").select("clause", "pos", F.concat_ws("-", F.lit("c"), F.col("clause").cast("string"), F.col("pos").cast("string")).alias("id"), *[v.alias(k) for k, v in (said | shown).items()])
     return rows.where("pos <= 4"), rows.where("pos BETWEEN 2 AND 5").withColumn("pos", 10 - F.col("pos")).drop("id")
 
 
