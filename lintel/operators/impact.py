@@ -12,6 +12,8 @@ from lintel.functions import text as X
 REASONS = ["candidate_meaning_changed", "candidate_added", "candidate_removed", "candidate_metadata_changed", "selected_candidate_removed"]
 URL_NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 NEW_ID = "kcs-candidate"
+#: Rows of a task that ranks and matches them, about, whatever the size of the tables.
+TASK_ROWS = 500_000
 
 
 def with_fingerprints(rows: DataFrame) -> DataFrame:
@@ -45,7 +47,8 @@ def _met(before: DataFrame, after: DataFrame) -> DataFrame:
         identity = F.lit(None).cast(before.schema["id"].dataType) if new else F.col("id")
         return known.select("clause", "pos", identity.alias("id"), F.unhex("fp").alias("fp"), "lk", "meta", F.lit(new).alias("new"))
 
-    rows = side(before, False).unionByName(side(after, True)).repartition("clause")
+    tasks = max(int(before.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(before.count() + after.count()) // TASK_ROWS))
+    rows = side(before, False).unionByName(side(after, True)).repartition(tasks, "clause")
     rows = rows.withColumn("occurrence", F.row_number().over(Window.partitionBy("clause", "fp", "new").orderBy("pos")))
     # of an occurrence there is one row at most on each side, the one before first
     match = Window.partitionBy("clause", "fp", "occurrence").orderBy("new")
