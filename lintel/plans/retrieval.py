@@ -9,7 +9,7 @@ from lintel.functions import text as X
 from lintel.operators import index as I
 from lintel.operators import ranking as R
 from lintel.operators.impact_index import ImpactIndex
-from lintel.plans.registry import dealt, query, table
+from lintel.plans.registry import deals, dealt, query, table
 from lintel.session import staged
 
 TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[A-Za-z가-힣]{{2,}}|\d+(?:\.\d+)?')"
@@ -34,8 +34,8 @@ def _top_sql(source: str, k: int) -> str:
     return f"SELECT query, doc, score, CAST(n AS INT) AS rank FROM (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS n FROM (SELECT query, doc, round(score, 6) AS score FROM {source})) WHERE n <= {k}"
 
 
-#: Documents that one task counts the terms of, whatever the size of the table.
-DEALT = 5_000
+#: Documents, or names of parts, that one task counts the terms of, whatever the size of the table.
+DEALT, DEALT_NAMES = 5_000, 10_000
 
 
 def _posts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -131,8 +131,9 @@ sp AS (SELECT query, g AS term, count(*) AS tf FROM (SELECT query, unnest(flatte
 def _grams(spark, sf_dir):
     key = lambda c: F.regexp_replace(F.lower(c), "[^0-9a-z가-힣]", "")
     parts = table(spark, sf_dir, "part").select("p_partkey", key(F.concat_ws(" ", "p_name", "p_type")).alias("k"), "p_brand")
+    named = dealt(parts.select("p_partkey", "k"), "p_partkey", DEALT_NAMES)
     asks = table(spark, sf_dir, "nation").select("n_nationkey", key(F.concat_ws(" ", "n_name", F.lit("promo steel"))).alias("k"))
-    return parts, I.postings(parts, "p_partkey", X.char_ngrams(F.col("k"))), I.postings(asks, "n_nationkey", X.char_ngrams(F.col("k")), "query")
+    return parts, I.postings(named, "p_partkey", X.char_ngrams(F.col("k"))), I.postings(asks, "n_nationkey", X.char_ngrams(F.col("k")), "query")
 
 
 @query("R05_catalog_router", f"""WITH {SQL_GRAMS}, df AS (SELECT term, count(*) AS df FROM kp GROUP BY term), st AS (SELECT count(*) AS n FROM k),
@@ -157,9 +158,12 @@ qn AS (SELECT query, sqrt(sum(tf * tf)) AS n FROM sp GROUP BY query), dn AS (SEL
 SELECT c.query, c.doc, round((0.82 * least(1.0, 0.9 * least(1.0, 1.8 * dot / (qn.n * dn.n)) + 0.1 * coalesce(share, 0)) + 0.18) * CASE WHEN c.doc % 2 = 0 THEN 1 ELSE 0.72 END, 6) AS score FROM c JOIN qn ON qn.query = c.query JOIN dn ON dn.doc = c.doc LEFT JOIN cv ON cv.query = c.query AND cv.doc = c.doc""")
 def stable_score(spark, sf_dir):
     _, posts, asked = _grams(spark, sf_dir)
-    tokens = lambda name, i, to, *c: I.postings(table(spark, sf_dir, name), i, F.array_distinct(I.latin_tokens(F.concat_ws(" ", *c))), to)
-    coverage = I.token_coverage(tokens("nation", "n_nationkey", "query", "n_name", F.lit("promo steel")), tokens("part", "p_partkey", "doc", "p_name", "p_type"))
-    c = I.count_cosine(asked, posts).join(coverage, ["query", "doc"], "left").na.fill(0.0, ["coverage"])
+    tokens = lambda df, i, to, *c: I.postings(df, i, F.array_distinct(I.latin_tokens(F.concat_ws(" ", *c))), to)
+    parts = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), "p_partkey", DEALT_NAMES)
+    coverage = I.token_coverage(tokens(table(spark, sf_dir, "nation"), "n_nationkey", "query", "n_name", F.lit("promo steel")), tokens(parts, "p_partkey", "doc", "p_name", "p_type"))
+    # a part meets a nation once at most, so tasks of pairs are as many as those of parts
+    pairs = lambda df: df.repartition(deals(parts, DEALT_NAMES), "query", "doc")
+    c = pairs(I.count_cosine(asked, posts)).join(pairs(coverage), ["query", "doc"], "left").na.fill(0.0, ["coverage"])
     yes, no = F.lit(True), F.lit(False)
     return c.select("query", "doc", F.round(R.stable_score(F.col("cosine"), F.col("coverage"), yes, no, F.col("doc") % 2 == 0, no, no), 6).alias("score"))
 
