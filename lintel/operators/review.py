@@ -16,6 +16,7 @@ from lintel.functions import links as L
 from lintel.functions import quantities as N
 from lintel.functions import terms as T
 from lintel.functions import text as X
+from lintel.session import deals
 
 
 def query_texts(clauses: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,6 +99,10 @@ def missing_references(refs: Column, candidates: Column) -> Column:
     return F.filter(refs, lambda r: ~F.contains(flat, F.regexp_replace(r, r"[\s\-_]+", "")))
 
 
+#: Lines that one task relates to others, about.
+DEALT = 100_000
+
+
 def related_references(asking: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     """clause, rank, code: codes of the same topic elsewhere that the clause does not cite yet, at most k.
 
@@ -109,7 +114,16 @@ def related_references(asking: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     most = asks.agg(F.max("need")).first()[0] or k
     codes = pool.where("topic IS NOT NULL AND code IS NOT NULL").select("topic", "code").distinct()
     codes = codes.withColumn("at", F.row_number().over(Window.partitionBy("topic").orderBy("code"))).where(F.col("at") <= most)
-    found = asks.join(codes, "topic").where(F.col("at") <= F.col("need")).select("clause", "code").distinct()
+    # tasks have about DEALT rows: topics that more clauses ask for are cut by clause, and as many copies of their few codes meet the parts
+    tasks = deals(asking, DEALT)
+    often = asks.groupBy("topic").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > DEALT)  # at most a row for DEALT rows
+    often = F.broadcast(often.select("topic", F.ceil(F.col("n") / DEALT).cast("int").alias("cuts")))
+    cuts = F.coalesce("cuts", F.lit(1))
+    asks = asks.join(often, "topic", "left").select("clause", "need", "topic", F.pmod(F.xxhash64("clause"), cuts).cast("int").alias("cut"))
+    codes = codes.join(often, "topic", "left").select("topic", "code", "at", F.explode(F.sequence(F.lit(0), cuts - 1)).alias("cut"))
+    met = asks.repartition(tasks, "topic", "cut").join(codes.repartition(tasks, "topic", "cut"), ["topic", "cut"])
+    # a pair of clause and code is met in several topics; it is made one where the clause lies
+    found = met.where(F.col("at") <= F.col("need")).select("clause", "code").repartition(tasks, "clause").distinct()
     new = found.join(cited, ["clause", "code"], "left_anti")
     return new.withColumn("rank", F.row_number().over(Window.partitionBy("clause").orderBy("code"))).where(F.col("rank") <= k).select("clause", "rank", "code")
 

@@ -17,7 +17,7 @@ from lintel.functions import text as X
 from lintel.operators import coverage as C
 from lintel.operators import review as V
 from lintel.operators import screening as G
-from lintel.plans.registry import query, table
+from lintel.plans.registry import dealt, query, table
 from lintel.sources.documents import greedy_batches
 
 
@@ -167,7 +167,8 @@ def query_texts(spark, sf_dir):
     """Clauses in groups of four; the second refers back and the third ahead."""
     words = "CASE k % 4 WHEN 0 THEN concat('벽돌 쌓기 ', CAST(k AS STRING)) WHEN 1 THEN '상기 기준에 따른다' WHEN 2 THEN '다음 표에 따른다' ELSE concat('표 내용 ', CAST(k AS STRING)) END"
     rows = _said(spark, sf_dir, project="floor(k / 4)", source_order="k % 4 + 1", title="''", content=words, source_type="CASE WHEN k % 4 = 3 THEN 'table' ELSE 'paragraph' END", context="'조적'")
-    return V.query_texts(rows, ["project"]).select("id", "query")
+    # a task holds its neighbours' texts, so projects are dealt out
+    return V.query_texts(dealt(rows, "project"), ["project"]).select("id", "query")
 
 
 @query("R19_all_table_checks", """WITH o AS (SELECT o_orderkey AS k FROM orders) SELECT k AS id, 'products' AS field, 'unconfirmed' AS status FROM o UNION ALL SELECT k, 'thickness', 'unconfirmed' FROM o

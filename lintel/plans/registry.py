@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lintel.session import deals
+
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES: dict[str, Query] = {}
@@ -16,11 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def deals(df: DataFrame, rows: int = 50_000) -> int:
-    """As many partitions as the session shuffles into, or more, so that one has about `rows` rows of df at most."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
-
-
 def dealt(df: DataFrame, key: str, rows: int = 50_000) -> DataFrame:
     """df dealt by key into so many partitions: a small file is one task whatever is made of its rows, and what a task holds does not grow
     with the table."""

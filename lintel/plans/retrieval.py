@@ -9,8 +9,8 @@ from lintel.functions import text as X
 from lintel.operators import index as I
 from lintel.operators import ranking as R
 from lintel.operators.impact_index import ImpactIndex
-from lintel.plans.registry import deals, dealt, query, table
-from lintel.session import staged
+from lintel.plans.registry import dealt, query, table
+from lintel.session import deals, staged
 
 TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[A-Za-z가-힣]{{2,}}|\d+(?:\.\d+)?')"
 SQL_POSTS = f"""
