@@ -25,12 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lintel.operators.index import ASKED_ROWS, K1, B
-from lintel.session import scratch, staged
+from lintel.session import deals, scratch, staged
 
 PARTS = 64
 #: Postings of a term and level in one block, about.
 CHUNK = 4096
 LEVELS_PER_HALVING, DEEPEST = 4, 47
+#: Documents that one task counts the terms of, and postings that one task puts into blocks, about, whatever the size of a segment.
+DEALT, DEALT_POSTINGS = 5_000, 1_000_000
 #: The share of the threshold that left out levels may make up: more skips more postings and keeps more documents to be scored.
 SHARE = 0.75
 #: Postings that are read and documents that are scored, per wanted row, to set the threshold.
@@ -56,9 +58,8 @@ def impact(average: float | Column) -> Column:
     return F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / average))
 
 
-def counted_terms(docs: DataFrame) -> DataFrame:
+def counted_terms(docs: DataFrame, tasks: int) -> DataFrame:
     """doc, len, terms (array of term and tf) of docs (doc, terms); null terms stay null. Documents are dealt once, so nothing else moves."""
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.repartition(tasks, "doc")
     words = dealt.where("terms IS NOT NULL").select("doc", F.size("terms").cast("long").alias("len"), F.explode_outer("terms").alias("term"))
     counts = words.groupBy("doc", "len", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
@@ -82,12 +83,12 @@ class ImpactIndex:
     @classmethod
     def build(cls, docs: DataFrame, path: str | None = None) -> ImpactIndex:
         index = cls(docs.sparkSession, path or scratch(docs.sparkSession, "index"))
-        index._segment(0, docs.where("terms IS NOT NULL"), None)
+        index._segment(0, docs.where("terms IS NOT NULL"), None, deals(docs.select("doc"), DEALT))
         return index
 
     def apply(self, changes: DataFrame) -> None:
         """A delta: new and changed documents with their terms, removed ones with null. Only their old rows and terms are read."""
-        self._segment(self.segments() + 1, changes, self.documents(changes.select("doc")))
+        self._segment(self.segments() + 1, changes, self.documents(changes.select("doc")), deals(changes.select("doc"), DEALT))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}").where(F.col("segment") <= self.segments())
@@ -125,14 +126,14 @@ class ImpactIndex:
         # a part in one task and file, unless it is large: adaptive execution splits those
         df.hint("rebalance", "part").write.option("compression", "zstd").mode("overwrite").partitionBy("part").parquet(f"{self.path}/{name}/segment={number}")
 
-    def _segment(self, number: int, docs: DataFrame, old: DataFrame | None) -> None:
-        self._write(counted_terms(docs).withColumn("part", _part("doc")), "forward", number)
+    def _segment(self, number: int, docs: DataFrame, old: DataFrame | None, tasks: int) -> None:
+        self._write(counted_terms(docs, tasks).withColumn("part", _part("doc")), "forward", number)
         new = self.spark.read.schema(SCHEMAS["forward"]).parquet(f"{self.path}/forward/segment={number}").where("terms IS NOT NULL").select("doc", "len", "terms")
         old = staged(old, "old") if old is not None else None  # before anything of this segment counts
         signed = new.select(F.lit(1).alias("sign"), "len", "terms")
         if old is not None:
             signed = signed.unionByName(old.select(F.lit(-1).alias("sign"), "len", "terms"))
-        sums = signed.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("docs"), F.coalesce(F.sum(F.col("sign") * F.col("len")), F.lit(0)).alias("terms")).first()
+        sums = signed.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("docs"), F.coalesce(F.sum(F.col("sign") * F.col("len")), F.lit(0)).alias("terms"), F.coalesce(F.sum(F.when(F.col("sign") > 0, F.size("terms"))), F.lit(0)).alias("postings")).first()
         n, total = (self.stats() if number else (0, 0.0))
         docs_now = n + sums["docs"]
         average = (total * n + sums["terms"]) / max(docs_now, 1)
@@ -142,10 +143,12 @@ class ImpactIndex:
         held = self.spark.read.schema(SCHEMAS["terms"]).parquet(f"{self.path}/terms/segment={number}")
         # terms with more postings than a chunk are dealt into several; others are one
         many = held.where(F.col("df") > CHUNK).select("term", F.ceil(F.col("df") / CHUNK).cast("int").alias("chunks"))
-        posts = new.select("doc", "len", F.explode("terms").alias("t")).select("doc", "len", "t.term", "t.tf").join(many, "term", "left")
+        posts = new.select("doc", "len", F.explode("terms").alias("t")).select("doc", "len", "t.term", "t.tf").join(_few(many), "term", "left")
         posts = posts.withColumn("x", impact(average)).withColumn("level", F.least(F.lit(DEEPEST), F.floor(-LEVELS_PER_HALVING * F.log2("x"))).cast("int"))
         posts = posts.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.coalesce("chunks", F.lit(1))).cast("int"))
-        blocks = posts.groupBy("term", "level", "chunk").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("x").alias("best"), F.array_sort(F.collect_list(F.struct("doc", "tf", "len"))).alias("entries"))
+        # dealt before they are grouped: a few files of terms are many postings, and a task would group all that it reads
+        dealt = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-sums["postings"] // DEALT_POSTINGS))
+        blocks = posts.repartition(dealt, "term", "level", "chunk").groupBy("term", "level", "chunk").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("x").alias("best"), F.array_sort(F.collect_list(F.struct("doc", "tf", "len"))).alias("entries"))
         self._write(blocks.withColumn("part", _part("term")), "blocks", number)
         written = self.spark.read.schema(SCHEMAS["blocks"]).parquet(f"{self.path}/blocks/segment={number}")
         levels = written.groupBy("part", "term", "level").agg(F.sum("n").alias("n"), F.max("best").alias("best"))

@@ -1,6 +1,6 @@
 """What a task holds stays bounded, whatever the size of the tables."""
 
-from lintel.operators import review
+from lintel.operators import impact_index, review
 from lintel.plans import phrased, registry, retrieval
 from lintel.plans.registry import QUERIES
 
@@ -43,3 +43,16 @@ def test_topics_that_many_ask_for_are_cut(spark, monkeypatch):
         assert {tuple(r) for r in got.collect()} == expected
         if bound == 10:  # half of all clauses ask for one topic
             assert "cuts" in got._jdf.queryExecution().optimizedPlan().toString() and got.rdd.getNumPartitions() >= 36
+
+
+def test_a_segment_is_dealt_by_its_documents_and_postings(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(impact_index, "PARTS", 2)
+    monkeypatch.setattr(impact_index, "DEALT", 10, raising=False)
+    monkeypatch.setattr(impact_index, "DEALT_POSTINGS", 20, raising=False)
+    docs = spark.createDataFrame([(d, ["a", f"b{d % 9}", f"c{d}"]) for d in range(90)], "doc long, terms array<string>").coalesce(1)
+    written = {}
+    monkeypatch.setattr(impact_index.ImpactIndex, "_write", lambda self, df, name, number, real=impact_index.ImpactIndex._write: (written.update({name: df._jdf.queryExecution().optimizedPlan().toString()}), real(self, df, name, number)))
+    kept = impact_index.ImpactIndex.build(docs, f"{tmp_path}/kept")
+    assert "RepartitionByExpression [doc" in written["forward"] and ", 9" in written["forward"]  # 90 documents in tasks of 10
+    assert "RepartitionByExpression [term" in written["blocks"] and ", 14" in written["blocks"]  # 270 postings in tasks of 20
+    assert {(r["term"], r["df"]) for r in kept.frequencies().where("df > 1").collect()} == {("a", 90)} | {(f"b{i}", 10) for i in range(9)}
