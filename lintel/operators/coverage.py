@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintel.sources.documents import chunks, greedy_batches
+from lintel.sources.documents import chunk_lengths, greedy_batches
 
 from lintel.functions import links as L
 from lintel.functions import quantities as N
@@ -134,7 +134,7 @@ def _numbered_batches(rows: DataFrame, order: list[str], size: Column, count: in
     """clause and a row for each batch that its sizes, in order, are put into. The sizes of one clause are an array; its texts do not move."""
     sizes = rows.groupBy("clause").agg(F.array_sort(F.collect_list(F.struct(*order, size.cast("long").alias("size")))).alias("rows"))
     batches = greedy_batches(F.transform("rows", lambda r: r["size"]), count, chars)
-    return sizes.select("clause", F.explode(F.array_distinct(batches)).alias(into))
+    return sizes.select("clause", F.explode_outer(F.array_distinct(batches)).alias(into))
 
 
 def planned_calls(segments: DataFrame, candidates: DataFrame, most: int = MOST_CALLS) -> DataFrame:
@@ -144,10 +144,10 @@ def planned_calls(segments: DataFrame, candidates: DataFrame, most: int = MOST_C
     are cut at CANDIDATE_CHARS, parts bear their number, and PACK_CHARS make a pack."""
     said = F.char_length(F.concat(F.lit("S"), F.col("n").cast("string"))) + F.char_length("text") + SEGMENT_EXTRA
     batches = _numbered_batches(segments, ["n"], said, SEGMENTS_A_CALL, SEGMENT_CHARS, "batch")
-    parts = candidates.withColumn("parts", chunks(F.col("text"), CANDIDATE_CHARS))
-    parts = parts.select("clause", "n", "ref", F.size("parts").alias("of"), F.posexplode("parts").alias("part", "piece"))
+    parts = candidates.select("clause", "n", "ref", chunk_lengths(F.col("text"), CANDIDATE_CHARS).alias("parts"))
+    parts = parts.select("clause", "n", "ref", F.size("parts").alias("of"), F.posexplode_outer("parts").alias("part", "chars"))  # outer, as for others Spark asks twice whether there are any
     label = F.when(F.col("of") == 1, F.col("ref")).otherwise(F.concat("ref", F.lit(" · 부분 "), (F.col("part") + 1).cast("string"), F.lit("/"), F.col("of").cast("string")))
-    packs = _numbered_batches(parts, ["n", "part"], F.char_length(label) + F.char_length("piece") + CANDIDATE_EXTRA, 1 << 30, PACK_CHARS, "pack")
+    packs = _numbered_batches(parts, ["n", "part"], F.char_length(label) + F.col("chars") + CANDIDATE_EXTRA, 1 << 30, PACK_CHARS, "pack")
     return call_plan(batches, packs, most)
 
 

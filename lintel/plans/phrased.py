@@ -245,7 +245,9 @@ SELECT b.clause, CAST(b.batches * p.batches AS BIGINT) AS calls, b.batches * p.b
 def planned_calls(spark, sf_dir):
     """Customers as clauses: their orders' texts are the source segments, and longer ones the candidates."""
     key = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("clause"), F.row_number().over(Window.partitionBy("o_custkey").orderBy(key)).alias("n"), key.alias("key"))
+    # texts are made and measured where a clause's orders lie, so few keys that become long texts are dealt out first
+    orders = dealt(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey")
+    rows = orders.select(F.col("o_custkey").alias("clause"), F.row_number().over(Window.partitionBy("o_custkey").orderBy(key)).alias("n"), key.alias("key"))
     long = lambda n: F.repeat(F.lit("x"), n.cast("int"))
     segments = rows.select("clause", "n", long(300 + F.col("key") * 7 % 1700).alias("text"))
     candidates = rows.select("clause", "n", F.col("key").cast("string").alias("ref"), long(1 + F.col("key") * 1013 % 30000).alias("text"))

@@ -10,7 +10,9 @@ import re
 import zipfile
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
+from operator import or_
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -290,6 +292,33 @@ def chunks(c: Column, most: int) -> Column:
     return _chunks(F.coalesce(c, F.lit("")), F.lit(most))
 
 
+#: The same breaks for Java: punctuation, and white space.
+_PUNCTUATION, _SPACE = ".!?。;；,:，、", r" \n\t"
+
+
+def chunk_lengths(c: Column, most: int) -> Column:
+    """array<int> of the characters of each piece that `chunks` makes of a text, without Python. Lowers the bound of Arrow batches as `chunks` does.
+
+    A text without any break is cut by arithmetic; others by a pattern whose alternatives are the rest of a text, a cut behind the last punctuation
+    mark, one behind the last white space, and a hard one. Characters beyond the basic plane, which take two units in Java, are masked for it."""
+    small_batches(SparkSession.active())
+    c, half = F.coalesce(c, F.lit("")), max(1, most // 2)
+    cut = lambda breaks: f".{{{half},{most - 1}}}[{breaks}]|" if half < most else ""
+    pieces = F.lit(rf"(?s).{{1,{most}}}+\z|{cut(_PUNCTUATION)}{cut(_SPACE)}.{{{most}}}")
+
+    def lengths(size: Column) -> Column:
+        narrow = F.octet_length(c) == size
+        # Java splits at one character by a vectorized search: a tenth of the time of a class of characters
+        has = lambda x: F.size(F.split(c, x if x.isspace() else rf"\{x}", 2)) > 1
+        broken = reduce(or_, map(has, " .,:;!?\n\t")) | (~narrow & reduce(or_, map(has, "。；，、")))
+        hard = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / most).cast("int")), lambda i: F.least(F.lit(most), size - i * most))
+        masked = F.when(narrow, c).otherwise(F.regexp_replace(c, r"[\x{10000}-\x{10FFFF}]", "x"))
+        found = F.transform(F.regexp_extract_all(masked, pieces, F.lit(0)), F.char_length)
+        return F.when(size <= most, F.array(size)).when(~broken, hard).otherwise(found)
+
+    return F.transform(F.array(F.char_length(c)), lengths)[0]  # so that a text is measured once
+
+
 def source_segments(docs: DataFrame, id_col: str, text_col: str, most: int = 2000) -> DataFrame:
     """id, n (from 1), segment, was_split: the sentences of a text, each cut into pieces if it is too long."""
     rows = docs.select(F.col(id_col).alias("id"), F.posexplode(X.sentences(F.col(text_col))).alias("s", "sentence"))

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from lintel.operators import coverage
 from lintel.plans.sources import word_file
 from lintel.sources import documents as S
@@ -31,6 +33,24 @@ def test_texts_are_cut_in_small_batches(spark):
     assert {(r["calls"], r["allowed"]) for r in got.collect()} == {(1, True)}
 
 
+def test_chunk_lengths_are_those_of_the_chunks(spark):
+    """The arithmetic and the patterns cut as the plain program does, whatever breaks and characters a text has; and no Python takes part."""
+    texts = ["", "x" * 999, "x" * 50 + ". " + "x" * 70, "ab c\n\td. " * 40, "가나다、라 마。" * 30, "x😀" * 200, "😀.x " * 100, "\n" * 45, "x" * 16 + "." + "x" * 20]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    for most in (1, 2, 7, 32):
+        got = rows.select("i", S.chunk_lengths(F.col("t"), most).alias("n"))
+        assert "Eval" not in got._jdf.queryExecution().toString()
+        assert {r["i"]: r["n"] for r in got.collect()} == {i: [len(p) for p in S.split_chunks(t, most)] for i, t in enumerate([*texts, None])}
+
+
+def test_planned_calls_keep_texts_out_of_python(spark):
+    """They are only measured, which took most of the time of a table of them."""
+    rows = spark.range(3).selectExpr("id AS clause", "1 AS n", "'r' AS ref", "repeat('x', 100000) AS text")
+    got = coverage.planned_calls(rows.drop("ref"), rows)
+    assert "Eval" not in got._jdf.queryExecution().toString()
+    assert {(r["calls"], r["allowed"]) for r in got.collect()} == {(3, True)}
+
+
 def test_spans_fill_rectangles():
     rows = S.table_rows("<table><tr><td rowspan=3 colspan=2>a<td>b</tr><tr><td rowspan=9>c<td>d</tr><tr></tr></table>")
     assert [r[2] for r in rows] == [["a", "a", "b"], ["a", "a", "c", "d"], ["a", "a", "c"]]
