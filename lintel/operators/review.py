@@ -103,29 +103,51 @@ def missing_references(refs: Column, candidates: Column) -> Column:
 DEALT = 100_000
 
 
+#: Hash buckets whose rows are counted, to learn of frequent keys without a count of each key.
+BUCKETS = 1 << 16
+
+
 def related_references(asking: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     """clause, rank, code: codes of the same topic elsewhere that the clause does not cite yet, at most k.
 
     `pool` holds all rows of the clauses that ask, so a code that a clause does not cite comes from another one. A clause with m codes
-    finds its k among the first k + m codes of each of its topics; no more rows of a topic meet it."""
-    cited = asking.where("code IS NOT NULL").select("clause", "code").distinct()
-    asks = asking.select("clause", "topic").distinct().join(cited.groupBy("clause").agg(F.count(F.lit(1)).alias("m")), "clause", "left").withColumn("need", F.coalesce("m", F.lit(0)) + k)
-    # one number for all, so that tasks keep no more rows of a topic than that before they are brought together
-    most = asks.agg(F.max("need")).first()[0] or k
-    codes = pool.where("topic IS NOT NULL AND code IS NOT NULL").select("topic", "code").distinct()
-    codes = codes.withColumn("at", F.row_number().over(Window.partitionBy("topic").orderBy("code"))).where(F.col("at") <= most)
-    # tasks have about DEALT rows: topics that more clauses ask for are cut by clause, and as many copies of their few codes meet the parts
+    finds its k among the first k + m codes of each of its topics; no more codes of a topic meet it. Rows move four times: by clause, where they
+    become one row for each topic, the first of which takes the clause's own codes along; both sides by topic; and what was found by clause."""
     tasks = deals(asking, DEALT)
-    often = asks.groupBy("topic").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > DEALT)  # at most a row for DEALT rows
-    often = F.broadcast(often.select("topic", F.ceil(F.col("n") / DEALT).cast("int").alias("cuts")))
-    cuts = F.coalesce("cuts", F.lit(1))
-    asks = asks.join(often, "topic", "left").select("clause", "need", "topic", F.pmod(F.xxhash64("clause"), cuts).cast("int").alias("cut"))
-    codes = codes.join(often, "topic", "left").select("topic", "code", "at", F.explode(F.sequence(F.lit(0), cuts - 1)).alias("cut"))
-    met = asks.repartition(tasks, "topic", "cut").join(codes.repartition(tasks, "topic", "cut"), ["topic", "cut"])
-    # a pair of clause and code is met in several topics; it is made one where the clause lies
-    found = met.where(F.col("at") <= F.col("need")).select("clause", "code").repartition(tasks, "clause").distinct()
-    new = found.join(cited, ["clause", "code"], "left_anti")
-    return new.withColumn("rank", F.row_number().over(Window.partitionBy("clause").orderBy("code"))).where(F.col("rank") <= k).select("clause", "rank", "code")
+    # no clause has more codes than a bucket of clauses has rows; tasks keep no more codes of a topic
+    buckets = asking.groupBy(F.pmod(F.xxhash64("clause"), F.lit(BUCKETS)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    most = min((buckets.agg(F.max("n")).first()[0] or 0) + k, 2**31 - 1)
+    held = asking.repartition(tasks, "clause").groupBy("clause").agg(F.collect_set("topic").alias("topics"), F.collect_set("code").alias("cited"))
+    asks = held.where("clause IS NOT NULL").select("clause", "cited", F.posexplode_outer("topics").alias("at", "topic")).where("topic IS NOT NULL")
+    asks = asks.select("clause", "topic", (F.size("cited") + k).alias("need"), F.when(F.col("at") == 0, F.col("cited")).alias("cited"))
+
+    codes, keys = pool.where("topic IS NOT NULL AND code IS NOT NULL").select("topic", "code"), ["topic"]
+    gathered = F.slice(F.array_sort(F.collect_set("code")), 1, most).alias("codes")
+    often = _frequent(asking.select("topic").unionByName(pool.select("topic")), "topic", DEALT)
+    if often is None:
+        first = codes.repartition(tasks, "topic").groupBy("topic").agg(gathered)
+    else:  # topics that more rows have are cut by clause, and as many copies of their few codes meet the parts
+        often, keys, cuts = F.broadcast(often.select("topic", F.ceil(F.col("n") / DEALT).cast("int").alias("cuts"))), ["topic", "cut"], F.coalesce("cuts", F.lit(1))
+        asks = asks.join(often, "topic", "left").withColumn("cut", F.pmod(F.xxhash64("clause"), cuts).cast("int")).drop("cuts")
+        ranked = codes.distinct().withColumn("at", F.row_number().over(Window.partitionBy("topic").orderBy("code"))).where(F.col("at") <= most)
+        first = ranked.groupBy("topic").agg(gathered).join(often, "topic", "left").select("topic", "codes", F.explode(F.sequence(F.lit(0), cuts - 1)).alias("cut")).repartition(tasks, *keys)
+    met = asks.repartition(tasks, *keys).hint("merge").join(first, keys, "left")
+    # a code is met in several topics; it is made one where the clause lies
+    found = met.select("clause", F.expr("slice(codes, 1, need)").alias("codes"), "cited").repartition(tasks, "clause")
+    found = found.groupBy("clause").agg(F.flatten(F.collect_list("codes")).alias("codes"), F.flatten(F.collect_list("cited")).alias("cited"))
+    new = found.select("clause", F.slice(F.array_sort(F.array_except("codes", "cited")), 1, k).alias("codes"))
+    return new.select("clause", F.posexplode("codes").alias("rank", "code")).select("clause", (F.col("rank") + 1).alias("rank"), "code")
+
+
+def _frequent(df: DataFrame, key: str, rows: int) -> DataFrame | None:
+    """key, n of the keys that more than `rows` rows of df have, or None; only keys in buckets of so many rows are counted one by one."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("b")
+    full = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows).select("b")
+    if full.isEmpty():
+        return None
+    kept = df.withColumn("b", bucket).join(F.broadcast(full), "b", "left_semi")
+    found = kept.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows)  # at most a row for so many rows
+    return None if found.isEmpty() else found
 
 
 def source_positions(clauses: DataFrame, pages: DataFrame) -> DataFrame:
